@@ -17,9 +17,16 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(found)
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
     return {
         "op3_decontamination": op3_decontamination,
+        "op5_near_duplicates": op5_near_duplicates,
     }
 
 
