@@ -17,6 +17,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(found)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix
+
+    return suffix.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import minhash
 
@@ -26,6 +32,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op3_decontamination": op3_decontamination,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_near_duplicates": op5_near_duplicates,
     }
 
