@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+    from .textblocks import crc_mod
+
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc_mod("doc_id", 5) == 1)
+    return lm.score(documents, ~F.col("held_out")).drop("text")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
@@ -31,6 +40,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_decontamination": op3_decontamination,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_near_duplicates": op5_near_duplicates,

@@ -30,12 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .decontam import sort_suffixes
+from .routing import ROUTED_DDL, block_number, blocks_of, by_part, pack, routed, unpack
 from .textblocks import U64, _span_hashes, expand, join_texts, mix
 
 WIDTH = 50
@@ -248,65 +248,16 @@ class Block:
         text = np.concatenate([self.text[cold], np.repeat(self.text[fine], self.count[fine])])
         first = np.concatenate([self.first[cold], windows])
         count = np.concatenate([self.count[cold], np.ones(len(windows), dtype=np.int64)])
-        key = np.zeros(len(first), dtype=np.uint64)
-        for a in range(0, len(first), 1 << 18):  # spans are hashed within stretches of text
-            b = min(len(first), a + (1 << 18))
-            key[a:b] = _stretch_hashes(self.data, first[a:b], first[a:b] + count[a:b] + WIDTH - 1)
+        order = np.argsort(first, kind="stable")
+        key = np.empty(len(first), dtype=np.uint64)
+        key[order] = _span_hashes(self.data, first[order], (first + count + WIDTH - 1)[order])
         shard = mix(np.concatenate([self.anchor[cold] + U64(1), key[cold.sum() :]]))
         return text, first, count, shard, key
 
 
-def _stretch_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Span hashes where the spans lie in one stretch of text, or in two sorted ones."""
-    out = np.zeros(len(starts), dtype=np.uint64)
-    order = np.argsort(starts, kind="stable")
-    low = 0
-    while low < len(order):
-        base = int(starts[order[low]])
-        high = max(low + 1, int(np.searchsorted(starts[order], base + CHUNK)))
-        own = order[low:high]
-        top = int(ends[own].max())
-        out[own] = _span_hashes(data[base:top], starts[own] - base, ends[own] - base)
-        low = high
-    return out
-
-
-def _pack(**arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed blob."""
-    head = b"".join(np.array([len(a.tobytes())], dtype="<i8").tobytes() for a in arrays.values())
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays.values()))
-
-
-def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    sizes = np.frombuffer(raw, dtype="<i8", count=len(kinds))
-    out, at = [], 8 * len(kinds)
-    for size, kind in zip(sizes, kinds):
-        out.append(np.frombuffer(raw, dtype=kind, count=int(size) // np.dtype(kind).itemsize, offset=at))
-        at += int(size)
-    return out
-
-
-def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(part, kind="stable")
-    edges = np.flatnonzero(np.diff(part[order])) + 1
-    for own in np.split(order, edges) if len(order) else []:
-        yield int(part[own[0]]), own
-
-
-_ROUTED = pa.schema([("to", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
-_ROUTED_DDL = "to long, block long, kind int, blob binary"
 ANCHORS, SEGMENTS, ANSWERS = 0, 1, 2
 
 
-def _routed(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, _ROUTED)], schema=_ROUTED)
-
-
-def _block_number(table: pa.Table) -> int:
-    return table.column("__block")[0].as_py()
-
-
 def _send_anchors(n_parts: int):
     def run(table: pa.Table) -> pa.Table:
         block = Block(table)
@@ -315,17 +266,17 @@ def _send_anchors(n_parts: int):
         pair = np.ones(len(anchor), dtype=bool)
         pair[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
         distinct, docs = np.unique(anchor[pair], return_counts=True)
-        number, rows = _block_number(table), []
-        for part, own in _by_part((mix(distinct) % U64(n_parts)).astype(np.int64)):
-            rows.append((part, number, ANCHORS, _pack(anchor=distinct[own], docs=docs[own].astype(np.uint32))))
-        return _routed(rows)
+        number, rows = block_number(table), []
+        for part, own in by_part((mix(distinct) % U64(n_parts)).astype(np.int64)):
+            rows.append((part, number, ANCHORS, pack(anchor=distinct[own], docs=docs[own].astype(np.uint32))))
+        return routed(rows)
 
     return run
 
 
 def _answer_anchors(table: pa.Table) -> pa.Table:
     """Which anchors of each block occur in two documents, and which in very many."""
-    blobs = [_unpack(b, "<u8", "<u4") for b in table.column("blob").to_pylist()]
+    blobs = [unpack(b, "<u8", "<u4") for b in table.column("blob").to_pylist()]
     every = np.concatenate([b[0] for b in blobs])
     distinct, inverse = np.unique(every, return_inverse=True)
     docs = np.bincount(inverse, weights=np.concatenate([b[1] for b in blobs])).astype(np.int64)
@@ -334,12 +285,12 @@ def _answer_anchors(table: pa.Table) -> pa.Table:
         total = docs[inverse[at : at + len(anchor)]]
         at += len(anchor)
         if (total > 1).any():
-            rows.append((0, number, ANCHORS, _pack(anchor=anchor[total > 1], hot=(total[total > 1] > HOT).astype(np.uint8))))
-    return _routed(rows)
+            rows.append((0, number, ANCHORS, pack(anchor=anchor[total > 1], hot=(total[total > 1] > HOT).astype(np.uint8))))
+    return routed(rows)
 
 
 def _repeated(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    own = [_unpack(b, "<u8", "u1") for k, b in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()) if k == ANCHORS]
+    own = [unpack(b, "<u8", "u1") for k, b in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()) if k == ANCHORS]
     if not own:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
     anchor, hot = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own]).astype(bool)
@@ -350,9 +301,9 @@ def _repeated(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def _send_segments(n_parts: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows or not answers.num_rows:
-            return _routed([])
+            return routed([])
         block = Block(texts)
-        number = _block_number(texts)
+        number = block_number(texts)
         text, first, count, shard, key = block.segments(*_repeated(answers))
         ids = block.ids[text]
         order = np.lexsort((ids, key))
@@ -363,11 +314,11 @@ def _send_segments(n_parts: int):
         low, high, rep = ids[order[opens]], ids[order[closes]], order[opens]
         # the block's own anchors go along, so that they come back with the answers
         rows = [(number % n_parts, number, ANCHORS, blob) for blob in answers.column("blob").to_pylist()]
-        for part, own in _by_part((shard[rep] % U64(n_parts)).astype(np.int64)):
+        for part, own in by_part((shard[rep] % U64(n_parts)).astype(np.int64)):
             length = count[rep[own]] + WIDTH - 1
             strings = block.data[expand(first[rep[own]], length)]
-            rows.append((part, number, SEGMENTS, _pack(key=key[rep[own]], windows=count[rep[own]].astype(np.uint32), low=low[own], high=high[own], strings=strings)))
-        return _routed(rows)
+            rows.append((part, number, SEGMENTS, pack(key=key[rep[own]], windows=count[rep[own]].astype(np.uint32), low=low[own], high=high[own], strings=strings)))
+        return routed(rows)
 
     return run
 
@@ -403,9 +354,9 @@ def _answer_segments(table: pa.Table) -> pa.Table:
         if kind == ANCHORS:
             rows.append((0, number, ANCHORS, blob))
         else:
-            entries.append((number, _unpack(blob, "<u8", "<u4", "<i8", "<i8", "u1")))
+            entries.append((number, unpack(blob, "<u8", "<u4", "<i8", "<i8", "u1")))
     if not entries:
-        return _routed(rows)
+        return routed(rows)
     key, windows, low, high, strings = (np.concatenate([e[1][k] for e in entries]) for k in range(5))
     windows = windows.astype(np.int64)
     number = np.repeat([e[0] for e in entries], [len(e[1][0]) for e in entries])
@@ -423,15 +374,15 @@ def _answer_segments(table: pa.Table) -> pa.Table:
     use = value < high[entry]
     value, entry, offset = value[use], entry[use], offset[use]
     if not len(value):
-        return _routed(rows)
+        return routed(rows)
     opens = np.ones(len(value), dtype=bool)
     opens[1:] = (entry[1:] != entry[:-1]) | (value[1:] != value[:-1]) | (offset[1:] != offset[:-1] + 1)
     at = np.flatnonzero(opens)
     run = np.diff(np.append(at, len(value)))
     entry, value, offset = entry[at], value[at], offset[at]
-    for part, own in _by_part(number[entry]):
-        rows.append((0, part, ANSWERS, _pack(key=key[entry[own]], offset=offset[own].astype(np.uint32), run=run[own].astype(np.uint32), least=value[own])))
-    return _routed(rows)
+    for part, own in by_part(number[entry]):
+        rows.append((0, part, ANSWERS, pack(key=key[entry[own]], offset=offset[own].astype(np.uint32), run=run[own].astype(np.uint32), least=value[own])))
+    return routed(rows)
 
 
 def _cut(kept: list[str], with_text: bool):
@@ -463,7 +414,7 @@ def _cut(kept: list[str], with_text: bool):
 def _removed(block: Block, answers: pa.Table) -> np.ndarray:
     """Which bytes of a block go."""
     gone = np.zeros(len(block.data) + 1, dtype=np.int32)
-    own = [_unpack(b, "<u8", "<u4", "<u4", "<i8") for k, b in zip(answers.column("kind").to_pylist(), answers.column("blob").to_pylist()) if k == ANSWERS]
+    own = [unpack(b, "<u8", "<u4", "<u4", "<i8") for k, b in zip(answers.column("kind").to_pylist(), answers.column("blob").to_pylist()) if k == ANSWERS]
     if own:
         key, offset, run, least = (np.concatenate([x[k] for x in own]) for k in range(4))
         order = np.argsort(key, kind="stable")
@@ -485,15 +436,9 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     `with_text` the remaining bytes as `kept` binary. Columns of those names are replaced."""
     added = T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
     fields = [f for f in documents.schema.fields if f.name not in {*added.names, "kept"}]
-    size = documents.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("binary")).cast("long"))).first()[0] or 0
-    n_parts = max(1, -(-size // block_bytes))
-    raw = F.col(f"`{text}`").cast("binary")
-    blocked = documents.select(
-        *[F.col(f"`{f.name}`") for f in fields], F.pmod(F.xxhash64(F.col(f"`{doc_id}`").cast("long"), F.octet_length(raw)), F.lit(n_parts)).cast("long").alias("__block"),
-        F.col(f"`{doc_id}`").cast("long").alias("__id"), raw.alias("__text"),
-    )
+    blocked, n_parts = blocks_of(documents, [f.name for f in fields], doc_id, text, block_bytes)
     grouped = blocked.groupBy("__block")
-    anchors = grouped.applyInArrow(_send_anchors(n_parts), _ROUTED_DDL).groupBy("to").applyInArrow(_answer_anchors, _ROUTED_DDL)
-    segments = grouped.cogroup(anchors.groupBy("block")).applyInArrow(_send_segments(n_parts), _ROUTED_DDL)
-    answers = segments.groupBy("to").applyInArrow(_answer_segments, _ROUTED_DDL)
+    anchors = grouped.applyInArrow(_send_anchors(n_parts), ROUTED_DDL).groupBy("to").applyInArrow(_answer_anchors, ROUTED_DDL)
+    segments = grouped.cogroup(anchors.groupBy("block")).applyInArrow(_send_segments(n_parts), ROUTED_DDL)
+    answers = segments.groupBy("to").applyInArrow(_answer_segments, ROUTED_DDL)
     return grouped.cogroup(answers.groupBy("block")).applyInArrow(_cut([f.name for f in fields], with_text), T.StructType(fields + added.fields))

@@ -100,7 +100,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
     if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, 1 << 22)
+        n = max(n, 1 << 21)
         out = []
         for base in (_BASE, U64(pow(int(_BASE), -1, 1 << 64))):
             row = np.full(n, base, dtype=np.uint64)
@@ -110,14 +110,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each byte span, the same wherever the span stands."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    power, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stretch: int = 1 << 20) -> np.ndarray:
+    """A hash of each byte span, the same wherever the span stands; starts are sorted."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    low = 0
+    while low < len(starts):
+        base = int(starts[low])
+        high = max(low + 1, int(np.searchsorted(starts, base + stretch)))
+        top = int(ends[low:high].max())
+        n = top - base
+        power, inverse = _powers(n + 1)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[data[base:top]] * power[:n], out=sums[1:])
+        a, b = starts[low:high] - base, ends[low:high] - base
+        out[low:high] = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
+        low = high
+    return out
 
 
 def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
