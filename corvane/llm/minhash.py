@@ -11,9 +11,9 @@ can't be shared. Links are then found in two steps, none of which lists the pair
 
 1. every class is compared with the smallest class that it meets in any table; confirmed links give
    first components;
-2. tables that still hold classes of different components are cut into blocks; pairs across components
-   are compared, in the first table that they share, by their bands, and those that may reach the
-   threshold are confirmed on their sets.
+2. classes that tables connect, directly or by others, but links do not, are cut into blocks with their sets.
+   In each pair of blocks, pairs across components that share a table are confirmed on the spot, links that
+   follow from earlier ones are skipped, and only links that join components leave the task.
 
 Defined cases: a null, empty or blank text has the empty set and is linked with nothing; a text of fewer
 than five words has its whole sequence as one shingle; rows of one id are one document for links; a null
@@ -36,7 +36,7 @@ from .textblocks import BLANK_SPLIT, U64, Words, mix, shingles, slices
 SHINGLE = 5
 PERCENT = 75
 SIDE = 16
-BLOCK = 1024
+BLOCK = 512
 #: Of 2 * SIDE bands, a pair at the threshold shares 18 on average (deviation 2.8): fewer than this has a chance of about 1e-6.
 LEAST_BANDS = 6
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 2**63, 4 * SIDE, dtype=np.uint64) * U64(2) + U64(1)
@@ -78,68 +78,89 @@ def sketch(documents: DataFrame, doc_id: str, text: str, shard_bytes: int = 4 <<
     )
 
 
-def _confirm(pairs: DataFrame, wanted: DataFrame, scratch: Scratch, shard_bytes: int = 4 << 20) -> DataFrame:
-    """Of candidate (a, b), those whose sets reach the threshold. `wanted`: (id, text) of the classes named."""
+def _sets_of(texts: DataFrame, ids: DataFrame, shard_bytes: int = 4 << 20) -> DataFrame:
+    """(id, items) of the classes named: the sorted set as bytes."""
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", shard_bytes):
             values, bounds = _sets(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "items": pa.array([values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())})
 
+    return texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, items binary")
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of candidate (a, b), those whose sets reach the threshold."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= PERCENT * (len(both) - common))
+            sets = ([np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(c)] for c in "xy")
+            keep = [_linked(x, y) for x, y in zip(*sets)]
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
 
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = scratch.put(wanted.join(ends, "id", "left_semi").mapInArrow(to_sets, "id long, items binary"))
+    sets = scratch.put(_sets_of(texts, ends))
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def _joins(labels: np.ndarray, ids: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Confirmed links between left and right that join different components; links already implied are skipped."""
+    parent = {int(x): int(x) for x in np.unique(labels)}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out, step = [], max(1, (1 << 22) // max(1, 2 * SIDE * len(right)))
+    for low in range(0, len(left), step):
+        part = left[low : low + step]
+        equal = bands[part][:, None, :] == bands[right][None, :, :]
+        near = equal[:, :, :SIDE].any(2) & equal[:, :, SIDE:].any(2) & (equal.sum(2) >= LEAST_BANDS)
+        near &= labels[part][:, None] != labels[right][None, :]
+        for x, y in zip(*(k.tolist() for k in np.nonzero(near))):
+            x, y = int(part[x]), int(right[y])
+            a, b = root(int(labels[x])), root(int(labels[y]))
+            if a != b and _linked(sets[x], sets[y]):
+                parent[max(a, b)] = min(a, b)
+                out.append((int(ids[x]), int(ids[y])))
+    return out
+
+
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= PERCENT * (len(both) - common)
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs across components within runs of one (key, block, block); rows come sorted by run."""
+    """Links across components within the runs of one pair of blocks; rows come sorted by run."""
     held: list[tuple] = []
 
-    def pairs(rows: list[tuple]) -> pa.RecordBatch | None:
-        run, i, j, side, ids, label, bands = (np.array(x) for x in zip(*rows))
-        i, j = int(i[0]), int(j[0])
-        left, right = (side == 0), (side == 1)
-        same = run[0][1] == run[0][2]
-        if same:
-            left = right = np.ones(len(ids), dtype=bool)
-        a, b = np.flatnonzero(left), np.flatnonzero(right)
-        out = []
-        for x in a:
-            y = b[(label[b] != label[x]) & ((ids[b] > ids[x]) if same else True)]
-            if not len(y):
-                continue
-            equal = bands[y] == bands[x]
-            first_i, first_j = equal[:, :SIDE].argmax(1), equal[:, SIDE:].argmax(1)
-            y = y[(first_i == i) & (first_j == j) & (equal.sum(1) >= LEAST_BANDS)]
-            out += [(ids[x], z) for z in ids[y]]
-        if not out:
-            return None
-        a, b = np.array(out).T
-        return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+    def settle() -> pa.RecordBatch:
+        run, side, ids, labels, bands, items = zip(*held)
+        side = np.array(side)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in items]
+        every = np.arange(len(held))
+        left, right = (every, every) if run[0][1] == run[0][2] else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        found = _joins(np.array(labels), np.array(ids), np.array(bands), sets, left, right)
+        a, b = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("key", "p", "q", "i", "j", "side", "id", "label", "bands")]
-        for key, p, q, i, j, side, id_, label, bands in zip(*columns):
-            run = (key, p, q)
-            if held and held[0][0] != run:
-                if (found := pairs(held)) is not None:
-                    yield found
-                held = []
-            held.append((run, i, j, side, id_, label, np.array(bands)))
-    if held and (found := pairs(held)) is not None:
-        yield found
+        columns = [batch.column(c).to_pylist() for c in ("c", "p", "q", "side", "id", "label", "bands", "items")]
+        for c, p, q, *row in zip(*columns):
+            if held and held[0][0] != (c, p, q):
+                yield settle()
+                held.clear()
+            held.append(((c, p, q), *row))
+    if held:
+        yield settle()
 
 
 def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,27 +185,27 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         "id", F.xxhash64("l.band", "r.band").alias("key"), F.col("l.n").cast("int").alias("i"), (F.col("r.n") - n_left).cast("int").alias("j")
     )
     leads = tables.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", "lead")
-    tables = scratch.put(tables.join(leads, "key"))
+    tables = scratch.put(tables.join(leads, "key").select("id", "lead").distinct())
 
     texts = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     nearest = scratch.put(tables.groupBy("id").agg(F.min("lead").alias("lead")).where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")))
     links = scratch.put(_confirm(nearest, texts, scratch))
     roots = scratch.put(components(links, scratch))
 
-    # tables that still hold several components
-    labelled = tables.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "i", "j", "id", F.coalesce("root", "id").alias("label"))
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c")).where("low < high")
-    open_ = open_.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    rest = labelled.join(open_, "key").join(reps, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # classes that tables connect but links do not yet
+    met = scratch.put(components(tables.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")), scratch).select(F.col("node").alias("id"), F.col("root").alias("c")))
+    scratch.drop(tables, nearest)
+    labelled = scratch.put(met.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "c", F.coalesce("root", "id").alias("label")))
+    open_ = labelled.groupBy("c").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
+    open_ = open_.select("c", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rest = scratch.put(labelled.join(open_, "c").join(reps, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    rest = rest.join(_sets_of(texts, rest.select("id")), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select(
-        "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "i", "j", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
-        "id", "label", "bands",
+        "c", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
+        "id", "label", "bands", "items",
     )
-    rest = rest.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    more = scratch.put(rest.mapInArrow(_across, "a long, b long").distinct())
-    found = scratch.put(_confirm(more, texts, scratch))
-    scratch.drop(tables, nearest, more)
+    rest = rest.repartition("c", "p", "q").sortWithinPartitions("c", "p", "q")
+    found = scratch.put(rest.mapInArrow(_across, "a long, b long"))
     roots = scratch.put(components(links.union(found), scratch))
 
     of_class = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"))
