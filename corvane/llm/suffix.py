@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .decontam import sort_suffixes
-from .routing import ROUTED_DDL, block_number, blocks_of, by_part, pack, routed, unpack
+from .routing import ROUTED_DDL, block_number, blocks_of, by_part, from_planes, pack, planes, routed, unpack
 from .textblocks import U64, _span_hashes, expand, join_texts, mix
 
 WIDTH = 50
@@ -223,7 +223,7 @@ def _anchors(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray,
         closed = inside & np.append(opens[1:] | ~inside[1:], True)
         count = np.flatnonzero(closed) - opened + 1
         at = place[opened]
-        yield np.searchsorted(starts, at, side="right") - 1, at, count, h[opened]
+        yield np.searchsorted(starts, at, side="right") - 1, at, count, h[opened] >> U64(16)
 
 
 class Block:
@@ -268,7 +268,7 @@ def _send_anchors(n_parts: int):
         distinct, docs = np.unique(anchor[pair], return_counts=True)
         number, rows = block_number(table), []
         for part, own in by_part((mix(distinct) % U64(n_parts)).astype(np.int64)):
-            rows.append((part, number, ANCHORS, pack(anchor=distinct[own], docs=docs[own].astype(np.uint32))))
+            rows.append((part, number, ANCHORS, pack(anchor=planes(distinct[own], 6), docs=docs[own].astype(np.uint32))))
         return routed(rows)
 
     return run
@@ -276,7 +276,7 @@ def _send_anchors(n_parts: int):
 
 def _answer_anchors(table: pa.Table) -> pa.Table:
     """Which anchors of each block occur in two documents, and which in very many."""
-    blobs = [unpack(b, "<u8", "<u4") for b in table.column("blob").to_pylist()]
+    blobs = [(from_planes(a, 6), docs) for a, docs in (unpack(b, "u1", "<u4") for b in table.column("blob").to_pylist())]
     every = np.concatenate([b[0] for b in blobs])
     distinct, inverse = np.unique(every, return_inverse=True)
     docs = np.bincount(inverse, weights=np.concatenate([b[1] for b in blobs])).astype(np.int64)
@@ -285,15 +285,15 @@ def _answer_anchors(table: pa.Table) -> pa.Table:
         total = docs[inverse[at : at + len(anchor)]]
         at += len(anchor)
         if (total > 1).any():
-            rows.append((0, number, ANCHORS, pack(anchor=anchor[total > 1], hot=(total[total > 1] > HOT).astype(np.uint8))))
+            rows.append((0, number, ANCHORS, pack(anchor=planes(anchor[total > 1], 6), hot=(total[total > 1] > HOT).astype(np.uint8))))
     return routed(rows)
 
 
 def _repeated(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    own = [unpack(b, "<u8", "u1") for k, b in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()) if k == ANCHORS]
+    own = [unpack(b, "u1", "u1") for k, b in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()) if k == ANCHORS]
     if not own:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
-    anchor, hot = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own]).astype(bool)
+    anchor, hot = np.concatenate([from_planes(x[0], 6) for x in own]), np.concatenate([x[1] for x in own]).astype(bool)
     order = np.argsort(anchor)
     return anchor[order], hot[order]
 
@@ -317,7 +317,7 @@ def _send_segments(n_parts: int):
         for part, own in by_part((shard[rep] % U64(n_parts)).astype(np.int64)):
             length = count[rep[own]] + WIDTH - 1
             strings = block.data[expand(first[rep[own]], length)]
-            rows.append((part, number, SEGMENTS, pack(key=key[rep[own]], windows=count[rep[own]].astype(np.uint32), low=low[own], high=high[own], strings=strings)))
+            rows.append((part, number, SEGMENTS, pack(windows=count[rep[own]].astype(np.uint32), low=planes(low[own]), more=planes(high[own] - low[own]), strings=strings)))
         return routed(rows)
 
     return run
@@ -354,17 +354,19 @@ def _answer_segments(table: pa.Table) -> pa.Table:
         if kind == ANCHORS:
             rows.append((0, number, ANCHORS, blob))
         else:
-            entries.append((number, unpack(blob, "<u8", "<u4", "<i8", "<i8", "u1")))
+            entries.append((number, unpack(blob, "<u4", "u1", "u1", "u1")))
     if not entries:
         return routed(rows)
-    key, windows, low, high, strings = (np.concatenate([e[1][k] for e in entries]) for k in range(5))
-    windows = windows.astype(np.int64)
+    windows = np.concatenate([e[1][0] for e in entries]).astype(np.int64)
+    low, more = (np.concatenate([from_planes(e[1][k]).view(np.int64) for e in entries]) for k in (1, 2))
+    high, strings = low + more, np.concatenate([e[1][3] for e in entries])
     number = np.repeat([e[0] for e in entries], [len(e[1][0]) for e in entries])
+    length = windows + WIDTH - 1
+    begins = np.cumsum(length) - length
+    key = _span_hashes(strings, begins, begins + length)
     distinct, pick, inverse = np.unique(key, return_index=True, return_inverse=True)
     least = np.full(len(distinct), NO_ID, dtype=np.int64)
     np.minimum.at(least, inverse, low)
-    length = windows + WIDTH - 1
-    begins = np.cumsum(length) - length
     ids = smallest_ids(strings[expand(begins[pick], length[pick])], windows[pick], least)
     first = np.cumsum(windows[pick]) - windows[pick]
     # runs of windows of an entry with one smaller id
@@ -381,7 +383,7 @@ def _answer_segments(table: pa.Table) -> pa.Table:
     run = np.diff(np.append(at, len(value)))
     entry, value, offset = entry[at], value[at], offset[at]
     for part, own in by_part(number[entry]):
-        rows.append((0, part, ANSWERS, pack(key=key[entry[own]], offset=offset[own].astype(np.uint32), run=run[own].astype(np.uint32), least=value[own])))
+        rows.append((0, part, ANSWERS, pack(key=key[entry[own]], offset=offset[own].astype(np.uint32), run=run[own].astype(np.uint32), least=planes(value[own]))))
     return routed(rows)
 
 
@@ -414,9 +416,10 @@ def _cut(kept: list[str], with_text: bool):
 def _removed(block: Block, answers: pa.Table) -> np.ndarray:
     """Which bytes of a block go."""
     gone = np.zeros(len(block.data) + 1, dtype=np.int32)
-    own = [unpack(b, "<u8", "<u4", "<u4", "<i8") for k, b in zip(answers.column("kind").to_pylist(), answers.column("blob").to_pylist()) if k == ANSWERS]
+    own = [unpack(b, "<u8", "<u4", "<u4", "u1") for k, b in zip(answers.column("kind").to_pylist(), answers.column("blob").to_pylist()) if k == ANSWERS]
     if own:
-        key, offset, run, least = (np.concatenate([x[k] for x in own]) for k in range(4))
+        key, offset, run = (np.concatenate([x[k] for x in own]) for k in range(3))
+        least = np.concatenate([from_planes(x[3]).view(np.int64) for x in own])
         order = np.argsort(key, kind="stable")
         key, offset, run, least = key[order], offset[order].astype(np.int64), run[order].astype(np.int64), least[order]
         text, first, _, _, mine = block.segments(*_repeated(answers))
@@ -435,7 +438,7 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     """Add to each document `n_bytes`, `n_removed`, `n_spans` (maximal removed runs), `kept_sha256`, and with
     `with_text` the remaining bytes as `kept` binary. Columns of those names are replaced."""
     added = T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
-    fields = [f for f in documents.schema.fields if f.name not in {*added.names, "kept"}]
+    fields = [f for f in documents.schema.fields if f.name not in {*added.names, "kept", text}]
     blocked, n_parts = blocks_of(documents, [f.name for f in fields], doc_id, text, block_bytes)
     grouped = blocked.groupBy("__block")
     anchors = grouped.applyInArrow(_send_anchors(n_parts), ROUTED_DDL).groupBy("to").applyInArrow(_answer_anchors, ROUTED_DDL)
