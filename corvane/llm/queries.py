@@ -15,7 +15,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .textblocks import crc_mod
 
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc_mod("doc_id", 5) == 1)
-    return lm.score(documents, ~F.col("held_out")).drop("text")
+    return lm.score(documents, ~F.col("held_out"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffix
 
-    return suffix.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return suffix.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
