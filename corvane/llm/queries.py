@@ -38,12 +38,31 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+    from .textblocks import crc_mod
+
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", crc_mod("doc_id", 3) == 1)
+    return langid.identify(documents, ~F.col("held_out"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+    from .textblocks import crc_mod
+
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(documents, _table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
+    return toxicity.score(documents.withColumn("held_out", crc_mod("doc_id", 4) == 2), model).drop("text")
+
+
 def queries() -> dict:
     return {
         "op2_lm_scoring": op2_lm_scoring,
         "op3_decontamination": op3_decontamination,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_near_duplicates": op5_near_duplicates,
+        "op6_language_id": op6_language_id,
+        "op8_toxicity": op8_toxicity,
     }
 
 

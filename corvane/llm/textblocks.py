@@ -89,6 +89,7 @@ class Words:
         self.starts, self.ends = flips[0::2], flips[1::2]
         self.text = np.searchsorted(self.text_starts, self.starts, side="right") - 1
         self.n_texts = len(texts)
+        self.data = data
         self.hashes = _span_hashes(data, self.starts, self.ends)
         self.counts = np.bincount(self.text, minlength=self.n_texts).astype(np.int64)
         self.bounds = np.concatenate([[0], np.cumsum(self.counts)])
