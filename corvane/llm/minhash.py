@@ -86,10 +86,11 @@ def _sets_of(texts: DataFrame, ids: DataFrame, shard_bytes: int = 4 << 20) -> Da
             values, bounds = _sets(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "items": pa.array([values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())})
 
-    return texts.join(ids, "id", "left_semi").mapInArrow(run, "id long, items binary")
+    # the ids grow with the corpus, so they are never broadcast
+    return texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(run, "id long, items binary")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of candidate (a, b), those whose sets reach the threshold."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,8 +99,6 @@ def _confirm(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
             keep = [_linked(x, y) for x, y in zip(*sets)]
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
 
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = scratch.put(_sets_of(texts, ends))
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
@@ -189,7 +188,8 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
 
     texts = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     nearest = scratch.put(tables.groupBy("id").agg(F.min("lead").alias("lead")).where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")))
-    links = scratch.put(_confirm(nearest, texts, scratch))
+    sets = scratch.put(_sets_of(texts, tables.select("id").distinct()))
+    links = scratch.put(_confirm(nearest, sets))
     roots = scratch.put(components(links, scratch))
 
     # classes that tables connect but links do not yet
@@ -199,7 +199,7 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     open_ = labelled.groupBy("c").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
     open_ = open_.select("c", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rest = scratch.put(labelled.join(open_, "c").join(reps, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    rest = rest.join(_sets_of(texts, rest.select("id")), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select(
         "c", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
         "id", "label", "bands", "items",
