@@ -46,6 +46,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents, ~F.col("held_out"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text", "source")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
     from .textblocks import crc_mod
@@ -55,6 +61,19 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents.withColumn("held_out", crc_mod("doc_id", 4) == 2), model).drop("text")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import imatch
+
+    return imatch.with_fingerprints(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import urlfilter
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, urlfilter.labelled_by_rules(pages)).drop("url")
+
+
 def queries() -> dict:
     return {
         "op2_lm_scoring": op2_lm_scoring,
@@ -62,9 +81,14 @@ def queries() -> dict:
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_near_duplicates": op5_near_duplicates,
         "op6_language_id": op6_language_id,
+        "op7_mixing": op7_mixing,
         "op8_toxicity": op8_toxicity,
+        "op9_fingerprints": op9_fingerprints,
+        "op10_url_filter": op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import mixing
+
+    return {"op7_mixing": mixing.SQL}
