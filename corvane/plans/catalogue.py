@@ -21,7 +21,10 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    pass
+    from importlib import import_module
+
+    for name in ("detector", "manifests", "corpus", "signals"):
+        import_module(f"{__package__}.{name}")
 
 
 def queries() -> dict[str, Callable]:
