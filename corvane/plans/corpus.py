@@ -1,0 +1,178 @@
+"""Corpus queries: sources, durations, logs and transcripts.
+
+Documents stand for clips, with their length in characters as duration; turns of conversations stand for log
+lines, `conv.turn.wav "role" "text"`, blanks for line ends.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import audit
+from ..sources import logs
+from .catalogue import query
+
+
+def documents(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "n_chars")
+
+
+@query("source_audit", "SELECT source, count(*) AS clips, count(DISTINCT lang) AS langs, sum(n_chars)::BIGINT AS total, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS share FROM documents GROUP BY source")
+def source_audit(spark, sf_dir):
+    return audit.by_source(documents(spark, sf_dir), "source", "lang", "n_chars")
+
+
+@query("inventory_extremes", "WITH g AS (SELECT source, count(*) AS clips, sum(n_chars)::BIGINT AS total FROM documents GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY total, source) AS a, row_number() OVER (ORDER BY total DESC, source) AS b FROM g) SELECT 'fewest' AS side, a AS place, source, clips, total FROM r WHERE a <= 5 UNION ALL SELECT 'most', b, source, clips, total FROM r WHERE b <= 5")
+def inventory_extremes(spark, sf_dir):
+    return audit.extremes(documents(spark, sf_dir), "source", "n_chars", 5)
+
+
+_BUCKET = "CASE WHEN n_chars < 500 THEN 'under 500' WHEN n_chars < 1500 THEN '500 to 1500' WHEN n_chars < 5000 THEN '1500 to 5000' ELSE 'from 5000' END"
+
+
+@query("duration_buckets", f"SELECT lang, {_BUCKET} AS bucket, count(*) AS clips FROM documents GROUP BY 1, 2")
+def duration_buckets(spark, sf_dir):
+    bucket = tx.duration_bucket(F.col("n_chars"), (500, 1500, 5000), ("under 500", "500 to 1500", "1500 to 5000", "from 5000"))
+    return documents(spark, sf_dir).groupBy("lang", bucket.alias("bucket")).agg(F.count("*").alias("clips"))
+
+
+@query("duration_rollup", "SELECT source, count(*) AS clips, round(sum(n_chars)::DOUBLE / count(*), 6) AS mean, min(n_chars) AS shortest, max(n_chars) AS longest, round(100.0::DOUBLE * count(*) FILTER (n_chars < 500) / count(*), 6) AS short_share FROM documents GROUP BY ROLLUP (source)")
+def duration_rollup(spark, sf_dir):
+    rows = documents(spark, sf_dir).rollup("source")
+    return rows.agg(
+        F.count("*").alias("clips"), F.round(F.sum("n_chars") / F.count("*"), 6).alias("mean"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"),
+        F.round(F.lit(100.0) * F.count_if(F.col("n_chars") < 500) / F.count("*"), 6).alias("short_share"),
+    )
+
+
+@query("level_spread", "WITH g AS (SELECT source, sum(n_chars)::DOUBLE / count(*) AS mean FROM documents GROUP BY 1) SELECT count(*) AS sources, round(stddev_pop(mean), 4) AS spread, stddev_pop(mean) < 0.5 AS ok FROM g")
+def level_spread(spark, sf_dir):
+    """Population deviation of the sources' means."""
+    means = documents(spark, sf_dir).groupBy("source").agg((F.sum("n_chars") / F.count("*")).alias("mean"))
+    return means.agg(F.count("*").alias("sources"), F.round(F.stddev_pop("mean"), 4).alias("spread"), (F.stddev_pop("mean") < 0.5).alias("ok"))
+
+
+@query("silence_stats", "SELECT lang, round(sum(n_chars)::DOUBLE / count(*), 6) AS mean, median(n_chars)::DOUBLE AS middle, min(n_chars) AS least, max(n_chars) AS most, round(stddev_pop(n_chars), 4) AS deviation, count(*) FILTER (n_chars < 50) AS below FROM documents GROUP BY 1")
+def silence_stats(spark, sf_dir):
+    n = F.col("n_chars")
+    return documents(spark, sf_dir).groupBy("lang").agg(
+        F.round(F.sum(n) / F.count("*"), 6).alias("mean"), F.median(n).alias("middle"), F.min(n).alias("least"), F.max(n).alias("most"),
+        F.round(F.stddev_pop(n), 4).alias("deviation"), F.count_if(n < 50).alias("below"),
+    )
+
+
+_X = "x AS (SELECT d.lang AS value, l.quality AS y, count(*) AS n FROM documents d JOIN labels l USING (doc_id) GROUP BY 1, 2), c AS (SELECT value, coalesce(sum(n) FILTER (y = 0), 0)::BIGINT AS class_0, coalesce(sum(n) FILTER (y = 1), 0)::BIGINT AS class_1 FROM x GROUP BY 1)"
+
+
+@query("provenance_crosstab", f"WITH {_X} SELECT value, class_0, class_1, (SELECT count(*) FROM c) > 1 AND greatest(class_0, class_1)::DOUBLE / (class_0 + class_1) > 0.95 AS lopsided FROM c")
+def provenance_crosstab(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return audit.crosstab(documents(spark, sf_dir).join(labels, "doc_id"), "lang", "quality")
+
+
+def log_table(spark, sf_dir) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    flat = F.regexp_replace("text", r"\s", " ")
+    return c.select("conv_id", "turn", F.concat(F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"), F.lit('.wav "'), "role", F.lit('" "'), flat, F.lit('"')).alias("value"))
+
+
+_G = r"""g AS (SELECT conv_id, turn, conv_id || '.' || turn || '.wav "' || role || '" "' || regexp_replace(text, '\s', ' ', 'g') || '"' AS value FROM conversations),
+  u AS (SELECT conv_id, turn, regexp_extract(value, '^(\S+\.wav)\s+"([^"]*)"\s+(.*)$', 1) AS file, regexp_extract(value, '^(\S+\.wav)\s+"([^"]*)"\s+(.*)$', 2) AS source, regexp_extract(value, '^(\S+\.wav)\s+"([^"]*)"\s+(.*)$', 3) AS text
+    FROM g WHERE regexp_matches(value, '^(\S+\.wav)\s+"([^"]*)"\s+(.*)$') AND NOT (contains(value, '=') AND NOT starts_with(value, '"')))"""
+
+
+def utterances(spark, sf_dir) -> DataFrame:
+    u = logs.utterances(F.col("value"))
+    return log_table(spark, sf_dir).select("conv_id", "turn", u.alias("u")).where("u is not null").select("conv_id", "turn", "u.*")
+
+
+@query("log_lines", f"WITH {_G} SELECT conv_id, turn, file, source, md5(text) AS text_md5 FROM u")
+def log_lines(spark, sf_dir):
+    return utterances(spark, sf_dir).select("conv_id", "turn", "file", "source", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+_CL = r"""q AS (SELECT *, CASE WHEN length(text) >= 2 AND starts_with(text, '"') AND ends_with(text, '"') THEN substr(text, 2, length(text) - 2) ELSE text END AS t1 FROM u),
+  cl AS (SELECT *, trim(regexp_replace(regexp_replace(t1, '\s*\([^)]*\)', '', 'g'), '\s+', ' ', 'g')) AS cleaned FROM q)"""
+
+
+@query("transcript_clean", f"WITH {_G}, {_CL} SELECT conv_id, turn, md5(cleaned) AS cleaned_md5, length(cleaned) AS length FROM cl WHERE source = 'user' AND NOT regexp_matches(cleaned, '[0-9]')")
+def transcript_clean(spark, sf_dir):
+    """Cleaned user turns; those with digits are left to the number queries."""
+    cleaned = tx.clean(F.col("text"))
+    rows = utterances(spark, sf_dir).where("source = 'user'").withColumn("cleaned", cleaned).where(~F.col("text").rlike("[0-9]") | ~F.col("cleaned").rlike("[0-9]"))
+    plain = tx.collapse_blanks(tx.strip_parentheses(tx.strip_outer_quotes(F.col("text"))))
+    rows = rows.where(~plain.rlike("[0-9]"))
+    return rows.select("conv_id", "turn", F.md5(F.col("cleaned").cast("binary")).alias("cleaned_md5"), F.char_length("cleaned").cast("long").alias("length"))
+
+
+_REASON = "CASE WHEN starts_with(source, 'sys') THEN 'excluded source' WHEN source = 'assistant' THEN 'digit mode' WHEN cleaned = '' THEN 'empty' ELSE 'kept' END"
+
+
+@query("transcript_reasons", f"WITH {_G}, {_CL} SELECT {_REASON} AS reason, count(*) AS lines FROM cl GROUP BY 1")
+def transcript_reasons(spark, sf_dir):
+    """Why lines are left out, the first reason that holds."""
+    cleaned = tx.collapse_blanks(tx.strip_parentheses(tx.strip_outer_quotes(F.col("text"))))
+    reason = F.when(tx.excluded_source(F.col("source"), ("sys",)), "excluded source").when(F.col("source") == "assistant", "digit mode").when(cleaned == "", "empty").otherwise("kept")
+    return utterances(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("lines"))
+
+
+@query("find_numbers", r"SELECT doc_id, array_to_string(regexp_extract_all(text, '\d+'), ',') AS numbers FROM documents WHERE regexp_matches(text, '\d')")
+def find_numbers(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("text").rlike(r"\d"))
+    return d.select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(r"(\d+)"), F.lit(1)), ",").alias("numbers"))
+
+
+@query("detect_numbers_explode", r"WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '\d+')) AS n, generate_subscripts(regexp_extract_all(text, '\d+'), 1) AS place FROM documents) SELECT doc_id, place::BIGINT AS place, n::INTEGER AS number FROM e WHERE length(n) <= 3 AND NOT starts_with(n, '0') AND n::BIGINT BETWEEN 10 AND 100")
+def detect_numbers_explode(spark, sf_dir):
+    """One row for each number of the word map in a text, with its place among the text's numbers."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = d.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\d+)"), F.lit(1))).alias("place", "n"))
+    known = [str(n) for n in tx.number_words()]
+    return rows.where(F.col("n").isin(known)).select("doc_id", (F.col("place") + 1).cast("long").alias("place"), F.col("n").cast("int").alias("number"))
+
+
+@query("char_stats", "WITH g AS (SELECT conv_id, count(*) AS turns, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1) SELECT conv_id, turns, chars, round(chars::DOUBLE / turns, 6) AS mean FROM g ORDER BY chars DESC, conv_id LIMIT 10")
+def char_stats(spark, sf_dir):
+    """The ten logs with most characters."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.char_length("text")).alias("chars"))
+    return c.withColumn("mean", F.round(F.col("chars") / F.col("turns"), 6)).orderBy(F.desc("chars"), "conv_id").limit(10)
+
+
+_T = "SELECT conv_id, turn FROM conversations WHERE role = 'user'"
+
+
+@query("missing_generation", f"WITH t AS ({_T}), o AS (SELECT conv_id, turn - 1 AS turn FROM conversations WHERE role = 'assistant'), f AS (SELECT conv_id, turn FROM t WHERE turn = 0) SELECT conv_id, turn FROM t WHERE (conv_id, turn) NOT IN (SELECT conv_id, turn FROM o) AND (conv_id, turn) NOT IN (SELECT conv_id, turn FROM f) AND conv_id IN (SELECT conv_id FROM o)")
+def missing_generation(spark, sf_dir):
+    """User turns without an answer, less the first turns, in conversations that have an answer at all."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role")
+    done = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"))
+    asked = c.where("role = 'user'").select("conv_id", "turn")
+    return audit.missing(asked, done, asked.where("turn = 0"), ["conv_id", "turn"], "conv_id")
+
+
+@query("worklist", "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3')) SELECT doc_id, source FROM r WHERE rn <= 20 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+def worklist(spark, sf_dir):
+    """The first twenty of each chosen source, less those that are done."""
+    chosen = documents(spark, sf_dir).where(F.col("source").isin("src0", "src1", "src2", "src3")).select("doc_id", "source")
+    done = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id")
+    return audit.worklist(chosen, done, "source", "doc_id", 20)
+
+
+@query("leak_crosscheck", "SELECT source, count(*) AS leaked FROM documents WHERE starts_with(source, 'src1') AND doc_id IN (SELECT doc_id FROM labels) GROUP BY 1")
+def leak_crosscheck(spark, sf_dir):
+    """Rows of excluded sources among what was processed."""
+    bad = documents(spark, sf_dir).where(tx.excluded_source(F.col("source"), ("src1",)))
+    return bad.join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id"), "doc_id", "left_semi").groupBy("source").agg(F.count("*").alias("leaked"))
+
+
+_CFG = "a AS (SELECT * FROM (VALUES ('batch', '4'), ('model.dim', '128'), ('seed', '42'), ('test.files', '[''a'', ''b'']')) t(key, left_value)), b AS (SELECT * FROM (VALUES ('batch', '8'), ('model.dim', '128'), ('model.drop', '0.1'), ('test.files', '[''a'', ''c'']')) t(key, right_value))"
+
+
+@query("config_diff", f"WITH {_CFG} SELECT key, coalesce(left_value, '<absent>') AS left_value, coalesce(right_value, '<absent>') AS right_value, starts_with(key, 'test') OR starts_with(key, 'batch') AS allowed FROM a FULL JOIN b USING (key) WHERE left_value IS DISTINCT FROM right_value")
+def config_diff(spark, sf_dir):
+    """What differs between two configurations, and whether it may."""
+    a = {"seed": 42, "batch": 4, "model": {"dim": 128}, "test": {"files": ["a", "b"]}}
+    b = {"batch": 8, "model": {"dim": 128, "drop": 0.1}, "test": {"files": ["a", "c"]}}
+    return audit.config_diff(spark, a, b, ("test", "batch"))
