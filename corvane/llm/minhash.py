@@ -9,8 +9,8 @@ pair at similarity 0.75 meets in no table with a chance of about 4e-6, and less
 Table keys are formed only from bands that some other class shares: a key with an unshared part
 can't be shared. Links are then found in two steps, none of which lists the pairs of a group:
 
-1. every class is compared with the smallest class that it meets in any table; confirmed links give
-   first components;
+1. every class is compared with the smallest class that it meets in any table; a confirmed link labels it
+   with that class;
 2. classes that tables connect, directly or by others, but links do not, are cut into blocks with their sets.
    In each pair of blocks, pairs across components that share a table are confirmed on the spot, links that
    follow from earlier ones are skipped, and only links that join components leave the task.
@@ -190,12 +190,12 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     nearest = scratch.put(tables.groupBy("id").agg(F.min("lead").alias("lead")).where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")))
     sets = scratch.put(_sets_of(texts, tables.select("id").distinct()))
     links = scratch.put(_confirm(nearest, sets))
-    roots = scratch.put(components(links, scratch))
 
     # classes that tables connect but links do not yet
     met = scratch.put(components(tables.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")), scratch).select(F.col("node").alias("id"), F.col("root").alias("c")))
     scratch.drop(tables, nearest)
-    labelled = scratch.put(met.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "c", F.coalesce("root", "id").alias("label")))
+    labelled = met.join(links.select(F.col("b").alias("id"), F.col("a").alias("root")), "id", "left")
+    labelled = scratch.put(labelled.select("id", "c", F.coalesce("root", "id").alias("label")))
     open_ = labelled.groupBy("c").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
     open_ = open_.select("c", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rest = scratch.put(labelled.join(open_, "c").join(reps, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
