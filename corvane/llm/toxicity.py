@@ -45,6 +45,16 @@ def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return sorted_sets(np.concatenate(text), mix(np.concatenate(values)) % U64(BUCKETS), words.n_texts)
 
 
+def _features_in_parts(texts: list[bytes], part: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many texts in little memory; buckets in 32 bits."""
+    values, sizes = [np.zeros(0, dtype=np.uint32)], [np.zeros(1, dtype=np.int64)]
+    for k in range(0, len(texts), part):
+        v, b = features(texts[k : k + part])
+        values.append(v.astype(np.uint32))
+        sizes.append(np.diff(b))
+    return np.concatenate(values), np.cumsum(np.concatenate(sizes))
+
+
 @dataclass
 class Model:
     """Weights by bucket, with a bias."""
@@ -66,18 +76,18 @@ def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, *, epochs:
     if not positive:
         return Model(np.zeros(BUCKETS, dtype=np.float32), base)
     rng = np.random.default_rng(seed)
-    pv, pb = features(positive)
-    uv, ub = features(unlabelled or [b""])
+    pv, pb = _features_in_parts(positive)
+    uv, ub = _features_in_parts(unlabelled or [b""])
     # buckets clearly more frequent among the positives; the rest stays at zero
     n_p, n_u = len(pb) - 1, len(ub) - 1
-    in_p, in_u = (np.bincount(x.astype(np.int64), minlength=BUCKETS) for x in (pv, uv))
+    in_p, in_u = (np.bincount(x, minlength=BUCKETS) for x in (pv, uv))
     expected = n_p * (in_u + 1) / n_u
     active = np.flatnonzero((in_p >= 3) & (in_p - expected > z * np.sqrt(expected)) & (in_p > 2 * expected))
     index = np.full(BUCKETS, -1, dtype=np.int64)
     index[active] = np.arange(len(active))
 
     def narrow(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = index[values.astype(np.int64)]
+        at = index[values]
         kept = np.concatenate([[0], np.cumsum(at >= 0)])
         return at[at >= 0], kept[bounds]
 
@@ -120,7 +130,7 @@ def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, *, epochs:
     return Model(weights, bias)
 
 
-def train(documents: DataFrame, labels: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", positive_rows: int = 5000, unlabelled_rows: int = 15000) -> Model:
+def train(documents: DataFrame, labels: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", positive_rows: int = 2500, unlabelled_rows: int = 6000) -> Model:
     """Learn from the rows of both tables where `learn`, an expression over the id, holds."""
     known = labels.where(learn & F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("__toxic"))
     n, n_toxic = known.agg(F.count("*"), F.sum((F.col("__toxic") == 1).cast("long"))).first()
