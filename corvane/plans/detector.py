@@ -87,23 +87,23 @@ def auc_trapezoid(spark, sf_dir):
     return det.descending_eer(det.shared_pool(scored(spark, sf_dir), "system"), ["system"]).select("system", F.round("auc", 6).alias("auc"))
 
 
-_CAL = f"""WITH {_E}, v AS (SELECT *, 1 AS g FROM e WHERE id % 2 = 0), {_eer('v', 'g', 'r')},
-  q AS (SELECT id, score, bona, system AS g FROM e WHERE NOT bona AND id % 2 = 1 UNION ALL
-    SELECT e.id, e.score, e.bona, s.system FROM e, (SELECT DISTINCT system FROM e WHERE NOT bona AND id % 2 = 1) s WHERE e.bona AND id % 2 = 1),
+_CAL = f"""WITH {_E}, v AS (SELECT *, 1 AS g FROM e WHERE system IN ('view', 'error')), {_eer('v', 'g', 'r')},
+  q AS (SELECT id, score, bona, system AS g FROM e WHERE NOT bona UNION ALL
+    SELECT e.id, e.score, e.bona, s.system FROM e, (SELECT DISTINCT system FROM e WHERE NOT bona) s WHERE e.bona),
   k AS (SELECT q.g AS system, r.threshold, count(*) FILTER (score >= threshold AND bona) AS tp, count(*) FILTER (score >= threshold AND NOT bona) AS fp,
     count(*) FILTER (score < threshold AND NOT bona) AS tn, count(*) FILTER (score < threshold AND bona) AS fn FROM q, r GROUP BY ALL)"""
 
 
 def _calibrated(spark, sf_dir) -> DataFrame:
     rows = scored(spark, sf_dir)
-    threshold = det.eer(rows.where("id % 2 = 0"), []).select("threshold")
-    test = det.shared_pool(rows.where("id % 2 = 1"), "system").crossJoin(F.broadcast(threshold))
+    threshold = det.eer(rows.where("system in ('view', 'error')"), []).select("threshold")
+    test = det.shared_pool(rows, "system").crossJoin(F.broadcast(threshold))
     return det.confusion(test, ["system", "threshold"], F.col("threshold"))
 
 
 @query("confusion_at_calibrated", f"{_CAL} SELECT system, threshold, tp, fp, tn, fn FROM k")
 def confusion_at_calibrated(spark, sf_dir):
-    """Even ids calibrate the threshold, odd ids are judged by it."""
+    """System `error` calibrates the threshold, every system is judged by it."""
     return _calibrated(spark, sf_dir)
 
 

@@ -1,0 +1,106 @@
+"""Vector, audio, probe and stream queries. Vectors are `embeddings`, labels stand for speakers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import audio
+from ..operators import det, probe, vectors
+from ..streaming import counts
+from .catalogue import query
+
+
+def vecs(spark, sf_dir) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+
+
+_V = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS vector FROM embeddings)"
+_UNIT = "(CASE WHEN sqrt(list_dot_product({0}, {0})) > 0 THEN list_transform({0}, lambda x: x / sqrt(list_dot_product({0}, {0}))) ELSE {0} END)"
+_CENT = f"{_V}, cd AS (SELECT label, d, avg(vector[d]) AS m FROM v, (SELECT unnest(range(1, 65)) AS d) GROUP BY 1, 2), ce AS (SELECT label, list(m ORDER BY d) AS c FROM cd GROUP BY 1)"
+
+
+@query("centroid", f"WITH {_CENT} SELECT label, d::BIGINT AS dimension, round(m, 6) AS mean FROM cd")
+def centroid(spark, sf_dir):
+    means = vectors.mean_vector(vecs(spark, sf_dir), ["label"], "vector")
+    return means.select("label", F.posexplode("mean").alias("d", "mean")).select("label", (F.col("d") + 1).cast("long").alias("dimension"), F.round("mean", 6).alias("mean"))
+
+
+_RANK = f"""{_CENT}, mu AS (SELECT list(m ORDER BY d) AS mu FROM (SELECT d, avg(c[d]) AS m FROM ce, (SELECT unnest(range(1, 65)) AS d) GROUP BY 1)),
+  gc AS (SELECT label, list_transform(list_zip(c, mu), lambda z: z[1] - z[2]) AS c FROM ce, mu), gal AS (SELECT label, {_UNIT.format('c')} AS g FROM gc),
+  pc AS (SELECT vec_id, label, list_transform(list_zip(vector, mu), lambda z: z[1] - z[2]) AS c FROM v, mu), pr AS (SELECT vec_id AS probe, label, {_UNIT.format('c')} AS p FROM pc),
+  rk AS (SELECT probe, pr.label AS own, gal.label AS member, round(list_dot_product(p, g), 9) AS sim FROM pr, gal), rr AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY sim DESC, member) AS rank FROM rk)"""
+
+
+def _ranks(spark, sf_dir) -> DataFrame:
+    rows = vecs(spark, sf_dir)
+    means = vectors.mean_vector(rows, ["label"], "vector").withColumnRenamed("mean", "vector")
+    middle = vectors.mean_vector(means, [], "vector")
+    shift = lambda x: x.crossJoin(F.broadcast(middle)).withColumn("vector", vectors.unit(F.zip_with("vector", "mean", lambda a, m: a - m))).drop("mean")
+    probes = shift(rows).select(F.col("vec_id").alias("probe"), F.col("label").alias("own"), "vector")
+    ranked = vectors.gallery_ranks(probes.select("probe", "vector"), shift(means))
+    return ranked.join(probes.select("probe", "own"), "probe")
+
+
+@query("centred_rank", f"WITH {_RANK} SELECT probe, own, rank FROM rr WHERE member = own")
+def centred_rank(spark, sf_dir):
+    """Where each probe's own label ranks in the gallery of centred centroids."""
+    return _ranks(spark, sf_dir).where("member = own").select("probe", "own", "rank")
+
+
+@query("identity_probe", f"WITH {_RANK}, o AS (SELECT * FROM rr WHERE member = own) SELECT count(*) AS probes, median(rank)::DOUBLE AS median_rank, count(*) FILTER (rank <= 5) AS in_top_5, ((SELECT count(*) FROM gal) + 1) / 2.0::DOUBLE AS chance, median(rank) < ((SELECT count(*) FROM gal) + 1) / 2.0 AS better FROM o")
+def identity_probe(spark, sf_dir):
+    ranked = _ranks(spark, sf_dir)
+    size = ranked.agg(F.countDistinct("member").alias("n"))
+    out = ranked.where("member = own").agg(F.count("*").alias("probes"), F.median("rank").alias("median_rank"), F.count_if(F.col("rank") <= 5).alias("in_top_5"))
+    out = out.crossJoin(F.broadcast(size)).withColumn("chance", (F.col("n") + 1) / 2.0).drop("n")
+    return out.withColumn("better", F.col("median_rank") < F.col("chance"))
+
+
+@query("median_pairwise", f"WITH {_CENT}, u AS (SELECT label, {_UNIT.format('c')} AS x FROM ce) SELECT 'labels' AS pool, count(*) AS pairs, round(median(list_dot_product(a.x, b.x)), 6) AS median FROM u a JOIN u b ON a.label < b.label")
+def median_pairwise(spark, sf_dir):
+    """Of the labels' centroids."""
+    means = vectors.mean_vector(vecs(spark, sf_dir), ["label"], "vector")
+    rows = means.select(F.lit("labels").alias("pool"), "label", vectors.unit(F.col("mean")).alias("vector"))
+    return vectors.median_pairwise(rows, "pool", "label", "vector").withColumn("median", F.round("median", 6))
+
+
+@query("pearson_abs", f"WITH {_V}, p AS (SELECT a.vec_id, unnest(a.vector) AS x, unnest(b.vector) AS y FROM v a JOIN v b ON b.vec_id = a.vec_id + 1) SELECT vec_id, round(abs(corr(x, y)), 6) AS r FROM p GROUP BY 1")
+def pearson_abs(spark, sf_dir):
+    """Each vector against the next."""
+    rows = vecs(spark, sf_dir)
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vector").alias("next"))
+    return rows.join(after, "vec_id").select("vec_id", F.round(vectors.pearson_abs(F.col("vector"), F.col("next"), least=10), 6).alias("r"))
+
+
+@query("probe_logreg")
+def probe_logreg(spark, sf_dir):
+    """Error rate of a probe for document quality from length features."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"), "doc_id")
+    words = F.regexp_count("text", F.lit(r"\S+"))
+    d = d.select("doc_id", "quality", F.col("n_chars").cast("double").alias("chars"), words.cast("double").alias("words"), (F.col("n_chars") / F.greatest(words, F.lit(1))).alias("mean_word"), F.regexp_count("text", F.lit(r"\p{Lu}")).cast("double").alias("capitals"))
+    scored = probe.fit_probe(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), ["chars", "words", "mean_word", "capitals"], "quality")
+    rows = scored.select(F.col("doc_id").alias("id"), F.col("probability").alias("score"), (F.col("quality") == 1).alias("bona"))
+    return det.descending_eer(rows, []).withColumn("verdict", det.verdict(F.col("eer")))
+
+
+def _waves(spark, sf_dir) -> DataFrame:
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return audio.tones(s.select("s_suppkey", (200 + F.col("s_suppkey") % 40 * 100).cast("double").alias("hz"), (0.5 + F.col("s_nationkey") % 3 * 0.25).cast("double").alias("seconds")), "hz", "seconds")
+
+
+@query("audio_features")
+def audio_features(spark, sf_dir):
+    return audio.features(_waves(spark, sf_dir)).drop("mfcc")
+
+
+@query("normalise_chain")
+def normalise_chain(spark, sf_dir):
+    return audio.normalise(_waves(spark, sf_dir)).drop("content")
+
+
+@query("stream_counts", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_counts(spark, sf_dir):
+    """The stream's aggregation over the table as a batch."""
+    return counts.windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("start", F.col("start").cast("timestamp_ntz"))
