@@ -38,18 +38,18 @@ def swept(scored: DataFrame, groups: list[str], ascending: bool = True, slices:
     over = Window.partitionBy(*groups)
     earlier = over.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *[F.col(g).alias(f"__{g}") for g in groups], F.col("__slice").alias("__of"), F.coalesce(F.sum("__nb").over(earlier), F.lit(0)).alias("__b"),
-        F.coalesce(F.sum("__ns").over(earlier), F.lit(0)).alias("__s"), F.sum("__nb").over(over).alias("nb"), F.sum("__ns").over(over).alias("ns"),
+        *[F.col(g).alias(f"__{g}") for g in groups], F.col("__slice").alias("__of"), F.coalesce(F.sum("__nb").over(earlier), F.lit(0)).alias("__before_b"),
+        F.coalesce(F.sum("__ns").over(earlier), F.lit(0)).alias("__before_s"), F.sum("__nb").over(over).alias("nb"), F.sum("__ns").over(over).alias("ns"),
     )
     on = F.col("__slice") == F.col("__of")
     for g in groups:
         on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
     rows = rows.join(offsets, on)
     order = Window.partitionBy(*groups, "__slice").orderBy(F.asc("score") if ascending else F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    cb = F.sum(F.col("bona").cast("long")).over(order) + F.col("__b")
-    cs = F.sum((~F.col("bona")).cast("long")).over(order) + F.col("__s")
+    cb = F.sum(F.col("bona").cast("long")).over(order) + F.col("__before_b")
+    cs = F.sum((~F.col("bona")).cast("long")).over(order) + F.col("__before_s")
     rows = rows.withColumn("cb", cb).withColumn("cs", cs).withColumn("rn", F.col("cb") + F.col("cs"))
-    return rows.drop("__slice", "__of", "__b", "__s", *[f"__{g}" for g in groups])
+    return rows.drop("__slice", "__of", "__before_b", "__before_s", *[f"__{g}" for g in groups])
 
 
 def det_curve(scored: DataFrame, groups: list[str], **sweep) -> DataFrame:
