@@ -41,7 +41,7 @@ def swept(scored: DataFrame, groups: list[str], ascending: bool = True, slices:
         *[F.col(g).alias(f"__{g}") for g in groups], F.col("__slice").alias("__of"), F.coalesce(F.sum("__nb").over(earlier), F.lit(0)).alias("__before_b"),
         F.coalesce(F.sum("__ns").over(earlier), F.lit(0)).alias("__before_s"), F.sum("__nb").over(over).alias("nb"), F.sum("__ns").over(over).alias("ns"),
     )
-    on = F.col("__slice") == F.col("__of")
+    on = F.col("__slice").eqNullSafe(F.col("__of"))
     for g in groups:
         on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
     rows = rows.join(offsets, on)

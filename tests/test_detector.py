@@ -63,7 +63,7 @@ def test_derangement_is_a_bijection(spark):
 
 
 def test_quotas_give_leftovers_to_the_widest_bin():
-    assert splits.quotas({"a": 5, "b": 100, "c": 50}, {"a": 0.25, "b": 0.5, "c": 0.25}, 100) == {"a": 5, "b": 63, "c": 32}
+    assert splits.quotas({"a": 5, "b": 100, "c": 50}, {"a": 0.25, "b": 0.5, "c": 0.25}, 100) == {"a": 5, "b": 70, "c": 25}
 
 
 def test_paired_difference_keeps_null_replicates_in_the_share(spark):
