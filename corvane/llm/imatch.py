@@ -6,7 +6,7 @@ terms than (mean distinct terms of a document) / `low` can reach the lower bound
 so the lexicon is small enough to broadcast as a table of marks addressed by hash: `SLOTS` bytes, in which
 two terms share a mark with a chance of lexicon / SLOTS.
 
-The lexicon is cut at random, by the md5 of the term, into subsets at several rates; each subset's terms in a
+The lexicon is cut at random, by a hash of the term, into subsets at several rates; each subset's terms in a
 text are sorted, distinct and hashed. A fingerprint is the list of these hashes, empty where a text has no
 term of the subset. The likeness of two fingerprints is the share of equal hashes among the subsets that are
 not empty in both; 1 if all are empty in both.
@@ -56,18 +56,20 @@ def marks_of(slots: DataFrame) -> bytearray:
 def fingerprint(text: Column, marks: bytearray) -> Column:
     """The hashes of all lexicon subsets, an array of texts, empty where a text has no term of the subset."""
     held = F.filter(terms_of(text), lambda t: F.substring(F.lit(bytes(marks)), _slot(t) + 1, F.lit(1)) == F.lit(b"\x01"))
-    digest = F.transform(F.array_sort(held), lambda t: F.struct(t.alias("t"), F.md5(t.cast("binary")).alias("h")))
+    marked = F.transform(F.array_sort(held), lambda t: F.struct(t.alias("t"), F.xxhash64(t).alias("h")))
 
-    def part(h: Column, k: int, n: int) -> Column:
-        return (F.conv(F.substring(h, 1 + 4 * k, 4), 16, 10).cast("int") % n).alias(f"s{k}")
+    def hashed(marked: Column) -> Column:
+        return F.concat(*[F.transform(F.array(at_rate(marked, k, n)), of_rate)[0] for k, n in enumerate(RATES)])
 
-    marked = F.transform(digest, lambda x: F.struct(x["t"].alias("t"), *[part(x["h"], k, n) for k, n in enumerate(RATES)]))
+    def at_rate(marked: Column, k: int, n: int) -> Column:
+        part = F.transform(marked, lambda x: F.struct(x["t"].alias("t"), F.shiftrightunsigned(x["h"], 12 * k).bitwiseAND(F.lit(n - 1).cast("long")).cast("int").alias("s")))
+        return F.filter(part, lambda x: x["s"] < SUBSETS)
 
-    def hashed(marked: Column) -> Column:
-        return F.array(*[one_of(marked, k, j) for k in range(len(RATES)) for j in range(SUBSETS)])
+    def of_rate(few: Column) -> Column:
+        return F.array(*[one_of(few, j) for j in range(SUBSETS)])
 
-    def one_of(marked: Column, k: int, j: int) -> Column:
-        own = F.transform(F.filter(marked, lambda x: x[f"s{k}"] == j), lambda x: x["t"])
+    def one_of(few: Column, j: int) -> Column:
+        own = F.transform(F.filter(few, lambda x: x["s"] == j), lambda x: x["t"])
         return F.when(F.size(own) > 0, F.substring(F.md5(F.array_join(own, " ").cast("binary")), 1, 8)).otherwise(F.lit(""))
 
     # a lambda over a one-element array binds the marked terms once
