@@ -96,6 +96,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing
+    from .oracles import BY_QUERY
 
-    return {"op7_mixing": mixing.SQL}
+    return dict(BY_QUERY)
