@@ -1,4 +1,4 @@
-"""Every registered query that has SQL is held against DuckDB on the smallest tables."""
+"""Every registered query that has SQL is held against DuckDB on the tables of sf0.01."""
 
 import glob
 import os
@@ -8,7 +8,7 @@ import pytest
 
 from corvane.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 NAMES = sorted(catalogue.oracle_sql())
 
