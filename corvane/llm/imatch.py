@@ -8,8 +8,9 @@ two terms share a mark with a chance of lexicon / SLOTS.
 
 The lexicon is cut at random, by a hash of the term, into subsets at several rates; each subset's terms in a
 text are sorted, distinct and hashed. A fingerprint is the list of these hashes, empty where a text has no
-term of the subset. The likeness of two fingerprints is the share of equal hashes among the subsets that are
-not empty in both; 1 if all are empty in both.
+term of the subset, and last the hash of the whole band: of all lexicon terms of the text, or of all its terms
+where none is in the lexicon. The likeness of two fingerprints is the share of equal hashes among those that
+are not empty in both; 1 if all are empty in both, which only texts without a term are.
 
 Only SQL functions run, in the JVM. The next document is found by numbering bounded ranges of ids.
 
@@ -54,12 +55,17 @@ def marks_of(slots: DataFrame) -> bytearray:
 
 
 def fingerprint(text: Column, marks: bytearray) -> Column:
-    """The hashes of all lexicon subsets, an array of texts, empty where a text has no term of the subset."""
-    held = F.filter(terms_of(text), lambda t: F.substring(F.lit(bytes(marks)), _slot(t) + 1, F.lit(1)) == F.lit(b"\x01"))
+    """The hashes of all lexicon subsets, an array of texts, empty where a text has no term of the subset; last that of the whole band."""
+    terms = terms_of(text)
+    held = F.filter(terms, lambda t: F.substring(F.lit(bytes(marks)), _slot(t) + 1, F.lit(1)) == F.lit(b"\x01"))
     marked = F.transform(F.array_sort(held), lambda t: F.struct(t.alias("t"), F.xxhash64(t).alias("h")))
 
     def hashed(marked: Column) -> Column:
-        return F.concat(*[F.transform(F.array(at_rate(marked, k, n)), of_rate)[0] for k, n in enumerate(RATES)])
+        return F.concat(*[F.transform(F.array(at_rate(marked, k, n)), of_rate)[0] for k, n in enumerate(RATES)], F.array(whole(marked)))
+
+    def whole(marked: Column) -> Column:
+        own = F.when(F.size(marked) > 0, F.transform(marked, lambda x: x["t"])).otherwise(F.array_sort(terms))
+        return F.when(F.size(own) > 0, F.substring(F.md5(F.array_join(own, " ").cast("binary")), 1, 16)).otherwise(F.lit(""))
 
     def at_rate(marked: Column, k: int, n: int) -> Column:
         part = F.transform(marked, lambda x: F.struct(x["t"].alias("t"), F.shiftrightunsigned(x["h"], 12 * k).bitwiseAND(F.lit(n - 1).cast("long")).cast("int").alias("s")))

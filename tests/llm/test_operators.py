@@ -298,6 +298,15 @@ def test_fingerprints(docs, empty):
     assert imatch.with_fingerprints(empty).count() == 0
 
 
+def test_fingerprints_of_texts_without_lexicon_terms_differ(spark):
+    texts = ["only here", "words apart", "HERE only", "", None, "common one", "common two", "common three"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["id"]: r for r in imatch.with_fingerprints(frame, low=0.3, high=1.0).collect()}
+    prints = [got[k]["fingerprint"] for k in range(8)]
+    assert len({prints[k] for k in (0, 1, 3, 5)}) == 4 and prints[0] == prints[2] and prints[3] == prints[4]
+    assert got[0]["near_next"] < 1 and got[1]["near_next"] < 1 and got[3]["near_next"] == 1 == got[5]["near_next"]
+
+
 def test_url_rules(spark):
     urls = ["http://A.org/x", "https://example.org/es/1", "http://sub.example.org/en/12?q", "http://a.com/fr/", "http://notcom/de/", "http://x.com/de/#f", None, "no scheme", "http://a.org", "http://a.net/q/", "http://a.net/q/"]
     pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)], "page_id long, url string, host string")
