@@ -3,8 +3,9 @@
 A term is a word of the lower-cased text (ASCII letters lowered). Its document frequency is counted over all
 texts; the lexicon holds the terms in at least a `low` and at most a `high` share of the documents. No more
 terms than (mean distinct terms of a document) / `low` can reach the lower bound, whatever the corpus holds,
-so the lexicon is small enough to broadcast as a table of marks addressed by hash: `SLOTS` bytes, in which
-two terms share a mark with a chance of lexicon / SLOTS.
+so the lexicon is small enough to broadcast, as a table of its terms' 64-bit hashes: of two slots that a hash
+names, one holds it whole (cuckoo hashing). The table has 16 to 32 bytes for each term of the lexicon, and the
+band is that of the exact terms at every size.
 
 The lexicon is cut at random, by a hash of the term, into subsets at several rates; each subset's terms in a
 text are sorted, distinct and hashed. A fingerprint is the list of these hashes, empty where a text has no
@@ -23,7 +24,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLOTS = 1 << 20
 #: One in so many lexicon terms belongs to a subset; so many subsets of each rate.
 RATES = (32, 128, 512)
 SUBSETS = 8
@@ -35,29 +35,61 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(lowered, BLANKS)), lambda t: t != "")
 
 
-def _slot(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(SLOTS)).cast("int")
-
-
 def lexicon(texts: DataFrame, low: float, high: float) -> DataFrame:
-    """(slot) of the terms in the band."""
+    """(hash) of the terms in the band."""
     n = texts.count()
     df = texts.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return df.where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= high * n)).select(_slot(F.col("term")).alias("slot")).distinct()
+    return df.where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= high * n)).select(F.xxhash64("term").alias("hash")).distinct()
+
+
+def _slots_of(h: int, slots: int) -> tuple[int, int]:
+    return h & (slots - 1), (h >> 32) & (slots - 1)
+
+
+def marks_of(hashes: DataFrame) -> bytes:
+    """A cuckoo table of 8-byte slots, under half full; a free slot holds a number that names other slots."""
+    held = [h & (2**64 - 1) for (h,) in hashes.toLocalIterator()]
+    slots = 2
+    while slots < 2 * len(held) + 2:
+        slots *= 2
+    while (table := _cuckoo(held, slots)) is None:
+        slots *= 2
+    return b"".join((((k ^ 1) << 32 | k ^ 1) if (h := table.get(k)) is None else h).to_bytes(8, "big") for k in range(slots))
+
+
+def _cuckoo(hashes: list[int], slots: int) -> dict[int, int] | None:
+    """Slot to hash, each in one of its two; None if a hash finds no place."""
+    table: dict[int, int] = {}
+    for h in hashes:
+        at = _slots_of(h, slots)[0]
+        for _ in range(500):
+            out = table.get(at)
+            table[at] = h
+            if out is None:
+                break
+            one, two = _slots_of(out, slots)
+            h, at = out, two if at == one else one
+        else:
+            return None
+    return table
+
+
+def _in_band(term: Column, marks: bytes) -> Column:
+    slots, table = len(marks) // 8, F.lit(marks)
 
+    def holds(h: Column) -> Column:
+        own = F.unhex(F.lpad(F.hex(h), 16, "0"))
+        at = lambda shift: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(slots - 1).cast("long")).cast("int")
+        return (F.substring(table, at(0) * 8 + 1, F.lit(8)) == own) | (F.substring(table, at(32) * 8 + 1, F.lit(8)) == own)
 
-def marks_of(slots: DataFrame) -> bytearray:
-    """One byte for each slot, 1 if a lexicon term falls there; the driver holds `SLOTS` bytes at most."""
-    marks = bytearray(SLOTS)
-    for (slot,) in slots.toLocalIterator():
-        marks[slot] = 1
-    return marks
+    # a lambda over a one-element array binds the hash once
+    return F.exists(F.array(F.xxhash64(term)), holds)
 
 
-def fingerprint(text: Column, marks: bytearray) -> Column:
+def fingerprint(text: Column, marks: bytes) -> Column:
     """The hashes of all lexicon subsets, an array of texts, empty where a text has no term of the subset; last that of the whole band."""
     terms = terms_of(text)
-    held = F.filter(terms, lambda t: F.substring(F.lit(bytes(marks)), _slot(t) + 1, F.lit(1)) == F.lit(b"\x01"))
+    held = F.filter(terms, lambda t: _in_band(t, marks))
     marked = F.transform(F.array_sort(held), lambda t: F.struct(t.alias("t"), F.xxhash64(t).alias("h")))
 
     def hashed(marked: Column) -> Column:

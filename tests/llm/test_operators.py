@@ -307,6 +307,15 @@ def test_fingerprints_of_texts_without_lexicon_terms_differ(spark):
     assert got[0]["near_next"] < 1 and got[1]["near_next"] < 1 and got[3]["near_next"] == 1 == got[5]["near_next"]
 
 
+@pytest.mark.parametrize("n", [0, 1, 1000, 40_000])
+def test_fingerprint_band_is_exact(spark, n):
+    terms = spark.range(400_000).select("id", F.concat(F.lit("t"), F.col("id")).alias("term"))
+    marks = imatch.marks_of(terms.where(F.col("id") < n).select(F.xxhash64("term").alias("hash")))
+    assert len(marks) <= 64 * max(1, n) + 16
+    got = terms.where(imatch._in_band(F.col("term"), marks)).agg(F.count("*"), F.coalesce(F.max("id"), F.lit(-1))).first()
+    assert tuple(got) == (n, n - 1)
+
+
 def test_url_rules(spark):
     urls = ["http://A.org/x", "https://example.org/es/1", "http://sub.example.org/en/12?q", "http://a.com/fr/", "http://notcom/de/", "http://x.com/de/#f", None, "no scheme", "http://a.org", "http://a.net/q/", "http://a.net/q/"]
     pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls)], "page_id long, url string, host string")
