@@ -1,13 +1,14 @@
 """Language identification by compression: a zstandard raw-content dictionary for each language.
 
-Training takes, for each language, rows picked by a hash of their id, about `sample_rows` of them and at
-most `sample_bytes` of each text, and fills a dictionary of `dictionary_bytes`. A text is cut into pieces
+Training takes, for each language, rows in the order of a hash of their id, and from each one piece of at most
+`sample_bytes` bytes that starts anywhere in the text, until the dictionary is full: `dictionary_bytes` /
+`sample_bytes` rows of long texts, 400 by default, and more of short ones. A text is cut into pieces
 of `piece_bytes`, all of it; each piece, in lower case, is compressed with each dictionary, and the language with the
 smallest total wins. Where the runner-up is closer than `margin`, relative to the size without a
 dictionary, the prediction stands as the best guess but is marked `rejected`.
 
-Only the dictionaries are broadcast: languages times `dictionary_bytes`, and no more than
-`max_languages` languages, those with the most rows.
+Only the dictionaries are broadcast: languages times `dictionary_bytes`, together at most `total_bytes`. With
+more languages than fit, each dictionary is smaller; no language is left out.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; ties go to the language that
 sorts first; without training rows every text is `und`.
@@ -27,20 +28,29 @@ UNDETERMINED = "und"
 LEVEL = 3
 
 
-def train(documents: DataFrame, *, doc_id: str, text: str, lang: str, sample_rows: int = 400, sample_bytes: int = 2000, dictionary_bytes: int = 100_000, max_languages: int = 500) -> dict[str, bytes]:
+def train(documents: DataFrame, *, doc_id: str, text: str, lang: str, sample_bytes: int = 250, dictionary_bytes: int = 100_000, total_bytes: int = 50_000_000) -> dict[str, bytes]:
     """A dictionary for each language value; rows with null language or text teach nothing."""
+    lowered = F.lower(text).cast("binary")
+    length = F.least(F.octet_length(lowered), F.lit(sample_bytes))
     labelled = documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(max_languages).collect()
+    sizes = labelled.groupBy(F.col(lang).alias("__lang")).agg(F.count("*").alias("n"), F.avg(length).alias("mean"))
+    sizes = [(r["__lang"], r["n"], r["mean"]) for r in sizes.collect()]
     if not sizes:
         return {}
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], min(1.0, sample_rows / r[1]))])
-    draw = F.pmod(F.xxhash64(F.lit(6), F.col(doc_id)), F.lit(1 << 20)) / (1 << 20)
-    picked = labelled.where(draw < F.try_element_at(share, F.col(lang)))
-    rows = picked.select(F.col(lang), F.col(doc_id).cast("string"), F.substring(F.lower(text).cast("binary"), 1, sample_bytes)).collect()
-    pieces: dict[str, list[bytes]] = {}
-    for language, _, piece in sorted(rows, key=lambda r: (r[0], r[1] or "", r[2])):
-        pieces.setdefault(language, []).append(bytes(piece))
-    return {language: b"\n".join(x)[-dictionary_bytes:] for language, x in pieces.items()}
+    held = max(1, min(dictionary_bytes, total_bytes // len(sizes)))
+    # a quarter more rows than fill a dictionary on average, since the draw is not exact
+    shares = [(x, min(1.0, (1.25 * held / max(1.0, mean + 1) + 20) / n)) for x, n, mean in sizes]
+    share = documents.sparkSession.createDataFrame(shares, T.StructType([T.StructField("__lang", documents.schema[lang].dataType), T.StructField("__share", T.DoubleType())]))
+    draw = lambda seed: F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(1 << 40)) / (1 << 40)
+    picked = labelled.join(F.broadcast(share), F.col(lang) == F.col("__lang")).where(draw(6) < F.col("__share"))
+    start = F.floor(draw(7) * (F.octet_length(lowered) - length + 1)).cast("int") + 1
+    rows = picked.select(F.col(lang), draw(6), F.substring(lowered, start, F.lit(sample_bytes))).collect()
+    pieces: dict[str, bytes] = {}
+    for language, _, piece in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        filled = pieces.get(language)
+        if filled is None or len(filled) < held:
+            pieces[language] = bytes(piece)[:held] if filled is None else (filled + b"\n" + bytes(piece))[:held]
+    return pieces
 
 
 class CompressionClassifier:

@@ -253,6 +253,17 @@ def test_language_identification(spark, empty):
     assert langid.identify(empty.withColumn("lang", F.lit("x")), F.lit(True)).count() == 0
 
 
+def test_dictionaries_sample_all_rows_places_and_languages(spark):
+    # each row says its tenth of the ids, after a head that all rows share
+    rows = [(k, "head " * 500 + f"tenth{k // 300} " * 300, "aa") for k in range(3000)] + [(5000 + k, f"speech{k} of{k} few{k}", f"l{k}") for k in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.train(frame, doc_id="doc_id", text="text", lang="lang")
+    assert len(got) == 601 and all(f"speech{k}".encode() in got[f"l{k}"] for k in range(600))
+    assert all(f"tenth{k} ".encode() in got["aa"] for k in range(10)) and b"head " in got["aa"] and len(got["aa"]) == 50_000_000 // 601
+    small = langid.train(frame, doc_id="doc_id", text="text", lang="lang", total_bytes=601 * 1000)
+    assert len(small) == 601 and len(small["aa"]) == 1000
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
