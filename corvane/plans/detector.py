@@ -150,7 +150,7 @@ def loso_gap(spark, sf_dir):
     return _rounded(wide.select("condition", F.col("error").alias("unseen"), F.col("click").alias("matched"), (F.col("error") - F.col("click")).alias("gap")), "unseen", "matched", "gap")
 
 
-N_BOOT = 20
+N_BOOT = 1000
 _H = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 _PAIR = "z AS (SELECT * FROM e WHERE system IN ('view', 'error'))"
 

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -70,3 +72,22 @@ def test_paired_difference_keeps_null_replicates_in_the_share(spark):
     rows = [(0, "x", 0.4), (0, "y", 0.1), (1, "x", None), (1, "y", 0.2)]
     row = resample.paired_difference(spark.createDataFrame(rows, "b long, model string, eer double"), "x", "y").first()
     assert row["n_boot"] == 2 and row["share_positive"] == 0.5
+
+
+def test_registered_bootstraps_draw_a_thousand_replicates(spark):
+    from corvane.plans import detector
+
+    assert detector.N_BOOT == 1000
+    rng = np.random.default_rng(6)
+    rows = [(k, float(s), k % 3 == 0) for k, s in enumerate(rng.normal(size=30))]
+    got = resample.interval(resample.class_bootstrap(spark.createDataFrame(rows, "id long, score double, bona boolean"), detector.N_BOOT), []).first()
+    groups, rates = {b: [r for r in rows if r[2] is b] for b in (True, False)}, []
+    for b in range(detector.N_BOOT):
+        drawn = []
+        for bona, own in groups.items():
+            for slot in range(len(own)):
+                pick = own[int(hashlib.md5(f"boot-{str(bona).lower()}-{b}-{slot}".encode()).hexdigest()[:8], 16) % len(own)]
+                drawn.append((f"{pick[0]}-{slot}", pick[1], bona))
+        rates.append(_numpy_eer(drawn)[0])
+    assert got["n_boot"] == 1000
+    assert (got["low"], got["high"]) == pytest.approx(tuple(np.percentile(rates, [2.5, 97.5])))
