@@ -6,6 +6,8 @@ is the empty text everywhere. Hashes have 64 bits.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,8 +56,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: workers are reused, and would else keep the largest task's footprint."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that a slice holds about `limit` bytes of text, one row at least."""
+    """Cut record batches so that a slice holds about `limit` bytes of text, one row at least.
+
+    A text is never cut, so the memory of a slice follows the larger of `limit` and the longest text.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -64,6 +76,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
         edges = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *edges], [*edges, batch.num_rows]):
             yield batch.slice(a, b - a)
+    give_back()
 
 
 def join_texts(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +114,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
     if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, 1 << 21)
+        n = max(n, 1 << 17)
         out = []
         for base in (_BASE, U64(pow(int(_BASE), -1, 1 << 64))):
             row = np.full(n, base, dtype=np.uint64)
@@ -111,7 +124,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stretch: int = 1 << 20) -> np.ndarray:
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stretch: int = 1 << 16) -> np.ndarray:
     """A hash of each byte span, the same wherever the span stands; starts are sorted."""
     out = np.zeros(len(starts), dtype=np.uint64)
     low = 0
@@ -177,20 +190,22 @@ def expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - counts), counts)
 
 
-def session_of() -> SparkSession:
-    return SparkSession.active()
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
+    """The folder that driver and executors share: spark.checkpoint.dir.
 
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    Where it is unset, a local master gets a temporary folder; on a cluster there is none to fall back on.
+    """
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
         if held.isDefined():
             return held.get()
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
         folder = "file://" + tempfile.mkdtemp(prefix="corvane-checkpoint-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
+    if not held.isDefined():
+        context.setCheckpointDir(folder)
     return folder
