@@ -3,6 +3,9 @@
 A block is a set of documents of a few megabytes. It sends one row to each part that it has keys for, a
 compressed blob of arrays, and gets rows back by its number. Keys are distinct within a block before they
 are sent, so a key in a third of all rows reaches its part at most once for each block.
+
+There is a part for each shuffle partition of the session, and more only where parts would grow too large. So a
+block sends at most as many rows as there are partitions, which is what a shuffle's own files come to.
 """
 
 from __future__ import annotations
@@ -12,18 +15,41 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textblocks import give_back
+
 
 def blocks_of(documents: DataFrame, kept: list[str], doc_id: str, text: str, block_bytes: int, **more: Column) -> tuple[DataFrame, int]:
-    """Documents with their block number, id and text bytes as `__block`, `__id` and `__text`; and how many blocks."""
+    """Documents with their block number, id and text bytes as `__block`, `__id` and `__text`; and how many bytes of text there are."""
     raw = F.col(f"`{text}`").cast("binary")
     size = documents.agg(F.sum(F.octet_length(raw).cast("long"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     number = F.pmod(F.xxhash64(F.col(f"`{doc_id}`").cast("long"), F.octet_length(raw)), F.lit(n)).cast("long")
     columns = [F.col(f"`{c}`") for c in kept] + [number.alias("__block"), F.col(f"`{doc_id}`").cast("long").alias("__id"), raw.alias("__text")]
-    return documents.select(*columns, *[c.alias(k) for k, c in more.items()]), n
+    return documents.select(*columns, *[c.alias(k) for k, c in more.items()]), size
+
+
+def parts_for(spark: SparkSession, n_bytes: int, part_bytes: int) -> int:
+    """As many parts as the session has shuffle partitions, more where a part would stand for more than `part_bytes` of text."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // part_bytes), 1)
+
+
+def tidy(f):
+    """f of one table or two, with the memory that it frees handed back to the system."""
+
+    def one(table: pa.Table) -> pa.Table:
+        out = f(table)
+        give_back()
+        return out
+
+    def two(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        out = f(texts, answers)
+        give_back()
+        return out
+
+    return two if f.__code__.co_argcount == 2 else one
 
 
 def pack(**arrays: np.ndarray) -> bytes:

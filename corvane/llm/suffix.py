@@ -8,15 +8,17 @@ that no task holds more than a block of documents or a shard of candidate string
    anchors, a few for a hundred bytes, to buckets by anchor, and learns which occur in two documents.
 2. Runs of windows with one repeated anchor are segments. Each block sends its distinct segments, with the
    smallest id that holds each, to shards by anchor. An anchor in more than `HOT` documents is dealt finer,
-   one window for a segment and by the window's own hash, so that no anchor fills a shard.
-3. A shard concatenates its distinct segments, sorts all suffixes by induced sorting (suffix types, sorted
+   one window for a segment and by the window's own hash, so that no anchor fills a shard. Shards are dealt
+   to parts, one for each shuffle partition of the session or more; a block sends a part one row.
+3. A part takes its shards one after the other. A shard concatenates its distinct segments, sorts all suffixes by induced sorting (suffix types, sorted
    leftmost-S substrings, then two inducing passes), computes permuted common prefixes with the preceding
    window, and so finds for each distinct window the smallest id. It answers each block in runs.
 4. Each block merges the answers into removal spans and cuts its texts.
 
-Induced sorting runs bucket by bucket in numpy, not byte by byte; the string of substring names is sorted
-by the same routine while its alphabet is small, else by prefix doubling over names. Windows are compared
-byte by byte in step 3; 64-bit hashes only route strings and fold equal ones.
+Induced sorting works on runs of one symbol, so that a long run costs no more than a short one, and takes at once
+all buckets up to the next one that they induce into, in numpy. The string of substring names is sorted by the same
+routine, whatever the size of its alphabet. Windows are compared byte by byte in step 3; 64-bit hashes only
+route strings and fold equal ones.
 
 Defined cases: a null or empty text is empty bytes and keeps nothing; shorter texts than 50 bytes stay; a
 null id counts as larger than any other; rows of one id never remove from each other; an empty table gives
@@ -34,8 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .decontam import sort_suffixes
-from .routing import ROUTED_DDL, block_number, blocks_of, by_part, from_planes, pack, planes, routed, unpack
+from .routing import ROUTED_DDL, block_number, blocks_of, by_part, from_planes, pack, parts_for, planes, routed, tidy, unpack
 from .textblocks import U64, _span_hashes, expand, join_texts, mix
 
 WIDTH = 50
@@ -43,7 +44,6 @@ GRAM = 16
 HOT = 1000
 CHUNK = 1 << 20
 NO_ID = np.iinfo(np.int64).max
-SMALL_ALPHABET = 4096
 
 
 # ---------------------------------------------------------------- suffix arrays by induced sorting
@@ -51,114 +51,172 @@ SMALL_ALPHABET = 4096
 
 def _stable_slots(target: np.ndarray, pointer: np.ndarray, step: int) -> np.ndarray:
     """Where each item of `target` (bucket numbers, in order) goes; moves the buckets' pointers."""
-    order = np.argsort(target, kind="stable")
+    narrow = target.astype(np.uint16) if len(pointer) <= 65536 else target
+    order = np.argsort(narrow, kind="stable")
     ordered = target[order]
-    count = np.bincount(ordered, minlength=len(pointer))
-    within = np.arange(len(ordered)) - (np.cumsum(count) - count)[ordered]
+    opens = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    count = np.diff(np.append(opens, len(ordered)))
     slots = np.empty(len(target), dtype=np.int64)
-    slots[order] = pointer[ordered] + step * within
-    pointer += step * count
+    slots[order] = pointer[ordered] + step * (np.arange(len(ordered)) - np.repeat(opens, count))
+    pointer[ordered[opens]] += step * count
     return slots
 
 
-def _induce(t: np.ndarray, is_s: np.ndarray, heads: np.ndarray, tails: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """Suffix array that follows from leftmost-S suffixes in the given order: L suffixes, then S suffixes."""
-    n = len(t)
-    sa = np.full(n, -1, dtype=np.int32)
-    last = tails - 1
-    pointer = last.copy()
-    back = lms[::-1]
-    sa[_stable_slots(t[back], pointer, -1)] = back
-    lms_from = pointer + 1
-    pointer = heads.copy()
-    sa[pointer[t[n - 1]]] = n - 1
-    pointer[t[n - 1]] += 1
-    live = np.flatnonzero(tails > heads)
-    for c in live:
-        done = heads[c]
-        while done < pointer[c]:
-            j = sa[done : pointer[c]]
-            done = pointer[c]
-            j = j[j > 0] - 1
-            j = j[~is_s[j]]
-            if len(j):
-                sa[_stable_slots(t[j], pointer, 1)] = j
-        j = sa[lms_from[c] : tails[c]] - 1
-        if len(j):
-            sa[_stable_slots(t[j], pointer, 1)] = j
-    l_end = pointer
-    pointer = last.copy()
-    for c in live[::-1]:
-        done = last[c]
-        while done > pointer[c]:
-            j = sa[pointer[c] + 1 : done + 1][::-1]
-            done = pointer[c]
-            j = j[j > 0] - 1
-            j = j[is_s[j]]
-            if len(j):
-                sa[_stable_slots(t[j], pointer, -1)] = j
-        j = sa[heads[c] : l_end[c]][::-1]
-        j = j[j > 0] - 1
-        j = j[is_s[j]]
-        if len(j):
-            sa[_stable_slots(t[j], pointer, -1)] = j
-    return sa
+class _Runs:
+    """A string as runs of one symbol. A run is of type S if the symbol after it is larger, else of type L.
+
+    Suffixes that start inside a run follow from the run's own place: those of one symbol and type are ordered by how
+    much of the run is left, then by the place of what comes after the run. So only starts of runs are induced.
+    """
+
+    def __init__(self, t: np.ndarray, n_symbols: int):
+        self.start = np.flatnonzero(np.append(True, t[1:] != t[:-1])).astype(np.int32)
+        self.length = np.diff(np.append(self.start, len(t))).astype(np.int32)
+        self.symbol = t[self.start].astype(np.int32)
+        self.n_symbols = n_symbols
+        self.is_s = np.append(self.symbol[:-1] < self.symbol[1:], False)
+        self.lms = np.flatnonzero(self.is_s[1:] & ~self.is_s[:-1]) + 1
+        self.longest = int(self.length.max())
+        count = lambda runs: np.bincount(self.symbol[runs], minlength=n_symbols).astype(np.int64)
+        self.n_l, self.n_s, self.n_lms = count(~self.is_s), count(self.is_s), count(self.lms)
+        self.down, self.up = self._batches(False), self._batches(True)
+
+    def _batches(self, up: bool) -> list[tuple[int, int]]:
+        """(first, last) symbols of stretches that can be handled at once: no run of a stretch induces into it."""
+        runs = np.flatnonzero(self.is_s[:-1] if up else ~self.is_s[:-1])
+        source, target = self.symbol[runs + 1], self.symbol[runs]
+        if up:  # mirrored, so that both passes go upwards
+            source, target = self.n_symbols - 1 - source, self.n_symbols - 1 - target
+        nearest = np.full(self.n_symbols, self.n_symbols, dtype=np.int64)
+        np.minimum.at(nearest, source, target)
+        live = (self.n_l + self.n_s if up else self.n_l + self.n_lms) > 0
+        live = np.flatnonzero(live[::-1] if up else live)
+        out, first, last, reach = [], None, None, 0
+        for c, near in zip(live.tolist(), nearest[live].tolist()):
+            if first is None or c >= reach:
+                if first is not None:
+                    out.append((first, last))
+                first, reach = c, near
+            else:
+                reach = min(reach, near)
+            last = c
+        out.append((first, last))
+        return [(self.n_symbols - 1 - b, self.n_symbols - 1 - a) for a, b in out] if up else out
+
+    def _by_length(self, runs: np.ndarray, first: int, final: int, n: int, up: bool) -> np.ndarray:
+        """Runs of the symbols `first` to `final`, symbol by symbol with `n` runs of one type before the others: those n by length."""
+        if self.longest == 1:
+            return runs
+        length = self.length[runs]
+        if first == final:  # all but few runs have length 1
+            longer = np.flatnonzero(length[:n] > 1)
+            if not len(longer):
+                return runs
+            by_length = longer[np.argsort(length[longer], kind="stable")]
+            return np.concatenate([runs[:n][length[:n] == 1], runs[by_length], runs[n:]])
+        symbols = self.symbol[runs].astype(np.int64)
+        key = (self.n_symbols - symbols if up else symbols) * np.int64(self.longest + 2) + np.where(self.is_s[runs] == up, length, self.longest + 1)
+        return runs[np.argsort(key, kind="stable")]
+
+    def induce(self, lms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From leftmost-S runs in the given order: all runs by symbol, L before S, in order of their starts; and as they were entered."""
+        size = self.n_l + self.n_lms
+        head = np.cumsum(size) - size
+        down, entered_l = np.empty(int(size.sum()), dtype=np.int32), np.empty(int(size.sum()), dtype=np.int32)
+        if len(lms):
+            down[_stable_slots(self.symbol[lms], head + self.n_l, 1)] = lms
+        pointer = head.copy()
+        last = len(self.symbol) - 1
+        down[pointer[self.symbol[last]]] = last
+        pointer[self.symbol[last]] += 1
+        for first, final in self.down:
+            a, b = head[first], head[final] + size[final]
+            runs = down[a:b]
+            entered_l[a:b] = runs
+            runs = self._by_length(runs, first, final, self.n_l[first], False)
+            down[a:b] = runs
+            before = runs[runs > 0] - 1
+            before = before[~self.is_s[before]]
+            if len(before):
+                down[_stable_slots(self.symbol[before], pointer, 1)] = before
+        size = self.n_l + self.n_s
+        head = np.cumsum(size) - size
+        out, entered = np.empty(len(self.symbol), dtype=np.int32), np.empty(len(self.symbol), dtype=np.int32)
+        places = expand(head, self.n_l)
+        of_l = ~self.is_s[down]
+        out[places], entered[places] = down[of_l], entered_l[~self.is_s[entered_l]]
+        pointer = head + size - 1
+        for first, final in self.up:
+            a, b = head[first], head[final] + size[final]
+            runs = out[a:b]
+            if first == final:
+                entered[a + self.n_l[first] : b] = runs[self.n_l[first] :]
+            else:
+                s_part = self.is_s[runs]
+                entered[a:b][s_part] = runs[s_part]
+            runs = self._by_length(runs[::-1], first, final, self.n_s[first], True)
+            out[a:b] = runs[::-1]
+            before = runs[runs > 0] - 1
+            before = before[self.is_s[before]]
+            if len(before):
+                out[_stable_slots(self.symbol[before], pointer, -1)] = before
+        return out, entered
+
+    def expanded(self, entered: np.ndarray) -> np.ndarray:
+        """The order of all suffixes, from the order in which runs were entered."""
+        if self.longest == 1:
+            return self.start[entered]
+        length = self.length[entered]
+        left = expand(np.ones(len(entered), dtype=np.int64), length)
+        runs = np.repeat(entered, length)
+        s = self.is_s[runs]
+        key = (2 * self.symbol[runs].astype(np.int64) + s) * (self.longest + 1) + np.where(s, self.longest - left, left)
+        order = np.argsort(key, kind="stable")
+        return (self.start[runs] + self.length[runs] - left.astype(np.int32))[order]
+
+
+def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Names of the leftmost-S substrings in their order: equal ones, up to and with the next such place, share a name."""
+    length = np.append(np.diff(lms) + 1, len(t) + 1 - lms[-1])  # the last holds the end, as no other does
+    place = lms[ordered]
+    same = (length[ordered[1:]] == length[ordered[:-1]]) & (ordered[1:] != len(lms) - 1) & (ordered[:-1] != len(lms) - 1)
+    at = np.flatnonzero(same)
+    step = 1 << 20
+    sizes = np.cumsum(length[ordered[at]])
+    for low in range(0, int(sizes[-1]) if len(at) else 0, step):
+        some = at[(sizes > low) & (sizes <= low + step)]
+        n = length[ordered[some]]
+        if len(some):
+            differs = t[expand(place[some], n)] != t[expand(place[some + 1], n)]
+            same[some] = ~np.logical_or.reduceat(differs, np.cumsum(n) - n)
+    return np.cumsum(np.append(False, ~same))
 
 
 def suffix_array(t: np.ndarray, n_symbols: int) -> np.ndarray:
-    """Order of all suffixes of t (symbols 0..n_symbols-1); the end sorts before any symbol."""
+    """Order of all suffixes of t (symbols 0..n_symbols-1); the end sorts before any symbol.
+
+    Leftmost-S substrings are sorted by induction, named, and the string of their names is sorted by this same
+    routine, whatever the size of its alphabet.
+    """
     n = len(t)
     if n < 2:
         return np.zeros(n, dtype=np.int32)
-    step = np.zeros(n, dtype=np.int8)
-    step[:-1] = np.sign(t[1:].astype(np.int32) - t[:-1].astype(np.int32))
-    step[-1] = -1
-    known = np.where(step != 0, np.arange(n), n)
-    is_s = step[np.minimum.accumulate(known[::-1])[::-1]] > 0
-    count = np.bincount(t, minlength=n_symbols)
-    tails = np.cumsum(count)
-    heads = tails - count
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    if not len(lms):
-        return _induce(t, is_s, heads, tails, lms)
-    rough = _induce(t, is_s, heads, tails, lms)
-    is_lms = np.zeros(n, dtype=bool)
-    is_lms[lms] = True
-    ordered = rough[is_lms[rough]]
-    # names: equal substrings, up to and with the next leftmost-S place, get one name
-    number = np.zeros(n, dtype=np.int32)
-    number[lms] = np.arange(len(lms))
-    stop = np.append(lms[1:] + 1, n)
-    power_hash = _symbol_hashes(t, lms, stop)
-    at = number[ordered]
-    length = (stop - lms)[at]
-    new = np.ones(len(at), dtype=bool)
-    new[1:] = (power_hash[at[1:]] != power_hash[at[:-1]]) | (length[1:] != length[:-1])
-    new[number[ordered] == len(lms) - 1] = True
-    after_last = np.flatnonzero(number[ordered] == len(lms) - 1) + 1
-    new[after_last[after_last < len(new)]] = True
-    names = np.cumsum(new) - 1
-    n_names = int(names[-1]) + 1
-    if n_names == len(lms):
-        settled = ordered
-    else:
-        reduced = np.zeros(len(lms), dtype=np.int64)
-        reduced[at] = names
-        if n_names <= SMALL_ALPHABET:
-            order = suffix_array(reduced, n_names)
+    runs = _Runs(t, n_symbols)
+    lms = runs.lms
+    if len(lms) > 1:
+        number = np.full(len(runs.start), -1, dtype=np.int32)
+        number[lms] = np.arange(len(lms))
+        rough = number[runs.induce(lms)[0]]
+        ordered = rough[rough >= 0]
+        places = runs.start[lms].astype(np.int64)
+        names = _names(t, places, ordered)
+        if names[-1] + 1 == len(lms):
+            lms = lms[ordered]
         else:
-            order = sort_suffixes(np.append(reduced + 1, 0))[1:]
-        settled = lms[order]
-    return _induce(t, is_s, heads, tails, settled)
-
-
-def _symbol_hashes(t: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    from .textblocks import _powers
-
-    power, inverse = _powers(len(t) + 1)
-    sums = np.zeros(len(t) + 1, dtype=np.uint64)
-    np.cumsum(mix(t.astype(np.uint64) + U64(1)) * power[: len(t)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+            reduced = np.empty(len(lms), dtype=np.int32)
+            reduced[ordered] = names
+            lms = lms[suffix_array(reduced, int(names[-1]) + 1)]
+    return runs.expanded(runs.induce(lms)[1])
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
@@ -271,7 +329,7 @@ def _send_anchors(n_parts: int):
             rows.append((part, number, ANCHORS, pack(anchor=planes(distinct[own], 6), docs=docs[own].astype(np.uint32))))
         return routed(rows)
 
-    return run
+    return tidy(run)
 
 
 def _answer_anchors(table: pa.Table) -> pa.Table:
@@ -298,7 +356,10 @@ def _repeated(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return anchor[order], hot[order]
 
 
-def _send_segments(n_parts: int):
+def _send_segments(n_parts: int, n_shards: int):
+    """Of each part the block's segments, shard by shard, with the number in each of the part's shards."""
+    per_part = n_shards // n_parts
+
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows or not answers.num_rows:
             return routed([])
@@ -314,13 +375,17 @@ def _send_segments(n_parts: int):
         low, high, rep = ids[order[opens]], ids[order[closes]], order[opens]
         # the block's own anchors go along, so that they come back with the answers
         rows = [(number % n_parts, number, ANCHORS, blob) for blob in answers.column("blob").to_pylist()]
-        for part, own in by_part((shard[rep] % U64(n_parts)).astype(np.int64)):
+        own_shard = (shard[rep] % U64(n_shards)).astype(np.int64)
+        by_shard = np.argsort(own_shard, kind="stable")
+        low, high, rep, own_shard = low[by_shard], high[by_shard], rep[by_shard], own_shard[by_shard]
+        for part, own in by_part(own_shard // per_part):
             length = count[rep[own]] + WIDTH - 1
             strings = block.data[expand(first[rep[own]], length)]
-            rows.append((part, number, SEGMENTS, pack(windows=count[rep[own]].astype(np.uint32), low=planes(low[own]), more=planes(high[own] - low[own]), strings=strings)))
+            each = np.bincount(own_shard[own] % per_part, minlength=per_part).astype("<u4")
+            rows.append((part, number, SEGMENTS, pack(each=each, windows=count[rep[own]].astype("<u4"), low=planes(low[own]), more=planes(high[own] - low[own]), strings=strings)))
         return routed(rows)
 
-    return run
+    return tidy(run)
 
 
 def smallest_ids(strings: np.ndarray, windows: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -349,18 +414,34 @@ def smallest_ids(strings: np.ndarray, windows: np.ndarray, low: np.ndarray) -> n
 
 
 def _answer_segments(table: pa.Table) -> pa.Table:
+    """A part's shards one after the other; to each block, what its segments' windows have in smaller ids."""
     rows, entries = [], []
     for number, kind, blob in zip(table.column("block").to_pylist(), table.column("kind").to_pylist(), table.column("blob").to_pylist()):
         if kind == ANCHORS:
             rows.append((0, number, ANCHORS, blob))
         else:
-            entries.append((number, unpack(blob, "<u4", "u1", "u1", "u1")))
-    if not entries:
-        return routed(rows)
-    windows = np.concatenate([e[1][0] for e in entries]).astype(np.int64)
-    low, more = (np.concatenate([from_planes(e[1][k]).view(np.int64) for e in entries]) for k in (1, 2))
-    high, strings = low + more, np.concatenate([e[1][3] for e in entries])
-    number = np.repeat([e[0] for e in entries], [len(e[1][0]) for e in entries])
+            each, windows, low, more, strings = unpack(blob, "<u4", "<u4", "u1", "u1", "u1")
+            low, windows = from_planes(low).view(np.int64), windows.astype(np.int64)
+            ends, bytes_ = np.cumsum(np.append(0, each.astype(np.int64))), np.cumsum(np.append(0, windows + WIDTH - 1))
+            entries.append((number, ends, bytes_, windows, low, low + from_planes(more).view(np.int64), strings))
+    found: dict[int, list] = {}
+    for shard in range(len(entries[0][1]) - 1 if entries else 0):
+        held = []
+        for number, ends, bytes_, *arrays, strings in entries:
+            a, b = ends[shard], ends[shard + 1]
+            if b > a:
+                held.append((np.full(b - a, number), *[x[a:b] for x in arrays], strings[bytes_[a] : bytes_[b]]))
+        if held:
+            for number, *arrays in _answers_of(*[np.concatenate(x) for x in zip(*held)]):
+                found.setdefault(number, []).append(arrays)
+    for number, parts in found.items():
+        key, offset, run, least = (np.concatenate(x) for x in zip(*parts))
+        rows.append((0, number, ANSWERS, pack(key=key, offset=offset.astype("<u4"), run=run.astype("<u4"), least=planes(least))))
+    return routed(rows)
+
+
+def _answers_of(number: np.ndarray, windows: np.ndarray, low: np.ndarray, high: np.ndarray, strings: np.ndarray) -> Iterator[tuple]:
+    """For each block of a shard: (block, segment keys, first windows, numbers of windows, smaller ids) in runs."""
     length = windows + WIDTH - 1
     begins = np.cumsum(length) - length
     key = _span_hashes(strings, begins, begins + length)
@@ -376,15 +457,14 @@ def _answer_segments(table: pa.Table) -> pa.Table:
     use = value < high[entry]
     value, entry, offset = value[use], entry[use], offset[use]
     if not len(value):
-        return routed(rows)
+        return
     opens = np.ones(len(value), dtype=bool)
     opens[1:] = (entry[1:] != entry[:-1]) | (value[1:] != value[:-1]) | (offset[1:] != offset[:-1] + 1)
     at = np.flatnonzero(opens)
     run = np.diff(np.append(at, len(value)))
     entry, value, offset = entry[at], value[at], offset[at]
-    for part, own in by_part(number[entry]):
-        rows.append((0, part, ANSWERS, pack(key=key[entry[own]], offset=offset[own].astype(np.uint32), run=run[own].astype(np.uint32), least=planes(value[own]))))
-    return routed(rows)
+    for block, own in by_part(number[entry]):
+        yield block, key[entry[own]], offset[own], run[own], value[own]
 
 
 def _cut(kept: list[str], with_text: bool):
@@ -410,7 +490,7 @@ def _cut(kept: list[str], with_text: bool):
             del out["kept"]
         return pa.table(columns | out)
 
-    return run
+    return tidy(run)
 
 
 def _removed(block: Block, answers: pa.Table) -> np.ndarray:
@@ -434,14 +514,19 @@ def _removed(block: Block, answers: pa.Table) -> np.ndarray:
     return np.cumsum(gone[:-1]) > 0
 
 
-def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, block_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, block_bytes: int = 4 << 20, shard_bytes: int = 2 << 20, part_bytes: int = 64 << 20) -> DataFrame:
     """Add to each document `n_bytes`, `n_removed`, `n_spans` (maximal removed runs), `kept_sha256`, and with
-    `with_text` the remaining bytes as `kept` binary. Columns of those names are replaced."""
+    `with_text` the remaining bytes as `kept` binary. Columns of those names are replaced.
+
+    A shard holds what comes of about `shard_bytes` of text at most; a part is a task's row of shards.
+    """
     added = T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
     fields = [f for f in documents.schema.fields if f.name not in {*added.names, "kept", text}]
-    blocked, n_parts = blocks_of(documents, [f.name for f in fields], doc_id, text, block_bytes)
+    blocked, n_bytes = blocks_of(documents, [f.name for f in fields], doc_id, text, block_bytes)
+    n_parts = parts_for(documents.sparkSession, n_bytes, part_bytes)
+    n_shards = n_parts * max(1, -(-n_bytes // (shard_bytes * n_parts)))
     grouped = blocked.groupBy("__block")
-    anchors = grouped.applyInArrow(_send_anchors(n_parts), ROUTED_DDL).groupBy("to").applyInArrow(_answer_anchors, ROUTED_DDL)
-    segments = grouped.cogroup(anchors.groupBy("block")).applyInArrow(_send_segments(n_parts), ROUTED_DDL)
-    answers = segments.groupBy("to").applyInArrow(_answer_segments, ROUTED_DDL)
+    anchors = grouped.applyInArrow(_send_anchors(n_parts), ROUTED_DDL).groupBy("to").applyInArrow(tidy(_answer_anchors), ROUTED_DDL)
+    segments = grouped.cogroup(anchors.groupBy("block")).applyInArrow(_send_segments(n_parts, n_shards), ROUTED_DDL)
+    answers = segments.groupBy("to").applyInArrow(tidy(_answer_segments), ROUTED_DDL)
     return grouped.cogroup(answers.groupBy("block")).applyInArrow(_cut([f.name for f in fields], with_text), T.StructType(fields + added.fields))

@@ -95,16 +95,29 @@ def test_fm_index_counts_and_locates():
         assert sorted(index.locate(np.arange(low[0], high[0])).tolist()) == want
 
 
-@pytest.mark.parametrize("small", [1, 4096])
-def test_suffix_array_is_sorted(monkeypatch, small):
-    monkeypatch.setattr(suffix, "SMALL_ALPHABET", small)
-    rng = np.random.default_rng(small)
-    for trial in range(60):
-        t = rng.integers(0, 1 + trial % 4, rng.integers(1, 120)).astype(np.uint16)
+def test_suffix_array_is_sorted_at_every_alphabet():
+    rng = np.random.default_rng(1)
+    for trial in range(600):
+        t = rng.integers(0, 1 + [1, 2, 3, 5, 300][trial % 5], rng.integers(1, 120)).astype(np.int32)
         if trial % 3 == 0:
             t = np.tile(t[: max(1, len(t) // 6)], 6)
+        if trial % 7 == 0:
+            t = np.repeat(t, rng.integers(1, 5, len(t)))
         s = t.tolist()
-        assert suffix.suffix_array(t, 5).tolist() == sorted(range(len(s)), key=lambda k: s[k:])
+        assert suffix.suffix_array(t, 301).tolist() == sorted(range(len(s)), key=lambda k: s[k:])
+
+
+def test_suffix_array_recurses_and_takes_long_runs_at_once():
+    rng = np.random.default_rng(2)
+    words = [bytes(rng.integers(97, 110, rng.integers(2, 9)).astype(np.uint8)) for _ in range(3000)]
+    text = b" ".join(words[k] for k in rng.integers(0, 3000, 60_000))
+    for raw in (text, b"-" * 2_000_000 + b"a" + b"-" * 1_000_000, text[:100_000] * 3):
+        t = np.frombuffer(raw, np.uint8).astype(np.uint16)
+        order = suffix.suffix_array(t, 256).astype(np.int64)
+        rank = np.zeros(len(t) + 1, dtype=np.int64)
+        rank[order] = np.arange(1, len(t) + 1)
+        a, b = order[:-1], order[1:]
+        assert len(np.unique(order)) == len(t) and ((t[a] < t[b]) | ((t[a] == t[b]) & (rank[a + 1] < rank[b + 1]))).all()
 
 
 def _brute_repeats(rows):
@@ -128,12 +141,12 @@ def _brute_repeats(rows):
 def test_repeats(docs, empty, monkeypatch, hot, block):
     send = suffix._answer_anchors
 
-    def answer(table):
+    def answer(table):  # runs in a worker, where HOT is its own
         suffix.HOT = hot
         return send(table)
 
     monkeypatch.setattr(suffix, "_answer_anchors", answer)
-    got = suffix.remove_repeats(docs, block_bytes=block, with_text=True).collect()
+    got = suffix.remove_repeats(docs, block_bytes=block, shard_bytes=block // 4, with_text=True).collect()
     want = _brute_repeats(ROWS)
     assert len(got) == len(ROWS)
     for r in got:
@@ -207,21 +220,30 @@ def test_language_model_counts_single_bigrams_and_tunes_on_all_rows(spark):
     # far more rows, of which a sample by hash used to choose the prior
     rows += [(2000 + k, "u v" if k % 2 else "v u w") for k in range(4000)]
     got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows + held, "doc_id long, text string"), ~F.col("doc_id").isin(1000, 1001, 1002), block_bytes=20000).collect()}
-    levels, one, two = lm.Levels(1.5, 1), {}, {}
+    levels, one, two, three = lm.Levels(1.5, 1), {}, {}, {}
     tokens = {k: ["<"] + (t or "").split() + [">"] for k, t in rows + held}
     for k, _ in rows:
         for a, b in zip(tokens[k], tokens[k][1:]):
             one[b], two[a, b] = one.get(b, 0) + 1, two.get((a, b), 0) + 1
+        for g in zip(["<"] + tokens[k], tokens[k], tokens[k][1:]):
+            three[g] = three.get(g, 0) + 1
     n, v = sum(one.values()), len(one)
     one["<"] = one[">"]
 
+    def kept(count, most):
+        """What the filter gives back for a count that another one bounds."""
+        return min(levels.value[min(levels.of(np.array([count]))[0], levels.of(np.array([most]))[0])], most)
+
     def score(w, prior, less):
         out = 0.0
-        for a, b in zip(w, w[1:]):
+        for h, a, b in zip(["<"] + w, w, w[1:]):
             before, c = one.get(a, 0), one.get(b, 0)
-            found = min(levels.value[levels.of(np.array([two.get((a, b), 0)]))][0], before)
+            found = kept(two.get((a, b), 0), min(c, before))
             p = (max(c - less, 0) + 0.5) / (n + 0.5 * (v + 1))
-            out += np.log10((max(found - less, 0) + prior * p) / (max(before - less, 0) + prior))
+            p = (max(found - less, 0) + prior * p) / (max(before - less, 0) + prior)
+            history = one["<"] if a == "<" else levels.value[min(levels.of(np.array([two.get((h, a), 0)]))[0], levels.of(np.array([before]))[0])]
+            longer = min(kept(three.get((h, a, b), 0), found), history)
+            out += np.log10((max(longer - less, 0) + prior * p) / (max(history - less, 0) + prior))
         return out
 
     sums = {x: sum(score(tokens[k], x, 1) for k, _ in rows) for x in (1, 4, 16, 64, 256, 1024, 4096, 16384)}
