@@ -187,6 +187,36 @@ def test_near_duplicates(spark, docs, empty, monkeypatch):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids_lose_no_link(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(5, a), (5, b), (5, b), (7, a + " x"), (8, b + " y"), (9, "c d e f g h"), (5, ""), (None, a), (None, b)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["id"], r["component_id"], r["kept"]) for r in got if r["id"]) == [(5, 5, True)] * 4 + [(7, 5, False), (8, 5, False), (9, 9, True)]
+    assert [(r["component_id"], r["kept"]) for r in got if r["id"] is None] == [(None, True)] * 2
+
+
+def test_near_duplicates_recall_at_the_threshold(spark):
+    # 300 pairs at similarity 0.75 to 0.78, the hardest that are linked; a chain of near texts; and a template group below the threshold
+    rng, rows, want = random.Random(3), [], {}
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=6))
+    for k in range(300):
+        w = [word() for _ in range(140)]
+        v = w[:124] + [word() for _ in range(16)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        want[2 * k] = want[2 * k + 1] = 2 * k
+    w = [word() for _ in range(200)]
+    for k in range(40):
+        rows.append((1000 + k, " ".join(w)))
+        want[1000 + k] = 1000
+        w = w[8:] + [word() for _ in range(8)]
+    template = [word() for _ in range(100)]
+    for k in range(60):
+        rows.append((2000 + k, " ".join(template + [word() for _ in range(45)])))
+        want[2000 + k] = 2000 + k
+    got = {r["id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_language_model(docs, empty):
     train = ~F.coalesce(F.col("doc_id") % 5 == 1, F.lit(False))
     got = lm.score(docs, train, block_bytes=3000).collect()
