@@ -5,17 +5,22 @@ what it can't give is shared among the others by weight. With s sources sorted b
 the level is found in one pass over the sources, not by iterating.
 
 Within a source whose target is r times its size, each document is taken floor(r) times for certain. The
-rest is a sample without replacement: documents are ranked by random odds divided by inclusion odds,
-u / (1 - u) / (p / (1 - p)), and taken by rank until the words still due are used up; a document
-is in while at least half of it fits. The random number u comes from an md5 of seed and id, so reruns
-agree. Optional row weights bend the inclusion odds.
+rest is a sample without replacement of unequal probabilities: a document's inclusion probability p is in proportion
+to its weight, at most 1, at the level where the sizes weighted by p come to the words still due. Documents of p = 1
+are in for certain. The others are ranked by random odds divided by inclusion odds, u / (1 - u) / (p / (1 - p)),
+and taken by rank while at least half of the next one fits in the words due, so the sample's size is fixed in words.
+The random number u comes from an md5 of seed and id, so reruns agree. Weights are whole numbers; by
+default the square root of a document's size, rounded down, so that longer documents are likelier.
 
-A running sum over a whole source would put it in one task. So the ranks are cut into `slots` equal parts
-by u (or rank key), whose sums say in which slot of each source the sample ends; only that slot is summed
-row by row.
+Two passes read the texts, and neither shuffles them: the first stores each row's source, size, weight and u; from
+those come the plan by source and the rank at which each source's sample ends; the second compares each
+document's rank with its source's end. A running sum over a whole source would put it in one task. So the ranks
+are cut into `slots` equal parts, whose sums say in which slot of each source the sample ends; only that slot is
+summed row by row.
 
 Defined cases: a null or empty text has size 0 and is taken 0 times its size; the null source is a source of
-its own, last in order; rows of one id get equal ranks, in order of size; an empty table mixes to nothing.
+its own, last in order; rows of one id and size are taken together, in order of size where sizes differ; a weight that
+is null or below 1 counts as 1; an empty table mixes to nothing.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import Scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -50,38 +57,74 @@ def uniform(seed: int, doc_id: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(16**12)
 
 
+def levels(classes: DataFrame) -> DataFrame:
+    """Of (source, weight, words, rest), one row for each weight of a source: (source, level, certain_from, certain_words).
+
+    Inclusion is weight * level; weights from `certain_from` on reach 1, and their words are in for certain. The heaviest
+    weights fill up first: the level is that after the fewest of them at which no other weight exceeds 1.
+    """
+    heaviest = Window.partitionBy("source").orderBy(F.desc("weight"))
+    before = heaviest.rowsBetween(Window.unboundedPreceding, -1)
+    onwards = Window.partitionBy("source").orderBy("weight").rowsBetween(Window.unboundedPreceding, 0)
+    rows = classes.withColumn("ahead", F.coalesce(F.sum("words").over(before), F.lit(0))).withColumn("bound", F.sum(F.col("weight") * F.col("words")).over(onwards))
+    rows = rows.withColumn("level", F.try_divide(F.col("rest") - F.col("ahead"), "bound")).withColumn("lighter", F.lag("weight").over(heaviest))
+    fits = rows.where(F.col("level") * F.col("weight") <= 1)
+    return fits.groupBy("source").agg(F.max_by("level", "weight").alias("level"), F.max_by("lighter", "weight").alias("certain_from"), F.max_by("ahead", "weight").alias("certain_words"))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Of rows with `w`, `u` and `level`: their Pareto rank, mapped to (0, 1) so that slots are even."""
+    p = F.col("w") * F.col("level")
+    odds = F.when(p >= 1, 0.0).otherwise(F.try_divide(F.col("u") / (1 - F.col("u")), F.try_divide(p, 1 - p)))
+    return rows.withColumn("rank", odds / (1 + odds))
+
+
 def mix(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, seed: int = 7, slots: int = 4096, **targeting) -> DataFrame:
     """The documents with `size`, `source_size`, `target` and `taken`, all long but target; such columns are replaced."""
-    frame = documents.drop("size", "source_size", "target", "taken")
-    held = [F.col(f"`{c}`") for c in frame.columns]
+    held = [c for c in documents.columns if c not in ("size", "source_size", "target", "taken")]
     size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = frame.select(*held, F.col(f"`{source}`").alias("__source"), size.alias("size"), uniform(seed, F.col(f"`{doc_id}`")).alias("__u"), (F.lit(1.0) if weight is None else weight).alias("__w"))
-    sizes = rows.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size"))
-    plan = targets(sizes, **targeting)
-    copies = F.floor(F.try_divide("target", "source_size")).cast("long")
-    plan = plan.select(
-        F.col("source").alias("__s"), "source_size", "target", F.coalesce(copies, F.lit(0)).alias("__copies"),
-        F.coalesce(F.col("target") - copies * F.col("source_size"), F.lit(0.0)).alias("__rest"),
-    )
-    joined = rows.join(plan, F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
-    # inclusion odds of the sampled part; the rank is mapped back to (0, 1) so that slots are even
-    p = F.least(F.greatest(F.try_divide("__rest", "source_size") * F.col("__w"), F.lit(1e-9)), F.lit(1 - 1e-9))
-    odds = (F.col("__u") / (1 - F.col("__u"))) / (p / (1 - p))
-    joined = joined.withColumn("__rank", odds / (1 + odds)).withColumn("__slot", F.least(F.floor(F.col("__rank") * slots), F.lit(slots - 1)))
-    per_slot = joined.groupBy("__source", "__slot").agg(F.sum("size").alias("words"), F.first("__rest").alias("__rest"))
-    ahead = F.coalesce(F.sum("words").over(Window.partitionBy("__source").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # the slot in which the sample ends, with the words of the slots before it
-    ends = per_slot.select("__source", "__slot", "words", "__rest", ahead.alias("ahead")).where("ahead <= __rest and ahead + words > __rest")
-    ends = ends.select(F.col("__source").alias("__s"), F.col("__slot").alias("__end"), F.col("ahead").alias("__ahead"))
-    out = joined.join(ends, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s")
-    within = F.col("__slot") == F.col("__end")
-    inside = out.where(within)
-    before = Window.partitionBy("__source").orderBy("__rank", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("__in", F.col("__ahead") + F.coalesce(F.sum("size").over(before), F.lit(0)) + F.col("size") / 2 <= F.col("__rest"))
-    # no end: the sample takes the whole source, or nothing
-    outside = out.where(~F.coalesce(within, F.lit(False))).withColumn("__in", F.when(F.col("__end").isNotNull(), F.col("__slot") < F.col("__end")).otherwise(F.col("__rest") > 0))
-    taken = F.col("size") * (F.col("__copies") + F.col("__in").cast("long"))
-    return inside.unionByName(outside).select(*held, "size", "source_size", "target", taken.alias("taken"))
+    w = F.floor(F.sqrt("size")) if weight is None else F.col("weight")
+    row = F.struct(*[F.col(f"`{c}`") for c in held]).alias("row")
+    given = (F.lit(1) if weight is None else weight).cast("long").alias("weight")
+    read = documents.select(row, F.col(f"`{source}`").alias("source"), size.alias("size"), uniform(seed, F.col(f"`{doc_id}`")).alias("u"), given)
+    read = read.withColumn("w", F.greatest(F.coalesce(w, F.lit(1)), F.lit(1)).cast("long")).drop("weight")
+    scratch = Scratch(documents.sparkSession, "mixing")
+    rows = scratch.put(read.drop("row"))
+
+    plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), **targeting)
+    copies = F.coalesce(F.floor(F.try_divide("target", "source_size")).cast("long"), F.lit(0))
+    plan = plan.withColumn("copies", copies).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
+    classes = rows.where("size > 0").groupBy("source", F.col("w").alias("weight")).agg(F.sum("size").alias("words"))
+    classes = classes.join(plan.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    level = levels(classes).withColumnRenamed("source", "s")
+    plan = scratch.put(plan.join(level, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "s"))
+    # sources are few as a rule; a plan of more than 100,000 is joined by shuffles
+    few = F.broadcast if plan.count() <= 100_000 else (lambda frame: frame)
+
+    with_plan = lambda frame: frame.join(few(plan), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    uncertain = (F.col("size") > 0) & (F.col("rest") > 0) & F.coalesce(F.col("w") < F.col("certain_from"), F.lit(True))
+    drawn = _ranked(with_plan(rows).where(uncertain)).withColumn("slot", F.least(F.floor(F.col("rank") * slots), F.lit(slots - 1)))
+    # the words due after the certain documents, slot by slot
+    sums = drawn.groupBy("source", "slot").agg(F.sum("size").alias("words"), F.first(F.col("rest") - F.coalesce("certain_words", F.lit(0))).alias("due"))
+    ahead = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = sums.withColumn("ahead", ahead).where("ahead <= due and ahead + words > due")
+    ends = ends.select(F.col("source").alias("s"), F.col("slot").alias("end"), "ahead", "due")
+    inside = drawn.join(few(ends), F.col("source").eqNullSafe(F.col("s")) & (F.col("slot") == F.col("end")))
+    upto = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # a document is in while half of it fits: the first one out ends the sample
+    out = inside.withColumn("upto", F.col("ahead") + upto).where(F.col("upto") - F.col("size") / 2 > F.col("due"))
+    out = out.groupBy("source").agg(F.min(F.struct("rank", "size")).alias("first_out"))
+    after = ends.select("s", "end").join(out.select(F.col("source").alias("o"), "first_out"), F.col("s").eqNullSafe(F.col("o")), "left").drop("o")
+    after = scratch.put(after)
+
+    ranked = _ranked(with_plan(read))
+    ended = ranked.join(few(after.withColumnRenamed("s", "e")), F.col("source").eqNullSafe(F.col("e")), "left")
+    slot = F.least(F.floor(F.col("rank") * slots), F.lit(slots - 1))
+    earlier = (slot < F.col("end")) | ((slot == F.col("end")) & F.coalesce(F.struct("rank", "size") < F.col("first_out"), F.lit(True)))
+    # no end: the sample takes the whole source
+    taken_once = F.when(~uncertain, (F.col("size") > 0) & (F.col("rest") > 0)).otherwise(F.col("end").isNull() | earlier)
+    taken = F.col("size") * (F.col("copies") + F.coalesce(taken_once, F.lit(False)).cast("long"))
+    return ended.select("row.*", "size", "source_size", "target", taken.alias("taken"))
 
 
 SQL = r"""
@@ -102,9 +145,19 @@ p AS (
     coalesce(CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) END, 0) AS copies,
     coalesce(CASE WHEN t.source_size > 0 THEN t.target - floor(t.target / t.source_size) * t.source_size END, 0) AS rest
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+x AS (SELECT *, greatest(CAST(floor(sqrt(size)) AS BIGINT), 1) AS wt FROM p),
+c AS (SELECT source, wt, CAST(sum(size) AS BIGINT) AS words, max(rest) AS rest FROM x WHERE size > 0 GROUP BY 1, 2),
+lv AS (
+  SELECT source, wt, lag(wt) OVER h AS above, CAST(coalesce(sum(words) OVER (h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead,
+    (rest - CAST(coalesce(sum(words) OVER (h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)) / CAST(sum(wt * words) OVER (PARTITION BY source ORDER BY wt ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS level
+  FROM c WINDOW h AS (PARTITION BY source ORDER BY wt DESC)),
+lf AS (SELECT source, arg_max(level, wt) AS level, arg_max(coalesce(above, 1::BIGINT << 60), wt) AS certain_from, arg_max(ahead, wt) AS sure FROM lv WHERE level * wt <= 1 GROUP BY source),
+o AS (
+  SELECT x.*, wt >= certain_from AS certain, sure, (u / (1 - u)) / ((wt * level) / (1 - wt * level)) AS odds
+  FROM x LEFT JOIN lf ON x.source IS NOT DISTINCT FROM lf.source),
 r AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY u, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM p)
+  SELECT *, coalesce(sum(CASE WHEN certain THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY certain DESC, odds / (1 + odds), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM o)
 SELECT doc_id, size, source_size, target,
-  CAST(size * (copies + CASE WHEN rest > 0 AND ahead + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(size * (copies + CASE WHEN rest > 0 AND (certain OR ahead + size / 2.0::DOUBLE <= rest - sure) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM r
 """

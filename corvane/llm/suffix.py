@@ -467,6 +467,14 @@ def _answers_of(number: np.ndarray, windows: np.ndarray, low: np.ndarray, high:
         yield block, key[entry[own]], offset[own], run[own], value[own]
 
 
+def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """The bytes that go where characters cut in part go whole."""
+    leads = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(leads) or leads[0]:
+        leads = np.append(0, leads)
+    return np.repeat(np.logical_or.reduceat(gone, leads), np.diff(np.append(leads, len(data))))
+
+
 def _cut(kept: list[str], with_text: bool):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(texts) if answers.num_rows else None
@@ -476,18 +484,18 @@ def _cut(kept: list[str], with_text: bool):
         else:
             raw = [x or b"" for x in texts.column("__text").to_pylist()]
         columns = {c: texts.column(c) for c in kept}
-        out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
+        out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": [], "kept_text": []}
         for k, text in enumerate(raw):
-            removed = spans = 0
+            removed, spans, own, whole = 0, 0, len(text), text
             if block and (mine := gone[starts[k] : starts[k + 1] - 1]).any():
-                removed, spans = int(mine.sum()), int(mine[0]) + int((mine[1:] & ~mine[:-1]).sum())
-                own, text = len(text), data[starts[k] : starts[k + 1] - 1][~mine].tobytes()
-            else:
-                own = len(text)
-            for name, x in zip(out, (own, removed, spans, hashlib.sha256(text).hexdigest(), text if with_text else None)):
-                out[name].append(x)
+                bytes_ = data[starts[k] : starts[k + 1] - 1]
+                removed, spans, text = int(mine.sum()), int(mine[0]) + int((mine[1:] & ~mine[:-1]).sum()), bytes_[~mine].tobytes()
+                whole = bytes_[~_whole_characters(bytes_, mine)].tobytes() if with_text else b""
+            for name, x in zip(out, (own, removed, spans, hashlib.sha256(text).hexdigest(), text, whole)):
+                if with_text or not name.startswith("kept_t") and name != "kept":
+                    out[name].append(x)
         if not with_text:
-            del out["kept"]
+            del out["kept"], out["kept_text"]
         return pa.table(columns | out)
 
     return tidy(run)
@@ -516,12 +524,13 @@ def _removed(block: Block, answers: pa.Table) -> np.ndarray:
 
 def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, block_bytes: int = 4 << 20, shard_bytes: int = 2 << 20, part_bytes: int = 64 << 20) -> DataFrame:
     """Add to each document `n_bytes`, `n_removed`, `n_spans` (maximal removed runs), `kept_sha256`, and with
-    `with_text` the remaining bytes as `kept` binary. Columns of those names are replaced.
+    `with_text` the remaining bytes as `kept` binary, and as `kept_text` what remains where characters that are cut in
+    part go whole. Columns of those names are replaced.
 
     A shard holds what comes of about `shard_bytes` of text at most; a part is a task's row of shards.
     """
-    added = T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
-    fields = [f for f in documents.schema.fields if f.name not in {*added.names, "kept", text}]
+    added = T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text binary" * with_text)
+    fields = [f for f in documents.schema.fields if f.name not in {*added.names, "kept", "kept_text", text}]
     blocked, n_bytes = blocks_of(documents, [f.name for f in fields], doc_id, text, block_bytes)
     n_parts = parts_for(documents.sparkSession, n_bytes, part_bytes)
     n_shards = n_parts * max(1, -(-n_bytes // (shard_bytes * n_parts)))

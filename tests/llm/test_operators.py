@@ -152,6 +152,7 @@ def test_repeats(docs, empty, monkeypatch, hot, block):
     for r in got:
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) in want[r["doc_id"]]
         assert hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"]
+        assert len(bytes(r["kept_text"]).decode()) <= len(bytes(r["kept"]).decode(errors="ignore"))
     assert suffix.remove_repeats(empty).count() == 0
 
 
@@ -332,6 +333,32 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_characters_cut_in_part_go_whole(spark):
+    shared = "\u00e9" * 40  # 80 bytes: the text below shares the second byte of the character before it
+    rows = [(1, "\u00a9" + shared), (2, "x\ufffdy \u00e9z\u00e9" + shared + "\ufffd end")]
+    got = {r["doc_id"]: r for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    assert bytes(got[1]["kept_text"]).decode() == rows[0][1] and bytes(got[2]["kept_text"]).decode() == "x\ufffdy \u00e9z\ufffd end"
+
+
+def test_mixing_includes_by_weight(spark):
+    # 30 sources of the same 420 sizes: how often documents of a size are in the sample, against their probability
+    sizes = [4, 9, 25, 64, 100, 400] * 70
+    rows = [(k * 420 + j, " ".join(["w"] * n), f"s{k:03d}") for k in range(30) for j, n in enumerate(sizes)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by_target, seen = {}, []
+    for r in got:
+        by_target.setdefault(r["target"], {}).setdefault(r["size"], []).append(r["taken"] // r["size"])
+    assert len(by_target) == 3
+    for target, places in by_target.items():
+        copies, rest = divmod(target, sum(sizes))
+        level = next((x for x in np.linspace(0, 0.5, 50_001) if sum(min(1.0, x * int(n**0.5)) * n for n in sizes) >= rest - 0.01), 1.0)
+        for n, taken in places.items():
+            p = min(1.0, level * int(n**0.5)) if rest > 0.01 else 0.0
+            seen.append(p)
+            assert set(taken) <= {copies, copies + 1} and abs(np.mean(taken) - copies - p) < (0.08 if 0 < p < 1 else 1e-9), (target, n, p, np.mean(taken))
+    assert sum(0.02 < p < 0.98 for p in seen) >= 6 and len(set(seen)) > 4
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(2)
     plain = ["one", "two", "three", "four", "five", "six"]
