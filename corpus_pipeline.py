@@ -33,18 +33,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates; one row for an id. Null ids stay."""
+    """The document of smallest id of each group of near duplicates. Null ids stay.
+
+    Rows of one id are one document: one row of it stays, that whose text has the smallest hash.
+    """
     kept = minhash.near_duplicates(docs.select("doc_id", "text")).where("kept and id is not null").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").groupBy("doc_id")
+    one = named.agg(F.min_by(F.struct(*columns), F.struct(F.xxhash64("text"), "text")).alias("one")).select("one.*")
+    return one.unionByName(docs.where("doc_id is null")).select(*columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-byte strings that earlier documents hold; characters cut in part go whole."""
     cut = suffix.remove_repeats(docs, with_text=True)
-    whole = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
-    original = F.when(F.col("n_removed") > 0, whole).otherwise(F.col("kept").cast("string"))
-    cut = cut.withColumn("text", original).where("n_removed = 0 or text <> ''")
+    cut = cut.withColumn("text", F.col("kept_text").cast("string")).where("n_removed = 0 or text <> ''")
     return _recounted(cut, docs.columns)
 
 
