@@ -8,8 +8,8 @@ Before indexing, words that no phrase holds fold into one break, and runs betwee
 shorter than the shortest phrase go: no occurrence can touch them. Breaks sort by position, and the
 word after a break always has its suffix position sampled, so a walk never crosses one.
 
-Only the phrases travel to the workers, in blocks of at most `block_bytes` of item text, one narrow
-pass for each block; documents are never shuffled.
+Only the phrases travel to the workers, as arrays, in blocks of about `block_bytes` of item text and some 25 times
+that in arrays, one narrow pass for each block; documents are never shuffled.
 
 Defined cases: a null or empty text has no words; null item texts or ids are no items; repeated rows
 are judged one by one; equal item ids count once; an empty benchmark hits nothing.
@@ -134,23 +134,30 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of a block of benchmark items, with the items that hold each."""
+    """The windows of a block of benchmark items as sorted arrays, with the items that hold each.
+
+    Made once, on the driver, and sent to the workers: 4 bytes for each word of a window, 8 for its first holder and 4 for
+    each holder, so some 50 bytes for a word of item text.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], width: int):
         words = Words([text for _, text in items], ALNUM)
         self.vocabulary, inverse = np.unique(words.hashes, return_inverse=True)
-        symbol = inverse.astype(np.int64) + 1
-        by_length: dict[int, dict[bytes, set[str]]] = {}
-        for i, (item, _) in enumerate(items):
-            row = symbol[words.bounds[i] : words.bounds[i + 1]]
-            length = min(width, len(row))
-            for k in range(len(row) - length + 1 if length else 0):
-                by_length.setdefault(length, {}).setdefault(row[k : k + length].tobytes(), set()).add(item)
-        self.tables = [
-            (length, np.frombuffer(b"".join(rows), dtype=np.int64).reshape(len(rows), length), [sorted(x) for x in rows.values()])
-            for length, rows in sorted(by_length.items())
-        ]
-        self.shortest = min(by_length, default=0)
+        symbol = inverse.astype(np.int32) + 1
+        self.names, item_of = np.unique(np.array([item for item, _ in items], dtype=object), return_inverse=True)
+        length = np.minimum(words.counts, width)
+        self.tables = []
+        for n in np.unique(length[length > 0]).tolist():
+            rows = np.flatnonzero(length == n)
+            count = words.counts[rows] - n + 1
+            starts = expand(words.bounds[rows], count)
+            windows = np.lib.stride_tricks.sliding_window_view(symbol, n)[starts]
+            order = np.lexsort((np.repeat(item_of[rows], count), *windows.T[::-1]))
+            windows, holder = windows[order], np.repeat(item_of[rows], count)[order].astype(np.int32)
+            new = np.append(True, (windows[1:] != windows[:-1]).any(1))
+            kept = np.append(True, new[1:] | (holder[1:] != holder[:-1]))
+            self.tables.append((n, windows[new], np.append(np.flatnonzero(new[kept]), kept.sum()), holder[kept]))
+        self.shortest = self.tables[0][0] if self.tables else 0
 
 
 def _occurrences(words: Words, phrases: Phrases) -> tuple[np.ndarray, list[set[str]]]:
@@ -180,7 +187,7 @@ def _occurrences(words: Words, phrases: Phrases) -> tuple[np.ndarray, list[set[s
     source = np.zeros(len(symbols), dtype=np.int64)
     source[slot] = place
     index = FMIndex(symbols, len(known) + 1)
-    for width, table, holders in phrases.tables:
+    for width, table, bounds, holders in phrases.tables:
         low, high = index.search(table)
         found = np.flatnonzero(high > low)
         if not len(found):
@@ -189,9 +196,11 @@ def _occurrences(words: Words, phrases: Phrases) -> tuple[np.ndarray, list[set[s
         first = source[index.locate(expand(low[found], count))]
         np.add.at(hit, first, 1)
         np.add.at(hit, first + width, -1)
-        pairs = np.unique(np.stack([words.text[first], np.repeat(found, count)]), axis=1)
-        for text, phrase in pairs.T.tolist():
-            items[text].update(holders[phrase])
+        text, phrase = np.unique(np.stack([words.text[first], np.repeat(found, count)]), axis=1)
+        each = bounds[phrase + 1] - bounds[phrase]
+        pairs = np.unique(np.stack([np.repeat(text, each), holders[expand(bounds[phrase], each)]]), axis=1)
+        for text, item in pairs.T.tolist():
+            items[text].add(phrases.names[item])
     return np.cumsum(hit)[:-1] > 0, items
 
 
@@ -216,8 +225,8 @@ def find_phrases(
     item_id: str = "item_id",
     item_text: str = "text",
     width: int = 10,
-    block_bytes: int = 16 << 20,
-    shard_bytes: int = 8 << 20,
+    block_bytes: int = 2 << 20,
+    shard_bytes: int = 4 << 20,
 ) -> DataFrame:
     """Add to each document: `n_words` long, `hit_spans` array of (start, end) byte spans of hit words,
     merged where words adjoin, `n_hit` long, `hit_items` sorted array of item ids as text.
@@ -230,10 +239,10 @@ def find_phrases(
     schema = T.StructType(kept + added.fields)
 
     def pass_over(frame: DataFrame, items: list[tuple[str, bytes]], first: bool) -> DataFrame:
-        shared = frame.sparkSession.sparkContext.broadcast((items, width))
+        shared = frame.sparkSession.sparkContext.broadcast(Phrases(items, width))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(*shared.value)
+            phrases = shared.value
             for batch in slices(batches, "__text", shard_bytes):
                 words = Words(batch.column("__text").to_pylist(), ALNUM)
                 hit, found = _occurrences(words, phrases)

@@ -13,10 +13,13 @@ term of the subset, and last the hash of the whole band: of all lexicon terms of
 where none is in the lexicon. The likeness of two fingerprints is the share of equal hashes among those that
 are not empty in both; 1 if all are empty in both, which only texts without a term are.
 
-Only SQL functions run, in the JVM. The next document is found by numbering bounded ranges of ids.
+Only SQL functions run, in the JVM. Texts are shuffled once, by range of id, where each row meets the next one and both
+of its fingerprints are made. At most ten ranges for each shuffle partition are cut at quantiles of the ids, then
+evenly; an id that holds many rows, or the null id, is cut by a hash of the text.
 
 Defined cases: a null text is the empty text, with an empty fingerprint; rows of one id follow each other in
-order of text; a single document is its own next; an empty table gives an empty result.
+order of a hash of their text, null ids come last; a single document is its own next; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -38,8 +41,9 @@ def terms_of(text: Column) -> Column:
 def lexicon(texts: DataFrame, low: float, high: float) -> DataFrame:
     """(hash) of the terms in the band."""
     n = texts.count()
-    df = texts.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return df.where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= high * n)).select(F.xxhash64("term").alias("hash")).distinct()
+    terms = F.transform(terms_of(F.col("text")), lambda t: F.xxhash64(t))
+    df = texts.select(F.explode(terms).alias("hash")).groupBy("hash").agg(F.count("*").alias("df"))
+    return df.where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= high * n)).select("hash")
 
 
 def _slots_of(h: int, slots: int) -> tuple[int, int]:
@@ -120,32 +124,54 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(pairs) == 0, F.lit(1.0)).otherwise(equal / F.greatest(F.size(pairs), F.lit(1)))
 
 
-def _ranges(frame: DataFrame, n: int, rows: int) -> Column:
-    """An order-preserving range number of the id: about a hundredth of the rows by percentile, then even widths."""
-    cuts = frame.agg(F.percentile_approx("id", [k / 100 for k in range(101)], 10000)).first()[0] or [0]
-    cuts = sorted(set(cuts))
-    inner = max(1, -(-n // (rows * len(cuts))))
-    lows = F.array(*[F.lit(int(c)) for c in cuts])
-    widths = F.array(*[F.lit(max(1, -(-(int(b) - int(a)) // inner))) for a, b in zip(cuts, [*cuts[1:], cuts[-1] + 1])])
-    segment = F.greatest(F.size(F.filter(lows, lambda c: c <= F.col("id"))), F.lit(1))
-    step = F.least(F.floor((F.col("id") - F.element_at(lows, segment)) / F.element_at(widths, segment)), F.lit(inner - 1))
-    return F.coalesce(segment.cast("long") * inner + F.greatest(step, F.lit(0)), F.lit(2**62))
-
-
-def with_next(frame: DataFrame, carried: list[str], n: int, rows: int = 2000) -> DataFrame:
-    """Add, for each column of `carried`, `next_<column>`: that of the next row by (id, text), the first after the last."""
-    ranged = frame.withColumn("__range", _ranges(frame, n, rows))
-    order = Window.partitionBy("__range").orderBy(F.col("id").asc_nulls_last(), "text")
-    whole = F.struct(*carried)
-    led = ranged.select("*", F.lead(whole).over(order).alias("__next"), F.row_number().over(order).alias("__row"))
-    firsts = led.where("__row = 1").select("__range", whole.alias("__first"))
-    # one row for each range
-    by_range = Window.orderBy("__range")
-    follow = ranged.select("__range").groupBy("__range").count().select("__range", F.lead("__range").over(by_range).alias("__to"), F.min("__range").over(Window.partitionBy()).alias("__low"))
-    follow = follow.select(F.col("__range").alias("__from"), F.coalesce("__to", "__low").alias("__range"))
-    firsts = firsts.join(follow, "__range").select(F.col("__from").alias("__range"), "__first")
-    out = led.join(firsts, "__range", "left").withColumn("__next", F.coalesce("__next", "__first"))
-    return out.select(*frame.columns, *[F.col(f"__next.{c}").alias(f"next_{c}") for c in carried])
+def _place(sorted_values: list[int], x: Column, step: int = 32) -> Column:
+    """Of sorted values, the number (from 1) of the last one that is not above x, or 1; in two levels."""
+    tops = F.array(*[F.lit(v) for v in sorted_values[::step]])
+    parts = F.array(*[F.array(*[F.lit(v) for v in sorted_values[k : k + step]]) for k in range(0, len(sorted_values), step)])
+    upto = lambda values: F.greatest(F.size(F.filter(values, lambda v: v <= x)), F.lit(1))
+    top = upto(tops)
+    return (top - 1) * step + upto(F.element_at(parts, top))
+
+
+def _ranges(rows: DataFrame, ranges: int, quantiles: int = 1024) -> Column:
+    """A number of about `ranges` ranges that follows the order of (id, hash of the text)."""
+    k = min(quantiles, ranges)
+    cuts, held, n = rows.agg(F.percentile_approx("id", [j / k for j in range(k + 1)], 100 * k), F.count("id"), F.count("*")).first()
+    cuts = [int(c) for c in cuts or [0]]
+    lows = sorted(set(cuts))
+    inner = -(-ranges // len(lows))
+    # an id that stands at several quantiles is cut by hash
+    slices = [max(1, -(-(cuts.count(c) - 1) * ranges // k)) for c in lows]
+    widths = [max(1, -(-(b - a - 1) // inner)) for a, b in zip(lows, [*lows[1:], lows[-1] + 1])]
+    wide = inner + max(slices)
+    of_null = max(1, -(-(n - held) * ranges // max(1, n)))
+    array = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    unit = F.col("h") / F.lit(2.0**64) + 0.5
+    sliced = lambda m: F.least(F.floor(unit * m), m - 1)
+    place = _place(lows, F.col("id"))
+    low, own = F.element_at(array(lows), place), F.element_at(array(slices), place)
+    step = F.least(F.floor((F.col("id") - low - 1) / F.element_at(array(widths), place)), F.lit(inner - 1))
+    within = F.when(F.col("id") <= low, sliced(own)).otherwise(own + step)
+    return F.when(F.col("id").isNull(), F.lit((len(lows) + 1) * wide) + sliced(F.lit(of_null))).otherwise(place * wide + within).cast("long")
+
+
+def with_next(rows: DataFrame, marks: bytes, n: int, rows_in_range: int = 2000) -> DataFrame:
+    """Of (id, text): with `print`, and `next_text` and `next_print` of the next row by (id, hash of the text), the first after the last."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    ranged = rows.withColumn("range", _ranges(rows, max(1, min(-(-n // rows_in_range), 10 * partitions))))
+    # the first row of each range; there are at most ten ranges or so for a partition
+    firsts = ranged.groupBy("range").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("least"))
+    follow = firsts.select("range", "least", F.lag("range").over(Window.orderBy("range")).alias("from"), F.max("range").over(Window.partitionBy()).alias("end"))
+    follow = follow.select("range", "least", F.coalesce("from", "end").alias("from"))
+    at_first = (F.col("id").eqNullSafe(F.col("least.id"))) & (F.col("h") == F.col("least.h"))
+    first_texts = ranged.join(F.broadcast(follow), "range").where(at_first).groupBy("from").agg(F.min("text").alias("first_text"))
+    first_texts = first_texts.select(F.col("from").alias("range"), "first_text", fingerprint(F.col("first_text"), marks).alias("first_print"))
+    order = Window.partitionBy("range").orderBy(F.col("id").asc_nulls_last(), "h", "text")
+    dealt = ranged.repartition("range").withColumn("print", fingerprint(F.col("text"), marks))
+    led = dealt.select("*", F.lead(F.struct("text", "print")).over(order).alias("next")).join(first_texts, "range", "left")
+    following = lambda c: F.when(F.col("next").isNull(), F.col(f"first_{c}")).otherwise(F.col(f"next.{c}")).alias(f"next_{c}")
+    return led.select("id", "text", "print", following("text"), following("print"))
 
 
 def with_fingerprints(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", low: float = 0.001, high: float = 0.1) -> DataFrame:
@@ -155,8 +181,7 @@ def with_fingerprints(documents: DataFrame, *, doc_id: str = "doc_id", text: str
     """
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     marks = marks_of(lexicon(rows, low, high))
-    rows = rows.withColumn("print", fingerprint(F.col("text"), marks))
-    rows = with_next(rows, ["text", "print"], documents.count())
+    rows = with_next(rows, marks, documents.count())
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from corvane.llm import decontam, imatch, langid, lm, minhash, mixing, suffix, textblocks, toxicity, urlfilter, warc
@@ -388,6 +389,46 @@ def test_fingerprints(docs, empty):
     assert imatch.with_fingerprints(empty).count() == 0
 
 
+def _brute_print(text, band):
+    words = re.split(r"[\x20\x09-\x0D]+", _low(text))
+    terms = sorted({w for w in words if w}, key=str.encode)
+    digest = lambda own, n: hashlib.md5(" ".join(own).encode()).hexdigest()[:n] if own else ""
+    held = [(w, xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in terms if w in band]
+    out = []
+    for k, rate in enumerate(imatch.RATES):
+        out += [digest([w for w, h in held if ((h >> (12 * k)) & (rate - 1)) == j], 8) for j in range(imatch.SUBSETS)]
+    return [*out, digest([w for w, _ in held] or terms, 16)]
+
+
+def _brute_like(a, b):
+    pairs = [(x, y) for x, y in zip(a, b) if x or y]
+    return sum(x == y for x, y in pairs) / len(pairs) if pairs else 1.0
+
+
+@pytest.mark.parametrize("rows_in_range", [2000, 3])
+def test_fingerprints_against_brute_force(spark, monkeypatch, rows_in_range):
+    # ids in a dense run, far apart, one id in a third of the rows, and null ids
+    texts = [t for t in TEXTS if not t or len(t) < 5000]
+    rows = [(k, t) for k, t in enumerate(texts[:40])] + [(10**12 * k, t) for k, t in enumerate(texts[40:60], 1)] + [(77, f"{t} {k}") for k, t in enumerate(texts[:30])] + [(None, "null one"), (None, "null two")]
+    whole = imatch.with_next
+    monkeypatch.setattr(imatch, "with_next", lambda r, m, n: whole(r, m, n, rows_in_range))
+    got = imatch.with_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), low=0.05, high=0.5).collect()
+    df = {}
+    for _, t in rows:
+        for w in {w for w in re.split(r"[\x20\x09-\x0D]+", _low(t)) if w}:
+            df[w] = df.get(w, 0) + 1
+    band = {w for w, c in df.items() if max(2.0, 0.05 * len(rows)) <= c <= 0.5 * len(rows)}
+    signed = lambda t: (lambda h: h - 2**64 if h >= 2**63 else h)(xxhash.xxh64((t or "").encode(), seed=42).intdigest())
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, signed(r[1])))
+    want = []
+    for (doc, t), (_, after) in zip(order, order[1:] + order[:1]):
+        t, after = t or "", after or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own, new, following = (_brute_print(x, band) for x in (t, edited, after))
+        want.append((doc, len(t), hashlib.sha256(edited.encode()).hexdigest(), ".".join(own), ".".join(new), _brute_like(own, new), _brute_like(own, following)))
+    assert band and sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
+
+
 def test_fingerprints_of_texts_without_lexicon_terms_differ(spark):
     texts = ["only here", "words apart", "HERE only", "", None, "common one", "common two", "common three"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
