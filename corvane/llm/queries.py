@@ -77,7 +77,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import urlfilter
 
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    return urlfilter.judge(pages, urlfilter.labelled_by_rules(pages)).drop("url")
+    return urlfilter.judge(pages, urlfilter.labelled_urls(spark)).drop("url")
 
 
 def queries() -> dict:

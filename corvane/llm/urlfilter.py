@@ -1,7 +1,8 @@
 """URL filters: rules first, else logistic regression on hashed character n-grams of host and path.
 
 Rules are (host, path, verdict); a rule fits its host and all subdomains where the url's path starts with the
-rule's, and the longest rule wins. The classifier learns from a small labelled table of urls. Its features
+rule's, and the longest rule wins. The classifier learns from a small labelled table of urls, which knows nothing of
+the rules; `labelled_urls` is one. Its features
 are the 3- and 4-grams of host and path, each marked with its side, hashed into `BUCKETS` counts.
 
 Everything runs in the JVM: SQL functions cut the n-grams, MLlib fits and scores.
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
@@ -62,11 +63,15 @@ def _features(pages: DataFrame) -> DataFrame:
     return HashingTF(inputCol="__terms", outputCol="__features", numFeatures=BUCKETS).transform(pages.withColumn("__terms", terms)).drop("__terms")
 
 
-def judge(pages: DataFrame, labelled: DataFrame, *, url: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, *, url: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = 0.5, most_labelled: int = 50_000) -> DataFrame:
     """Add `host`, `path`, `rule`, `block_score` and `verdict`; such columns are replaced.
 
-    `labelled`: (url, label), 1 for block; a small table, fitted in one partition so that reruns agree.
+    `labelled`: (url, label), 1 for block; a small table, fitted in one partition so that reruns agree. Of a larger
+    one about `most_labelled` rows are used, picked by a hash of the url.
     """
+    n = labelled.count()
+    if n > most_labelled:
+        labelled = labelled.where(F.pmod(F.xxhash64(F.lit(10), "url"), F.lit(1 << 20)) < (1 << 20) * most_labelled // n)
     learned = with_parts(labelled.select(F.col("url"), F.col("label").cast("double")).where("label is not null")).orderBy("url", "label").coalesce(1)
     learned = _features(learned).select("__features", "label").cache()
     kinds = [r[0] for r in learned.select("label").distinct().collect()]
@@ -81,9 +86,13 @@ def judge(pages: DataFrame, labelled: DataFrame, *, url: str = "url", rules: tup
     return scored.withColumn("verdict", F.coalesce(F.col("__rule.verdict"), guess)).withColumn("rule", F.col("__rule.rule")).drop("__rule")
 
 
-def labelled_by_rules(pages: DataFrame, *, key: str = "page_id", url: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, rows: int = 4000) -> DataFrame:
-    """A small training table: about `rows` urls that a rule decides, picked by a hash of the key."""
-    decided = with_parts(pages.select(F.col(key).alias("key"), F.col(url).alias("url"))).withColumn("r", rule_of(rules)).where("r is not null")
-    size = decided.count()
-    draw = F.pmod(F.xxhash64(F.lit(10), "key"), F.lit(1 << 20))
-    return decided.where(draw < int((1 << 20) * min(1.0, rows / max(1, size)))).select("url", (F.col("r.verdict") == "block").cast("int").alias("label"))
+#: Words that tell, in hosts or paths, and forms of urls: the labelled table is made of each word in each form.
+BLOCKED_WORDS = ("casino", "poker", "jackpot", "betting", "slots", "pills", "viagra", "xxx", "porn", "escort", "warez", "torrent", "keygen", "cracked", "payday-loan", "get-rich", "free-gift", "click-here", "replica-watch", "spam")
+ALLOWED_WORDS = ("wiki", "news", "library", "museum", "university", "science", "history", "weather", "recipes", "gardening", "docs", "tutorial", "research", "health", "travel", "sports", "music", "blog", "events", "council")
+URL_FORMS = ("http://www.{}.com/index.html", "https://{}.example.net/en/12", "http://best-{}.info/", "https://site.net/{}/page/3", "http://m.host.org.uk/a/{}-2.html")
+
+
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """The small labelled table (url, label): 1 for block. Every word of both lists in every form, 200 rows."""
+    rows = [(form.format(word), label) for label, words in ((1, BLOCKED_WORDS), (0, ALLOWED_WORDS)) for word in words for form in URL_FORMS]
+    return spark.createDataFrame(rows, "url string, label int")

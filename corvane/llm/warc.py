@@ -79,12 +79,21 @@ def parse(raw: bytes) -> dict:
 
 
 def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> list[tuple[str, int]]:
-    """Write one archive for each partition under `folder`; (path, bytes) of the archives."""
+    """Write one archive for each partition under `folder`; (path, bytes) of the archives.
+
+    What a payload's copies refer to is found from ids and digests alone. Payloads are dealt by id and digest, so that
+    the copies of a frequent page go to many archives, and only responses write theirs.
+    """
     rows = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("length", F.octet_length("payload").cast("long"))
-    first = rows.select("id", "digest", "length").groupBy("digest", "length").agg(F.min("id").alias("first"))
-    rows = rows.join(first, ["digest", "length"])
-    refers = F.when((F.col("first") != F.col("id")) | (F.col("id").isNull() & F.col("first").isNotNull()), F.when(F.col("length") >= least_bytes, F.col("first")))
+    narrow = rows.select("id", "digest", "length").distinct()
+    first = narrow.groupBy("digest", "length").agg(F.min("id").alias("first"), F.count("*").alias("ids")).where("ids > 1").drop("ids")
+    refers = F.when((F.col("first") != F.col("id")) | F.col("id").isNull(), F.when(F.col("length") >= least_bytes, F.col("first")))
+    copies = narrow.join(first, ["digest", "length"]).select("id", "digest", refers.alias("refers_to")).where("refers_to is not null")
+    copies = copies.select(F.col("id").alias("copy"), F.col("digest").alias("copied"), "refers_to")
+    same = F.coalesce(F.col("id"), F.lit(-(2**63))) == F.coalesce(F.col("copy"), F.lit(-(2**63)))
+    rows = rows.join(copies, same & (F.col("digest") == F.col("copied")), "left")
+    rows = rows.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
@@ -95,7 +104,7 @@ def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", u
                 if out is None:
                     name, out = f"{path}/part-{part:05d}.warc.gz", fs.open_output_stream(temporary, compression=None)
                 digest = base64.b32encode(bytes.fromhex(hex_digest)).decode()
-                member = record(id_, target, payload if refers_to is None else None, digest, length, refers_to)
+                member = record(id_, target, payload, digest, length, refers_to)
                 out.write(member)
                 size += len(member)
         if out is not None:
@@ -105,7 +114,7 @@ def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", u
 
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
-    named = rows.select("id", "url", "payload", "digest", "length", F.spark_partition_id().alias("part"), refers.alias("refers_to"))
+    named = rows.select("id", "url", "payload", "digest", "length", F.spark_partition_id().alias("part"), "refers_to")
     return [(r[0], r[1]) for r in named.mapInArrow(run, "path string, bytes long").collect()]
 
 
@@ -179,7 +188,7 @@ def read_archives(spark: SparkSession, archives: DataFrame, *, range_bytes: int
 
 
 def round_trip(pages: DataFrame, **columns) -> DataFrame:
-    """Write the pages to archives in the shared folder and read them back."""
+    """Write the pages to archives in the shared folder and read them back. The archives stay: they are what is read."""
     spark = pages.sparkSession
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     if folder.startswith("file:/"):

@@ -459,6 +459,28 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in urlfilter.judge(pages.where("page_id = 9"), train.limit(0)).collect()} == {"allow"}
 
 
+def test_url_classifier_on_held_out_words(spark):
+    table = urlfilter.labelled_urls(spark)
+    assert table.count() == 200 and urlfilter.judge(table.limit(0).withColumnRenamed("label", "page_id"), table).count() == 0
+    # one form of every word is held out, then five words of each kind in all forms
+    form = F.col("url").startswith("https://site.net/")
+    words = F.col("url").rlike("|".join(urlfilter.BLOCKED_WORDS[::4] + urlfilter.ALLOWED_WORDS[::4]))
+    for held, least in ((form, 0.9), (words, 0.6)):
+        got = urlfilter.judge(table.where(held), table.where(~held), rules=()).collect()
+        assert np.mean([(r["verdict"] == "block") == (r["label"] == 1) for r in got]) >= least
+
+
+def test_warc_of_copies_and_null_ids(spark):
+    rows = [(None, "u", "x"), (None, "v", "x"), (3, "u", "x"), (4, "u", "only"), (None, "u", "none"), (None, "u", "none"), (2, "u", "")] + [(100 + k, "u", "hot" * 50) for k in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()]
+    want = [(None, 1, "revisit", 3)] * 2 + [(3, 1, "response", None), (4, 4, "response", None), (2, 0, "response", None)] + [(None, 4, "response", None)] * 2
+    want += [(100, 150, "response", None)] + [(100 + k, 150, "revisit", 100) for k in range(1, 200)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    # short payloads are all responses
+    assert {r["record_type"] for r in warc.round_trip(pages, least_bytes=1000).collect()} == {"response"}
+
+
 def test_warc_round_trip(spark):
     noise = bytes(random.Random(1).randbytes(300)).decode("latin-1")
     rows = [(5, "http://a/", "same"), (2, "http://b/", "same"), (9, None, "same"), (3, "u", None), (4, "u", ""), (7, "u", noise + "\x1f\x8b\x08" + noise), (8, "u", "é" * 5000), (8, "u", "é" * 5000)]
