@@ -80,6 +80,7 @@ class _Runs:
         count = lambda runs: np.bincount(self.symbol[runs], minlength=n_symbols).astype(np.int64)
         self.n_l, self.n_s, self.n_lms = count(~self.is_s), count(self.is_s), count(self.lms)
         self.down, self.up = self._batches(False), self._batches(True)
+        self.longer_before = np.append(0, np.cumsum(np.bincount(self.symbol[self.length > 1], minlength=n_symbols)))
 
     def _batches(self, up: bool) -> list[tuple[int, int]]:
         """(first, last) symbols of stretches that can be handled at once: no run of a stretch induces into it."""
@@ -88,7 +89,10 @@ class _Runs:
         if up:  # mirrored, so that both passes go upwards
             source, target = self.n_symbols - 1 - source, self.n_symbols - 1 - target
         nearest = np.full(self.n_symbols, self.n_symbols, dtype=np.int64)
-        np.minimum.at(nearest, source, target)
+        order = np.argsort(source.astype(np.uint16) if self.n_symbols <= 65536 else source, kind="stable")
+        opens = np.flatnonzero(np.append(True, source[order[1:]] != source[order[:-1]])) if len(order) else order
+        if len(order):
+            nearest[source[order[opens]]] = np.minimum.reduceat(target[order], opens)
         live = (self.n_l + self.n_s if up else self.n_l + self.n_lms) > 0
         live = np.flatnonzero(live[::-1] if up else live)
         out, first, last, reach = [], None, None, 0
@@ -105,7 +109,7 @@ class _Runs:
 
     def _by_length(self, runs: np.ndarray, first: int, final: int, n: int, up: bool) -> np.ndarray:
         """Runs of the symbols `first` to `final`, symbol by symbol with `n` runs of one type before the others: those n by length."""
-        if self.longest == 1:
+        if self.longer_before[final + 1] == self.longer_before[first]:
             return runs
         length = self.length[runs]
         if first == final:  # all but few runs have length 1
@@ -175,28 +179,65 @@ class _Runs:
         return (self.start[runs] + self.length[runs] - left.astype(np.int32))[order]
 
 
+def _sorted_substrings(t: np.ndarray, n_symbols: int, lms: np.ndarray, most_rounds: int = 256) -> tuple[np.ndarray, np.ndarray] | None:
+    """Order of the leftmost-S substrings, and their names in that order; None where one is too long for this.
+
+    As many symbols as fit are packed into a number, and ties sorted by the next ones. Of two substrings of which one
+    begins with the other, the longer is smaller, so what lies behind an end counts as larger than any symbol.
+    """
+    length = np.append(np.diff(lms) + 1, len(t) + 1 - lms[-1])  # the last holds the end, as no other does
+    bits = int(n_symbols + 1).bit_length()
+    each = 63 // bits
+    if length.max() > most_rounds * each:
+        return None
+    padded = np.concatenate([t.astype(np.int64) + 1, np.zeros(each * (int(length.max()) // each + 2), dtype=np.int64)])
+    behind = (1 << bits) - 1
+
+    def keys(of: np.ndarray, start: int) -> np.ndarray:
+        out = np.zeros(len(of), dtype=np.int64)
+        at, left = lms[of] + start, length[of] - start
+        for k in range(each):
+            out = (out << bits) | np.where(left > k, padded[at + k], behind)
+        return out
+
+    key = keys(np.arange(len(lms)), 0)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1])
+    open_, done = np.arange(len(order)), 0
+    while True:
+        # groups of several of which one goes on
+        done += each
+        opens = np.flatnonzero(new[open_])
+        size = np.diff(np.append(opens, len(open_)))
+        goes_on = np.maximum.reduceat(length[order[open_]], opens) > done
+        keep = np.repeat((size > 1) & goes_on, size)
+        group, open_ = np.repeat(np.arange(len(opens)), size)[keep], open_[keep]
+        if not len(open_):
+            return order, np.cumsum(new) - 1
+        own = order[open_]
+        key = keys(own, done)
+        inner = np.lexsort((key, group))
+        order[open_], key = own[inner], key[inner]
+        new[open_[1:]] |= (key[1:] != key[:-1]) & (group[1:] == group[:-1])
+
+
 def _names(t: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Names of the leftmost-S substrings in their order: equal ones, up to and with the next such place, share a name."""
-    length = np.append(np.diff(lms) + 1, len(t) + 1 - lms[-1])  # the last holds the end, as no other does
+    length = np.append(np.diff(lms) + 1, len(t) + 1 - lms[-1])
     place = lms[ordered]
     same = (length[ordered[1:]] == length[ordered[:-1]]) & (ordered[1:] != len(lms) - 1) & (ordered[:-1] != len(lms) - 1)
-    at = np.flatnonzero(same)
-    step = 1 << 20
-    sizes = np.cumsum(length[ordered[at]])
-    for low in range(0, int(sizes[-1]) if len(at) else 0, step):
-        some = at[(sizes > low) & (sizes <= low + step)]
-        n = length[ordered[some]]
-        if len(some):
-            differs = t[expand(place[some], n)] != t[expand(place[some + 1], n)]
-            same[some] = ~np.logical_or.reduceat(differs, np.cumsum(n) - n)
+    for k in np.flatnonzero(same).tolist():
+        a, b, n = place[k], place[k + 1], length[ordered[k]]
+        same[k] = np.array_equal(t[a : a + n], t[b : b + n])
     return np.cumsum(np.append(False, ~same))
 
 
 def suffix_array(t: np.ndarray, n_symbols: int) -> np.ndarray:
     """Order of all suffixes of t (symbols 0..n_symbols-1); the end sorts before any symbol.
 
-    Leftmost-S substrings are sorted by induction, named, and the string of their names is sorted by this same
-    routine, whatever the size of its alphabet.
+    Leftmost-S substrings are sorted, named, and the string of their names is sorted by this same routine, whatever the
+    size of its alphabet; all other suffixes are induced.
     """
     n = len(t)
     if n < 2:
@@ -204,12 +245,14 @@ def suffix_array(t: np.ndarray, n_symbols: int) -> np.ndarray:
     runs = _Runs(t, n_symbols)
     lms = runs.lms
     if len(lms) > 1:
-        number = np.full(len(runs.start), -1, dtype=np.int32)
-        number[lms] = np.arange(len(lms))
-        rough = number[runs.induce(lms)[0]]
-        ordered = rough[rough >= 0]
         places = runs.start[lms].astype(np.int64)
-        names = _names(t, places, ordered)
+        found = _sorted_substrings(t, n_symbols, places)
+        if found is None:  # long ones are sorted by a first induction
+            number = np.full(len(runs.start), -1, dtype=np.int32)
+            number[lms] = np.arange(len(lms))
+            rough = number[runs.induce(lms)[0]]
+            found = (ordered := rough[rough >= 0]), _names(t, places, ordered)
+        ordered, names = found
         if names[-1] + 1 == len(lms):
             lms = lms[ordered]
         else:
