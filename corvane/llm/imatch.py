@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import Scratch
+
 #: One in so many lexicon terms belongs to a subset; so many subsets of each rate.
 RATES = (32, 128, 512)
 SUBSETS = 8
@@ -84,7 +86,7 @@ def _in_band(term: Column, marks: bytes) -> Column:
     def holds(h: Column) -> Column:
         own = F.unhex(F.lpad(F.hex(h), 16, "0"))
         at = lambda shift: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(slots - 1).cast("long")).cast("int")
-        return (F.substring(table, at(0) * 8 + 1, F.lit(8)) == own) | (F.substring(table, at(32) * 8 + 1, F.lit(8)) == own)
+        return F.exists(F.array(at(0), at(32)), lambda slot: F.substring(table, slot * 8 + 1, F.lit(8)) == own)
 
     # a lambda over a one-element array binds the hash once
     return F.exists(F.array(F.xxhash64(term)), holds)
@@ -155,37 +157,36 @@ def _ranges(rows: DataFrame, ranges: int, quantiles: int = 1024) -> Column:
     return F.when(F.col("id").isNull(), F.lit((len(lows) + 1) * wide) + sliced(F.lit(of_null))).otherwise(place * wide + within).cast("long")
 
 
-def with_next(rows: DataFrame, marks: bytes, n: int, rows_in_range: int = 2000) -> DataFrame:
-    """Of (id, text): with `print`, and `next_text` and `next_print` of the next row by (id, hash of the text), the first after the last."""
+def _dealt(rows: DataFrame, n: int, scratch: Scratch, rows_in_range: int) -> DataFrame:
+    """Of (id, text): dealt by range, with `h` and `range`; and at the end of each range, marked `extra`, the first row of the next one."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    ranged = rows.withColumn("range", _ranges(rows, max(1, min(-(-n // rows_in_range), 10 * partitions))))
-    # the first row of each range; there are at most ten ranges or so for a partition
+    ranged = rows.withColumn("range", _ranges(rows, max(1, min(-(-n // rows_in_range), 10 * partitions)))).withColumn("extra", F.lit(0))
+    # there are at most ten ranges or so for a partition
     firsts = ranged.groupBy("range").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("least"))
     follow = firsts.select("range", "least", F.lag("range").over(Window.orderBy("range")).alias("from"), F.max("range").over(Window.partitionBy()).alias("end"))
     follow = follow.select("range", "least", F.coalesce("from", "end").alias("from"))
     at_first = (F.col("id").eqNullSafe(F.col("least.id"))) & (F.col("h") == F.col("least.h"))
-    first_texts = ranged.join(F.broadcast(follow), "range").where(at_first).groupBy("from").agg(F.min("text").alias("first_text"))
-    first_texts = first_texts.select(F.col("from").alias("range"), "first_text", fingerprint(F.col("first_text"), marks).alias("first_print"))
-    order = Window.partitionBy("range").orderBy(F.col("id").asc_nulls_last(), "h", "text")
-    dealt = ranged.repartition("range").withColumn("print", fingerprint(F.col("text"), marks))
-    led = dealt.select("*", F.lead(F.struct("text", "print")).over(order).alias("next")).join(first_texts, "range", "left")
-    following = lambda c: F.when(F.col("next").isNull(), F.col(f"first_{c}")).otherwise(F.col(f"next.{c}")).alias(f"next_{c}")
-    return led.select("id", "text", "print", following("text"), following("print"))
+    found = ranged.join(F.broadcast(follow), "range").where(at_first).groupBy("from").agg(F.min("text").alias("text"))
+    found = scratch.put(found.select(F.lit(None).cast("long").alias("id"), "text", F.lit(0).cast("long").alias("h"), F.col("from").alias("range"), F.lit(1).alias("extra")))
+    return ranged.select("id", "text", "h", "range", "extra").union(found).repartition("range")
 
 
-def with_fingerprints(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", low: float = 0.001, high: float = 0.1) -> DataFrame:
+def with_fingerprints(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", low: float = 0.001, high: float = 0.1, rows_in_range: int = 2000) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     The edited text has its last half replaced by as much of the next document's beginning.
     """
     rows = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     marks = marks_of(lexicon(rows, low, high))
-    rows = with_next(rows, marks, documents.count())
+    order = Window.partitionBy("range").orderBy("extra", F.col("id").asc_nulls_last(), "h", "text")
+    rows = _dealt(rows, documents.count(), Scratch(documents.sparkSession, "imatch"), rows_in_range)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
-    rows = rows.withColumn("edited_print", fingerprint(F.col("edited"), marks))
+    rows = rows.withColumn("next_text", F.coalesce(F.lead("text").over(order), F.lit(""))).withColumn("n_chars", n.cast("long"))
+    rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
+    rows = rows.withColumn("prints", F.transform(F.array("text", "edited"), lambda t: fingerprint(t, marks)))
+    rows = rows.withColumn("print", F.col("prints")[0]).withColumn("edited_print", F.col("prints")[1]).withColumn("next_print", F.lead("print").over(order)).where("extra = 0")
     return rows.select(
         "id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.array_join("print", ".").alias("fingerprint"),
         F.array_join("edited_print", ".").alias("edited_fingerprint"), likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),

@@ -406,13 +406,11 @@ def _brute_like(a, b):
 
 
 @pytest.mark.parametrize("rows_in_range", [2000, 3])
-def test_fingerprints_against_brute_force(spark, monkeypatch, rows_in_range):
+def test_fingerprints_against_brute_force(spark, rows_in_range):
     # ids in a dense run, far apart, one id in a third of the rows, and null ids
     texts = [t for t in TEXTS if not t or len(t) < 5000]
     rows = [(k, t) for k, t in enumerate(texts[:40])] + [(10**12 * k, t) for k, t in enumerate(texts[40:60], 1)] + [(77, f"{t} {k}") for k, t in enumerate(texts[:30])] + [(None, "null one"), (None, "null two")]
-    whole = imatch.with_next
-    monkeypatch.setattr(imatch, "with_next", lambda r, m, n: whole(r, m, n, rows_in_range))
-    got = imatch.with_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), low=0.05, high=0.5).collect()
+    got = imatch.with_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), low=0.05, high=0.5, rows_in_range=rows_in_range).collect()
     df = {}
     for _, t in rows:
         for w in {w for w in re.split(r"[\x20\x09-\x0D]+", _low(t)) if w}:
