@@ -87,12 +87,30 @@ def block_number(table: pa.Table) -> int:
     return table.column("__block")[0].as_py()
 
 
-def planes(sorted_keys: np.ndarray, width: int = 8) -> np.ndarray:
-    """The low bytes of sorted keys, byte by byte: the high bytes of neighbours agree, so this compresses."""
-    return np.ascontiguousarray(sorted_keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).reshape(-1)
+def by_range(sorted_keys: np.ndarray, n_parts: int, width: int = 8) -> Iterator[tuple[int, np.ndarray, slice]]:
+    """(part, keys, where they stand) of distinct sorted hashes of `width` bytes, dealt in even ranges, so that a part's keys share their first bits."""
+    part = ((sorted_keys >> np.uint64(8 * width - 32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield int(part[a]), sorted_keys[a:b], slice(a, b)
+
+
+def planes(keys: np.ndarray, width: int = 8) -> np.ndarray:
+    """The low bytes of keys, byte by byte: the high bytes of neighbours agree, so this compresses."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).reshape(-1)
 
 
 def from_planes(raw: np.ndarray, width: int = 8) -> np.ndarray:
     out = np.zeros((len(raw) // width, 8), dtype=np.uint8)
     out[:, :width] = raw.reshape(width, -1).T
     return out.reshape(-1).view("<u8")
+
+
+def steps(sorted_keys: np.ndarray, width: int = 8) -> np.ndarray:
+    """Sorted keys by the steps between them, whose high bytes are 0."""
+    return planes(np.diff(sorted_keys, prepend=sorted_keys.dtype.type(0)), width)
+
+
+def from_steps(raw: np.ndarray, width: int = 8) -> np.ndarray:
+    return np.cumsum(from_planes(raw, width), dtype=np.uint64)
