@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The feature names.
 FEATURES = (
     "duration_s", "rms_db", "peak_db", "crest_db", "dc_offset", "zcr", "frac_exact_zero", "lead_silence_s", "trail_silence_s", "noise_floor_db",
     "dyn_range_db", "hf_ratio_7k", "band_7k_8k_ratio", "rolloff_95_hz", "spectral_flatness", "clip_frac",
@@ -82,18 +83,20 @@ def _db(v: float) -> float:
 
 
 def describe(x: np.ndarray, rate: int) -> dict[str, float]:
+    """The features of at least 400 samples. Silence at the ends is exact zeros; the noise floor is the level of the 10th percentile of frames."""
+    if len(x) < 400:
+        raise ValueError("fewer than 400 samples")
     rms, peak = float(np.sqrt(np.mean(x * x))), float(np.abs(x).max())
-    quiet = np.flatnonzero(np.abs(x) > max(peak * 0.01, 1e-6))
-    level = np.array([_db(v) for v in frame_rms(x)])
+    sound = np.flatnonzero(x != 0)
+    low, high = (_db(v) for v in np.percentile(frame_rms(x), [10, 95]))
     size = min(1024, len(x))
     segments = np.lib.stride_tricks.sliding_window_view(x, size)[:: max(1, size // 2)]
     power = (np.abs(np.fft.rfft((segments - segments.mean(1, keepdims=True)) * np.hanning(size), axis=1)) ** 2).mean(0) + 1e-20
     hz = np.fft.rfftfreq(size, 1 / rate)
     total = power.sum()
-    low, high = np.percentile(level, [10, 95])
     values = (
         len(x) / rate, _db(rms), _db(peak), _db(peak) - _db(rms), float(x.mean()), float(np.mean(np.signbit(x[1:]) != np.signbit(x[:-1]))) if len(x) > 1 else 0.0,
-        float(np.mean(x == 0)), (quiet[0] if len(quiet) else len(x)) / rate, (len(x) - 1 - quiet[-1] if len(quiet) else len(x)) / rate, float(low), float(high - low),
+        float(np.mean(x == 0)), (sound[0] if len(sound) else len(x)) / rate, (len(x) - 1 - sound[-1] if len(sound) else len(x)) / rate, low, high - low,
         float(power[hz >= 7000].sum() / total), float(power[(hz >= 7000) & (hz < 8000)].sum() / total), float(hz[np.searchsorted(np.cumsum(power), 0.95 * total)]),
         float(np.exp(np.log(power).mean()) / power.mean()), float(np.mean(np.abs(x) >= 0.999)),
     )
@@ -105,7 +108,7 @@ def mfcc_mean(x: np.ndarray, rate: int = RATE) -> list[float] | None:
     if len(x) < rate // 4 or len(x) < 512 + 9 * 160:
         return None
     frames = np.lib.stride_tricks.sliding_window_view(x, 512)[::160] * np.hamming(512)
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
+    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2 / 512
     mel = np.linspace(0, 2595 * np.log10(1 + rate / 2 / 700), 28)
     edges = np.floor(513 * 700 * (10 ** (mel / 2595) - 1) / rate).astype(int)
     bank = np.zeros((26, power.shape[1]))
@@ -118,6 +121,30 @@ def mfcc_mean(x: np.ndarray, rate: int = RATE) -> list[float] | None:
     return (logs @ basis.T).mean(0).tolist()
 
 
+def headers(frame: DataFrame, content: str = "content") -> DataFrame:
+    """Other columns, with `duration_sec` (3 places), `sample_rate`, `channels`, `valid` (all of them above 0) and `error`, from the files' headers."""
+    fields = [f for f in frame.schema.fields if f.name != content]
+    schema = frame.drop(content).schema
+    added = {"duration_sec": ("double", pa.float64()), "sample_rate": ("integer", pa.int32()), "channels": ("integer", pa.int32()), "valid": ("boolean", pa.bool_()), "error": ("string", pa.string())}
+    for n, (kind, _) in added.items():
+        schema = schema.add(n, kind)
+
+    def one(raw: bytes | None) -> dict:
+        try:
+            with wave.open(io.BytesIO(raw or b"")) as f:
+                n, rate, channels = f.getnframes(), f.getframerate(), f.getnchannels()
+            return {"duration_sec": round(n / rate, 3), "sample_rate": rate, "channels": channels, "valid": n > 0 and rate > 0 and channels > 0}
+        except Exception as bad:  # noqa: BLE001  errors are data here
+            return {"valid": False, "error": f"{type(bad).__name__}: {bad}"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [one(x) for x in batch.column(content).to_pylist()]
+            yield pa.RecordBatch.from_pydict({f.name: batch.column(f.name) for f in fields} | {n: pa.array([r.get(n) for r in rows], k) for n, (_, k) in added.items()})
+
+    return frame.mapInArrow(run, schema)
+
+
 def features(frame: DataFrame, content: str = "content") -> DataFrame:
     """Other columns, the features, `native_sr`, `channels`, `sample_bytes`, `mfcc` and `error`; filter rows before this."""
     fields = [f for f in frame.schema.fields if f.name != content]

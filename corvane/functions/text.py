@@ -40,10 +40,15 @@ def expand_numbers(x: Column, words: dict[int, str]) -> Column:
     pieces = F.split(x, r"(?<=\d)(?!\d)|(?<!\d)(?=\d)")
     at = F.transform(F.sequence(F.lit(0), F.size(pieces) - 1), lambda k: F.struct(
         F.get(pieces, k).alias("own"), F.coalesce(F.get(pieces, k - 1), F.lit("")).alias("before"), F.coalesce(F.get(pieces, k + 1), F.lit("")).alias("after")))
-    free = lambda p: ~p["before"].rlike(r"\w$") & ~p["after"].rlike(r"^\w")
+    free = lambda p: ~p["before"].rlike(r"[\p{L}\p{N}_]$") & ~p["after"].rlike(r"^[\p{L}\p{N}_]")
     return F.array_join(F.transform(at, lambda p: F.when(free(p), F.coalesce(F.try_element_at(table, p["own"]), p["own"])).otherwise(p["own"])), "")
 
 
+def whole_numbers(x: Column) -> Column:
+    """The numbers of a text that stand between word borders: the runs of word characters that are all digits."""
+    return F.filter(F.regexp_extract_all(x, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: w.rlike("^[0-9]+$"))
+
+
 def expand_single_digit(x: Column, saying: Column) -> Column:
     """Each lone digit 1-9 as the saying; texts without a saying stay."""
     safe = F.regexp_replace(saying, r"([\\$])", r"\\$1")

@@ -57,3 +57,23 @@ def config_diff(spark: SparkSession, a: dict, b: dict, allowed: tuple[str, ...])
     for p in allowed:
         ok = ok | F.col("key").startswith(p)
     return both.select("key", F.coalesce("left_value", F.lit(ABSENT)).alias("left_value"), F.coalesce("right_value", F.lit(ABSENT)).alias("right_value"), ok.alias("allowed"))
+
+
+def derived_config(base: dict, patch: dict[str, object], allowed: tuple[str, ...]) -> dict:
+    """The base with dotted keys of `patch` set. A patch that moves a key outside `allowed`, or nothing, is an error."""
+    import copy
+
+    out = copy.deepcopy(base)
+    for key, value in patch.items():
+        *folders, last = key.split(".")
+        at = out
+        for f in folders:
+            at = at.setdefault(f, {})
+        at[last] = value
+    before, after = flatten(base), flatten(out)
+    moved = [k for k in before.keys() | after.keys() if before.get(k, ABSENT) != after.get(k, ABSENT)]
+    if wrong := sorted(k for k in moved if not k.startswith(allowed)):
+        raise ValueError(f"keys that may not change: {', '.join(wrong)}")
+    if not moved:
+        raise ValueError("the patch changes nothing")
+    return out

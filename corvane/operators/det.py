@@ -20,6 +20,10 @@ def zero_safe(a: Column, b: Column) -> Column:
     return F.coalesce(ratio(a, b), F.lit(0.0))
 
 
+def finite(x: Column) -> Column:
+    return F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+
+
 def _cuts(scored: DataFrame, slices: int) -> list[float]:
     found = scored.agg(F.percentile_approx("score", [k / slices for k in range(1, slices)], 1000)).first()[0]
     return sorted(set(found or []))

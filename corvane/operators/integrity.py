@@ -96,6 +96,41 @@ def loso_checks(rows: DataFrame, held: str) -> DataFrame:
     )
 
 
+def loso_pair(rows: DataFrame, pool: DataFrame, held: str, known: str, seed: str) -> DataFrame:
+    """One long manifest with `part`: train and val without the held-out system, and two tests of as many spoofs each,
+    `matched` of the known system and `unseen` of the held-out one, against one pool of the genuine twins of both."""
+    fit = rows.where((F.col("split") != "test") & (F.col("method") != held))
+    fit = fit.unionByName(pool.join(fit.select("stem").distinct(), "stem", "left_semi").select(*fit.columns)).withColumn("part", F.col("split"))
+    trimmed, twins = test_pair(rows.where("split = 'test'"), pool.where("split = 'test'"), [known, held], seed)
+    tests = trimmed.withColumn("part", F.when(F.col("method") == held, "unseen").otherwise("matched"))
+    genuine = pool.join(twins, "id", "left_semi").select(*rows.columns)
+    both = genuine.withColumn("part", F.explode(F.array(F.lit("matched"), F.lit("unseen"))))
+    return fit.unionByName(tests.select(*fit.columns)).unionByName(both.select(*fit.columns))
+
+
+def loso_pair_checks(rows: DataFrame, held: str) -> DataFrame:
+    """(check, violations) of such a pair; all 0 if it holds. Each of speakers, clips and parts is grouped once."""
+    spoof = F.col("method") != "none"
+    of = lambda part, x=F.lit(True): F.coalesce(F.max((F.col("part") == part) & x), F.lit(False))
+    parts = ("train", "val", "matched", "unseen")
+    speakers = rows.groupBy("speaker").agg(*[of(p).alias(p) for p in parts])
+    shared = [F.count_if(F.col(a) & F.col(b)).alias(f"speakers of {a} in {b}") for a, b in (("train", "val"), ("train", "matched"), ("train", "unseen"), ("val", "matched"), ("val", "unseen"))]
+    clips = rows.groupBy("id").agg(*[of(p, spoof).alias(f"s_{p}") for p in parts], *[of(p, ~spoof).alias(f"b_{p}") for p in parts])
+    pools = [F.count_if(F.col("s_matched") & F.col("s_unseen")).alias("spoof in both tests"), F.count_if(F.col("b_matched") != F.col("b_unseen")).alias("genuine clip in one test only")]
+    in_part = lambda p, x: F.count_if((F.col("part") == p) & x)
+    counts = rows.agg(
+        F.count_if((F.col("method") == held) & (F.col("part") != "unseen")).alias("held-out system outside its test"),
+        in_part("unseen", spoof & (F.col("method") != held)).alias("other system in the unseen test"),
+        sum(((in_part(p, spoof) == 0) | (in_part(p, ~spoof) == 0)).cast("long") for p in parts).alias("part without both classes"),
+        F.abs(in_part("matched", spoof) - in_part("unseen", spoof)).alias("spoofs of one test more than of the other"),
+    )
+    out = None
+    for wide in (speakers.agg(*shared), clips.agg(*pools), counts):
+        long = wide.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in wide.columns]), F.array(*[F.col(f"`{c}`").cast("long") for c in wide.columns]))).alias("check", "violations"))
+        out = long if out is None else out.union(long)
+    return out
+
+
 def pair_checks(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """(check, violations) of a source-target map."""
     split_of = members.select(F.col("member").alias("target"), F.col("split").alias("__other"))

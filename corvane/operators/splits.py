@@ -55,8 +55,11 @@ def per_group_share(frame: DataFrame, group: str, key: str, fraction: float, tar
 
 
 def quotas(counts: dict[str, int], shares: dict[str, float], total: int) -> dict[str, int]:
-    """Shares of a total, capped by what there is; what is left goes one by one to the bin with most room."""
-    out = {b: min(counts.get(b, 0), round(total * shares[b])) for b in shares}
+    """Shares of a total, the last bin's being what the others leave, capped by what there is; what is left goes one by one to the bin with most room."""
+    *first, last = shares
+    due = {b: round(total * shares[b]) for b in first}
+    due[last] = total - sum(due.values())
+    out = {b: min(counts.get(b, 0), max(0, n)) for b, n in due.items()}
     left = min(total, sum(counts.get(b, 0) for b in shares)) - sum(out.values())
     while left > 0:
         room = {b: counts.get(b, 0) - out[b] for b in shares}
@@ -94,6 +97,18 @@ def greedy_cover(frame: DataFrame, group: str, key: str, length: str, *, target:
     return body.select(*frame.columns, "place").unionByName(last.select(*frame.columns, "place"))
 
 
+def reference(frame: DataFrame, group: str, key: str, length: str, *, target: float, usable: Column, seed: str = "reference") -> DataFrame:
+    """For each group the usable rows of its draw until their lengths reach the target: rows before which less than that had come."""
+    rows = ranked(frame.where(usable), [group], seed, key)
+    ahead = F.coalesce(F.sum(length).over(Window.partitionBy(group).orderBy("__rn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("__ahead", ahead).where(F.col("__ahead") < target).select(*frame.columns, F.col("__rn").cast("long").alias("place"))
+
+
+def at_most(frame: DataFrame, group: str, key: str, n: int, seed: str) -> DataFrame:
+    """At most n rows of each group, the first of its draw."""
+    return ranked(frame, [group], seed, key).where(F.col("__rn") <= n).select(*frame.columns)
+
+
 def derangement(frame: DataFrame, group: str, key: str, seed: str) -> DataFrame:
     """(group, source, target): a one-to-one map without fixed points in each group of two or more."""
     rows = ranked(frame, [group], seed, key)

@@ -23,12 +23,6 @@ def mean_vector(frame: DataFrame, groups: list[str], vector: str) -> DataFrame:
     return packed.select(*groups, F.transform("__v", lambda x: x["__m"]).alias("mean"))
 
 
-def centred(frame: DataFrame, vector: str) -> DataFrame:
-    """Vectors less the mean of all, scaled to length one. The mean is one row, so it is broadcast."""
-    mean = mean_vector(frame, [], vector)
-    return frame.crossJoin(F.broadcast(mean)).withColumn(vector, unit(F.zip_with(vector, "mean", lambda x, m: x - m))).drop("mean")
-
-
 def gallery_ranks(probes: DataFrame, gallery: DataFrame, max_gallery: int = 10_000) -> DataFrame:
     """(probe, member, sim, rank): every probe against a gallery of bounded size, broadcast.
 
@@ -43,6 +37,21 @@ def gallery_ranks(probes: DataFrame, gallery: DataFrame, max_gallery: int = 10_0
     return pairs.withColumn("rank", rank).select("probe", "member", "sim", "rank")
 
 
+def own_ranks(probes: DataFrame, gallery: DataFrame, max_gallery: int = 10_000) -> DataFrame:
+    """(probe, own, rank): where each probe's own member ranks: one more than the members above it, ties by name.
+
+    Probes meet the broadcast gallery where they are and are counted there, so one row of each is shuffled, not one of each pair.
+    """
+    size = gallery.limit(max_gallery + 1).count()
+    if size > max_gallery:
+        raise ValueError(f"a gallery of more than {max_gallery} vectors")
+    members = F.broadcast(gallery.select(F.col("label").alias("member"), F.col("vector").alias("__g")))
+    own = probes.join(members, F.col("own") == F.col("member")).withColumn("__own", F.round(dot(F.col("vector"), F.col("__g")), 9)).drop("member", "__g")
+    sim = F.round(dot(F.col("vector"), F.col("__g")), 9)
+    above = own.join(members).select("probe", "own", ((sim > F.col("__own")) | ((sim == F.col("__own")) & (F.col("member") < F.col("own")))).alias("__above"))
+    return above.groupBy("probe", "own").agg((F.count_if("__above") + 1).alias("rank"))
+
+
 def median_pairwise(frame: DataFrame, group: str, key: str, vector: str) -> DataFrame:
     """(group, pairs, median) of the cosines of all pairs within a group, which must be small groups."""
     a = frame.select(group, F.col(key).alias("__a"), F.col(vector).alias("__x"))

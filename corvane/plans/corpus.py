@@ -97,16 +97,25 @@ _CL = r"""q AS (SELECT *, CASE WHEN length(text) >= 2 AND starts_with(text, '"')
   cl AS (SELECT *, trim(regexp_replace(regexp_replace(t1, '\s*\([^)]*\)', '', 'g'), '\s+', ' ', 'g')) AS cleaned FROM q)"""
 
 
-@query("transcript_clean", f"WITH {_G}, {_CL} SELECT conv_id, turn, md5(cleaned) AS cleaned_md5, length(cleaned) AS length FROM cl WHERE source = 'user' AND NOT regexp_matches(cleaned, '[0-9]')")
+_WORDS = "map {" + ", ".join(f"'{n}': '{w}'" for n, w in tx.number_words().items()) + "}"
+_XP = rf"""x AS (SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(regexp_replace(t1, '\s*\([^)]*\)', '', 'g'), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+'),
+    lambda w: coalesce({_WORDS}[w], w)), '') AS t2 FROM q WHERE source = 'user'), e AS (SELECT conv_id, turn, trim(regexp_replace(t2, '\s+', ' ', 'g')) AS cleaned FROM x)"""
+
+
+@query("transcript_clean", f"WITH {_G}, {_CL}, {_XP} SELECT conv_id, turn, md5(cleaned) AS cleaned_md5, length(cleaned) AS length FROM e")
 def transcript_clean(spark, sf_dir):
-    """Cleaned user turns; those with digits are left to the number queries."""
-    cleaned = tx.clean(F.col("text"))
-    rows = utterances(spark, sf_dir).where("source = 'user'").withColumn("cleaned", cleaned).where(~F.col("text").rlike("[0-9]") | ~F.col("cleaned").rlike("[0-9]"))
-    plain = tx.collapse_blanks(tx.strip_parentheses(tx.strip_outer_quotes(F.col("text"))))
-    rows = rows.where(~plain.rlike("[0-9]"))
+    """All user turns, cleaned."""
+    rows = utterances(spark, sf_dir).where("source = 'user'").withColumn("cleaned", tx.clean(F.col("text")))
     return rows.select("conv_id", "turn", F.md5(F.col("cleaned").cast("binary")).alias("cleaned_md5"), F.char_length("cleaned").cast("long").alias("length"))
 
 
+@query("expand_numbers", rf"""WITH w AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+'), lambda w: coalesce({_WORDS}[w], w)), '') AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, md5(t) AS text_md5 FROM w""")
+def expand_numbers(spark, sf_dir):
+    """Texts with their numbers from 10 to 100 in words."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    return d.select("doc_id", F.md5(tx.expand_numbers(F.col("text"), tx.number_words()).cast("binary")).alias("text_md5"))
+
+
 _REASON = "CASE WHEN starts_with(source, 'sys') THEN 'excluded source' WHEN source = 'assistant' THEN 'digit mode' WHEN cleaned = '' THEN 'empty' ELSE 'kept' END"
 
 
@@ -124,11 +133,14 @@ def find_numbers(spark, sf_dir):
     return d.select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(r"(\d+)"), F.lit(1)), ",").alias("numbers"))
 
 
-@query("detect_numbers_explode", r"WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '\d+')) AS n, generate_subscripts(regexp_extract_all(text, '\d+'), 1) AS place FROM documents) SELECT doc_id, place::BIGINT AS place, n::INTEGER AS number FROM e WHERE length(n) <= 3 AND NOT starts_with(n, '0') AND n::BIGINT BETWEEN 10 AND 100")
+_NUM = r"list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[0-9]+'))"
+
+
+@query("detect_numbers_explode", f"WITH e AS (SELECT doc_id, unnest({_NUM}) AS n, generate_subscripts({_NUM}, 1) AS place FROM documents) SELECT doc_id, place::BIGINT AS place, n::INTEGER AS number FROM e WHERE length(n) <= 3 AND NOT starts_with(n, '0') AND n::BIGINT BETWEEN 10 AND 100")
 def detect_numbers_explode(spark, sf_dir):
-    """One row for each number of the word map in a text, with its place among the text's numbers."""
+    """One row for each number of the word map that stands between word borders, with its place among such numbers."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = d.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\d+)"), F.lit(1))).alias("place", "n"))
+    rows = d.select("doc_id", F.posexplode(tx.whole_numbers(F.col("text"))).alias("place", "n"))
     known = [str(n) for n in tx.number_words()]
     return rows.where(F.col("n").isin(known)).select("doc_id", (F.col("place") + 1).cast("long").alias("place"), F.col("n").cast("int").alias("number"))
 

@@ -204,7 +204,8 @@ def bootstrap_paired_diff(spark, sf_dir):
 )
 def directional_eer(spark, sf_dir):
     """The better of a score and its negative, for groups of ten values or more."""
-    pool = det.shared_pool(scored(spark, sf_dir), "system")
+    rows = scored(spark, sf_dir)
+    pool = det.shared_pool(rows.where(det.finite(F.col("score"))), "system")
     up = det.eer(pool, ["system"]).where("n_bona + n_spoof >= 10").select("system", F.col("eer").alias("up"))
     down = det.eer(pool.withColumn("score", -F.col("score")), ["system"]).select("system", F.col("eer").alias("down"))
     return up.join(down, "system").select("system", F.round(F.least("up", "down"), 9).alias("eer"), F.when(F.col("up") <= F.col("down"), 1).otherwise(-1).alias("sign"))

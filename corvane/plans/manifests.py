@@ -41,8 +41,8 @@ def split_speakers(spark, sf_dir):
 
 @query("split_summary", f"WITH {_S} SELECT split, stratum, count(*) AS members FROM s GROUP BY GROUPING SETS ((split), (split, stratum))")
 def split_summary(spark, sf_dir):
-    split_members(spark, sf_dir).createOrReplaceTempView("__split_members")
-    return spark.sql("SELECT split, stratum, count(*) AS members FROM __split_members GROUP BY GROUPING SETS ((split), (split, stratum))")
+    sets = split_members(spark, sf_dir).groupingSets([["split"], ["split", "stratum"]], "split", "stratum")
+    return sets.agg(F.count("*").alias("members"))
 
 
 @query("split_disjointness", f"WITH {_S} SELECT a.split AS split_a, b.split AS split_b, count(*) AS shared FROM s a JOIN s b ON a.nation = b.nation AND a.split < b.split GROUP BY ALL UNION ALL SELECT 'members', 'members', 0 FROM (SELECT 1) WHERE NOT EXISTS (SELECT 1 FROM s a JOIN s b ON a.member = b.member AND a.split < b.split)")
@@ -240,7 +240,53 @@ def batch_page(spark, sf_dir):
     return splits.page(members(spark, sf_dir).select("member"), "member", 3)
 
 
-@query("corpus_balance", f"WITH {_C}, disk AS (SELECT method, count(*) AS on_disk FROM spoof GROUP BY 1), ex AS (SELECT method, count(*) AS excluded FROM lost GROUP BY 1), ma AS (SELECT method, count(*) AS listed FROM kept GROUP BY 1) SELECT method, coalesce(on_disk, 0) AS on_disk, coalesce(excluded, 0) AS excluded, coalesce(listed, 0) AS listed, coalesce(on_disk, 0) - coalesce(excluded, 0) = coalesce(listed, 0) AS balanced FROM disk FULL JOIN ex USING (method) FULL JOIN ma USING (method)")
+@query("corpus_balance", f"WITH {_SC}, disk AS (SELECT method, count(*) AS on_disk FROM spoof GROUP BY 1), ex AS (SELECT method, count(*) AS excluded FROM lost GROUP BY 1), ma AS (SELECT method, count(*) AS listed FROM k GROUP BY 1) SELECT method, coalesce(on_disk, 0) AS on_disk, coalesce(excluded, 0) AS excluded, coalesce(listed, 0) AS listed, coalesce(on_disk, 0) - coalesce(excluded, 0) = coalesce(listed, 0) AS balanced FROM disk FULL JOIN ex USING (method) FULL JOIN ma USING (method)")
 def corpus_balance(spark, sf_dir):
+    """What is on disk less what is unpaired, against the manifests of all splits."""
     bona, spoof = clips(spark, sf_dir)
-    return integrity.balance(spoof, integrity.unpaired(bona, spoof), integrity.paired(bona, spoof), "method")
+    return integrity.balance(spoof, integrity.unpaired(bona, spoof), split_clips(spark, sf_dir)[0], "method")
+
+
+_LP = f"""{_SC}, fs AS (SELECT * FROM k WHERE split <> 'test' AND method <> 'R'), sd AS (SELECT * FROM k WHERE split = 'test' AND method IN ('A', 'R')), sq AS {_ranked('sd', 'method', 'pair', 'id')},
+  tr AS (SELECT id, speaker, method, stem FROM sq WHERE rn <= (SELECT min(n) FROM sq)), gp AS (SELECT DISTINCT id, speaker, method, stem FROM pool WHERE split = 'test' AND stem IN (SELECT stem FROM tr)),
+  lp AS (SELECT id, speaker, method, split AS part FROM fs UNION ALL SELECT id, speaker, method, split FROM pool WHERE stem IN (SELECT stem FROM fs) UNION ALL
+    SELECT id, speaker, method, CASE method WHEN 'R' THEN 'unseen' ELSE 'matched' END FROM tr UNION ALL SELECT id, speaker, method, p FROM gp, (VALUES ('matched'), ('unseen')) v(p))"""
+
+
+def _loso_pair(spark, sf_dir) -> DataFrame:
+    kept, pool = split_clips(spark, sf_dir)
+    return integrity.loso_pair(kept, pool, "R", "A", "pair")
+
+
+@query("loso_pair", f"WITH {_LP} SELECT part, method, count(*) AS clips, count(DISTINCT speaker) AS speakers FROM lp GROUP BY 1, 2")
+def loso_pair(spark, sf_dir):
+    return _loso_pair(spark, sf_dir).groupBy("part", "method").agg(F.count("*").alias("clips"), F.countDistinct("speaker").alias("speakers"))
+
+
+def _met(a: str, b: str) -> str:
+    return f"SELECT 'speakers of {a} in {b}' AS check, count(*) AS violations FROM (SELECT speaker FROM lp WHERE part = '{a}' INTERSECT SELECT speaker FROM lp WHERE part = '{b}')"
+
+
+@query(
+    "loso_pair_checks",
+    f"""WITH {_LP} {" UNION ALL ".join(_met(a, b) for a, b in (("train", "val"), ("train", "matched"), ("train", "unseen"), ("val", "matched"), ("val", "unseen")))}
+    UNION ALL SELECT 'spoof in both tests', count(*) FROM (SELECT id FROM lp WHERE method <> 'none' AND part = 'matched' INTERSECT SELECT id FROM lp WHERE method <> 'none' AND part = 'unseen')
+    UNION ALL SELECT 'genuine clip in one test only', count(*) FROM (SELECT id FROM lp WHERE method = 'none' AND part IN ('matched', 'unseen') GROUP BY id HAVING count(DISTINCT part) = 1)
+    UNION ALL SELECT 'held-out system outside its test', count(*) FROM lp WHERE method = 'R' AND part <> 'unseen' UNION ALL SELECT 'other system in the unseen test', count(*) FROM lp WHERE part = 'unseen' AND method NOT IN ('R', 'none')
+    UNION ALL SELECT 'part without both classes', count(*) FROM (VALUES ('train'), ('val'), ('matched'), ('unseen')) v(p) WHERE NOT EXISTS (SELECT 1 FROM lp WHERE part = p AND method = 'none') OR NOT EXISTS (SELECT 1 FROM lp WHERE part = p AND method <> 'none')
+    UNION ALL SELECT 'spoofs of one test more than of the other', abs(count(*) FILTER (part = 'matched' AND method <> 'none') - count(*) FILTER (part = 'unseen' AND method <> 'none')) FROM lp""",
+)
+def loso_pair_checks(spark, sf_dir):
+    return integrity.loso_pair_checks(_loso_pair(spark, sf_dir), "R")
+
+
+@query("reference_build", f"WITH d AS (SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en'), r AS {_ranked('d', 'source', 'vcref', 'doc_id')}, a AS (SELECT *, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM r) SELECT doc_id, source, n_chars, rn AS place FROM a WHERE ahead < 20000")
+def reference_build(spark, sf_dir):
+    """English documents of each source until they come to 20,000 characters; the language stands for the sample rate."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "n_chars", "lang")
+    return splits.reference(docs, "source", "doc_id", "n_chars", target=20000, usable=F.col("lang") == "en", seed="vcref").drop("lang")
+
+
+@query("dry_run_sample", f"WITH d AS (SELECT doc_id, source FROM documents), r AS {_ranked('d', 'source', 'dry', 'doc_id')} SELECT doc_id, source FROM r WHERE rn <= 400")
+def dry_run_sample(spark, sf_dir):
+    return splits.at_most(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"), "source", "doc_id", 400, "dry")

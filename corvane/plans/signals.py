@@ -33,28 +33,27 @@ _RANK = f"""{_CENT}, mu AS (SELECT list(m ORDER BY d) AS mu FROM (SELECT d, avg(
   rk AS (SELECT probe, pr.label AS own, gal.label AS member, round(list_dot_product(p, g), 9) AS sim FROM pr, gal), rr AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY sim DESC, member) AS rank FROM rk)"""
 
 
-def _ranks(spark, sf_dir) -> DataFrame:
+def _ranks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """((probe, own, rank), the gallery)"""
     rows = vecs(spark, sf_dir)
     means = vectors.mean_vector(rows, ["label"], "vector").withColumnRenamed("mean", "vector")
     middle = vectors.mean_vector(means, [], "vector")
     shift = lambda x: x.crossJoin(F.broadcast(middle)).withColumn("vector", vectors.unit(F.zip_with("vector", "mean", lambda a, m: a - m))).drop("mean")
     probes = shift(rows).select(F.col("vec_id").alias("probe"), F.col("label").alias("own"), "vector")
-    ranked = vectors.gallery_ranks(probes.select("probe", "vector"), shift(means))
-    return ranked.join(probes.select("probe", "own"), "probe")
+    return vectors.own_ranks(probes, shift(means)), means
 
 
 @query("centred_rank", f"WITH {_RANK} SELECT probe, own, rank FROM rr WHERE member = own")
 def centred_rank(spark, sf_dir):
     """Where each probe's own label ranks in the gallery of centred centroids."""
-    return _ranks(spark, sf_dir).where("member = own").select("probe", "own", "rank")
+    return _ranks(spark, sf_dir)[0]
 
 
 @query("identity_probe", f"WITH {_RANK}, o AS (SELECT * FROM rr WHERE member = own) SELECT count(*) AS probes, median(rank)::DOUBLE AS median_rank, count(*) FILTER (rank <= 5) AS in_top_5, ((SELECT count(*) FROM gal) + 1) / 2.0::DOUBLE AS chance, median(rank) < ((SELECT count(*) FROM gal) + 1) / 2.0 AS better FROM o")
 def identity_probe(spark, sf_dir):
-    ranked = _ranks(spark, sf_dir)
-    size = ranked.agg(F.countDistinct("member").alias("n"))
-    out = ranked.where("member = own").agg(F.count("*").alias("probes"), F.median("rank").alias("median_rank"), F.count_if(F.col("rank") <= 5).alias("in_top_5"))
-    out = out.crossJoin(F.broadcast(size)).withColumn("chance", (F.col("n") + 1) / 2.0).drop("n")
+    ranked, gallery = _ranks(spark, sf_dir)
+    out = ranked.agg(F.count("*").alias("probes"), F.median("rank").alias("median_rank"), F.count_if(F.col("rank") <= 5).alias("in_top_5"))
+    out = out.crossJoin(F.broadcast(gallery.agg(F.count("*").alias("n")))).withColumn("chance", (F.col("n") + 1) / 2.0).drop("n")
     return out.withColumn("better", F.col("median_rank") < F.col("chance"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-HEADER = r'^\s*([^=]+?)\s*=\s*"(.*)"\s*$'
+# The line grammars.
+HEADER = r'^\s*([^=]+?)\s*=\s*"?(.*?)"?\s*$'
 LINE = r'^(\S+\.wav)\s+"([^"]*)"\s+(.*)$'
 AUDIO = r'(?i)^(.+?\.(wav|flac|mp3|ogg|m4a))\s+"[^"]+"\s+"(.*)"\s*$'
 PREDICTION = r"^(.*),([^,]*),([^,]*),([^,]*)$"
@@ -16,11 +17,11 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def header_fields(frame: DataFrame, wanted: list[str], by: str = "path") -> DataFrame:
-    """One row per log with the wanted `key = "value"` fields; a field given twice keeps the larger line's value."""
+def header_fields(frame: DataFrame, wanted: list[str], by: str = "path", order: str = "line") -> DataFrame:
+    """One row per log with the wanted `key = "value"` fields, quotes optional; of a field given twice the last line by `order` wins."""
     key = F.regexp_extract("value", HEADER, 1)
-    found = frame.where(key.isin(wanted)).select(by, key.alias("k"), F.regexp_extract("value", HEADER, 2).alias("v"))
-    return found.groupBy(by).pivot("k", wanted).agg(F.max("v"))
+    found = frame.where(key.isin(wanted)).select(by, order, key.alias("k"), F.regexp_extract("value", HEADER, 2).alias("v"))
+    return found.groupBy(by).pivot("k", wanted).agg(F.max_by("v", order))
 
 
 def utterances(value: Column, skip_eq: bool = True) -> Column:
@@ -36,10 +37,11 @@ def utterances(value: Column, skip_eq: bool = True) -> Column:
 
 
 def quote_split(value: Column) -> Column:
-    """(file, source) by splitting at quotes; null if there are fewer than three parts or no .wav comes first."""
+    """(file, source) by splitting at quotes; null if there are fewer than three parts, no .wav comes first, or the line is a header with `=`."""
     parts = F.split(value, '"')
     file = F.trim(F.get(parts, 0))
-    return F.when((F.size(parts) >= 3) & file.endswith(".wav"), F.struct(file.alias("file"), F.get(parts, 1).alias("source")))
+    ok = (F.size(parts) >= 3) & file.endswith(".wav") & ~file.contains("=")
+    return F.when(ok, F.struct(file.alias("file"), F.trim(F.get(parts, 1)).alias("source")))
 
 
 def random_digits(value: Column) -> Column:
@@ -63,12 +65,20 @@ def key_value(value: Column, separator: str = " - ") -> Column:
 def predictions(spark: SparkSession, path: str) -> DataFrame:
     """(id, label, s0, s1, score): the last three fields are split from the right, so ids may hold commas.
 
-    A file without both classes, or with a line of fewer than four fields, is an error when it is read.
+    A file without a header that starts with id_audio, or without both classes, is an error at once; a line of fewer
+    than four fields is one when it is read. Blank lines are skipped.
     """
+    head = spark.read.text(path).where("trim(value) <> ''").first()
+    if head is None or not head[0].lower().startswith("id_audio"):
+        raise ValueError(f"no header that starts with ID_audio: {path}")
     raw = spark.read.text(path).where("trim(value) <> '' and lower(value) not like 'id_audio%'")
     fields = [F.regexp_extract("value", PREDICTION, k) for k in (1, 2, 3, 4)]
     checked = F.when(F.col("value").rlike(PREDICTION), fields[0]).otherwise(F.raise_error(F.concat(F.lit("a prediction line needs four fields: "), "value")))
-    return raw.select(checked.alias("id"), fields[1].cast("int").alias("label"), fields[2].cast("double").alias("s0"), fields[3].cast("double").alias("s1")).withColumn("score", F.col("s1") - F.col("s0"))
+    rows = raw.select(checked.alias("id"), fields[1].cast("int").alias("label"), fields[2].cast("double").alias("s0"), fields[3].cast("double").alias("s1")).withColumn("score", F.col("s1") - F.col("s0"))
+    ones, zeros = rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+    if not ones or not zeros:
+        raise ValueError(f"both classes are needed: {ones} rows of label 1, {zeros} of label 0")
+    return rows
 
 
 def first_wins(frame: DataFrame, key: list[str], order: str) -> DataFrame:

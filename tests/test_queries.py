@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from corvane.plans import catalogue
@@ -14,7 +15,7 @@ NAMES = sorted(catalogue.oracle_sql())
 
 
 def _plain(x):
-    if x is None or x != x:
+    if pd.isna(x):
         return None
     return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
