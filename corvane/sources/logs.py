@@ -72,9 +72,9 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
     if head is None or not head[0].lower().startswith("id_audio"):
         raise ValueError(f"no header that starts with ID_audio: {path}")
     raw = spark.read.text(path).where("trim(value) <> '' and lower(value) not like 'id_audio%'")
-    fields = [F.regexp_extract("value", PREDICTION, k) for k in (1, 2, 3, 4)]
-    checked = F.when(F.col("value").rlike(PREDICTION), fields[0]).otherwise(F.raise_error(F.concat(F.lit("a prediction line needs four fields: "), "value")))
-    rows = raw.select(checked.alias("id"), fields[1].cast("int").alias("label"), fields[2].cast("double").alias("s0"), fields[3].cast("double").alias("s1")).withColumn("score", F.col("s1") - F.col("s0"))
+    checked = F.when(F.col("value").rlike(PREDICTION), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("a prediction line needs four fields: "), "value")))
+    name, label, s0, s1 = (F.regexp_extract(checked, PREDICTION, k) for k in (1, 2, 3, 4))
+    rows = raw.select(name.alias("id"), label.cast("int").alias("label"), s0.cast("double").alias("s0"), s1.cast("double").alias("s1")).withColumn("score", F.col("s1") - F.col("s0"))
     ones, zeros = rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     if not ones or not zeros:
         raise ValueError(f"both classes are needed: {ones} rows of label 1, {zeros} of label 0")
