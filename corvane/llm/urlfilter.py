@@ -94,5 +94,6 @@ URL_FORMS = ("http://www.{}.com/index.html", "https://{}.example.net/en/12", "ht
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """The small labelled table (url, label): 1 for block. Every word of both lists in every form, 200 rows."""
-    rows = [(form.format(word), label) for label, words in ((1, BLOCKED_WORDS), (0, ALLOWED_WORDS)) for word in words for form in URL_FORMS]
-    return spark.createDataFrame(rows, "url string, label int")
+    words = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(label).alias("label")) for label, words in ((1, BLOCKED_WORDS), (0, ALLOWED_WORDS)) for w in words])
+    rows = spark.range(1).select(F.explode(words).alias("w")).select("w.*", F.explode(F.array(*[F.lit(f) for f in URL_FORMS])).alias("form"))
+    return rows.select(F.replace("form", F.lit("{}"), F.col("word")).alias("url"), "label")
