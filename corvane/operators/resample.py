@@ -6,6 +6,11 @@ drew as often as it drew it, so the sweep over its rows stays exact.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,13 +36,54 @@ def numbered(frame: DataFrame, strata: list[str], order: list[str]) -> DataFrame
     return frame.withColumn("k", (F.row_number().over(Window.partitionBy(*strata).orderBy(*order)) - 1).cast("long"))
 
 
-def class_bootstrap(scored: DataFrame, n_boot: int, seed: str = "boot") -> DataFrame:
-    """(b, eer) of replicates that redraw each class."""
-    rows = numbered(scored.select("id", "score", "bona"), ["bona"], ["id"])
+def class_bootstrap(scored: DataFrame, n_boot: int, seed: str = "boot", most_rows: int = 2_000_000) -> DataFrame:
+    """(b, eer) of replicates that redraw each class.
+
+    Up to `most_rows` rows go to every worker, where a replicate is how often each sorted row is drawn; larger tables
+    are drawn and swept by joins and shuffles, with the same results.
+    """
+    rows = scored.select("id", "score", "bona")
+    if rows.limit(most_rows + 1).count() <= most_rows:
+        return _class_bootstrap_in_workers(rows, n_boot, seed)
+    rows = numbered(rows, ["bona"], ["id"])
     drawn = draws(scored.sparkSession, n_boot, rows, ["bona"], seed).join(rows, ["bona", "k"])
     return eer(drawn.select("b", F.concat_ws("-", "id", "slot").alias("id"), "score", "bona"), ["b"])
 
 
+def _class_bootstrap_in_workers(rows: DataFrame, n_boot: int, seed: str) -> DataFrame:
+    base = rows.toPandas()
+    base["k"] = base.sort_values("id").groupby("bona").cumcount()
+    base["tie"] = base["id"].astype(str) + "-"
+    base = base.sort_values(["score", "tie"])
+    bona, k = base["bona"].to_numpy(bool), base["k"].to_numpy()
+    context = rows.sparkSession.sparkContext
+    shared = context.broadcast((bona, k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bona, k = shared.value
+        sizes = {True: int(bona.sum()), False: int((~bona).sum())}
+        for batch in batches:
+            numbers = batch.column("b").to_pylist()
+            rates = [_rate_of(bona, k, sizes, seed, b) if all(sizes.values()) else None for b in numbers]
+            yield pa.RecordBatch.from_pydict({"b": batch.column("b"), "eer": pa.array(rates, pa.float64())})
+
+    return rows.sparkSession.range(0, n_boot, 1, min(n_boot, 4 * context.defaultParallelism)).select(F.col("id").alias("b")).mapInArrow(run, "b long, eer double")
+
+
+def _rate_of(bona: np.ndarray, k: np.ndarray, sizes: dict[bool, int], seed: str, b: int) -> float:
+    """The equal error rate of one replicate: how often each sorted row is drawn, then running counts."""
+    times = np.zeros(len(bona), dtype=np.int64)
+    for of, n in sizes.items():
+        head = f"{seed}-{'true' if of else 'false'}-{b}-".encode()
+        drawn = np.frombuffer(b"".join([hashlib.md5(head + b"%d" % slot).digest()[:4] for slot in range(n)]), dtype=">u4").astype(np.int64) % n
+        times[bona == of] = np.bincount(drawn, minlength=n)[k[bona == of]]
+    kind = np.repeat(bona, times)
+    frr = np.cumsum(kind) / sizes[True]
+    far = 1 - np.cumsum(~kind) / sizes[False]
+    at = int(np.argmin(np.abs(frr - far)))
+    return float((frr[at] + far[at]) / 2)
+
+
 def cluster_bootstrap(scored: DataFrame, cluster: str, models: list[str], n_boot: int, seed: str = "cluster") -> DataFrame:
     """(b, model, eer) of replicates that redraw clusters with all their rows, one draw for all models.
 

@@ -91,3 +91,9 @@ def test_registered_bootstraps_draw_a_thousand_replicates(spark):
         rates.append(_numpy_eer(drawn)[0])
     assert got["n_boot"] == 1000
     assert (got["low"], got["high"]) == pytest.approx(tuple(np.percentile(rates, [2.5, 97.5])))
+
+
+def test_class_bootstrap_is_the_same_by_joins_and_in_workers(spark):
+    rows = spark.createDataFrame([(k, float(k * 7 % 23), k % 3 == 0) for k in range(60)], "id long, score double, bona boolean")
+    small, large = (resample.class_bootstrap(rows, 12, most_rows=n).orderBy("b").collect() for n in (100, 10))
+    assert [(r["b"], round(r["eer"], 12)) for r in small] == [(r["b"], round(r["eer"], 12)) for r in large] and len(small) == 12
