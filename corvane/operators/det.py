@@ -24,20 +24,39 @@ def finite(x: Column) -> Column:
     return F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
 
 
-def _cuts(scored: DataFrame, slices: int) -> list[float]:
-    found = scored.agg(F.percentile_approx("score", [k / slices for k in range(1, slices)], 1000)).first()[0]
-    return sorted(set(found or []))
+def _cuts(scored: DataFrame, slices: int) -> tuple[list[float], list[float]]:
+    """Scores that cut the table into about equal slices, and those of them that alone fill a slice."""
+    found = scored.agg(F.percentile_approx("score", [k / slices for k in range(1, slices)], 1000)).first()[0] or []
+    return sorted(set(found)), sorted({c for c in found if found.count(c) > 1})
+
+
+def _id_cuts(scored: DataFrame, slices: int, sample: int = 1000) -> list:
+    """Ids that cut a table into about equal runs, from those of a sample with the least hashes."""
+    found = sorted(r[0] for r in scored.where("id is not null").orderBy(F.xxhash64("id")).select("id").limit(sample).collect())
+    return sorted({found[k * len(found) // slices] for k in range(1, slices)}) if found else []
+
+
+def _sliced(scored: DataFrame, ascending: bool, slices: int) -> DataFrame:
+    """Rows with the number `__slice` of a run of the sweep; a score that many rows share is cut further, by ids."""
+    cuts, heavy = _cuts(scored, slices)
+    below = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>"), lambda c: c < F.col("score")))
+    tie = F.lit(0)
+    if heavy:
+        same = F.col("score").isin(*heavy)
+        kind = scored.schema["id"].dataType
+        ids = F.array(*[F.lit(i) for i in _id_cuts(scored.where(same), slices)]).cast(f"array<{kind.simpleString()}>")
+        # a heavy score is the last of its slice, and the first from above
+        tie = F.when(same, F.size(F.filter(ids, lambda c: c < F.col("id"))) + (1 if ascending else 0)).otherwise(0 if ascending else slices)
+    return scored.withColumn("__slice", (below if ascending else -below) * (slices + 1) + tie)
 
 
 def swept(scored: DataFrame, groups: list[str], ascending: bool = True, slices: int = 32) -> DataFrame:
     """Rows with running class counts `cb`, `cs` and class totals `nb`, `ns` of their group, and their place `rn`.
 
     The score range is cut into slices: counts of earlier slices are added to sums within a slice, so that
-    one big group is swept by many tasks.
+    one big group, or one score that a large share of the rows has, is swept by many tasks.
     """
-    cuts = F.array(*[F.lit(float(c)) for c in _cuts(scored, slices)]).cast("array<double>")
-    part = F.size(F.filter(cuts, lambda c: c < F.col("score")))
-    rows = scored.withColumn("__slice", part if ascending else -part)
+    rows = _sliced(scored, ascending, slices)
     counts = rows.groupBy(*groups, "__slice").agg(F.count_if("bona").alias("__nb"), F.count_if(~F.col("bona")).alias("__ns"))
     over = Window.partitionBy(*groups)
     earlier = over.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,9 +15,26 @@ def half_even(x: Column) -> Column:
 
 
 def ranked(frame: DataFrame, strata: list[str], seed: str, key: str) -> DataFrame:
-    """Place `__rn` in the stratum's draw and its size `__n`."""
-    over = Window.partitionBy(*strata)
-    return frame.withColumn("__rn", F.row_number().over(over.orderBy(draw(seed, key), key))).withColumn("__n", F.count("*").over(over))
+    """Place `__rn` in the stratum's draw and its size `__n`.
+
+    A draw is cut into 4096 slices by its first digits, so that many tasks rank one big stratum: a row's place is its
+    place in its slice after the counts of earlier slices, of which a stratum has 4096 at most.
+    """
+    rows = frame.withColumn("__h", draw(seed, key)).withColumn("__slice", F.substring("__h", 1, 3))
+    over = Window.partitionBy(*[f"__in_{s}" for s in strata])
+    earlier = over.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*[F.col(s).alias(f"__in_{s}") for s in strata], F.col("__slice").alias("__of")).agg(F.count("*").alias("__m"))
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__m").over(earlier), F.lit(0))).withColumn("__n", F.sum("__m").over(over)).drop("__m")
+    on = F.col("__slice").eqNullSafe(F.col("__of"))
+    for s in strata:
+        on = on & F.col(s).eqNullSafe(F.col(f"__in_{s}"))
+    place = F.row_number().over(Window.partitionBy(*strata, "__slice").orderBy("__h", key)) + F.col("__before")
+    return rows.join(counts, on).withColumn("__rn", place).drop("__h", "__slice", "__of", "__before", *[f"__in_{s}" for s in strata])
+
+
+def drawn_first(frame: DataFrame, strata: list[str], seed: str, key: str, n: int) -> DataFrame:
+    """The first n rows of each stratum's draw, with their place `__rn`; tasks drop what cannot be among them before the shuffle."""
+    return frame.withColumn("__rn", F.row_number().over(Window.partitionBy(*strata).orderBy(draw(seed, key), key))).where(F.col("__rn") <= n)
 
 
 def split_members(members: DataFrame, stratum: str, key: str, *, train: float = 0.70, val: float = 0.15, seed: str = "42") -> DataFrame:
@@ -42,7 +59,7 @@ def balanced(frame: DataFrame, label: str, key: str, n: int, seed: str) -> DataF
     total = frame.count()
     if n <= 0 or total <= n:
         return frame
-    return ranked(frame, [label], seed, key).where(F.col("__rn") <= max(1, n // 2)).drop("__rn", "__n")
+    return drawn_first(frame, [label], seed, key, max(1, n // 2)).drop("__rn")
 
 
 def per_group_share(frame: DataFrame, group: str, key: str, fraction: float, target: int, seed: str) -> DataFrame:
@@ -75,7 +92,7 @@ def quota_sample(frame: DataFrame, bin_: str, key: str, shares: dict[str, float]
     counts = {r[0]: r[1] for r in frame.groupBy(bin_).count().collect()}
     due = quotas(counts, shares, total)
     limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for b, n in due.items() for x in (b, n)]), F.col(bin_)), F.lit(0))
-    return ranked(frame, [bin_], seed, key).where(F.col("__rn") <= limit).drop("__rn", "__n")
+    return drawn_first(frame, [bin_], seed, key, max(due.values(), default=0)).where(F.col("__rn") <= limit).drop("__rn")
 
 
 def greedy_cover(frame: DataFrame, group: str, key: str, length: str, *, target: float, least: int = 1, most: int = 5, seed: str = "cover") -> DataFrame:
@@ -86,14 +103,14 @@ def greedy_cover(frame: DataFrame, group: str, key: str, length: str, *, target:
     """
     rows = ranked(frame, [group], seed, key)
     ahead = F.coalesce(F.sum(length).over(Window.partitionBy(group).orderBy("__rn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("__ahead", ahead)
-    body = rows.where((F.col("__rn") < most) & ((F.col("__ahead") < target) | (F.col("__rn") <= least))).withColumn("place", F.col("__rn"))
+    head = rows.where(F.col("__rn") < most)
+    body = head.withColumn("__ahead", ahead).where((F.col("__ahead") < target) | (F.col("__rn") <= least)).withColumn("place", F.col("__rn").cast("int"))
     # groups whose first places fall short
-    short = rows.where(F.col("__rn") <= most - 1).groupBy(group).agg(F.sum(length).alias("__got"), F.count("*").alias("__m")).where((F.col("__got") < target) & (F.col("__m") == most - 1))
+    short = head.groupBy(group).agg(F.sum(length).alias("__got"), F.count("*").alias("__m")).where((F.col("__got") < target) & (F.col("__m") == most - 1))
     tail = rows.where(F.col("__rn") >= most).join(short.select(group, "__got"), group).withColumn("__gap", target - F.col("__got"))
     covers = F.col(length) >= F.col("__gap")
-    choice = Window.partitionBy(group).orderBy(F.when(covers, 0).otherwise(1), F.when(covers, F.col(length)).otherwise(-F.col(length)), "__rn")
-    last = tail.withColumn("__c", F.row_number().over(choice)).where("__c = 1").withColumn("place", F.lit(most))
+    order = F.struct(F.when(covers, 0).otherwise(1), F.when(covers, F.col(length)).otherwise(-F.col(length)), "__rn")
+    last = tail.groupBy(group).agg(F.min_by(F.struct(*frame.columns), order).alias("__one")).select("__one.*", F.lit(most).alias("place"))
     return body.select(*frame.columns, "place").unionByName(last.select(*frame.columns, "place"))
 
 
@@ -106,15 +123,16 @@ def reference(frame: DataFrame, group: str, key: str, length: str, *, target: fl
 
 def at_most(frame: DataFrame, group: str, key: str, n: int, seed: str) -> DataFrame:
     """At most n rows of each group, the first of its draw."""
-    return ranked(frame, [group], seed, key).where(F.col("__rn") <= n).select(*frame.columns)
+    return drawn_first(frame, [group], seed, key, n).select(*frame.columns)
 
 
 def derangement(frame: DataFrame, group: str, key: str, seed: str) -> DataFrame:
     """(group, source, target): a one-to-one map without fixed points in each group of two or more."""
     rows = ranked(frame, [group], seed, key)
-    order = Window.partitionBy(group).orderBy("__rn")
-    target = F.coalesce(F.lead(key).over(order), F.first(key).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return rows.withColumn("target", target).where("__n >= 2").select(group, F.col(key).alias("source"), "target")
+    rows = rows.where("__n >= 2").select(group, key, "__rn", "__n")
+    after = rows.select(F.col(group).alias("__g"), F.col(key).alias("target"), F.col("__rn").alias("__at"))
+    pairs = rows.join(after, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__rn") % F.col("__n") + 1 == F.col("__at")))
+    return pairs.select(group, F.col(key).alias("source"), "target")
 
 
 def page(frame: DataFrame, key: str, number: int, size: int = 30) -> DataFrame:

@@ -52,9 +52,11 @@ def own_ranks(probes: DataFrame, gallery: DataFrame, max_gallery: int = 10_000)
     return above.groupBy("probe", "own").agg((F.count_if("__above") + 1).alias("rank"))
 
 
-def median_pairwise(frame: DataFrame, group: str, key: str, vector: str) -> DataFrame:
-    """(group, pairs, median) of the cosines of all pairs within a group, which must be small groups."""
-    a = frame.select(group, F.col(key).alias("__a"), F.col(vector).alias("__x"))
+def median_pairwise(frame: DataFrame, group: str, key: str, vector: str, most: int = 10_000) -> DataFrame:
+    """(group, pairs, median) of the cosines of all pairs within a group; a group of more than `most` vectors is an error when it is read."""
+    sizes = frame.groupBy(group).agg(F.count("*").alias("__n"))
+    checked = F.when(F.col("__n") > most, F.raise_error(F.lit(f"a group of more than {most} vectors")).cast("long")).otherwise(F.col("__n"))
+    a = frame.join(sizes.select(group, checked.alias("__n")).where("__n > 1"), group).select(group, F.col(key).alias("__a"), F.col(vector).alias("__x"))
     b = frame.select(group, F.col(key).alias("__b"), F.col(vector).alias("__y"))
     pairs = a.join(b, group).where("__a < __b").select(group, dot(F.col("__x"), F.col("__y")).alias("__c"))
     return pairs.groupBy(group).agg(F.count("*").alias("pairs"), F.median("__c").alias("median"))

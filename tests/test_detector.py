@@ -97,3 +97,36 @@ def test_class_bootstrap_is_the_same_by_joins_and_in_workers(spark):
     rows = spark.createDataFrame([(k, float(k * 7 % 23), k % 3 == 0) for k in range(60)], "id long, score double, bona boolean")
     small, large = (resample.class_bootstrap(rows, 12, most_rows=n).orderBy("b").collect() for n in (100, 10))
     assert [(r["b"], round(r["eer"], 12)) for r in small] == [(r["b"], round(r["eer"], 12)) for r in large] and len(small) == 12
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_a_score_that_most_rows_share_is_swept_in_runs_of_ids(spark, ascending, kind):
+    rng = np.random.default_rng(8)
+    score = np.where(rng.random(900) < 0.8, 1.0, rng.normal(size=900))
+    rows = [(k if kind == "long" else f"i{k:04d}", float(s), bool(b)) for k, (s, b) in enumerate(zip(score, rng.random(900) < 0.4))]
+    frame = spark.createDataFrame(rows, f"id {kind}, score double, bona boolean")
+    assert det._sliced(frame, ascending, 32).where("score = 1").select("__slice").distinct().count() > 20
+    got = {r["id"]: (r["cb"], r["cs"]) for r in det.swept(frame, [], ascending=ascending).collect()}
+    cb = cs = 0
+    for i, _, b in sorted(rows, key=lambda r: (r[1] if ascending else -r[1], r[0])):
+        cb, cs = cb + b, cs + (not b)
+        assert got[i] == (cb, cs)
+
+
+def test_places_in_a_draw_are_those_of_one_sort(spark):
+    rows = [(k, "a" if k < 700 else None) for k in range(800)]
+    got = splits.ranked(spark.createDataFrame(rows, "id long, g string"), ["g"], "s", "id").collect()
+    for g, n in (("a", 700), (None, 100)):
+        ids = sorted((k for k, h in rows if h == g), key=lambda k: hashlib.md5(f"s-{k}".encode()).hexdigest())
+        assert [r["id"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["__rn"])] == ids
+        assert {r["__n"] for r in got if r["g"] == g} == {n}
+
+
+def test_groups_beyond_the_bound_are_no_pairs(spark):
+    from corvane.operators import vectors
+
+    frame = spark.createDataFrame([("a", k, [1.0, float(k)]) for k in range(4)], "g string, k long, v array<double>")
+    assert vectors.median_pairwise(frame, "g", "k", "v").first()["pairs"] == 6
+    with pytest.raises(Exception, match="more than 3 vectors"):
+        vectors.median_pairwise(frame, "g", "k", "v", most=3).collect()
