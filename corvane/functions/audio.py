@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 # The feature names.
@@ -55,6 +57,31 @@ def resample(x: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
     return np.fft.irfft(kept, n) * n / len(x)
 
 
+def resample_polyphase(x: np.ndarray, rate: int, to: int = RATE, width: int = 10, beta: float = 5.0) -> np.ndarray:
+    """Resampling by a windowed sinc, summed only where the output has a sample; the ratio's denominator is at most 1000.
+
+    `width` is how many zeros of the sinc lie on each side, `beta` the shape of the Kaiser window.
+    """
+    ratio = Fraction(to, rate).limit_denominator(1000)
+    up, down = ratio.numerator, ratio.denominator
+    if up == down or not len(x):
+        return x
+    # times are counted in steps of an input sample / up
+    wide = max(up, down)
+    half = width * wide
+    far = np.arange(-half, half + 1)
+    table = np.sinc(far / wide) * np.kaiser(len(far), beta)
+    table *= up / table.sum()
+    taps = np.arange(2 * half // up + 1)
+    out = np.empty(-(-len(x) * up // down))
+    for low in range(0, len(out), 1 << 14):
+        at = np.arange(low, min(len(out), low + (1 << 14)))[:, None] * down
+        k = -((half - at) // up) + taps
+        known = (k >= 0) & (k < len(x)) & (np.abs(at - k * up) <= half)
+        out[low : low + len(at)] = np.where(known, x[np.clip(k, 0, len(x) - 1)] * table[np.clip(at - k * up + half, 0, 2 * half)], 0.0).sum(1)
+    return out
+
+
 def frame_rms(x: np.ndarray, size: int = 400, hop: int = 160) -> np.ndarray:
     if len(x) < size:
         return np.sqrt(np.mean(x * x, keepdims=True)) if len(x) else np.zeros(1)
@@ -159,7 +186,7 @@ def features(frame: DataFrame, content: str = "content") -> DataFrame:
             x, rate, channels, width = decode(raw or b"")
             if not len(x):
                 raise ValueError("no samples")
-            x16 = resample(x, rate)
+            x16 = resample_polyphase(x, rate)
             return describe(x16, RATE) | {"native_sr": rate, "channels": channels, "sample_bytes": width, "mfcc": mfcc_mean(x16)}
         except Exception as bad:  # noqa: BLE001  errors are data here
             return {"error": f"{type(bad).__name__}: {bad}"}
@@ -197,6 +224,60 @@ def normalise(frame: DataFrame, content: str = "content") -> DataFrame:
     return frame.mapInArrow(run, schema)
 
 
+def cached_features(frame: DataFrame, folder: str, path: str = "path", content: str = "content") -> DataFrame:
+    """Rows of `frame` but the bytes, with the features of their file; those that a table in `folder` lacks are made and added to it.
+
+    A file is known by its path, so a run that was cut short goes on where it stopped.
+    """
+    spark, files = frame.sparkSession, frame.select(path, content).dropDuplicates([path])
+    try:
+        files = files.join(spark.read.parquet(folder).select(path), path, "left_anti")
+    except AnalysisException:  # no table yet
+        pass
+    features(files, content).write.mode("append").parquet(folder)
+    return frame.drop(content).join(spark.read.parquet(folder), path, "left")
+
+
+#: Steps of `transform` by name: functions of samples at RATE that return samples.
+TRANSFORMS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"trim": trim, "peak": lambda x: peak_normalise(x)[0]}
+
+
+def register(name: str):
+    """Make a function of samples a step of `transform`."""
+
+    def put(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
+        TRANSFORMS[name] = f
+        return f
+
+    return put
+
+
+def transform(frame: DataFrame, names: list[str], content: str = "content") -> DataFrame:
+    """Other columns, with the bytes after the named steps, one after another, and `error`; an unknown name is an error at once."""
+    if unknown := [n for n in names if n not in TRANSFORMS]:
+        raise ValueError(f"unknown transforms: {', '.join(unknown)}; there are {', '.join(sorted(TRANSFORMS))}")
+    chain = [TRANSFORMS[n] for n in names]
+    fields = [f for f in frame.schema.fields if f.name != content]
+
+    def one(raw: bytes | None) -> tuple[bytes | None, str | None]:
+        try:
+            x, rate, _, _ = decode(raw or b"")
+            x = resample_polyphase(x, rate)
+            for step in chain:
+                x = step(x)
+            return encode(x), None
+        except Exception as bad:  # noqa: BLE001
+            return None, f"{type(bad).__name__}: {bad}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [one(x) for x in batch.column(content).to_pylist()]
+            done = {content: pa.array([r[0] for r in rows], pa.binary()), "error": pa.array([r[1] for r in rows], pa.string())}
+            yield pa.RecordBatch.from_pydict({f.name: batch.column(f.name) for f in fields} | done)
+
+    return frame.mapInArrow(run, frame.drop(content).schema.add(content, "binary").add("error", "string"))
+
+
 def tones(frame: DataFrame, hz: str, seconds: str) -> DataFrame:
     """Add `content`, a wave file of a tone with a lead of silence: synthetic input for tests and demos."""
 

@@ -55,6 +55,13 @@ def expand_single_digit(x: Column, saying: Column) -> Column:
     return F.coalesce(F.regexp_replace(x, F.lit(r"\b[1-9]\b"), safe), x)
 
 
+def digit_outcome(x: Column, digit: Column, saying: Column) -> Column:
+    """What `expand_single_digit` comes to: `missing` without a saying, `mismatch` if another digit than the file's is there, else `replaced`; null without a lone digit."""
+    digits = F.regexp_extract_all(x, F.lit(r"\b([1-9])\b"), F.lit(1))
+    other = F.exists(digits, lambda d: ~d.eqNullSafe(digit.cast("string")))
+    return F.when(F.size(digits) > 0, F.when(saying.isNull() | (saying == ""), "missing").when(other, "mismatch").otherwise("replaced"))
+
+
 def clean(x: Column, saying: Column | None = None, words: dict[int, str] | None = None) -> Column:
     """Quotes, parentheses, digits, numbers, blanks, in this order."""
     x = strip_parentheses(strip_outer_quotes(x))

@@ -30,9 +30,9 @@ def _cuts(scored: DataFrame, slices: int) -> tuple[list[float], list[float]]:
     return sorted(set(found)), sorted({c for c in found if found.count(c) > 1})
 
 
-def _id_cuts(scored: DataFrame, slices: int, sample: int = 1000) -> list:
-    """Ids that cut a table into about equal runs, from those of a sample with the least hashes."""
-    found = sorted(r[0] for r in scored.where("id is not null").orderBy(F.xxhash64("id")).select("id").limit(sample).collect())
+def id_cuts(rows: DataFrame, slices: int, key: str = "id", sample: int = 1000) -> list:
+    """Keys that cut a table into about equal runs, from those of a sample with the least hashes."""
+    found = sorted(r[0] for r in rows.where(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).select(key).limit(sample).collect())
     return sorted({found[k * len(found) // slices] for k in range(1, slices)}) if found else []
 
 
@@ -44,7 +44,7 @@ def _sliced(scored: DataFrame, ascending: bool, slices: int) -> DataFrame:
     if heavy:
         same = F.col("score").isin(*heavy)
         kind = scored.schema["id"].dataType
-        ids = F.array(*[F.lit(i) for i in _id_cuts(scored.where(same), slices)]).cast(f"array<{kind.simpleString()}>")
+        ids = F.array(*[F.lit(i) for i in id_cuts(scored.where(same), slices)]).cast(f"array<{kind.simpleString()}>")
         # a heavy score is the last of its slice, and the first from above
         tie = F.when(same, F.size(F.filter(ids, lambda c: c < F.col("id"))) + (1 if ascending else 0)).otherwise(0 if ascending else slices)
     return scored.withColumn("__slice", (below if ascending else -below) * (slices + 1) + tie)

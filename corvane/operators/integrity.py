@@ -96,6 +96,30 @@ def loso_checks(rows: DataFrame, held: str) -> DataFrame:
     )
 
 
+def paired_pool(bona: DataFrame, spoof: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the genuine clips that are twins of spoofs, whoever speaks; stems without one, with how many spoofs each has)."""
+    picked = bona.join(spoof.select(F.col("stem").alias("id")).distinct(), "id", "left_semi")
+    return picked, spoof.join(bona.select(F.col("id").alias("stem")), "stem", "left_anti").groupBy("stem").agg(F.count("*").alias("spoofs"))
+
+
+def preflight(rows: DataFrame, apart: tuple[str, str], splits: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
+    """(check, status, n) before a run: spoofs of each split without twin in it, speakers of one split in another, and
+    whether systems of two corpora that must stay `apart` are mixed.
+
+    A split passes with at least 99.9 percent of its spoofs paired and warns from 50 percent on; a split without spoofs has no row.
+    """
+    genuine = rows.where("method = 'none'").select("split", F.col("id").alias("stem")).distinct().withColumn("__twin", F.lit(1))
+    pairs = rows.where("method <> 'none'").join(genuine, ["split", "stem"], "left").groupBy("split").agg(F.count("*").alias("__n"), F.count("__twin").alias("__t"))
+    rate = F.lit(100.0) * F.col("__t") / F.col("__n")
+    status = F.when(rate >= 99.9, "PASS").when(rate >= 50, "WARN").otherwise("FAIL")
+    pairing = pairs.select(F.concat(F.lit("pairing in "), F.col("split")).alias("check"), status.alias("status"), (F.col("__n") - F.col("__t")).alias("n"))
+    in_split = rows.groupBy("speaker").agg(*[F.max(F.coalesce(F.col("split") == s, F.lit(False))).alias(s) for s in splits])
+    shared = {f"speakers of {a} in {b}": F.count_if(F.col(a) & F.col(b)) for k, a in enumerate(splits) for b in splits[k + 1 :]}
+    clash = rows.agg(*[F.count_if(F.col("method") == m).alias(f"__{k}") for k, m in enumerate(apart)]).select(F.lit(f"{apart[0]} mixed with {apart[1]}").alias("check"), F.least("__0", "__1").alias("n"))
+    zero = in_split.agg(*[n.alias(c) for c, n in shared.items()]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("check"), F.col(f"`{c}`").alias("n")) for c in shared]))).union(clash)
+    return pairing.union(zero.select("check", F.when(F.col("n") == 0, "PASS").otherwise("FAIL"), "n"))
+
+
 def loso_pair(rows: DataFrame, pool: DataFrame, held: str, known: str, seed: str) -> DataFrame:
     """One long manifest with `part`: train and val without the held-out system, and two tests of as many spoofs each,
     `matched` of the known system and `unseen` of the held-out one, against one pool of the genuine twins of both."""

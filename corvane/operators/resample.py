@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .det import eer
+from .det import eer, id_cuts
 
 
 def hash_number(*parts: Column | str | int) -> Column:
@@ -31,9 +31,21 @@ def draws(spark: SparkSession, n_boot: int, members: DataFrame, strata: list[str
     return slots.select("b", "slot", *strata, (hash_number(seed, *[F.col(s) for s in strata], F.col("b"), F.col("slot")) % F.col("__n")).alias("k"))
 
 
-def numbered(frame: DataFrame, strata: list[str], order: list[str]) -> DataFrame:
-    """Members numbered from 0 within strata."""
-    return frame.withColumn("k", (F.row_number().over(Window.partitionBy(*strata).orderBy(*order)) - 1).cast("long"))
+def numbered(frame: DataFrame, strata: list[str], key: str, slices: int = 32) -> DataFrame:
+    """Members numbered from 0 within strata, in order of the key, as `k`.
+
+    The key's range is cut into runs: a number is the place in its run after the counts of earlier ones, so many tasks number one stratum.
+    """
+    cuts = F.array(*[F.lit(c) for c in id_cuts(frame, slices, key)]).cast(f"array<{frame.schema[key].dataType.simpleString()}>")
+    rows = frame.withColumn("__run", F.size(F.filter(cuts, lambda c: c < F.col(key))))
+    counts = rows.groupBy(*[F.col(s).alias(f"__in_{s}") for s in strata], F.col("__run").alias("__of")).agg(F.count("*").alias("__m"))
+    earlier = Window.partitionBy(*[f"__in_{s}" for s in strata]).orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__m").over(earlier), F.lit(0))).drop("__m")
+    on = F.col("__run") == F.col("__of")
+    for s in strata:
+        on = on & F.col(s).eqNullSafe(F.col(f"__in_{s}"))
+    place = F.row_number().over(Window.partitionBy(*strata, "__run").orderBy(key)) - 1 + F.col("__before")
+    return rows.join(counts, on).withColumn("k", place.cast("long")).select(*frame.columns, "k")
 
 
 def class_bootstrap(scored: DataFrame, n_boot: int, seed: str = "boot", most_rows: int = 2_000_000) -> DataFrame:
@@ -45,7 +57,7 @@ def class_bootstrap(scored: DataFrame, n_boot: int, seed: str = "boot", most_row
     rows = scored.select("id", "score", "bona")
     if rows.limit(most_rows + 1).count() <= most_rows:
         return _class_bootstrap_in_workers(rows, n_boot, seed)
-    rows = numbered(rows, ["bona"], ["id"])
+    rows = numbered(rows, ["bona"], "id")
     drawn = draws(scored.sparkSession, n_boot, rows, ["bona"], seed).join(rows, ["bona", "k"])
     return eer(drawn.select("b", F.concat_ws("-", "id", "slot").alias("id"), "score", "bona"), ["b"])
 
@@ -70,31 +82,68 @@ def _class_bootstrap_in_workers(rows: DataFrame, n_boot: int, seed: str) -> Data
     return rows.sparkSession.range(0, n_boot, 1, min(n_boot, 4 * context.defaultParallelism)).select(F.col("id").alias("b")).mapInArrow(run, "b long, eer double")
 
 
-def _rate_of(bona: np.ndarray, k: np.ndarray, sizes: dict[bool, int], seed: str, b: int) -> float:
+def _rate_of(bona: np.ndarray, k: np.ndarray, sizes: dict[bool, int], seed: str, b: int) -> float | None:
     """The equal error rate of one replicate: how often each sorted row is drawn, then running counts."""
     times = np.zeros(len(bona), dtype=np.int64)
     for of, n in sizes.items():
         head = f"{seed}-{'true' if of else 'false'}-{b}-".encode()
         drawn = np.frombuffer(b"".join([hashlib.md5(head + b"%d" % slot).digest()[:4] for slot in range(n)]), dtype=">u4").astype(np.int64) % n
         times[bona == of] = np.bincount(drawn, minlength=n)[k[bona == of]]
-    kind = np.repeat(bona, times)
-    frr = np.cumsum(kind) / sizes[True]
-    far = 1 - np.cumsum(~kind) / sizes[False]
+    return _rate_where(np.repeat(bona, times))
+
+
+def _rate_where(bona: np.ndarray) -> float | None:
+    """The equal error rate of rows in order of score; None without both classes."""
+    n_bona = int(bona.sum())
+    if n_bona in (0, len(bona)):
+        return None
+    frr = np.cumsum(bona) / n_bona
+    far = 1 - np.cumsum(~bona) / (len(bona) - n_bona)
     at = int(np.argmin(np.abs(frr - far)))
     return float((frr[at] + far[at]) / 2)
 
 
-def cluster_bootstrap(scored: DataFrame, cluster: str, models: list[str], n_boot: int, seed: str = "cluster") -> DataFrame:
+def cluster_bootstrap(scored: DataFrame, cluster: str, models: list[str], n_boot: int, seed: str = "cluster", most_rows: int = 2_000_000) -> DataFrame:
     """(b, model, eer) of replicates that redraw clusters with all their rows, one draw for all models.
 
-    `scored` has `id`, `bona`, the cluster and one score column for each model. A replicate of one class is null.
+    `scored` has `id`, `bona`, the cluster and one score column for each model. A replicate of one class is null. Rows
+    without a cluster are never drawn, though they count as one. Up to `most_rows` rows go to every worker, as above.
     """
-    members = numbered(scored.select(cluster).distinct().withColumn("all", F.lit(1)), ["all"], [cluster])
+    rows = scored.select("id", "bona", cluster, *models)
+    if rows.limit(most_rows + 1).count() <= most_rows:
+        return _cluster_bootstrap_in_workers(rows, cluster, models, n_boot, seed)
+    members = numbered(scored.select(cluster).distinct().withColumn("all", F.lit(1)), ["all"], cluster)
     drawn = draws(scored.sparkSession, n_boot, members, ["all"], seed).join(members, ["all", "k"]).select("b", "slot", cluster)
     rows = drawn.join(scored, cluster).select("b", "slot", "id", "bona", F.explode(F.create_map(*[x for m in models for x in (F.lit(m), F.col(m))])).alias("model", "score"))
     return eer(rows.select("b", "model", F.concat_ws("-", "id", "slot").alias("id"), "score", "bona"), ["b", "model"])
 
 
+def _cluster_bootstrap_in_workers(rows: DataFrame, cluster: str, models: list[str], n_boot: int, seed: str) -> DataFrame:
+    # nulls sort first and NaN last, as in Spark
+    base = rows.select("*", *[F.col(m).isNotNull().alias(f"__known_{k}") for k, m in enumerate(models)]).toPandas()
+    members = sorted(base[cluster].dropna().unique())
+    n_members = len(members) + int(base[cluster].isna().any())
+    base = base[base[cluster].notna()]
+    place = {c: k + n_members - len(members) for k, c in enumerate(members)}
+    base["at"], base["tie"] = base[cluster].map(place).astype(np.int64), base["id"].astype(str) + "-"
+    sorted_rows = [base.sort_values([f"__known_{k}", m, "tie"]) for k, m in enumerate(models)]
+    context = rows.sparkSession.sparkContext
+    shared = context.broadcast([(x["bona"].to_numpy(bool), x["at"].to_numpy()) for x in sorted_rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for b in batch.column("b").to_pylist():
+                drawn = [int.from_bytes(hashlib.md5(f"{seed}-1-{b}-{slot}".encode()).digest()[:4], "big") % n_members for slot in range(n_members)]
+                times = np.bincount(drawn, minlength=n_members) if drawn else np.zeros(0, np.int64)
+                if drawn and any(times[at].any() for _, at in shared.value):
+                    out += [(b, m, _rate_where(np.repeat(bona, times[at]))) for m, (bona, at) in zip(models, shared.value)]
+            columns = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.float64()))], names=["b", "model", "eer"])
+
+    return rows.sparkSession.range(0, n_boot, 1, min(n_boot, 4 * context.defaultParallelism)).select(F.col("id").alias("b")).mapInArrow(run, "b long, model string, eer double")
+
+
 def interval(replicates: DataFrame, groups: list[str], value: str = "eer") -> DataFrame:
     """Bounds of the middle 95 percent, by linear interpolation, with how many replicates there are."""
     cut = lambda p: F.percentile(value, F.lit(p))

@@ -14,8 +14,8 @@ def half_even(x: Column) -> Column:
     return F.bround(x, 0).cast("long")
 
 
-def ranked(frame: DataFrame, strata: list[str], seed: str, key: str) -> DataFrame:
-    """Place `__rn` in the stratum's draw and its size `__n`.
+def ranked(frame: DataFrame, strata: list[str], seed: str, key: str, length: str | None = None) -> DataFrame:
+    """Place `__rn` in the stratum's draw and its size `__n`; with `length`, the total `__ahead` of it in the rows drawn before.
 
     A draw is cut into 4096 slices by its first digits, so that many tasks rank one big stratum: a row's place is its
     place in its slice after the counts of earlier slices, of which a stratum has 4096 at most.
@@ -23,13 +23,18 @@ def ranked(frame: DataFrame, strata: list[str], seed: str, key: str) -> DataFram
     rows = frame.withColumn("__h", draw(seed, key)).withColumn("__slice", F.substring("__h", 1, 3))
     over = Window.partitionBy(*[f"__in_{s}" for s in strata])
     earlier = over.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*[F.col(s).alias(f"__in_{s}") for s in strata], F.col("__slice").alias("__of")).agg(F.count("*").alias("__m"))
-    counts = counts.withColumn("__before", F.coalesce(F.sum("__m").over(earlier), F.lit(0))).withColumn("__n", F.sum("__m").over(over)).drop("__m")
+    total = F.lit(0) if length is None else F.col(length)
+    counts = rows.groupBy(*[F.col(s).alias(f"__in_{s}") for s in strata], F.col("__slice").alias("__of")).agg(F.count("*").alias("__m"), F.sum(total).alias("__l"))
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__m").over(earlier), F.lit(0))).withColumn("__before_l", F.coalesce(F.sum("__l").over(earlier), F.lit(0)))
+    counts = counts.withColumn("__n", F.sum("__m").over(over)).drop("__m", "__l")
     on = F.col("__slice").eqNullSafe(F.col("__of"))
     for s in strata:
         on = on & F.col(s).eqNullSafe(F.col(f"__in_{s}"))
-    place = F.row_number().over(Window.partitionBy(*strata, "__slice").orderBy("__h", key)) + F.col("__before")
-    return rows.join(counts, on).withColumn("__rn", place).drop("__h", "__slice", "__of", "__before", *[f"__in_{s}" for s in strata])
+    within = Window.partitionBy(*strata, "__slice").orderBy("__h", key)
+    out = rows.join(counts, on).withColumn("__rn", F.row_number().over(within) + F.col("__before"))
+    if length is not None:
+        out = out.withColumn("__ahead", F.coalesce(F.sum(length).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("__before_l"))
+    return out.drop("__h", "__slice", "__of", "__before", "__before_l", *[f"__in_{s}" for s in strata])
 
 
 def drawn_first(frame: DataFrame, strata: list[str], seed: str, key: str, n: int) -> DataFrame:
@@ -66,9 +71,11 @@ def per_group_share(frame: DataFrame, group: str, key: str, fraction: float, tar
     """A share of each group, one at least, then trimmed or topped up to exactly `target` rows where there are so many."""
     rows = ranked(frame, [group], seed, key)
     chosen = F.col("__rn") <= F.greatest(F.lit(1), half_even(F.col("__n") * fraction))
-    rows = rows.withColumn("__first", F.when(chosen, 0).otherwise(1)).withColumn("__h", draw(seed, key))
-    order = ["__first", "__h", key]
-    return rows.orderBy(*order).limit(target).drop("__rn", "__n", "__first", "__h")
+    rows = rows.withColumn("__share", chosen).drop("__rn", "__n")
+    # the share comes first and the others fill up, each in the order of one draw over all groups
+    size = rows.agg(F.count_if("__share").alias("__size"))
+    room = F.when(F.col("__share"), F.lit(target)).otherwise(target - F.col("__size"))
+    return ranked(rows, ["__share"], seed, key).crossJoin(F.broadcast(size)).where(F.col("__rn") <= room).select(*frame.columns)
 
 
 def quotas(counts: dict[str, int], shares: dict[str, float], total: int) -> dict[str, int]:
@@ -116,9 +123,8 @@ def greedy_cover(frame: DataFrame, group: str, key: str, length: str, *, target:
 
 def reference(frame: DataFrame, group: str, key: str, length: str, *, target: float, usable: Column, seed: str = "reference") -> DataFrame:
     """For each group the usable rows of its draw until their lengths reach the target: rows before which less than that had come."""
-    rows = ranked(frame.where(usable), [group], seed, key)
-    ahead = F.coalesce(F.sum(length).over(Window.partitionBy(group).orderBy("__rn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("__ahead", ahead).where(F.col("__ahead") < target).select(*frame.columns, F.col("__rn").cast("long").alias("place"))
+    rows = ranked(frame.where(usable), [group], seed, key, length)
+    return rows.where(F.col("__ahead") < target).select(*frame.columns, F.col("__rn").cast("long").alias("place"))
 
 
 def at_most(frame: DataFrame, group: str, key: str, n: int, seed: str) -> DataFrame:

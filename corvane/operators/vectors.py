@@ -23,6 +23,12 @@ def mean_vector(frame: DataFrame, groups: list[str], vector: str) -> DataFrame:
     return packed.select(*groups, F.transform("__v", lambda x: x["__m"]).alias("mean"))
 
 
+def voice_centroids(frame: DataFrame, groups: list[str], vector: str = "mfcc") -> DataFrame:
+    """(groups..., centroid): the mean of a voice's clips at length 1; clips without a vector are left out."""
+    means = mean_vector(frame.where(F.col(vector).isNotNull()), groups, vector)
+    return means.select(*groups, unit(F.col("mean")).alias("centroid"))
+
+
 def gallery_ranks(probes: DataFrame, gallery: DataFrame, max_gallery: int = 10_000) -> DataFrame:
     """(probe, member, sim, rank): every probe against a gallery of bounded size, broadcast.
 

@@ -290,3 +290,26 @@ def reference_build(spark, sf_dir):
 @query("dry_run_sample", f"WITH d AS (SELECT doc_id, source FROM documents), r AS {_ranked('d', 'source', 'dry', 'doc_id')} SELECT doc_id, source FROM r WHERE rn <= 400")
 def dry_run_sample(spark, sf_dir):
     return splits.at_most(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"), "source", "doc_id", 400, "dry")
+
+
+@query("paired_pool", f"WITH {_C} SELECT stem, count(*) AS spoofs FROM spoof WHERE stem NOT IN (SELECT id FROM bona) GROUP BY stem")
+def paired_pool(spark, sf_dir):
+    """Stems of spoofs that no genuine clip has."""
+    return integrity.paired_pool(*clips(spark, sf_dir))[1]
+
+
+_PF = f"""{_S}, {_C}, al AS (SELECT id, speaker, method, stem FROM spoof UNION ALL SELECT id, speaker, 'none', id FROM bona), r AS (SELECT al.*, split FROM al JOIN s ON s.member = al.speaker),
+  pr AS (SELECT split, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM r b WHERE b.method = 'none' AND b.split = r.split AND b.id = r.stem)) AS t FROM r WHERE method <> 'none' GROUP BY split),
+  sp AS (SELECT speaker, bool_or(split = 'train') AS a, bool_or(split = 'val') AS b, bool_or(split = 'test') AS c FROM r GROUP BY speaker),
+  z AS (SELECT 'speakers of train in val' AS "check", count(*) FILTER (a AND b) AS n FROM sp UNION ALL SELECT 'speakers of train in test', count(*) FILTER (a AND c) FROM sp UNION ALL SELECT 'speakers of val in test', count(*) FILTER (b AND c) FROM sp
+    UNION ALL SELECT 'A mixed with N', least(count(*) FILTER (method = 'A'), count(*) FILTER (method = 'N')) FROM r)"""
+
+
+@query("preflight", f"""WITH {_PF} SELECT 'pairing in ' || split AS "check", CASE WHEN 100.0 * t / n >= 99.9 THEN 'PASS' WHEN 100.0 * t / n >= 50 THEN 'WARN' ELSE 'FAIL' END AS status, n - t AS n FROM pr
+  UNION ALL SELECT "check", CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END, n FROM z""")
+def preflight(spark, sf_dir):
+    """All spoofs and genuine clips by their speaker's split; systems A and N stand for two corpora, which are mixed here."""
+    bona, spoof = clips(spark, sf_dir)
+    split = split_members(spark, sf_dir).select(F.col("member").alias("speaker"), "split")
+    rows = spoof.select("id", "speaker", "method", "stem").unionByName(bona.select("id", "speaker", F.lit("none").alias("method"), F.col("id").alias("stem")))
+    return integrity.preflight(rows.join(split, "speaker"), ("A", "N"))

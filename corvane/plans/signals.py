@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import audio
 from ..operators import det, probe, vectors
+from ..session import shared_folder
 from ..streaming import counts
 from .catalogue import query
 
@@ -101,5 +104,8 @@ def normalise_chain(spark, sf_dir):
 
 @query("stream_counts", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_counts(spark, sf_dir):
-    """The stream's aggregation over the table as a batch."""
-    return counts.windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """The table as a stream of files, read to its end, with its counts kept in the shared folder."""
+    # a pattern, since a stream of files takes a single file only by one
+    source, folder = f"{sf_dir}/[e]vents.parquet", f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    rows = counts.run_once(spark, source, spark.read.parquet(f"{sf_dir}/events.parquet").schema, f"{folder}/counts", f"{folder}/progress")
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -24,3 +24,24 @@ def build_session(app: str = "corvane", master: str | None = None, shuffle_parti
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a temporary folder; on a cluster there is none to fall back on.
+    """
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if held.isDefined():
+            return held.get()
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        folder = "file://" + tempfile.mkdtemp(prefix="corvane-checkpoint-")
+    if not held.isDefined():
+        context.setCheckpointDir(folder)
+    return folder

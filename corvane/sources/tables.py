@@ -20,6 +20,14 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return logs.lines(spark, path).withColumn("line", F.monotonically_increasing_id()).withColumn("value", F.regexp_replace("value", f"^{BOM}|\r$", ""))
 
 
+def name_and_path(argument: str) -> tuple[str, str]:
+    """(name, path) of name=path, cut at the first sign; either one empty is an error."""
+    name, sign, path = (x.strip() for x in argument.partition("="))
+    if not (name and sign and path):
+        raise ValueError(f"not name=path: {argument}")
+    return name, path
+
+
 def label_to_binary(label: Column) -> Column:
     """1 for bonafide, 0 for spoof, in any case and with blanks around; numbers as they are; anything else is an error."""
     text = F.lower(F.trim(label.cast("string")))

@@ -19,9 +19,10 @@ def first_arrivals(events: DataFrame, key: str, *, time: str = "ts", late: str =
 
 
 def run_once(spark: SparkSession, source: str, schema, target: str, checkpoint: str, **options) -> DataFrame:
-    """Read new files of a folder, keep counts in a table of the target folder, and return what it holds now.
+    """Read what is new at the source, keep counts in the target folder, and return what they are now.
 
-    Each batch replaces the table by recomputed counts of the windows that it touched.
+    Each batch adds its folder, with the counts up to then of the windows that it touched, or writes it anew when it is
+    repeated after a failure. Of a window the latest batch holds; a window that the watermark has passed takes no more rows.
     """
     stream = spark.readStream.schema(schema).parquet(source)
 

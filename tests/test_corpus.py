@@ -75,3 +75,30 @@ def test_stream_counts_once(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     out = counts.run_once(spark, str(tmp_path / "in"), rows.schema, str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted(r["n"] for r in out.collect()) == [3, 3, 3]
+
+
+def test_stream_goes_on_where_it_stopped(spark, tmp_path):
+    from corvane.streaming import counts
+
+    made = lambda n, day: spark.sql(f"select timestamp_ntz'2024-01-0{day} 00:00:00' ts, 'a' event_type from range({n})")
+    run = lambda: {str(r["start"])[:10]: r["n"] for r in counts.run_once(spark, str(tmp_path / "in"), made(1, 1).schema, str(tmp_path / "out"), str(tmp_path / "cp")).collect()}
+    made(4, 1).write.parquet(str(tmp_path / "in"))
+    assert run() == {"2024-01-01": 4} == run()
+    made(2, 1).union(made(3, 2)).write.mode("append").parquet(str(tmp_path / "in"))
+    assert run() == {"2024-01-01": 6, "2024-01-02": 3}
+
+
+def test_first_arrivals_on_a_stream(spark, tmp_path):
+    from corvane.streaming import counts
+
+    rows = spark.sql("select timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, id) ts, id % 3 k from range(9)")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = counts.first_arrivals(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "k")
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2]
+
+
+def test_what_becomes_of_digits(spark):
+    rows = [("say 3 now", "3", "tulo"), ("say 4 now", "3", "tulo"), ("say 3", "3", None), ("say 13 x3", "3", "tulo"), (None, "3", "tulo")]
+    out = spark.createDataFrame(rows, "x string, digit string, saying string").select(tx.digit_outcome(F.col("x"), F.col("digit"), F.col("saying")), tx.expand_single_digit(F.col("x"), F.col("saying"))).collect()
+    assert [tuple(r) for r in out] == [("replaced", "say tulo now"), ("mismatch", "say tulo now"), ("missing", "say 3"), (None, "say 13 x3"), (None, None)]

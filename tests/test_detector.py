@@ -130,3 +130,39 @@ def test_groups_beyond_the_bound_are_no_pairs(spark):
     assert vectors.median_pairwise(frame, "g", "k", "v").first()["pairs"] == 6
     with pytest.raises(Exception, match="more than 3 vectors"):
         vectors.median_pairwise(frame, "g", "k", "v", most=3).collect()
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_numbers_are_places_in_one_sort(spark, kind):
+    keys = [k if kind == "long" else f"m{k:04d}" for k in range(600)]
+    frame = spark.createDataFrame([(k, "a" if i < 500 else None) for i, k in enumerate(keys)], f"m {kind}, g string").repartition(5)
+    got = {r["m"]: r["k"] for r in resample.numbered(frame, ["g"], "m").collect()}
+    assert got == {k: i % 500 for i, k in enumerate(keys)}
+    assert resample.numbered(frame.limit(0), ["g"], "m").count() == 0
+
+
+def test_running_lengths_and_shares_are_those_of_one_sort(spark):
+    rows = [(k, "a" if k < 500 else "b", k % 13 if k % 9 else None) for k in range(520)]
+    frame = spark.createDataFrame(rows, "id long, g string, n int")
+    place = lambda k: hashlib.md5(f"s-{k}".encode()).hexdigest()
+    want = {}
+    for g in "ab":
+        ahead = 0
+        for k, _, n in sorted((r for r in rows if r[1] == g), key=lambda r: place(r[0])):
+            want[k], ahead = ahead, ahead + (n or 0)
+    assert {r["id"]: r["__ahead"] for r in splits.ranked(frame, ["g"], "s", "id", "n").collect()} == want
+    order = {g: sorted((r[0] for r in rows if r[1] == g), key=place) for g in "ab"}
+    first = {k for g, n in (("a", 50), ("b", 2)) for k in order[g][:n]}
+    every = sorted((r[0] for r in rows), key=lambda k: (k not in first, place(k)))
+    for target in (10, 52, 300, 1000):
+        assert {r["id"] for r in splits.per_group_share(frame, "g", "id", 0.1, target, "s").collect()} == set(every[:target])
+
+
+def test_cluster_bootstrap_is_the_same_by_joins_and_in_workers(spark):
+    rows = [(k, k % 3 == 0, f"c{k % 7}" if k % 11 else None, float(k * 7 % 23), None if k == 5 else float("nan") if k == 8 else float(k * 5 % 19)) for k in range(90)]
+    frame = spark.createDataFrame(rows, "id long, bona boolean, c string, m1 double, m2 double")
+    got = [sorted((r["b"], r["model"], round(r["eer"], 12)) for r in resample.cluster_bootstrap(frame, "c", ["m1", "m2"], 12, most_rows=n).collect()) for n in (100, 10)]
+    assert got[0] == got[1] and len(got[0]) == 24
+    one = frame.where("bona")
+    assert {r["eer"] for n in (100, 10) for r in resample.cluster_bootstrap(one, "c", ["m1"], 3, most_rows=n).collect()} == {None}
+    assert resample.cluster_bootstrap(frame.limit(0), "c", ["m1"], 3).count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import audio
 from corvane.functions import text as tx
-from corvane.operators import attach, audit, splits
+from corvane.operators import attach, audit, splits, vectors
 from corvane.sources import logs, sinks, tables
 
 
@@ -121,3 +121,43 @@ def test_derived_configs():
         audit.derived_config(base, {"model.dim": 2}, ("test",))
     with pytest.raises(ValueError, match="nothing"):
         audit.derived_config(base, {"test.files": ["a"]}, ("test",))
+
+
+@pytest.mark.parametrize("rate", [8000, 22050, 44100, 48000])
+def test_polyphase_keeps_a_tone(rate):
+    x = np.sin(2 * np.pi * 1000 * np.arange(rate) / rate)
+    y = audio.resample_polyphase(x, rate)
+    want = np.sin(2 * np.pi * 1000 * np.arange(len(y)) / 16000)
+    assert abs(len(y) - 16000) <= 1 and np.abs(y - want)[400:-400].max() < 0.01
+    assert np.abs(audio.resample_polyphase(np.ones(rate), rate)[400:-400] - 1).max() < 1e-3
+    if rate > 32000:  # what the new rate cannot hold goes
+        assert np.abs(audio.resample_polyphase(np.sin(2 * np.pi * 12000 * np.arange(rate) / rate), rate)[400:-400]).max() < 0.02
+
+
+def test_cached_features_transforms_and_voices(spark, tmp_path):
+    tone = lambda hz: bytearray(audio.encode(np.sin(2 * np.pi * hz * np.arange(16000) / 16000) * 0.25))
+    frame = lambda *hz: spark.createDataFrame([(f"p{k}", "ab"[k % 2], tone(f)) for k, f in enumerate(hz)], "path string, voice string, content binary")
+    folder = str(tmp_path / "cache")
+    assert audio.cached_features(frame(300, 400), folder).count() == 2
+    # the bytes of a known path are not read again
+    again = {r["path"]: r for r in audio.cached_features(frame(3000, 400, 500), folder).collect()}
+    assert len(again) == 3 and again["p0"]["rolloff_95_hz"] < 400 and spark.read.parquet(folder).count() == 3
+    voices = vectors.voice_centroids(spark.createDataFrame([(r["voice"], r["mfcc"]) for r in again.values()] + [("a", None)], "voice string, mfcc array<double>"), ["voice"]).collect()
+    assert sorted(r["voice"] for r in voices) == ["a", "b"] and all(abs(sum(x * x for x in r["centroid"]) - 1) < 1e-9 for r in voices)
+
+    @audio.register("halve")
+    def halve(x):
+        return x / 2
+
+    out = audio.transform(frame(300).union(spark.createDataFrame([("bad", "a", bytearray(b"junk"))], "path string, voice string, content binary")), ["trim", "peak", "halve"])
+    got = {r["path"]: r for r in out.collect()}
+    assert abs(np.abs(audio.decode(got["p0"]["content"])[0]).max() - 0.475) < 0.01 and got["bad"]["error"] and got["bad"]["content"] is None
+    with pytest.raises(ValueError, match="unknown"):
+        audio.transform(frame(300), ["no"])
+
+
+def test_name_and_path():
+    assert tables.name_and_path("tts=/a/b=c") == ("tts", "/a/b=c")
+    for wrong in ("tts", "=x", "x="):
+        with pytest.raises(ValueError):
+            tables.name_and_path(wrong)
