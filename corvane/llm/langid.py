@@ -1,8 +1,8 @@
 """Language identification by compression: a zstandard raw-content dictionary for each language.
 
-Training takes, for each language, rows in the order of a hash of their id, and from each one piece of at most
+Training takes, for each language, rows in the order of a hash of their id and text, and from each one piece of at most
 `sample_bytes` bytes that starts anywhere in the text, until the dictionary is full: `dictionary_bytes` /
-`sample_bytes` rows of long texts, 400 by default, and more of short ones. A text is cut into pieces
+`sample_bytes` rows of long texts, 400 by default, and more of short ones; repeated rows teach once. A text is cut into pieces
 of `piece_bytes`, all of it; each piece, in lower case, is compressed with each dictionary, and the language with the
 smallest total wins. Where the runner-up is closer than `margin`, relative to the size without a
 dictionary, the prediction stands as the best guess but is marked `rejected`.
@@ -41,10 +41,10 @@ def train(documents: DataFrame, *, doc_id: str, text: str, lang: str, sample_byt
     # a quarter more rows than fill a dictionary on average, since the draw is not exact
     shares = [(x, min(1.0, (1.25 * held / max(1.0, mean + 1) + 20) / n)) for x, n, mean in sizes]
     share = documents.sparkSession.createDataFrame(shares, T.StructType([T.StructField("__lang", documents.schema[lang].dataType), T.StructField("__share", T.DoubleType())]))
-    draw = lambda seed: F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(1 << 40)) / (1 << 40)
+    draw = lambda seed: F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), F.lit(1 << 40)) / (1 << 40)
     picked = labelled.join(F.broadcast(share), F.col(lang) == F.col("__lang")).where(draw(6) < F.col("__share"))
     start = F.floor(draw(7) * (F.octet_length(lowered) - length + 1)).cast("int") + 1
-    rows = picked.select(F.col(lang), draw(6), F.substring(lowered, start, F.lit(sample_bytes))).collect()
+    rows = picked.select(F.col(lang), draw(6), F.substring(lowered, start, F.lit(sample_bytes))).distinct().collect()
     pieces: dict[str, bytes] = {}
     for language, _, piece in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         filled = pieces.get(language)

@@ -7,7 +7,7 @@ prior * R-(positives)): where the second part falls below zero, the step goes ag
 
 A text's features are the words present, each once, so that one telling word in a very long text keeps
 its weight. Training reads at most about `positive_rows` and `unlabelled_rows` rows, picked by a hash of their
-id; executors turn their texts into bucket numbers, and the driver sees only those of buckets that get a weight.
+id and text, and repeated rows once; executors turn their texts into bucket numbers, and the driver sees only those of buckets that get a weight.
 Scoring reads every text whole.
 
 Defined cases: a null or empty text has no features and gets the model's base score; repeated rows get
@@ -143,16 +143,17 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, *, doc_id: str
     if not n_toxic:
         return Model(np.zeros(BUCKETS, dtype=np.float32), float(np.log(1e-4)))
     rows = documents.where(learn).select(F.col(doc_id), F.col(text).cast("binary").alias("__text"))
-    total = rows.count()
 
-    def picked(frame: DataFrame, size: int, wanted: int, salt: int) -> DataFrame:
-        return frame.where(F.pmod(F.xxhash64(F.lit(salt), F.col(doc_id)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, wanted / max(1, size))))
+    def picked(frame: DataFrame, positive: int, wanted: int, salt: int) -> DataFrame:
+        share = min(1.0, wanted / max(1, frame.count()))
+        here = F.pmod(F.xxhash64(F.lit(salt), F.col(doc_id), "__text"), F.lit(1 << 20)) < int((1 << 20) * share)
+        return frame.where(here).select(F.lit(positive).alias("positive"), F.xxhash64(F.col(doc_id), "__text").alias("draw"), "__text")
 
-    draw = F.xxhash64(F.col(doc_id), "__text").alias("draw")
-    positive = rows.join(picked(known.where("__toxic = 1"), n_toxic, positive_rows, 81), doc_id).select(F.lit(1).alias("positive"), draw, "__text")
-    unlabelled = picked(rows, total, unlabelled_rows, 82).select(F.lit(0).alias("positive"), draw, "__text")
+    toxic = rows.join(known.where("__toxic = 1").select(doc_id), doc_id)
+    picks = picked(toxic, 1, positive_rows, 81).union(picked(rows, 0, unlabelled_rows, 82))
     scratch = Scratch(documents.sparkSession, "toxicity")
-    sample = scratch.put(positive.union(unlabelled).mapInArrow(_featurised, "positive int, draw long, buckets binary"))
+    # rows that repeat an id and a text share a draw: however many there are, the sample holds one
+    sample = scratch.put(picks.mapInArrow(_featurised, "positive int, draw long, buckets binary").dropDuplicates(["positive", "draw"]))
     n_p, n_u = (x or 0 for x in sample.agg(F.sum("positive"), F.sum(1 - F.col("positive"))).first())
     counts = sample.mapInArrow(_counted, "bucket long, in_p long, in_u long").groupBy("bucket").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
     expected = F.lit(float(n_p)) * (F.col("in_u") + 1) / F.lit(float(max(1, n_u)))

@@ -506,3 +506,31 @@ def test_hash_fold_of_ids():
     assert zlib.crc32(b"17") % 5 == zlib.crc32(str(17).encode()) % 5
     value, bounds = textblocks.shingles(textblocks.Words([b"a b c d e f", None, b"", b"a b"], textblocks.BLANK_SPLIT), 5)
     assert np.diff(bounds).tolist() == [2, 0, 0, 1]
+
+
+def test_a_row_that_repeats_without_end_teaches_once(spark):
+    rows = [(k, f"one two three word{k}" + (" vile vile" if k % 5 == 0 else ""), "aa" if k % 2 else "bb") for k in range(200)]
+    once = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    often = once.union(once.where("doc_id = 10").join(spark.range(3000).select(F.lit(1)), how="cross").select(once.columns))
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(200)], "doc_id long, toxic int")
+    a, b = (toxicity.train(x, labels, F.lit(True), positive_rows=10**6, unlabelled_rows=10**6) for x in (once, often))
+    assert a.bias == b.bias and (a.weights == b.weights).all()
+    assert langid.train(once, doc_id="doc_id", text="text", lang="lang").keys() == langid.train(often, doc_id="doc_id", text="text", lang="lang").keys()
+    assert langid.train(often, doc_id="doc_id", text="text", lang="lang")["bb"].count(b"word10\n") + langid.train(often, doc_id="doc_id", text="text", lang="lang")["bb"].count(b"word10 ") <= 1
+
+
+def test_columns_of_results_replace_the_callers(spark):
+    rng = random.Random(12)
+    long = " ".join(rng.choices("katze hund maus lorem ipsum".split(), k=200_000))
+    rows = [(k, t, "x", "y", "z", "w", "v") for k, t in enumerate(["katze hund", "lorem ipsum", "katze hund", "", None, long])] + [(0, "katze hund", "x", "y", "z", "w", "v")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, score string, n_tokens string, margin string, predicted string, base_score string")
+    lang = frame.withColumn("lang", F.when(F.col("text").startswith("k"), "de").otherwise("la")).withColumn("lang_pred", F.lit("q")).withColumn("rejected", F.lit("q"))
+    scored = lm.score(frame, F.lit(True))
+    assert sorted(scored.columns) == sorted(["doc_id", "margin", "predicted", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    got = scored.collect()
+    assert len(got) == 7 and len({r["score"] for r in got if r["doc_id"] in (0, 2)}) == 1 and max(r["n_tokens"] for r in got) == 200_001
+    judged = langid.identify(lang, F.lit(True)).collect()
+    assert len(judged) == 7 and len({(r["lang_pred"], r["score"]) for r in judged if r["doc_id"] in (0, 2)}) == 1
+    assert {r["lang_pred"] for r in judged if r["doc_id"] in (3, 4)} == {"und"} and all(isinstance(r["rejected"], bool) for r in judged)
+    marked = toxicity.score(frame, toxicity.Model(np.zeros(toxicity.BUCKETS, dtype=np.float32), 0.0)).collect()
+    assert len(marked) == 7 and {(r["score"], r["predicted"]) for r in marked} == {(0.5, 1)}
