@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .importance import SQL as IMPORTANCE
 from .mixing import SQL as MIXING
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -44,4 +45,5 @@ BY_QUERY = {
     "op3_decontamination": DECONTAMINATION,
     "op5_near_duplicates": NEAR,
     "op7_mixing": MIXING,
+    "op11_importance": IMPORTANCE,
 }

@@ -80,6 +80,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, urlfilter.labelled_urls(spark)).drop("url")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import importance
+
+    drawn = importance.resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return drawn.withColumnRenamed("id", "doc_id").drop("n_words")
+
+
 def queries() -> dict:
     return {
         "op1_warc": op1_warc,
@@ -92,6 +99,7 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_fingerprints": op9_fingerprints,
         "op10_url_filter": op10_url_filter,
+        "op11_importance": op11_importance,
     }
 
 
