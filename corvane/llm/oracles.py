@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .importance import SQL as IMPORTANCE
+from .merkle import SQL as MERKLE
 from .mixing import SQL as MIXING
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -46,4 +47,5 @@ BY_QUERY = {
     "op5_near_duplicates": NEAR,
     "op7_mixing": MIXING,
     "op11_importance": IMPORTANCE,
+    "op12_merkle": MERKLE,
 }

@@ -87,6 +87,13 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.withColumnRenamed("id", "doc_id").drop("n_words")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import merkle
+
+    documents = _table(spark, sf_dir, "documents")
+    return merkle.manifest(documents, altered={"text": merkle.lowered_where("text", "doc_id")}).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
     return {
         "op1_warc": op1_warc,
@@ -100,6 +107,7 @@ def queries() -> dict:
         "op9_fingerprints": op9_fingerprints,
         "op10_url_filter": op10_url_filter,
         "op11_importance": op11_importance,
+        "op12_merkle": op12_merkle,
     }
 
 
