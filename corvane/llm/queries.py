@@ -94,6 +94,15 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(documents, altered={"text": merkle.lowered_where("text", "doc_id")}).withColumnRenamed("id", "doc_id")
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import packing
+
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(documents, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
     return {
         "op1_warc": op1_warc,
@@ -108,6 +117,7 @@ def queries() -> dict:
         "op10_url_filter": op10_url_filter,
         "op11_importance": op11_importance,
         "op12_merkle": op12_merkle,
+        "op13_packing": op13_packing,
     }
 
 
