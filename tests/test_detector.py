@@ -93,10 +93,33 @@ def test_registered_bootstraps_draw_a_thousand_replicates(spark):
     assert (got["low"], got["high"]) == pytest.approx(tuple(np.percentile(rates, [2.5, 97.5])))
 
 
-def test_class_bootstrap_is_the_same_by_joins_and_in_workers(spark):
-    rows = spark.createDataFrame([(k, float(k * 7 % 23), k % 3 == 0) for k in range(60)], "id long, score double, bona boolean")
-    small, large = (resample.class_bootstrap(rows, 12, most_rows=n).orderBy("b").collect() for n in (100, 10))
-    assert [(r["b"], round(r["eer"], 12)) for r in small] == [(r["b"], round(r["eer"], 12)) for r in large] and len(small) == 12
+def _drawn(seed, stratum, b, members):
+    return [(members[int(hashlib.md5(f"{seed}-{stratum}-{b}-{slot}".encode()).hexdigest()[:8], 16) % len(members)], slot) for slot in range(len(members))]
+
+
+def _rate(drawn):
+    """The rate of (id, score, bona) in order of score, nulls first and NaN last, then of the id's text; None with one class."""
+    if len({r[2] for r in drawn}) < 2:
+        return None
+    rank = lambda x: (0, 0.0) if x is None else (2, 0.0) if x != x else (1, x)
+    return _numpy_eer([(i, rank(x), b) for i, x, b in drawn])[0]
+
+
+SMALL = {"SLOTS": 7, "BLOCK_PAIRS": 9, "TOGETHER": 3, "SLICE_ROWS": 4}
+
+
+@pytest.mark.parametrize("sizes", [{}, SMALL])
+def test_class_bootstrap_is_that_of_every_draw(spark, monkeypatch, sizes):
+    for name, n in sizes.items():
+        monkeypatch.setattr(resample, name, n)
+    rows = [(k, None if k == 7 else float(k * 7 % 11), k % 3 == 0) for k in range(60)] + [(100 + k, 3.0, False) for k in range(30)]
+    got = {r["b"]: r["eer"] for r in resample.class_bootstrap(spark.createDataFrame(rows, "id long, score double, bona boolean"), 12).collect()}
+    by = {c: [r for r in rows if r[2] is c] for c in (True, False)}
+    want = {b: _rate([(f"{r[0]}-{slot}", *r[1:]) for c, own in by.items() for r, slot in _drawn("boot", str(c).lower(), b, own)]) for b in range(12)}
+    assert got == pytest.approx(want)
+    one = spark.createDataFrame([r for r in rows if r[2]], "id long, score double, bona boolean")
+    assert [r["eer"] for r in resample.class_bootstrap(one, 3).collect()] == [None] * 3
+    assert resample.class_bootstrap(one.limit(0), 3).count() == 0
 
 
 @pytest.mark.parametrize("ascending", [True, False])
@@ -158,11 +181,19 @@ def test_running_lengths_and_shares_are_those_of_one_sort(spark):
         assert {r["id"] for r in splits.per_group_share(frame, "g", "id", 0.1, target, "s").collect()} == set(every[:target])
 
 
-def test_cluster_bootstrap_is_the_same_by_joins_and_in_workers(spark):
-    rows = [(k, k % 3 == 0, f"c{k % 7}" if k % 11 else None, float(k * 7 % 23), None if k == 5 else float("nan") if k == 8 else float(k * 5 % 19)) for k in range(90)]
-    frame = spark.createDataFrame(rows, "id long, bona boolean, c string, m1 double, m2 double")
-    got = [sorted((r["b"], r["model"], round(r["eer"], 12)) for r in resample.cluster_bootstrap(frame, "c", ["m1", "m2"], 12, most_rows=n).collect()) for n in (100, 10)]
-    assert got[0] == got[1] and len(got[0]) == 24
-    one = frame.where("bona")
-    assert {r["eer"] for n in (100, 10) for r in resample.cluster_bootstrap(one, "c", ["m1"], 3, most_rows=n).collect()} == {None}
-    assert resample.cluster_bootstrap(frame.limit(0), "c", ["m1"], 3).count() == 0
+@pytest.mark.parametrize("sizes", [{}, SMALL])
+def test_cluster_bootstrap_is_that_of_every_draw(spark, monkeypatch, sizes):
+    for name, n in sizes.items():
+        monkeypatch.setattr(resample, name, n)
+    # c0 has a third of all rows
+    rows = [(k, k % 3 == 0, "c0" if k % 5 == 1 else f"c{k % 7}" if k % 11 else None, float(k * 7 % 23), None if k == 5 else float("nan") if k == 8 else float(k * 5 % 4)) for k in range(90)]
+    frame = spark.createDataFrame(rows, "id long, bona boolean, c string, `m 1` double, m2 double")
+    got = {(r["b"], r["model"]): r["eer"] for r in resample.cluster_bootstrap(frame, "c", ["m 1", "m2"], 12).collect()}
+    clusters, want = sorted({r[2] for r in rows}, key=lambda c: (c is not None, c)), {}
+    for b in range(12):
+        drawn = [(f"{r[0]}-{slot}", r) for c, slot in _drawn("cluster", "1", b, clusters) if c is not None for r in rows if r[2] == c]
+        for place, model in ((3, "m 1"), (4, "m2")):
+            want[b, model] = _rate([(i, r[place], r[1]) for i, r in drawn])
+    assert got == pytest.approx(want)
+    assert {r["eer"] for r in resample.cluster_bootstrap(frame.where("bona"), "c", ["m2"], 3).collect()} == {None}
+    assert resample.cluster_bootstrap(frame.limit(0), "c", ["m2"], 3).count() == 0
