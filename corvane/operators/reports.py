@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import det
+from .selection import medians
 
 POOLED = "pooled"
 
@@ -53,9 +54,9 @@ def identity_checks(clips: DataFrame, ranks: DataFrame, gallery: int, noop: floa
     written = F.coalesce(F.col("written"), F.lit(False))
     of_clips = clips.agg(
         F.count_if(~written).alias("missing"), F.count_if(written & (F.coalesce("frames", F.lit(0)) <= 0)).alias("empty"),
-        F.median("ratio").alias("ratio"), F.median("corr").alias("corr"),
     )
-    of_ranks = ranks.agg(F.median("target_rank").alias("target"), F.median("source_rank").alias("source"))
+    of_clips = of_clips.crossJoin(F.broadcast(medians(clips, ["ratio", "corr"])))
+    of_ranks = medians(ranks.select(F.col("target_rank").alias("target"), F.col("source_rank").alias("source")), ["target", "source"])
     chance = (gallery + 1) / 2
     checks = {
         "every expected clip written": F.lit(partial) | (F.col("missing") == 0),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import audit
+from ..operators import audit, selection
 from ..sources import logs
 from .catalogue import query
 
@@ -57,10 +57,13 @@ def level_spread(spark, sf_dir):
 @query("silence_stats", "SELECT lang, round(sum(n_chars)::DOUBLE / count(*), 6) AS mean, median(n_chars)::DOUBLE AS middle, min(n_chars) AS least, max(n_chars) AS most, round(stddev_pop(n_chars), 4) AS deviation, count(*) FILTER (n_chars < 50) AS below FROM documents GROUP BY 1")
 def silence_stats(spark, sf_dir):
     n = F.col("n_chars")
-    return documents(spark, sf_dir).groupBy("lang").agg(
-        F.round(F.sum(n) / F.count("*"), 6).alias("mean"), F.median(n).alias("middle"), F.min(n).alias("least"), F.max(n).alias("most"),
+    docs = documents(spark, sf_dir)
+    out = docs.groupBy("lang").agg(
+        F.round(F.sum(n) / F.count("*"), 6).alias("mean"), F.min(n).alias("least"), F.max(n).alias("most"),
         F.round(F.stddev_pop(n), 4).alias("deviation"), F.count_if(n < 50).alias("below"),
     )
+    middle = selection.percentiles(docs, ["lang"], "n_chars", {"middle": 0.5}).withColumnRenamed("lang", "of")
+    return out.join(middle, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 _X = "x AS (SELECT d.lang AS value, l.quality AS y, count(*) AS n FROM documents d JOIN labels l USING (doc_id) GROUP BY 1, 2), c AS (SELECT value, coalesce(sum(n) FILTER (y = 0), 0)::BIGINT AS class_0, coalesce(sum(n) FILTER (y = 1), 0)::BIGINT AS class_1 FROM x GROUP BY 1)"

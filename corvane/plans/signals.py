@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import audio
-from ..operators import det, probe, vectors
+from ..operators import det, probe, selection, vectors
+from ..operators.stored import stored
 from ..session import shared_folder
 from ..streaming import counts
 from .catalogue import query
@@ -55,8 +56,10 @@ def centred_rank(spark, sf_dir):
 @query("identity_probe", f"WITH {_RANK}, o AS (SELECT * FROM rr WHERE member = own) SELECT count(*) AS probes, median(rank)::DOUBLE AS median_rank, count(*) FILTER (rank <= 5) AS in_top_5, ((SELECT count(*) FROM gal) + 1) / 2.0::DOUBLE AS chance, median(rank) < ((SELECT count(*) FROM gal) + 1) / 2.0 AS better FROM o")
 def identity_probe(spark, sf_dir):
     ranked, gallery = _ranks(spark, sf_dir)
-    out = ranked.agg(F.count("*").alias("probes"), F.median("rank").alias("median_rank"), F.count_if(F.col("rank") <= 5).alias("in_top_5"))
-    out = out.crossJoin(F.broadcast(gallery.agg(F.count("*").alias("n")))).withColumn("chance", (F.col("n") + 1) / 2.0).drop("n")
+    ranked = stored(ranked, "ranks")
+    out = ranked.agg(F.count("*").alias("probes"), F.count_if(F.col("rank") <= 5).alias("in_top_5"))
+    out = out.crossJoin(F.broadcast(selection.percentiles(ranked, [], "rank", {"median_rank": 0.5})))
+    out = out.select("probes", "median_rank", "in_top_5").crossJoin(F.broadcast(gallery.agg(F.count("*").alias("n")))).withColumn("chance", (F.col("n") + 1) / 2.0).drop("n")
     return out.withColumn("better", F.col("median_rank") < F.col("chance"))
 
 

@@ -146,15 +146,6 @@ def test_places_in_a_draw_are_those_of_one_sort(spark):
         assert {r["__n"] for r in got if r["g"] == g} == {n}
 
 
-def test_groups_beyond_the_bound_are_no_pairs(spark):
-    from corvane.operators import vectors
-
-    frame = spark.createDataFrame([("a", k, [1.0, float(k)]) for k in range(4)], "g string, k long, v array<double>")
-    assert vectors.median_pairwise(frame, "g", "k", "v").first()["pairs"] == 6
-    with pytest.raises(Exception, match="more than 3 vectors"):
-        vectors.median_pairwise(frame, "g", "k", "v", most=3).collect()
-
-
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_numbers_are_places_in_one_sort(spark, kind):
     keys = [k if kind == "long" else f"m{k:04d}" for k in range(600)]
