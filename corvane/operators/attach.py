@@ -101,6 +101,6 @@ def symmetric_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return both.where("__a is null or __b is null").select(key, F.when(F.col("__a").isNotNull(), "left").otherwise("right").alias("side"))
 
 
-def systems(rows: DataFrame, method: str = "method") -> list[str]:
-    """The distinct systems among the spoofs, in order."""
-    return rows.where(F.col(method).isNotNull() & (F.col(method) != "none")).agg(F.sort_array(F.collect_set(method))).first()[0]
+def systems(rows: DataFrame, method: str = "method") -> DataFrame:
+    """The distinct systems among the spoofs."""
+    return rows.where(F.col(method).isNotNull() & (F.col(method) != "none")).select(method).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import det
 from .selection import medians
+from .stored import stored
 
 POOLED = "pooled"
 
@@ -16,25 +17,28 @@ def by_system(scored: DataFrame, system: str = "system") -> DataFrame:
 
     `inverted` warns that genuine scores are not the higher ones on average.
     """
-    pool = det.shared_pool(scored, system)
-    rows = pool.unionByName(scored.withColumn(system, F.lit(POOLED)))
     bona = F.col("bona")
-    means = rows.groupBy(system).agg(F.avg(F.when(bona, F.col("score"))).alias("mean_bona"), F.avg(F.when(~bona, F.col("score"))).alias("mean_spoof"))
-    out = det.eer(rows, [system]).drop("threshold").join(means, system)
+    mean = F.avg("score").alias("mean")
+    genuine = scored.where(bona).agg(mean.alias("mean_bona"))
+    spoof = scored.where(~bona).groupBy(system).agg(mean.alias("mean_spoof"))
+    all_spoof = scored.where(~bona).agg(mean.alias("mean_spoof")).withColumn(system, F.lit(POOLED))
+    rates = det.system_eer(scored, system).select(system, "n_bona", "n_spoof", "eer")
+    rates = rates.unionByName(det.eer(scored, []).withColumn(system, F.lit(POOLED)).drop("threshold"))
+    means = spoof.unionByName(all_spoof).withColumnRenamed(system, "__of").crossJoin(F.broadcast(genuine))
+    out = rates.join(means, F.col(system).eqNullSafe(F.col("__of"))).drop("__of").select(system, "n_bona", "n_spoof", "eer", "mean_bona", "mean_spoof")
     return out.withColumn("inverted", ~F.coalesce(F.col("mean_bona") > F.col("mean_spoof"), F.lit(False)))
 
 
 def calibrated(scored: DataFrame, test: str, threshold: DataFrame | None = None) -> DataFrame:
-    """One row for each test: its rates at `threshold`, a one-row table, else at its own, which is labelled ORACLE.
+    """One row for each test (a system, against the genuine rows that all share): its rates at `threshold`, a one-row table, else at its own, which is labelled ORACLE.
 
     `mismatch` says that the threshold differs from the test's own by more than 1e-9; `own_threshold` is that.
     """
-    own = det.eer(scored, [test]).select(F.col(test), "eer", F.col("threshold").alias("own_threshold"))
-    auc = det.auc_ranksum(scored, [test]).select(F.col(test), "auc")
-    given = own.join(auc, test)
+    given = det.system_eer(scored, test).select(test, "eer", F.col("threshold").alias("own_threshold"), "auc")
+    given = stored(given, "calibrated")
     given = given.withColumn("threshold", F.col("own_threshold")) if threshold is None else given.crossJoin(F.broadcast(threshold.select("threshold")))
-    counts = det.confusion(scored.join(F.broadcast(given.select(test, "threshold")), test), [test], F.col("threshold"))
-    out = det.rates(counts).join(given, test).withColumn("source", F.lit("ORACLE" if threshold is None else "calibrated"))
+    counts = det.system_confusion(scored, test, given.select(test, "threshold")).withColumnRenamed(test, "__of").drop("threshold")
+    out = det.rates(counts).join(given, F.col("__of").eqNullSafe(F.col(test))).drop("__of").withColumn("source", F.lit("ORACLE" if threshold is None else "calibrated"))
     return out.withColumn("mismatch", F.coalesce(F.abs(F.col("threshold") - F.col("own_threshold")) > 1e-9, F.lit(False)))
 
 

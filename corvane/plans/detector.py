@@ -44,7 +44,7 @@ def eer_pooled(spark, sf_dir):
 
 @query("eer_per_source", f"WITH {_E}, {_POOL}, {_eer('p', 'g', 'r')} SELECT g AS system, n_bona, n_spoof, round(eer, 9) AS eer, threshold FROM r")
 def eer_per_source(spark, sf_dir):
-    return _rounded(det.eer(det.shared_pool(scored(spark, sf_dir), "system"), ["system"]), "eer")
+    return _rounded(det.system_eer(scored(spark, sf_dir), "system").drop("auc"), "eer")
 
 
 @query(
@@ -74,7 +74,7 @@ def det_points(spark, sf_dir):
     f"WITH {_E}, {_POOL}, {_sweep('p', 'g')} SELECT g AS system, max(nb)::BIGINT AS n_bona, max(ns)::BIGINT AS n_spoof, round((sum(CASE WHEN bona THEN rn END) - max(nb) * (max(nb) + 1) / 2)::DOUBLE / (max(nb) * max(ns)), 9) AS auc FROM w GROUP BY g",
 )
 def auc_ranksum(spark, sf_dir):
-    return _rounded(det.auc_ranksum(det.shared_pool(scored(spark, sf_dir), "system"), ["system"]), "auc")
+    return _rounded(det.system_eer(scored(spark, sf_dir), "system").select("system", "n_bona", "n_spoof", "auc"), "auc")
 
 
 @query(
@@ -84,7 +84,7 @@ def auc_ranksum(spark, sf_dir):
     SELECT g AS system, round(sum((fpr - pfpr) * (tpr + ptpr) / 2), 6) AS auc FROM t GROUP BY g""",
 )
 def auc_trapezoid(spark, sf_dir):
-    return det.descending_eer(det.shared_pool(scored(spark, sf_dir), "system"), ["system"]).select("system", F.round("auc", 6).alias("auc"))
+    return det.system_eer(scored(spark, sf_dir), "system", ascending=False).select("system", F.round("auc", 6).alias("auc"))
 
 
 _CAL = f"""WITH {_E}, v AS (SELECT *, 1 AS g FROM e WHERE system IN ('view', 'error')), {_eer('v', 'g', 'r')},
@@ -97,8 +97,8 @@ _CAL = f"""WITH {_E}, v AS (SELECT *, 1 AS g FROM e WHERE system IN ('view', 'er
 def _calibrated(spark, sf_dir) -> DataFrame:
     rows = scored(spark, sf_dir)
     threshold = det.eer(rows.where("system in ('view', 'error')"), []).select("threshold")
-    test = det.shared_pool(rows, "system").crossJoin(F.broadcast(threshold))
-    return det.confusion(test, ["system", "threshold"], F.col("threshold"))
+    systems = rows.where("not bona").select("system").distinct().crossJoin(F.broadcast(threshold))
+    return det.system_confusion(rows, "system", systems)
 
 
 @query("confusion_at_calibrated", f"{_CAL} SELECT system, threshold, tp, fp, tn, fn FROM k")
@@ -127,8 +127,7 @@ _COND = "CASE id % 3 WHEN 0 THEN 'clean' WHEN 1 THEN 'opus' ELSE 'amr' END"
 
 def _conditions(spark, sf_dir) -> DataFrame:
     rows = scored(spark, sf_dir).withColumn("condition", F.expr(_COND))
-    parts = [det.shared_pool(rows.where(F.col("condition") == c), "system") for c in ("clean", "opus", "amr")]
-    return det.eer(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["condition", "system"])
+    return det.system_eer(rows, "system", ["condition"])
 
 
 _MATRIX = f"""WITH {_E}, c AS (SELECT *, {_COND} AS condition FROM e),
@@ -205,9 +204,9 @@ def bootstrap_paired_diff(spark, sf_dir):
 def directional_eer(spark, sf_dir):
     """The better of a score and its negative, for groups of ten values or more."""
     rows = scored(spark, sf_dir)
-    pool = det.shared_pool(rows.where(det.finite(F.col("score"))), "system")
-    up = det.eer(pool, ["system"]).where("n_bona + n_spoof >= 10").select("system", F.col("eer").alias("up"))
-    down = det.eer(pool.withColumn("score", -F.col("score")), ["system"]).select("system", F.col("eer").alias("down"))
+    rows = rows.where(det.finite(F.col("score")))
+    up = det.system_eer(rows, "system").where("n_bona + n_spoof >= 10").select("system", F.col("eer").alias("up"))
+    down = det.system_eer(rows.withColumn("score", -F.col("score")), "system").select("system", F.col("eer").alias("down"))
     return up.join(down, "system").select("system", F.round(F.least("up", "down"), 9).alias("eer"), F.when(F.col("up") <= F.col("down"), 1).otherwise(-1).alias("sign"))
 
 
@@ -216,7 +215,7 @@ def directional_eer(spark, sf_dir):
     f"WITH {_E}, {_POOL}, {_eer('p', 'g', 'r')} SELECT g AS system, CASE WHEN eer >= 0.40 THEN 'CLEAN' WHEN eer >= 0.25 THEN 'MILD' WHEN eer >= 0.10 THEN 'SERIOUS' ELSE 'CRITICAL' END AS verdict FROM r",
 )
 def verdict_band(spark, sf_dir):
-    return det.eer(det.shared_pool(scored(spark, sf_dir), "system"), ["system"]).select("system", det.verdict(F.col("eer")).alias("verdict"))
+    return det.system_eer(scored(spark, sf_dir), "system").select("system", det.verdict(F.col("eer")).alias("verdict"))
 
 
 @query(

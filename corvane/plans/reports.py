@@ -38,7 +38,7 @@ def _report_sql(threshold: str, source: str, name: str) -> str:
 def calibrated_report(spark, sf_dir):
     """Every system at the threshold of system `error`, and at its own."""
     rows = scored(spark, sf_dir)
-    pool = det.shared_pool(rows.select("id", "score", "bona", "system"), "system")
+    pool = rows.select("id", "score", "bona", "system")
     given = det.eer(rows.where("system in ('view', 'error')"), []).select("threshold")
     both = reports.calibrated(pool, "system", given).unionByName(reports.calibrated(pool, "system"))
     return _rounded(both.select("system", "source", "eer", "threshold", "own_threshold", "mismatch", "tp", "fp", "tn", "fn", "acc"), "eer", "acc")
@@ -54,9 +54,9 @@ def calibrated_report(spark, sf_dir):
 )
 def probe_by_source(spark, sf_dir):
     """The descending sweep by system, its verdict, and the ascending sweep's rate held against it as the detector's."""
-    pool = det.shared_pool(scored(spark, sf_dir).select("id", "score", "bona", "system"), "system")
-    model = det.eer(pool, ["system"]).select("system", F.col("eer").alias("model"))
-    out = det.descending_eer(pool, ["system"]).join(model, "system")
+    rows = scored(spark, sf_dir).select("id", "score", "bona", "system")
+    model = det.system_eer(rows, "system").select("system", F.col("eer").alias("model"))
+    out = det.system_eer(rows, "system", ascending=False).join(model, "system")
     return out.select("system", F.round("eer", 9).alias("eer"), det.verdict(F.col("eer")).alias("verdict"), reports.against_model(F.col("eer"), F.col("model")).alias("detector"))
 
 
@@ -119,4 +119,4 @@ def inventory_summary(spark, sf_dir):
 def spoof_systems(spark, sf_dir):
     """The distinct systems of a manifest; the list is short by its nature."""
     rows = scored(spark, sf_dir).select(F.when(F.col("bona"), "none").otherwise(F.col("system")).alias("method"))
-    return spark.createDataFrame([(s,) for s in attach.systems(rows)], "system string")
+    return attach.systems(rows).withColumnRenamed("method", "system")
