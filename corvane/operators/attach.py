@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 NO_SOURCE = "<no source in log>"
 
 
@@ -55,10 +58,50 @@ def attach_source(files: DataFrame, sources: DataFrame, keys: list[str]) -> Data
     return files.join(one_of_each(sources.withColumn("__key", F.struct(*keys)), "__key", ["source"]).select("__key.*", "source"), keys, "left").withColumn("source", F.coalesce("source", F.lit(NO_SOURCE)))
 
 
-def attach_transcript(samples: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """Samples with the text of their genuine file: generated suffixes are stripped, then files join by name."""
-    texts = one_of_each(transcripts, "file", ["text"]).withColumnRenamed("file", "__file")
-    return samples.join(texts, original_file(F.col("file")) == F.col("__file"), "left").drop("__file")
+def attach_transcript(samples: DataFrame, lines: DataFrame, speaker: str = "speaker", block_names: int = 20_000, chunk_lines: int = 50_000) -> DataFrame:
+    """Samples with the `text` of their genuine file: the first line of their speaker's transcript that contains its name, blanks around it cut; empty where there is none.
+
+    `samples` has the speaker and a `file`, `lines` the speaker, a number `line` and the whole line as `value`. Names meet lines by substring, at any place: an automaton of a block of a
+    speaker's names reads a chunk of the speaker's lines once, so neither a speaker of very many names nor one of very many lines
+    fills a task, and what leaves a task is one line at most for each name.
+    """
+    wanted = stored(samples.select(F.col(speaker).alias("of"), original_file(F.col("file")).alias("name")).where("name is not null").distinct(), "transcripts")
+    given = lines.select(F.col(speaker).alias("of"), "line", "value").where("value is not null")
+    pieces = wanted.groupBy("of").agg(F.ceil(F.count("*") / block_names).cast("long").alias("blocks"))
+    held = given.groupBy("of").agg(F.ceil(F.count("*") / chunk_lines).cast("long").alias("chunks"))
+    sizes = pieces.join(held, "of")
+    deal = lambda by, n: F.pmod(F.xxhash64(*by), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    names = wanted.join(sizes, "of").select("of", deal(["name"], F.col("blocks")).alias("block"), each("chunks").alias("chunk"), "name")
+    chunks = given.join(sizes, "of").select("of", each("blocks").alias("block"), deal(["line"], F.col("chunks")).alias("chunk"), "line", "value")
+    kinds = {"of": lines.schema[speaker].dataType.simpleString(), "line": lines.schema["line"].dataType.simpleString()}
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        right = right.sort_by("line")
+        automaton, first = ahocorasick.Automaton(), {}
+        for name in left.column("name").to_pylist():
+            if name:
+                automaton.add_word(name, name)
+            elif len(right):
+                first[name] = 0
+        automaton.make_automaton()
+        if len(automaton):
+            for i, value in enumerate(right.column("value").to_pylist()):
+                for _, name in automaton.iter(value):
+                    first.setdefault(name, i)
+        at = pa.array(list(first.values()), pa.int64())
+        found = right.take(at)
+        of = left.column("of")[:1].take(pa.array([0] * len(first), pa.int64())) if len(first) else left.column("of")[:0]
+        return pa.table([of, pa.array(list(first), pa.string()), found.column("line"), found.column("value")], names=["of", "name", "line", "value"])
+
+    key = ["of", "block", "chunk"]
+    found = names.groupBy(*key).cogroup(chunks.groupBy(*key)).applyInArrow(search, f"of {kinds['of']}, name string, line {kinds['line']}, value string")
+    best = found.groupBy("of", "name").agg(F.min_by("value", "line").alias("value"))
+    best = best.select(F.col("of").alias("__of"), F.col("name").alias("__name"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("text"))
+    out = samples.join(best, (F.col(speaker) == F.col("__of")) & (original_file(F.col("file")) == F.col("__name")), "left").drop("__of", "__name")
+    return out.withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def original_file(file: Column) -> Column:

@@ -54,12 +54,26 @@ def attach_source(spark, sf_dir):
     return attach.attach_source(docs.select("doc_id"), docs.where("doc_id % 4 = 0"), ["doc_id"])
 
 
-@query("attach_transcript", "SELECT l_orderkey || '.' || (1 + l_linenumber % 2) || '.wav' AS file, o_comment_ AS text FROM lineitem JOIN (SELECT o_orderkey, o_orderpriority AS o_comment_ FROM orders) ON o_orderkey = l_orderkey GROUP BY ALL")
+_NAMES = "s AS (SELECT DISTINCT o_custkey AS speaker, o_custkey || '.' || l_orderkey || '.' || (1 + l_linenumber % 2) || '.wav' AS file, o_custkey || '.' || l_orderkey || '.wav' AS name FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
+_LINES = """t AS (SELECT o_custkey AS speaker, o_orderkey * 2 + 1 AS line, o_custkey || '.' || o_orderkey || '.wav' || chr(9) || o_orderpriority AS value FROM orders WHERE o_orderkey % 5 <> 0
+  UNION ALL SELECT o_custkey, o_orderkey * 2 - 40, 'see 1' || o_custkey || '.' || o_orderkey || '.wav again' || chr(9) || o_orderstatus FROM orders WHERE o_orderkey % 7 = 0)"""
+
+
+@query(
+    "attach_transcript",
+    f"""WITH {_NAMES}, {_LINES}, f AS (SELECT s.speaker, s.name, arg_min(t.value, t.line) AS value FROM (SELECT DISTINCT speaker, name FROM s) s JOIN t ON t.speaker = s.speaker AND contains(t.value, s.name) GROUP BY 1, 2)
+    SELECT s.speaker, s.file, coalesce(trim(f.value), '') AS text FROM s LEFT JOIN f USING (speaker, name)""",
+)
 def attach_transcript(spark, sf_dir):
-    """Generated files by order and line find the text of the order's own file."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.col("l_orderkey").cast("string"), F.lit("."), (1 + F.col("l_linenumber") % 2).cast("string"), F.lit(".wav")).alias("file")).distinct()
-    texts = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.col("o_orderkey").cast("string"), F.lit(".wav")).alias("file"), F.col("o_orderpriority").alias("text"))
-    return attach.attach_transcript(lines, texts)
+    """Generated files find the first line of their customer's transcript that names the genuine file; some lines name others' in passing."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    speaker, key = F.col("o_custkey"), F.col("o_orderkey")
+    name = F.concat_ws(".", speaker, key)
+    files = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(orders, F.col("l_orderkey") == key)
+    files = files.select(speaker.alias("speaker"), F.concat(name, F.lit("."), (1 + F.col("l_linenumber") % 2).cast("string"), F.lit(".wav")).alias("file")).distinct()
+    own = orders.where("o_orderkey % 5 <> 0").select(speaker.alias("speaker"), (key * 2 + 1).alias("line"), F.concat(name, F.lit(".wav\t"), "o_orderpriority").alias("value"))
+    passing = orders.where("o_orderkey % 7 = 0").select(speaker, key * 2 - 40, F.concat(F.lit("see 1"), name, F.lit(".wav again\t"), "o_orderstatus"))
+    return attach.attach_transcript(files, own.union(passing))
 
 
 @query("exclusion_map", "SELECT doc_id FROM documents WHERE source IS NULL OR NOT starts_with(source, 'src1')")

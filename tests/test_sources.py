@@ -162,3 +162,21 @@ def test_name_and_path():
     for wrong in ("tts", "=x", "x="):
         with pytest.raises(ValueError):
             tables.name_and_path(wrong)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_names": 3, "chunk_lines": 4}])
+def test_transcripts_by_the_first_line_that_contains_the_name(spark, sizes):
+    lines = [(s, k, v) for s, own in {
+        "a": ["", "a.12.wav\tone two ", "  see a.1.wav here", "a.1.wav\tlater", "b.9.wav x", None, "(a.3+.wav", "aa.12.wav\tno"],
+        "b": ["a.1.wav\tanother speaker", "b.9.wav\tb.9.wav"],
+        "hot": [f"hot.{k % 40}.wav\tline {k}" for k in range(200)],
+    }.items() for k, v in enumerate(own)]
+    files = [("a", "a.12.1.wav"), ("a", "a.12.2.wav"), ("a", "a.1.wav"), ("a", "a.3+.2.wav"), ("a", "2.wav"), ("a", "b.9.wav"), ("a", "x.wav"), ("b", "a.1.1.wav"), ("c", "c.wav"), ("a", None), (None, "a.1.wav")]
+    files += [("hot", f"hot.{k}.1.wav") for k in range(45)] + [("a", "a.1.wav")]
+    got = attach.attach_transcript(spark.createDataFrame(files, "speaker string, file string"), spark.createDataFrame(lines, "speaker string, line int, value string").repartition(3), **sizes)
+
+    def want(speaker, file):
+        name = file and (file[:-6] + ".wav" if file.endswith((".1.wav", ".2.wav")) else file)
+        return next((v.strip() for s, _, v in lines if s == speaker and name is not None and v is not None and name in v), "")
+
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((s, f, want(s, f))) for s, f in files)
