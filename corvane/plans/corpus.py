@@ -96,6 +96,31 @@ def log_lines(spark, sf_dir):
     return utterances(spark, sf_dir).select("conv_id", "turn", "file", "source", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@query(
+    "log_lines_sql",
+    r"""WITH g AS (SELECT conv_id, turn * 10 AS line, CASE turn % 4 WHEN 3 THEN 'no line of a log: ' || role ELSE conv_id || '.' || turn || '.wav "' || role || '" "' || regexp_replace(text, '\s', ' ', 'g') || '"' END AS value FROM conversations
+      UNION ALL SELECT conv_id, 1, 'Speaker = "' || role || '"' FROM conversations WHERE turn = 0 UNION ALL SELECT conv_id, 2, '  ' FROM conversations WHERE turn = 0),
+    k AS (SELECT *, contains(value, '=') AND NOT starts_with(value, '"') AS head, '^(\S+\.wav)\s+"([^"]*)"\s+(.*)$' AS p, '^\s*([^=]+?)\s*=\s*"?(.*?)"?\s*$' AS h FROM g WHERE trim(value) <> ''),
+    r AS (SELECT *, CASE WHEN head AND regexp_matches(value, h) THEN 'header' WHEN NOT head AND regexp_matches(value, p) THEN 'utterance' ELSE 'bad' END AS kind FROM k)
+    SELECT conv_id::VARCHAR AS log, line, kind, CASE kind WHEN 'utterance' THEN regexp_extract(value, p, 1) WHEN 'header' THEN regexp_extract(value, h, 1) END AS file,
+      CASE kind WHEN 'utterance' THEN regexp_extract(value, p, 2) END AS source, md5(CASE kind WHEN 'utterance' THEN regexp_extract(value, p, 3) WHEN 'header' THEN regexp_extract(value, h, 2) ELSE value END) AS text_md5 FROM r""",
+)
+def log_lines_sql(spark, sf_dir):
+    """Logs with headers, blank and bad lines, read in SQL by the table function."""
+    from ..sources import log_function
+
+    log_function.register(spark)
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return spark.sql(
+        r"""WITH lines AS (
+          SELECT CAST(conv_id AS STRING) AS log, turn * 10 AS line,
+            CASE turn % 4 WHEN 3 THEN concat('no line of a log: ', role) ELSE concat(conv_id, '.', turn, '.wav "', role, '" "', regexp_replace(text, '\\s', ' '), '"') END AS value FROM {c}
+          UNION ALL SELECT CAST(conv_id AS STRING), inline(array(struct(1L, concat('Speaker = "', role, '"')), struct(2L, '  '))) FROM {c} WHERE turn = 0)
+        SELECT log, line, kind, file, source, md5(text) AS text_md5 FROM log_lines(TABLE(SELECT log, line, value FROM lines))""",
+        c=c,
+    )
+
+
 _CL = r"""q AS (SELECT *, CASE WHEN length(text) >= 2 AND starts_with(text, '"') AND ends_with(text, '"') THEN substr(text, 2, length(text) - 2) ELSE text END AS t1 FROM u),
   cl AS (SELECT *, trim(regexp_replace(regexp_replace(t1, '\s*\([^)]*\)', '', 'g'), '\s+', ' ', 'g')) AS cleaned FROM q)"""
 

@@ -180,3 +180,21 @@ def test_transcripts_by_the_first_line_that_contains_the_name(spark, sizes):
         return next((v.strip() for s, _, v in lines if s == speaker and name is not None and v is not None and name in v), "")
 
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((s, f, want(s, f))) for s, f in files)
+
+
+def test_log_lines_in_sql_keep_bad_lines(spark):
+    from corvane.sources import log_function
+
+    log_function.register(spark)
+    rows = [("a", 1, 'Name = "Ann Lee"'), ("a", 2, ""), ("a", 3, None), ("a", 4, 'x.wav "src 1" "some (text)"'), ("a", 5, "what is this"), ("a", 6, 'y.wav "k=v" more'), (None, 7, '"q.wav" = 3'), ("b", 8, "z.wav   \"s\"  plain"), ("b", 9, " = x"), ("b", 10, "é.wav \"\" t")]
+    spark.createDataFrame(rows, "log string, line long, value string").createOrReplaceTempView("some_lines")
+    got = {r["line"]: tuple(r) for r in spark.sql("SELECT * FROM log_lines(TABLE(SELECT log, line, value FROM some_lines))").collect()}
+    assert got == {
+        1: ("a", 1, "header", "Name", None, "Ann Lee"), 4: ("a", 4, "utterance", "x.wav", "src 1", '"some (text)"'), 5: ("a", 5, "bad", None, None, "what is this"),
+        6: ("a", 6, "header", 'y.wav "k', None, 'v" more'), 7: (None, 7, "bad", None, None, '"q.wav" = 3'), 8: ("b", 8, "utterance", "z.wav", "s", "plain"),
+        9: ("b", 9, "header", " ", None, "x"), 10: ("b", 10, "utterance", "é.wav", "", "t"),
+    }
+    # the column expression says the same of each line
+    same = spark.table("some_lines").select("line", logs.utterances(F.col("value")).alias("u")).where("u is not null").collect()
+    assert {r["line"]: tuple(r["u"]) for r in same} == {k: v[3:] for k, v in got.items() if v[2] == "utterance"}
+    assert spark.sql("SELECT * FROM log_lines(TABLE(SELECT log, line, value FROM some_lines WHERE false))").count() == 0
