@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import audit, selection
+from ..operators import audit, selection, transcripts
 from ..sources import logs
 from .catalogue import query
 
@@ -121,20 +121,47 @@ def log_lines_sql(spark, sf_dir):
     )
 
 
-_CL = r"""q AS (SELECT *, CASE WHEN length(text) >= 2 AND starts_with(text, '"') AND ends_with(text, '"') THEN substr(text, 2, length(text) - 2) ELSE text END AS t1 FROM u),
-  cl AS (SELECT *, trim(regexp_replace(regexp_replace(t1, '\s*\([^)]*\)', '', 'g'), '\s+', ' ', 'g')) AS cleaned FROM q)"""
-
-
 _WORDS = "map {" + ", ".join(f"'{n}': '{w}'" for n, w in tx.number_words().items()) + "}"
-_XP = rf"""x AS (SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(regexp_replace(t1, '\s*\([^)]*\)', '', 'g'), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+'),
-    lambda w: coalesce({_WORDS}[w], w)), '') AS t2 FROM q WHERE source = 'user'), e AS (SELECT conv_id, turn, trim(regexp_replace(t2, '\s+', ' ', 'g')) AS cleaned FROM x)"""
+#: The lines of a corpus with digits, numbers, excluded sources, glosses and lines that come out empty, made from the turns.
+_CORPUS = r"""w AS (SELECT conv_id, turn, conv_id || '.' || turn || '.wav' AS file, CASE WHEN turn % 5 = 2 THEN ' Random Digit' WHEN turn % 7 = 3 THEN 'TGL_' || role ELSE role END AS source,
+    CASE WHEN turn % 5 = 2 THEN '"' || (1 + conv_id % 9) || ' (one)"' WHEN turn % 11 = 4 THEN '"(' || role || ')"' ELSE '"' || regexp_replace(text, '\s', ' ', 'g') || ' ' || (conv_id % 120) || ' (gloss) ' || (1 + turn % 9) || '"' END AS text FROM conversations),
+  dm AS (SELECT conv_id || '.' || turn || '.wav' AS file, CASE WHEN conv_id % 4 = 0 THEN '9' ELSE (1 + conv_id % 9)::VARCHAR END AS digit, 'say ' || conv_id % 9 AS saying FROM conversations WHERE conv_id % 3 <> 0)"""
+_CLEANED = rf"""{_CORPUS}, q AS (SELECT *, lower(trim(source)) = 'random digit' AS entry, CASE WHEN length(text) >= 2 AND starts_with(text, '"') AND ends_with(text, '"') THEN substr(text, 2, length(text) - 2) ELSE text END AS t1 FROM w),
+  p AS (SELECT q.*, digit, saying, regexp_replace(t1, '\s*\([^)]*\)', '', 'g') AS plain FROM q LEFT JOIN dm USING (file)),
+  x AS (SELECT *, CASE WHEN entry AND saying IS NOT NULL THEN regexp_replace(plain, '\b[1-9]\b', saying, 'g') ELSE plain END AS said, regexp_extract_all(plain, '\b([1-9])\b', 1) AS found FROM p),
+  y AS (SELECT *, trim(regexp_replace(array_to_string(list_transform(regexp_extract_all(said, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+'), lambda w: coalesce({_WORDS}[w], w)), ''), '\s+', ' ', 'g')) AS cleaned FROM x),
+  z AS (SELECT *, CASE WHEN starts_with(source, 'TGL_') THEN 'excluded source' WHEN cleaned = '' THEN 'empty' END AS reason FROM y)"""
+
+
+def corpus_lines(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """((conv_id, turn, file, source, text), the digit map)"""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    conv, turn, text = F.col("conv_id"), F.col("turn"), F.regexp_replace("text", r"\s", " ")
+    number = lambda x: x.cast("string")
+    file = F.concat(number(conv), F.lit("."), number(turn), F.lit(".wav"))
+    source = F.when(turn % 5 == 2, " Random Digit").when(turn % 7 == 3, F.concat(F.lit("TGL_"), "role")).otherwise(F.col("role"))
+    said = F.when(turn % 5 == 2, F.concat(F.lit('"'), number(1 + conv % 9), F.lit(' (one)"'))).when(turn % 11 == 4, F.concat(F.lit('"('), "role", F.lit(')"')))
+    said = said.otherwise(F.concat(F.lit('"'), text, F.lit(" "), number(conv % 120), F.lit(" (gloss) "), number(1 + turn % 9), F.lit('"')))
+    digits = c.where("conv_id % 3 <> 0").select(file.alias("file"), F.when(conv % 4 == 0, "9").otherwise(number(1 + conv % 9)).alias("digit"), F.concat(F.lit("say "), number(conv % 9)).alias("saying"))
+    return c.select("conv_id", "turn", file.alias("file"), source.alias("source"), said.alias("text")), digits
 
 
-@query("transcript_clean", f"WITH {_G}, {_CL}, {_XP} SELECT conv_id, turn, md5(cleaned) AS cleaned_md5, length(cleaned) AS length FROM e")
+@query("transcript_clean", f"WITH {_CLEANED} SELECT conv_id, turn, file, md5(cleaned) AS cleaned_md5, length(cleaned) AS length FROM z WHERE reason IS NULL")
 def transcript_clean(spark, sf_dir):
-    """All user turns, cleaned."""
-    rows = utterances(spark, sf_dir).where("source = 'user'").withColumn("cleaned", tx.clean(F.col("text")))
-    return rows.select("conv_id", "turn", F.md5(F.col("cleaned").cast("binary")).alias("cleaned_md5"), F.char_length("cleaned").cast("long").alias("length"))
+    """All lines through the whole chain, digits and numbers in words; those that are kept."""
+    lines, digits = corpus_lines(spark, sf_dir)
+    kept, _ = transcripts.pipeline(lines, digits, excluded=("TGL_",))
+    return kept.select("conv_id", "turn", "file", F.md5(F.col("text").cast("binary")).alias("cleaned_md5"), F.char_length("text").cast("long").alias("length"))
+
+
+@query("transcript_digits", f"""WITH {_CLEANED}, c AS (SELECT source, entry, CASE WHEN reason IS DISTINCT FROM 'excluded source' THEN found ELSE [] END AS f, saying, digit FROM z)
+  SELECT trim(source) AS source, sum(CASE WHEN entry AND saying IS NOT NULL THEN len(f) ELSE 0 END)::BIGINT AS replaced, sum(CASE WHEN entry AND saying IS NULL THEN len(f) ELSE 0 END)::BIGINT AS missing,
+    sum(CASE WHEN entry AND saying IS NOT NULL THEN len(list_filter(f, lambda d: d <> digit)) ELSE 0 END)::BIGINT AS mismatch, sum(CASE WHEN NOT entry AND len(f) > 0 THEN 1 ELSE 0 END)::BIGINT AS skipped FROM c GROUP BY 1""")
+def transcript_digits(spark, sf_dir):
+    """What became of lone digits, by source."""
+    lines, digits = corpus_lines(spark, sf_dir)
+    rows = transcripts.cleaned(lines, digits, excluded=("TGL_",))
+    return rows.groupBy(F.trim("source").alias("source")).agg(*[F.sum(d).cast("long").alias(d) for d in transcripts.DIGITS])
 
 
 @query("expand_numbers", rf"""WITH w AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+'), lambda w: coalesce({_WORDS}[w], w)), '') AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, md5(t) AS text_md5 FROM w""")
@@ -144,15 +171,23 @@ def expand_numbers(spark, sf_dir):
     return d.select("doc_id", F.md5(tx.expand_numbers(F.col("text"), tx.number_words()).cast("binary")).alias("text_md5"))
 
 
-_REASON = "CASE WHEN starts_with(source, 'sys') THEN 'excluded source' WHEN source = 'assistant' THEN 'digit mode' WHEN cleaned = '' THEN 'empty' ELSE 'kept' END"
+_REASON = "CASE WHEN starts_with(source, 'TGL_') THEN 'excluded source' WHEN entry THEN 'digit mode' WHEN cleaned = '' THEN 'empty' ELSE 'kept' END"
 
 
-@query("transcript_reasons", f"WITH {_G}, {_CL} SELECT {_REASON} AS reason, count(*) AS lines FROM cl GROUP BY 1")
+@query("transcript_reasons", f"WITH {_CLEANED} SELECT {_REASON} AS reason, count(*) AS lines FROM z GROUP BY 1")
 def transcript_reasons(spark, sf_dir):
-    """Why lines are left out, the first reason that holds."""
-    cleaned = tx.collapse_blanks(tx.strip_parentheses(tx.strip_outer_quotes(F.col("text"))))
-    reason = F.when(tx.excluded_source(F.col("source"), ("sys",)), "excluded source").when(F.col("source") == "assistant", "digit mode").when(cleaned == "", "empty").otherwise("kept")
-    return utterances(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("lines"))
+    """Why lines are left out, the first reason that holds, where lines of numbers are not wanted."""
+    lines, digits = corpus_lines(spark, sf_dir)
+    rows = transcripts.cleaned(lines, digits, excluded=("TGL_",), digit_mode="exclude")
+    return rows.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("lines"))
+
+
+@query("find_numbers_in_lines", rf"WITH {_CORPUS} SELECT file, array_to_string(regexp_extract_all(text, '\d+'), ',') AS numbers FROM w WHERE lower(trim(source)) <> 'random digit' AND regexp_matches(text, '\d')")
+def find_numbers_in_lines(spark, sf_dir):
+    """The numbers of the lines that are not recordings of numbers."""
+    lines, _ = corpus_lines(spark, sf_dir)
+    rows = lines.where(~transcripts.is_digit_entry(F.col("source")) & F.col("text").rlike(r"\d"))
+    return rows.select("file", F.array_join(F.regexp_extract_all("text", F.lit(r"(\d+)"), F.lit(1)), ",").alias("numbers"))
 
 
 @query("find_numbers", r"SELECT doc_id, array_to_string(regexp_extract_all(text, '\d+'), ',') AS numbers FROM documents WHERE regexp_matches(text, '\d')")

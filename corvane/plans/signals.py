@@ -112,3 +112,41 @@ def stream_counts(spark, sf_dir):
     source, folder = f"{sf_dir}/[e]vents.parquet", f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
     rows = counts.run_once(spark, source, spark.read.parquet(f"{sf_dir}/events.parquet").schema, f"{folder}/counts", f"{folder}/progress")
     return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def _silent(batches):
+    import io
+    import wave
+
+    import pyarrow as pa
+
+    for batch in batches:
+        out = []
+        for rate, channels, frames in zip(*(batch.column(c).to_pylist() for c in ("rate", "channels", "frames"))):
+            raw = io.BytesIO()
+            with wave.open(raw, "wb") as f:
+                f.setparams((channels, 2, rate, 0, "NONE", ""))
+                f.writeframes(bytes(2 * channels * frames))
+            out.append(raw.getvalue())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.binary())], names=["path", "content"])
+
+
+@query(
+    "audio_header_scan",
+    """WITH w AS (SELECT *, CASE s_suppkey % 3 WHEN 0 THEN 8000 WHEN 1 THEN 16000 ELSE 44100 END AS rate FROM supplier WHERE s_nationkey IN (1, 3, 7))
+    SELECT s_suppkey::VARCHAR AS id, 'n' || s_nationkey AS speaker_id, round((400 + 16 * s_suppkey)::DOUBLE / rate, 3) AS duration_sec, rate::INTEGER AS sample_rate, (1 + s_suppkey % 2)::INTEGER AS channels, 'PCM_16' AS subtype, 'WAV' AS container, true AS valid FROM w""",
+)
+def audio_header_scan(spark, sf_dir):
+    """A wave file for each supplier is written to the shared folder; the headers of three nations' folders are read back."""
+    from ..sources import sinks, tables
+
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    key = F.col("s_suppkey")
+    made = s.select(
+        F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("/"), key.cast("string"), F.lit(".wav")).alias("path"),
+        F.when(key % 3 == 0, 8000).when(key % 3 == 1, 16000).otherwise(44100).alias("rate"), (1 + key % 2).cast("int").alias("channels"), (400 + 16 * key).cast("int").alias("frames"),
+    )
+    root = f"{shared_folder(spark)}/waves-{uuid.uuid4().hex}"
+    stored(sinks.write_audio(made.mapInArrow(_silent, "path string, content binary"), root), "written")
+    rows = tables.audio_inventory(spark, root).where(F.col("speaker_id").isin("n1", "n3", "n7"))
+    return rows.select("id", "speaker_id", "duration_sec", "sample_rate", "channels", "subtype", "container", "valid")

@@ -6,11 +6,13 @@ table's rules are rows with `error` where the rules let them pass, and raise whe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import audio
 from . import logs
+from .audio_headers import audio_headers
 
 BOM = "\ufeff"
 
@@ -118,7 +120,13 @@ def find_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def audio_tree(spark: SparkSession, root: str, label: str, method: str = "none", most_per_speaker: int | None = None, extensions: tuple[str, ...] = ("wav", "flac")) -> DataFrame:
-    """(id, path, label, speaker_id, spoof_method) of the audio files under root/<speaker>/, the first by path of each speaker where that is capped."""
+    """(id, path, label, speaker_id, spoof_method) of the audio files under root/<speaker>/, the first by path of each speaker where that is capped.
+
+    A missing root warns and is empty.
+    """
+    if not _exists(spark, root):
+        warnings.warn(f"no folder to read: {root}", stacklevel=2)
+        return spark.createDataFrame([], "id string, path string, label string, speaker_id string, spoof_method string")
     base = root.rstrip("/").removeprefix("file://")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
     below = F.regexp_extract("path", "^[^:]*:/*(/.*)$", 1)
@@ -130,12 +138,20 @@ def audio_tree(spark: SparkSession, root: str, label: str, method: str = "none",
     )
     if most_per_speaker is None:
         return rows
-    held = rows.groupBy("speaker_id").agg(F.slice(F.array_sort(F.collect_list("path")), 1, most_per_speaker).alias("paths"))
-    return rows.join(held.select(F.explode("paths").alias("path")), "path", "left_semi").select(*rows.columns)
+    # the planner keeps only the first of each speaker before it shuffles
+    place = F.row_number().over(Window.partitionBy("speaker_id").orderBy("path"))
+    return rows.withColumn("__place", place).where(F.col("__place") <= most_per_speaker).drop("__place")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def audio_inventory(spark: SparkSession, root: str, label: str = "bonafide") -> DataFrame:
-    """The tree's files with `duration_sec`, `sample_rate`, `channels`, `valid` and `error`: unreadable files are rows with an error."""
-    tree = audio_tree(spark, root, label)
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
-    return audio.headers(tree.join(content, "path").select(*tree.columns, "content"))
+def audio_inventory(spark: SparkSession, root: str, label: str = "bonafide", method: str = "none") -> DataFrame:
+    """The tree's files with `duration_sec`, `sample_rate`, `channels`, `subtype`, `container`, `valid` and `error`, from headers alone; unreadable files are rows with an error."""
+    rows = audio_headers(spark, root)
+    return rows.select(
+        "id", "path", F.lit(label).alias("label"), "speaker_id", F.lit(method).alias("spoof_method"), "duration_sec", "sample_rate", "channels", "subtype", "container", "valid", "error"
+    )

@@ -198,3 +198,65 @@ def test_log_lines_in_sql_keep_bad_lines(spark):
     same = spark.table("some_lines").select("line", logs.utterances(F.col("value")).alias("u")).where("u is not null").collect()
     assert {r["line"]: tuple(r["u"]) for r in same} == {k: v[3:] for k, v in got.items() if v[2] == "utterance"}
     assert spark.sql("SELECT * FROM log_lines(TABLE(SELECT log, line, value FROM some_lines WHERE false))").count() == 0
+
+
+class _Counted:
+    def __init__(self, raw):
+        self.raw, self.read, self.asked = raw, 0, 0
+
+    def read_at(self, n, offset):
+        self.asked += n
+        return self.raw[offset : offset + n]
+
+
+def _wave(frames, channels=1, width=2, rate=16000, extra=b""):
+    import struct
+
+    form = struct.pack("<HHIIHH", 1, channels, rate, rate * channels * width, channels * width, 8 * width)
+    body = b"WAVE" + extra + b"fmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", frames * channels * width) + bytes(frames * channels * width)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def test_headers_are_read_by_ranges_whatever_the_length():
+    import struct
+
+    from corvane.sources import audio_headers
+
+    asked = set()
+    for frames in (160, 1_600_000):
+        file = _Counted(_wave(frames, extra=b"LIST" + struct.pack("<I", 5) + b"abcde\0"))
+        got = audio_headers.header(file, len(file.raw))
+        asked.add(file.asked)
+        assert got == {"container": "WAV", "subtype": "PCM_16", "sample_rate": 16000, "channels": 1, "duration_sec": frames / 16000, "valid": True}
+    assert len(asked) == 1 and asked.pop() < 100
+    bits = (44100 << 44) | (1 << 41) | (23 << 36) | 88200
+    flac = b"fLaC" + bytes([0, 0, 0, 34]) + bytes(10) + bits.to_bytes(8, "big") + bytes(16)
+    assert audio_headers.header(_Counted(flac), len(flac)) == {"container": "FLAC", "subtype": "PCM_24", "sample_rate": 44100, "channels": 2, "duration_sec": 2.0, "valid": True}
+    for raw in (b"", b"junk", b"RIFF\0\0\0\0WAVE", b"fLaC", _wave(0)[:30]):
+        got = audio_headers.header(_Counted(raw), len(raw))
+        assert not got["valid"] and got["error"]
+    assert audio_headers.header(_Counted(_wave(0)), len(_wave(0)))["valid"] is False
+
+
+def test_audio_headers_prune_folders_and_warn_of_a_missing_root(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In
+
+    from corvane.sources import audio_headers
+
+    for speaker in ("a", "b", "c"):
+        (tmp_path / speaker / "deep").mkdir(parents=True)
+        (tmp_path / speaker / "deep" / "x.1.WAV").write_bytes(_wave(16, channels=2))
+    (tmp_path / "top.wav").write_bytes(_wave(16))
+    reader = audio_headers._Reader({"path": str(tmp_path), "foldersPerPartition": "1"})
+    other = GreaterThan(("speaker_id",), "a")
+    assert list(reader.pushFilters([In(("speaker_id",), ("a", "c", "z")), other, EqualTo(("speaker_id",), "c")])) == [other]
+    assert [p.folders for p in reader.partitions()] == [[str(tmp_path / "c")]]
+    rows = audio_headers.audio_headers(spark, str(tmp_path), foldersPerPartition=2)
+    assert sorted((r["speaker_id"], r["id"], r["channels"]) for r in rows.collect()) == [(s, "x.1", 2) for s in "abc"]
+    assert rows.where("speaker_id = 'b'").count() == 1 and rows.where("speaker_id in ('b', 'q') and channels = 1").count() == 0
+    with pytest.warns(UserWarning, match="no folder"):
+        assert audio_headers._Reader({"path": f"{tmp_path}/none"}).partitions()[0].folders == []
+    assert audio_headers.audio_headers(spark, f"{tmp_path}/none").count() == 0
+    with pytest.warns(UserWarning, match="no folder"):
+        tree = tables.audio_tree(spark, f"{tmp_path}/none", "spoof")
+    assert tree.count() == 0 and tree.columns == ["id", "path", "label", "speaker_id", "spoof_method"]
