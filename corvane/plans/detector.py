@@ -236,3 +236,27 @@ def univariate_rank(spark, sf_dir):
     best = up.join(down, "feature").select("feature", F.least("up", "down").alias("eer"))
     place = F.row_number().over(Window.orderBy("eer", "feature")).cast("long")
     return best.select("feature", F.round("eer", 9).alias("eer"), (F.col("eer") < 0.30).alias("marked"), place.alias("place"))
+
+
+@query(
+    "condition_grid",
+    f"""WITH {_E}, v AS (SELECT *, 1 AS g FROM e WHERE id % 5 = 0), {_eer('v', 'g', 'cal')}, c AS (SELECT *, {_COND} AS condition FROM e WHERE id % 5 <> 0),
+    s AS (SELECT DISTINCT condition, system FROM c WHERE NOT bona),
+    p AS (SELECT id, score, bona, condition || '|' || system AS g FROM c WHERE NOT bona UNION ALL SELECT c.id, c.score, c.bona, s.condition || '|' || s.system FROM c JOIN s USING (condition) WHERE c.bona),
+    {_eer('p', 'g', 'own')}, t AS (SELECT p.g, count(*) FILTER (score >= cal.threshold AND bona) AS tp, count(*) FILTER (score >= cal.threshold AND NOT bona) AS fp,
+      count(*) FILTER (score < cal.threshold AND NOT bona) AS tn, count(*) FILTER (score < cal.threshold AND bona) AS fn, any_value(cal.threshold) AS threshold FROM p, cal GROUP BY p.g)
+    SELECT split_part(g, '|', 1) AS condition, split_part(g, '|', 2) AS system, round(own.eer, 9) AS eer, t.threshold, own.threshold AS own_threshold, tp, fp, tn, fn, round((tp + tn)::DOUBLE / (tp + tn + fp + fn), 9) AS acc
+    FROM t JOIN own USING (g)""",
+)
+def condition_grid(spark, sf_dir):
+    """Three conditions, every system of each, at the threshold that a fifth of the rows gives."""
+    import uuid
+
+    from ..operators import grid
+    from ..session import shared_folder
+
+    rows = scored(spark, sf_dir).withColumn("condition", F.expr(_COND))
+    test = rows.where("id % 5 <> 0")
+    of = lambda name: lambda: test.where(F.col("condition") == name)
+    out = grid.run(spark, f"{shared_folder(spark)}/grid-{uuid.uuid4().hex}", {c: of(c) for c in ("clean", "opus", "amr")}, lambda: rows.where("id % 5 = 0"))
+    return _rounded(out.select("condition", "system", "eer", "threshold", "own_threshold", "tp", "fp", "tn", "fn", "acc"), "eer", "acc")
