@@ -130,18 +130,60 @@ def quarantine_plan(targets: DataFrame, existing: DataFrame, roots: list[str], t
     return there.select(F.concat_ws("/", "root", "speaker", "file").alias("src"), F.concat_ws("/", F.lit(to), "root", "speaker", "file").alias("dst"), F.lit("move").alias("action"))
 
 
-def model_alignment(scores: DataFrame, model: str = "model", key: str = "id") -> DataFrame:
-    """(id, models, missing): ids that not every model scores exactly once; none if the models can be compared."""
-    models = scores.agg(F.sort_array(F.collect_set(model))).first()[0]
-    by_id = scores.groupBy(key).agg(F.sort_array(F.collect_list(model)).alias("models"))
-    every = F.array(*[F.lit(m) for m in models]).cast("array<string>")
-    return by_id.where(F.col("models") != every).select(key, F.array_join("models", ",").alias("models"), F.array_join(F.array_except(every, "models"), ",").alias("missing"))
-
-
-def symmetric_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """(key, side) of keys in one frame only; none if the two sets are equal."""
-    both = a.select(key).distinct().withColumn("__a", F.lit(1)).join(b.select(key).distinct().withColumn("__b", F.lit(1)), key, "full")
-    return both.where("__a is null or __b is null").select(key, F.when(F.col("__a").isNotNull(), "left").otherwise("right").alias("side"))
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+
+
+def _digests(key: str, of: Column | None = None, name: str = "") -> list[Column]:
+    """Count and two sums of hashes of the keys: alike for equal multisets in any order, and for others with a chance of some 2**-100."""
+    kept = lambda x: x if of is None else F.when(of, x)
+    sums = [F.coalesce(F.sum(kept(h.cast("decimal(20,0)"))), F.lit(0)).alias(f"__s{i}{name}") for i, h in enumerate((F.xxhash64(F.lit("first"), F.col(key)), F.xxhash64(F.lit("second"), F.col(key))))]
+    return [F.count(kept(F.lit(1))).alias(f"__n{name}"), *sums]
+
+
+def _differing(a: DataFrame, b: DataFrame, key: str, buckets: int) -> DataFrame:
+    """The buckets in which the frames' keys are not equal as multisets. What is shuffled are counts and sums, not keys."""
+    both = a.select(key, F.lit(True).alias("__left")).union(b.select(key, F.lit(False)))
+    left = F.col("__left")
+    found = both.groupBy(_bucket(key, buckets).alias("__bucket")).agg(*_digests(key, left, "_a"), *_digests(key, ~left, "_b"))
+    return found.where(F.struct("__n_a", "__s0_a", "__s1_a") != F.struct("__n_b", "__s0_b", "__s1_b")).select("__bucket")
+
+
+def model_alignment(scores: DataFrame, model: str = "model", key: str = "id", unique: bool = False, buckets: int = 4096) -> DataFrame:
+    """(id, models, missing): ids that not every model scores exactly once; none if the models can be compared.
+
+    With `unique`, no model has an id twice. Then models are compared by digests of buckets of ids first, and only ids of buckets where they
+    differ are grouped; where all agree no id is shuffled.
+    """
+    if unique:
+        # as many rows as there are buckets and models
+        by = scores.groupBy(_bucket(key, buckets).alias("__bucket"), F.col(model).alias("__m")).agg(*_digests(key))
+        names = F.broadcast(scores.agg(F.count_distinct(model).alias("__all")))
+        agreed = by.groupBy("__bucket").agg(F.count("*").alias("__have"), F.count_distinct(F.struct("__n", "__s0", "__s1")).alias("__kinds")).crossJoin(names)
+        odd = F.broadcast(agreed.where("__have <> __all or __kinds > 1").select("__bucket"))
+        held = scores.withColumn("__bucket", _bucket(key, buckets)).join(odd, "__bucket", "left_semi").drop("__bucket")
+    else:
+        held = scores
+    models = scores.agg(F.sort_array(F.collect_set(model)).alias("__every"))
+    by_id = held.groupBy(key).agg(F.sort_array(F.collect_list(model)).alias("models")).crossJoin(F.broadcast(models))
+    return by_id.where(F.col("models") != F.col("__every")).select(key, F.array_join("models", ",").alias("models"), F.array_join(F.array_except("__every", "models"), ",").alias("missing"))
+
+
+def symmetric_difference(a: DataFrame, b: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
+    """(key, side) of keys in one frame only; none if the two sets are equal. Null keys count as one key.
+
+    Buckets of keys whose digests agree are left out before anything is joined.
+    """
+    odd = F.broadcast(stored(_differing(a, b, key, buckets), "differing"))
+    held = lambda x: x.select(key).withColumn("__bucket", _bucket(key, buckets)).join(odd, "__bucket", "left_semi").select(key).distinct()
+    both = held(a).select(key, F.lit(1).alias("__a"), F.lit(None).cast("int").alias("__b")).union(held(b).select(key, F.lit(None).cast("int"), F.lit(1)))
+    sides = both.groupBy(key).agg(F.max("__a").alias("__a"), F.max("__b").alias("__b"))
+    return sides.where("__a is null or __b is null").select(key, F.when(F.col("__a").isNotNull(), "left").otherwise("right").alias("side"))
+
+
+def same_set(a: DataFrame, b: DataFrame, key: str, buckets: int = 4096) -> bool:
+    """Whether both frames have the same keys, however often."""
+    return _differing(a, b, key, buckets).isEmpty() or symmetric_difference(a, b, key, buckets).isEmpty()
 
 
 def systems(rows: DataFrame, method: str = "method") -> DataFrame:

@@ -96,7 +96,7 @@ def model_alignment(spark, sf_dir):
     """Ids that one of two models lacks."""
     ids = scored(spark, sf_dir).select("id")
     a, b = ids.where("id % 13 <> 0 or id % 11 = 0").withColumn("model", F.lit("a")), ids.where("id % 11 <> 0").withColumn("model", F.lit("b"))
-    return attach.model_alignment(a.union(b))
+    return attach.model_alignment(a.union(b), unique=True)
 
 
 @query("symmetric_difference", f"WITH {_C}, a AS (SELECT DISTINCT stem FROM kept WHERE method = 'A'), r AS (SELECT DISTINCT stem FROM kept WHERE method = 'R') SELECT stem, 'left' AS side FROM a WHERE stem NOT IN (SELECT stem FROM r) UNION ALL SELECT stem, 'right' FROM r WHERE stem NOT IN (SELECT stem FROM a)")
@@ -106,3 +106,20 @@ def symmetric_difference(spark, sf_dir):
 
     kept = integrity.paired(*clips(spark, sf_dir))
     return attach.symmetric_difference(kept.where("method = 'A'"), kept.where("method = 'R'"), "stem")
+
+
+@query("set_equality", f"""WITH {_C}, x AS (SELECT method, stem FROM kept), m AS (SELECT DISTINCT method FROM kept),
+  d AS (SELECT a.method AS one, b.method AS other, (SELECT count(*) FROM (SELECT stem FROM x WHERE x.method = a.method EXCEPT SELECT stem FROM x WHERE x.method = b.method))
+    + (SELECT count(*) FROM (SELECT stem FROM x WHERE x.method = b.method EXCEPT SELECT stem FROM x WHERE x.method = a.method)) AS differing FROM m a JOIN m b ON a.method < b.method)
+  SELECT one, other, differing, differing = 0 AS same FROM d""")
+def set_equality(spark, sf_dir):
+    """Every two systems by the genuine clips that they have copied; the systems are three."""
+    from ..operators import integrity
+
+    kept = integrity.paired(*clips(spark, sf_dir)).select("method", "stem")
+    out = None
+    for one, other in (("A", "N"), ("A", "R"), ("N", "R")):
+        differing = attach.symmetric_difference(kept.where(F.col("method") == one), kept.where(F.col("method") == other), "stem").agg(F.count("*").alias("differing"))
+        row = differing.select(F.lit(one).alias("one"), F.lit(other).alias("other"), "differing", (F.col("differing") == 0).alias("same"))
+        out = row if out is None else out.union(row)
+    return out

@@ -260,3 +260,27 @@ def test_audio_headers_prune_folders_and_warn_of_a_missing_root(spark, tmp_path)
     with pytest.warns(UserWarning, match="no folder"):
         tree = tables.audio_tree(spark, f"{tmp_path}/none", "spoof")
     assert tree.count() == 0 and tree.columns == ["id", "path", "label", "speaker_id", "spoof_method"]
+
+
+def test_sets_are_compared_by_digests(spark):
+    a = spark.createDataFrame([(f"k{k}",) for k in range(300)] + [("k5",), (None,)], "id string").repartition(3)
+    b = spark.createDataFrame([(f"k{k}",) for k in range(299, -1, -1)] + [(None,), (None,)], "id string")
+    # another multiset of the same keys, then the same multiset in another order, then other keys
+    assert attach.same_set(a, b, "id") and attach.symmetric_difference(a, b, "id").count() == 0
+    assert attach._differing(a, a.orderBy(F.desc("id")), "id", 16).count() == 0 < attach._differing(a, b, "id", 16).count()
+    c = b.where("id is not null and id <> 'k7'").union(spark.createDataFrame([("new",)], "id string"))
+    assert {tuple(r) for r in attach.symmetric_difference(a, c, "id").collect()} == {("k7", "left"), (None, "left"), ("new", "right")}
+    assert not attach.same_set(a, c, "id") and attach.same_set(a.limit(0), c.limit(0), "id")
+
+
+def test_aligned_models_send_no_ids(spark):
+    ids = spark.range(500)
+    both = ids.withColumn("model", F.lit("a")).union(ids.withColumn("model", F.lit("b")))
+    assert attach.model_alignment(both, unique=True).count() == 0
+    rows = both.where("not (model = 'b' and id in (3, 77))").union(spark.createDataFrame([(900, "b")], "id long, model string"))
+    want = {(3, "a", "b"), (77, "a", "b"), (900, "b", "a")}
+    for unique in (True, False):
+        assert {tuple(r) for r in attach.model_alignment(rows, unique=unique).collect()} == want
+    twice = both.union(spark.createDataFrame([(1, "a"), (1, "b")], "id long, model string"))
+    assert {tuple(r) for r in attach.model_alignment(twice).collect()} == {(1, "a,a,b,b", "")}
+    assert attach.model_alignment(both.limit(0), unique=True).count() == 0
