@@ -150,3 +150,21 @@ def audio_header_scan(spark, sf_dir):
     stored(sinks.write_audio(made.mapInArrow(_silent, "path string, content binary"), root), "written")
     rows = tables.audio_inventory(spark, root).where(F.col("speaker_id").isin("n1", "n3", "n7"))
     return rows.select("id", "speaker_id", "duration_sec", "sample_rate", "channels", "subtype", "container", "valid")
+
+
+@query(
+    "worklist_stream",
+    """WITH l AS (SELECT user_id::VARCHAR AS key, arg_max(event_type || ' - ' || event_id, event_id) AS value FROM events WHERE event_id % 50 <> 7 GROUP BY 1)
+    SELECT key, value FROM l WHERE key NOT IN (SELECT c_custkey::VARCHAR FROM customer WHERE c_custkey % 3 = 0)""",
+)
+def worklist_stream(spark, sf_dir):
+    """Lines `user - event`, some of them malformed, in files that a stream reads: the last line of each user, less those that are done."""
+    from ..streaming import latest
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    sign = F.when(F.col("event_id") % 50 == 7, " ").otherwise(" - ")
+    line = F.concat(F.col("user_id").cast("string"), sign, "event_type", F.when(F.col("event_id") % 50 == 7, " ").otherwise(" - "), F.col("event_id").cast("string"))
+    base = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    e.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select(line.alias("value")).write.text(f"{base}/in")
+    done = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("key"))
+    return latest.run_once(spark, f"{base}/in", f"{base}/table", f"{base}/progress", done, files_per_batch=2)
