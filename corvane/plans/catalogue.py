@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 def _load() -> None:
     from importlib import import_module
 
-    for name in ("detector", "manifests", "joins", "corpus", "signals", "reports", "front"):
+    for name in ("detector", "manifests", "joins", "corpus", "signals", "reports", "front", "files"):
         import_module(f"{__package__}.{name}")
 
 
