@@ -50,15 +50,21 @@ def flatten(tree, prefix: str = "") -> dict[str, str]:
     return {prefix.rstrip("."): repr(tree)}
 
 
-def config_diff(spark: SparkSession, a: dict, b: dict, allowed: tuple[str, ...]) -> DataFrame:
-    left, right = (spark.createDataFrame(sorted(flatten(x).items()), f"key string, {n} string") for x, n in ((a, "left_value"), (b, "right_value")))
-    both = left.join(right, "key", "full").where(~F.col("left_value").eqNullSafe(F.col("right_value")))
+def rows_diff(left: DataFrame, right: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """(key, left_value, right_value, allowed) of two configurations as rows (key, value): keys whose values differ, and whether they may, by their prefix."""
+    one, two = left.select("key", F.col("value").alias("left_value")), right.select("key", F.col("value").alias("right_value"))
+    both = one.join(two, "key", "full").where(~F.col("left_value").eqNullSafe(F.col("right_value")))
     ok = F.lit(False)
     for p in allowed:
         ok = ok | F.col("key").startswith(p)
     return both.select("key", F.coalesce("left_value", F.lit(ABSENT)).alias("left_value"), F.coalesce("right_value", F.lit(ABSENT)).alias("right_value"), ok.alias("allowed"))
 
 
+def config_diff(spark: SparkSession, a: dict, b: dict, allowed: tuple[str, ...]) -> DataFrame:
+    left, right = (spark.createDataFrame(sorted(flatten(x).items()), "key string, value string") for x in (a, b))
+    return rows_diff(left, right, allowed)
+
+
 def derived_config(base: dict, patch: dict[str, object], allowed: tuple[str, ...]) -> dict:
     """The base with dotted keys of `patch` set. A patch that moves a key outside `allowed`, or nothing, is an error."""
     import copy

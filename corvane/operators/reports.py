@@ -89,6 +89,16 @@ def split_report(rows: DataFrame, facets: list[str], split: str = "split", membe
     return joined.select(split, "facet", "value", "clips", "members", F.round(F.lit(100.0) * F.col("clips") / F.col("__all"), 6).alias("percent"))
 
 
+def describe_splits(rows: DataFrame, split: str = "split", member: str = "speaker") -> DataFrame:
+    """(split, clips, bonafide, spoof, speakers, systems) of a manifest; `systems` are the spoofs' own, in order, `-` without any."""
+    spoof = F.col("method") != "none"
+    out = rows.groupBy(split).agg(
+        F.count("*").alias("clips"), F.count_if(F.col("method") == "none").alias("bonafide"), F.count_if(spoof).alias("spoof"), F.countDistinct(member).alias("speakers"),
+        F.array_join(F.sort_array(F.collect_set(F.when(spoof, F.col("method")))), ",").alias("systems"),
+    )
+    return out.withColumn("systems", F.when(F.col("systems") == "", "-").otherwise(F.col("systems")))
+
+
 def level_change(rows: DataFrame, source: str, before: str, after: str) -> DataFrame:
     """(source, n, means and population deviations before and after, spread, ok): `spread` is the deviation of the sources' means after, ok below 0.5."""
     stats = [f(c).alias(f"{n}_{side}") for side, c in (("in", before), ("out", after)) for n, f in (("mean", F.avg), ("std", F.stddev_pop))]

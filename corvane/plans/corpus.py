@@ -242,12 +242,17 @@ def leak_crosscheck(spark, sf_dir):
     return bad.join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id"), "doc_id", "left_semi").groupBy("source").agg(F.count("*").alias("leaked"))
 
 
-_CFG = "a AS (SELECT * FROM (VALUES ('batch', '4'), ('model.dim', '128'), ('seed', '42'), ('test.files', '[''a'', ''b'']')) t(key, left_value)), b AS (SELECT * FROM (VALUES ('batch', '8'), ('model.dim', '128'), ('model.drop', '0.1'), ('test.files', '[''a'', ''c'']')) t(key, right_value))"
+_CFG = """n AS (SELECT n_nationkey, r_name || '.' || n_name AS key FROM nation JOIN region ON r_regionkey = n_regionkey),
+  a AS (SELECT key, min(c_mktsegment) AS left_value FROM customer JOIN n ON n_nationkey = c_nationkey WHERE c_custkey % 7 = 0 GROUP BY 1),
+  b AS (SELECT key, max(c_mktsegment) AS right_value FROM customer JOIN n ON n_nationkey = c_nationkey WHERE c_custkey % 11 = 0 GROUP BY 1)"""
 
 
-@query("config_diff", f"WITH {_CFG} SELECT key, coalesce(left_value, '<absent>') AS left_value, coalesce(right_value, '<absent>') AS right_value, starts_with(key, 'test') OR starts_with(key, 'batch') AS allowed FROM a FULL JOIN b USING (key) WHERE left_value IS DISTINCT FROM right_value")
+@query("config_diff", f"WITH {_CFG} SELECT key, coalesce(left_value, '<absent>') AS left_value, coalesce(right_value, '<absent>') AS right_value, starts_with(key, 'ASIA') OR starts_with(key, 'EUROPE.F') AS allowed FROM a FULL JOIN b USING (key) WHERE left_value IS DISTINCT FROM right_value")
 def config_diff(spark, sf_dir):
-    """What differs between two configurations, and whether it may."""
-    a = {"seed": 42, "batch": 4, "model": {"dim": 128}, "test": {"files": ["a", "b"]}}
-    b = {"batch": 8, "model": {"dim": 128, "drop": 0.1}, "test": {"files": ["a", "c"]}}
-    return audit.config_diff(spark, a, b, ("test", "batch"))
+    """What differs between two configurations, of dotted keys by region and nation, and whether it may."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    nations = read("nation").join(read("region"), F.col("r_regionkey") == F.col("n_regionkey")).select("n_nationkey", F.concat_ws(".", "r_name", "n_name").alias("key"))
+    rows = read("customer").join(nations, F.col("n_nationkey") == F.col("c_nationkey"))
+    left = rows.where("c_custkey % 7 = 0").groupBy("key").agg(F.min("c_mktsegment").alias("value"))
+    right = rows.where("c_custkey % 11 = 0").groupBy("key").agg(F.max("c_mktsegment").alias("value"))
+    return audit.rows_diff(left, right, ("ASIA", "EUROPE.F"))

@@ -120,3 +120,15 @@ def spoof_systems(spark, sf_dir):
     """The distinct systems of a manifest; the list is short by its nature."""
     rows = scored(spark, sf_dir).select(F.when(F.col("bona"), "none").otherwise(F.col("system")).alias("method"))
     return attach.systems(rows).withColumnRenamed("method", "system")
+
+
+@query(
+    "describe_splits",
+    f"""WITH {_SC} SELECT split, count(*) AS clips, count(*) FILTER (method = 'none') AS bonafide, count(*) FILTER (method <> 'none') AS spoof, count(DISTINCT speaker) AS speakers,
+    coalesce(string_agg(DISTINCT method, ',' ORDER BY method) FILTER (method <> 'none'), '-') AS systems FROM loso GROUP BY split""",
+)
+def describe_splits(spark, sf_dir):
+    """The splits of a leave-one-out manifest, with the systems of each."""
+    from .manifests import _loso
+
+    return reports.describe_splits(_loso(spark, sf_dir))
