@@ -8,26 +8,47 @@ value. All passes are one plan: what is searched for travels with the counts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .stored import stored
 
 SHIFTS = (48, 32, 16, 0)
 
 
+_REST = np.int64(0x7FFFFFFFFFFFFFFF)
+
+
+def keys_of(values: np.ndarray) -> np.ndarray:
+    """The keys of doubles: 0 for both zeros, NaN after infinity."""
+    bits = np.where(np.isnan(values), np.nan, values + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & _REST)
+
+
 def keyed(frame: DataFrame, value: str, key: str = "__key") -> DataFrame:
-    """The frame with the key of a numeric column: 0 for both zeros, NaN after infinity; null values are left out."""
-    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.col(value).cast("double") + F.lit(0.0)).cast("long")
-    rows = frame.where(F.col(value).isNotNull()).withColumn("__bits", bits)
-    return rows.withColumn(key, F.col("__bits").bitwiseXOR(F.shiftright("__bits", 63).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)))).drop("__bits")
+    """The frame's other columns with the key of a numeric column; null values are left out."""
+    rows = frame.where(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
+    others = [c for c in frame.columns if c != value]
+    schema = rows.select(*others).schema.add(key, "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = keys_of(batch.column(value).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(keys, pa.int64())], names=[*others, key])
+
+    return rows.select(*others, value).mapInArrow(run, schema)
 
 
-def unkeyed(key: Column) -> Column:
-    bits = key.bitwiseXOR(F.shiftright(key, 63).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)))
-    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+@F.arrow_udf(DoubleType())
+def unkeyed(key: pa.Array) -> pa.Array:
+    # from an array, since a series would lose NaN to null
+    k = key.to_numpy(zero_copy_only=False).astype(np.int64)
+    return pa.array((k ^ ((k >> 63) & _REST)).view(np.float64))
 
 
 def _same(left: DataFrame, right: DataFrame, groups: list[str]) -> tuple[DataFrame, Column]:

@@ -1,11 +1,12 @@
-"""From the lines of speaker logs to transcripts, in one pass that also counts why lines were left out."""
+"""From the lines of speaker logs to transcripts, in one pass over the logs, with counts of why lines were left out."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .stored import stored
 
 REASONS = ("excluded source", "digit mode", "empty")
 DIGITS = ("replaced", "missing", "mismatch", "skipped")
@@ -51,27 +52,15 @@ def cleaned(lines: DataFrame, digits: DataFrame, *, excluded: tuple[str, ...], d
     return rows.drop("__digit", "__saying", "__plain", "__found")
 
 
-def pipeline(lines: DataFrame, digits: DataFrame, **how) -> tuple[DataFrame, Observation]:
-    """(file, text) of the lines that are kept, with the lines' other columns, and what was counted on the way.
+def pipeline(lines: DataFrame, digits: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    """(file, text) of the lines that are kept, with the lines' other columns; and one row of what was counted: `lines`, `written`, each reason, each outcome of a digit.
 
-    The observation has `lines`, `written`, one count for each reason and each outcome of a digit, once the frame has been read by an action; no
-    second scan is needed for them.
+    The lines are read and cleaned once: what comes of them is written to the shared folder, and counts read its narrow columns.
     """
-    seen = Observation("transcripts")
-    rows = cleaned(lines, digits, **how)
+    rows = stored(cleaned(lines, digits, **how), "transcripts")
     name = lambda r: r.replace(" ", "_")
-    rows = rows.observe(
-        seen, F.count("*").alias("lines"), F.count_if(F.col("reason").isNull()).alias("written"), *[F.count_if(F.col("reason").eqNullSafe(r)).alias(name(r)) for r in REASONS],
+    counts = rows.agg(
+        F.count("*").alias("lines"), F.count_if(F.col("reason").isNull()).alias("written"), *[F.count_if(F.col("reason").eqNullSafe(r)).alias(name(r)) for r in REASONS],
         *[F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in DIGITS],
     )
-    return rows.where("reason is null").drop("reason", "text", *DIGITS).withColumnRenamed("cleaned", "text"), seen
-
-
-def guarded(pairs: DataFrame, fatal: Column, what: str) -> tuple[DataFrame, Observation]:
-    """The frame, which fails when it is read as soon as a row is `fatal`, and how many rows it has and how many have null in `fatal`.
-
-    For guards that otherwise take a scan of their own: the rows are checked as they pass.
-    """
-    seen = Observation(what)
-    checked = F.when(F.coalesce(fatal, F.lit(False)), F.raise_error(F.lit(what)).cast("boolean")).otherwise(F.lit(True))
-    return pairs.observe(seen, F.count("*").alias("rows"), F.count_if(fatal.isNull()).alias("unknown")).where(checked), seen
+    return rows.where("reason is null").drop("reason", "text", *DIGITS).withColumnRenamed("cleaned", "text"), counts

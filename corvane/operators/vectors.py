@@ -148,8 +148,7 @@ def median_pairwise(frame: DataFrame, group: str, key: str, vector: str, tile: i
                 for i in range(batch.num_rows):
                     n, m = batch.column("n")[i].as_py(), batch.column("m")[i].as_py()
                     cosines = np.round(_rows_of(batch.column("v")[i].as_py(), n) @ _rows_of(batch.column("w")[i].as_py(), m).T, 12)[wanted_pairs(batch, i)]
-                    bits = (cosines + 0.0).view(np.int64)
-                    keys = bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+                    keys = selection.keys_of(cosines)
                     if shift != selection.SHIFTS[0]:
                         keys = keys[keys >> (shift + 16) == batch.column("__prefix")[i].as_py()]
                     found, times = np.unique(keys >> shift, return_counts=True)

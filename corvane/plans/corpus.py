@@ -150,8 +150,8 @@ def corpus_lines(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 def transcript_clean(spark, sf_dir):
     """All lines through the whole chain, digits and numbers in words; those that are kept."""
     lines, digits = corpus_lines(spark, sf_dir)
-    kept, _ = transcripts.pipeline(lines, digits, excluded=("TGL_",))
-    return kept.select("conv_id", "turn", "file", F.md5(F.col("text").cast("binary")).alias("cleaned_md5"), F.char_length("text").cast("long").alias("length"))
+    kept = transcripts.cleaned(lines, digits, excluded=("TGL_",)).where("reason is null")
+    return kept.select("conv_id", "turn", "file", F.md5(F.col("cleaned").cast("binary")).alias("cleaned_md5"), F.char_length("cleaned").cast("long").alias("length"))
 
 
 @query("transcript_digits", f"""WITH {_CLEANED}, c AS (SELECT source, entry, CASE WHEN reason IS DISTINCT FROM 'excluded source' THEN found ELSE [] END AS f, saying, digit FROM z)
