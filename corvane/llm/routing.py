@@ -87,9 +87,9 @@ def block_number(table: pa.Table) -> int:
     return table.column("__block")[0].as_py()
 
 
-def by_range(sorted_keys: np.ndarray, n_parts: int, width: int = 8) -> Iterator[tuple[int, np.ndarray, slice]]:
-    """(part, keys, where they stand) of distinct sorted hashes of `width` bytes, dealt in even ranges, so that a part's keys share their first bits."""
-    part = ((sorted_keys >> np.uint64(8 * width - 32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
+def by_range(sorted_keys: np.ndarray, n_parts: int, width: int = 8, fold: int = 1) -> Iterator[tuple[int, np.ndarray, slice]]:
+    """(part, keys, where they stand) of distinct sorted hashes of `width` bytes, dealt in even ranges, so that a part's keys share their first bits; `fold` neighbours count as one part."""
+    part = ((sorted_keys >> np.uint64(8 * width - 32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64) // fold
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
     for a, b in zip(edges, edges[1:]):
         if b > a:
@@ -114,3 +114,74 @@ def steps(sorted_keys: np.ndarray, width: int = 8) -> np.ndarray:
 
 def from_steps(raw: np.ndarray, width: int = 8) -> np.ndarray:
     return np.cumsum(from_planes(raw, width), dtype=np.uint64)
+
+
+#: An exchange deals what it holds at most so many ways. More pieces take more exchanges, one after the other.
+FAN = 256
+#: Distinct keys that a later exchange gathers before it deals them on.
+RUN_KEYS = 1 << 20
+RUNS = pa.schema([("to", pa.int64()), ("kind", pa.int32()), ("run", pa.binary())])
+RUNS_DDL = "to long, kind int, run binary"
+
+
+def pieces_for(spark: SparkSession, n_bytes: int, piece_bytes: int) -> int:
+    """A piece for each `piece_bytes` of text, but as many as the session has shuffle partitions where those are few."""
+    return max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), FAN), -(-n_bytes // piece_bytes), 1)
+
+
+def _folds(n_pieces: int) -> list[int]:
+    """How many neighbouring pieces each exchange treats as one; the last one tells all apart."""
+    folds = [1]
+    while n_pieces > FAN * folds[0]:
+        folds.insert(0, folds[0] * FAN)
+    return folds
+
+
+def run_rows(kind: int, sorted_keys: np.ndarray, counts: np.ndarray, n_pieces: int, level: int) -> pa.RecordBatch:
+    """Rows (to, kind, run) of distinct sorted keys with counts, for the exchange of that level."""
+    rows = [
+        (to, kind, pack(keys=steps(keys), counts=counts[at].astype("<i8")))
+        for to, keys, at in by_range(sorted_keys, n_pieces, fold=_folds(n_pieces)[level])
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, RUNS)], schema=RUNS)
+
+
+def merged(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys of runs, and the sums of their counts."""
+    opened = [unpack(r, "u1", "<i8") for r in runs]
+    if not opened:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    keys, counts = np.concatenate([from_steps(k) for k, _ in opened]), np.concatenate([c for _, c in opened])
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def dealt(runs: DataFrame, n_pieces: int) -> DataFrame:
+    """Runs as `run_rows` of level 0 makes them, brought down to pieces (`to`). A slice of keys leaves at most `FAN` rows of a kind
+    for each exchange, and there are as many exchanges as the number of pieces has digits to that base: rows follow bytes."""
+    for level in range(1, len(_folds(n_pieces))):
+        # runs for one range go to as many tasks as they fill: a task needs no whole range, it only merges what it meets
+        spread = runs.repartition(F.col("to"), F.pmod(F.xxhash64("run"), F.lit(FAN)))
+        runs = spread.sortWithinPartitions("to", "kind").mapInArrow(_onward(n_pieces, level), RUNS_DDL)
+    return runs
+
+
+def _onward(n_pieces: int, level: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, now = [], 0, None
+        for batch in batches:
+            for to, kind, blob in zip(*[c.to_pylist() for c in batch.columns]):
+                n = len(unpack(blob, "u1", "<i8")[1])
+                if held and ((to, kind) != now or size + n > RUN_KEYS):
+                    yield run_rows(now[1], *merged(held), n_pieces, level)
+                    held, size = [], 0
+                now = (to, kind)
+                held.append(blob)
+                size += n
+        if held:
+            yield run_rows(now[1], *merged(held), n_pieces, level)
+        give_back()
+
+    return run

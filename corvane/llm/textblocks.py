@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -79,6 +79,26 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
     give_back()
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.Table]:
+    """Tables of about `limit` bytes of text, from batches of any size; rows count for 8 bytes more than their text."""
+    held, size = [], 0
+    for part in slices(batches, text, limit):
+        n = (pc.sum(pc.binary_length(part.column(text))).as_py() or 0) + 8 * part.num_rows
+        if held and size + n > limit:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+        held.append(part)
+        size += n
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def kept_fields(frame: DataFrame, *replaced: str) -> list[Column]:
+    """The frame's columns but those of the given names, in any case of letters; a null column where none is left."""
+    gone = {name.lower() for name in replaced}
+    return [F.col(f"`{c}`") for c in frame.columns if c.lower() not in gone] or [F.lit(None).cast("int").alias("nothing")]
+
+
 def join_texts(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """One byte array with a separator after each text, and where each text starts (and the end)."""
     texts = [t or b"" for t in texts]
