@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import given_back, set_aside
 from .textblocks import ALNUM, Words, expand, slices
 
 SAMPLE = 16
@@ -231,10 +232,13 @@ def find_phrases(
     """Add to each document: `n_words` long, `hit_spans` array of (start, end) byte spans of hit words,
     merged where words adjoin, `n_hit` long, `hit_items` sorted array of item ids as text.
 
-    Columns of those names in `documents` are replaced. The text column comes back unchanged.
+    Columns of those names in `documents`, in any case of letters, are replaced; all others come back unchanged, whatever
+    their names, the text among them.
     """
     added = T.StructType.fromDDL("n_words long, n_hit long, hit_spans array<struct<start:long,end:long>>, hit_items array<string>, _hit_words binary")
-    kept = [f for f in documents.schema.fields if f.name not in added.names]
+    documents, renamed = set_aside(documents, "__text", "_hit_words")
+    text = renamed.get(text, text)
+    kept = [f for f in documents.schema.fields if f.name.lower() not in added.names]
     frame = documents.select(*[F.col(f"`{f.name}`") for f in kept])
     schema = T.StructType(kept + added.fields)
 
@@ -269,7 +273,7 @@ def find_phrases(
         frame, first = pass_over(frame, items, first), False
     if first:
         frame = pass_over(frame, [], True)
-    return frame.drop("_hit_words")
+    return given_back(frame.drop("_hit_words"), renamed)
 
 
 def _spans(words: Words, hit: np.ndarray) -> pa.Array:

@@ -24,15 +24,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import given_back, set_aside
+
 UNDETERMINED = "und"
 LEVEL = 3
 
 
 def train(documents: DataFrame, *, doc_id: str, text: str, lang: str, sample_bytes: int = 250, dictionary_bytes: int = 100_000, total_bytes: int = 50_000_000) -> dict[str, bytes]:
     """A dictionary for each language value; rows with null language or text teach nothing."""
-    lowered = F.lower(text).cast("binary")
+    lowered = F.lower(F.col(f"`{text}`")).cast("binary")
     length = F.least(F.octet_length(lowered), F.lit(sample_bytes))
-    labelled = documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    labelled = documents.select(*dict.fromkeys([doc_id, text, lang])).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = labelled.groupBy(F.col(lang).alias("__lang")).agg(F.count("*").alias("n"), F.avg(length).alias("mean"))
     sizes = [(r["__lang"], r["n"], r["mean"]) for r in sizes.collect()]
     if not sizes:
@@ -82,12 +84,15 @@ class CompressionClassifier:
 
 
 def predict(documents: DataFrame, dictionaries: dict[str, bytes], *, text: str = "text", margin: float = 0.01) -> DataFrame:
-    """The documents' columns but the text, with `lang_pred`, `score` (0 to 1), `margin` and `rejected`."""
+    """The documents' columns but the text, with `lang_pred`, `score` (0 to 1), `margin` and `rejected`; such columns, in any case of
+    letters, are replaced."""
     added = T.StructType.fromDDL("lang_pred string, score double, margin double, rejected boolean")
-    fields = [f for f in documents.schema.fields if f.name not in {*added.names, text}]
+    documents, renamed = set_aside(documents, "__text", "__letter")
+    text = renamed.get(text, text)
+    fields = [f for f in documents.schema.fields if f.name.lower() not in {*added.names, text.lower()}]
     shared = documents.sparkSession.sparkContext.broadcast(dictionaries)
-    has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    frame = documents.select(*[F.col(f"`{f.name}`") for f in fields], F.lower(text).cast("binary").alias("__text"), has_letter.alias("__letter"))
+    has_letter = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
+    frame = documents.select(*[F.col(f"`{f.name}`") for f in fields], F.lower(F.col(f"`{text}`")).cast("binary").alias("__text"), has_letter.alias("__letter"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = CompressionClassifier(shared.value)
@@ -100,7 +105,7 @@ def predict(documents: DataFrame, dictionaries: dict[str, bytes], *, text: str =
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_pydict(columns | {n: pa.array(c, k) for n, c, k in zip(added.names, zip(*out) if out else [[]] * 4, kinds)})
 
-    return frame.mapInArrow(run, T.StructType(fields + added.fields))
+    return given_back(frame.mapInArrow(run, T.StructType(fields + added.fields)), renamed)
 
 
 def identify(documents: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

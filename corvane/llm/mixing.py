@@ -80,8 +80,9 @@ def _ranked(rows: DataFrame) -> DataFrame:
 
 
 def mix(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, seed: int = 7, slots: int = 4096, **targeting) -> DataFrame:
-    """The documents with `size`, `source_size`, `target` and `taken`, all long but target; such columns are replaced."""
-    held = [c for c in documents.columns if c not in ("size", "source_size", "target", "taken")]
+    """The documents with `size`, `source_size`, `target` and `taken`, all long but target; such columns, in any case of
+    letters, are replaced."""
+    held = [c for c in documents.columns if c.lower() not in ("size", "source_size", "target", "taken")]
     size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
     w = F.floor(F.sqrt("size")) if weight is None else F.col("weight")
     row = F.struct(*[F.col(f"`{c}`") for c in held]).alias("row")

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import given_back, set_aside
 from .routing import ROUTED_DDL, block_number, blocks_of, by_part, from_planes, pack, parts_for, planes, routed, tidy, unpack
 from .textblocks import U64, _span_hashes, expand, join_texts, mix
 
@@ -568,12 +569,14 @@ def _removed(block: Block, answers: pa.Table) -> np.ndarray:
 def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, block_bytes: int = 4 << 20, shard_bytes: int = 2 << 20, part_bytes: int = 64 << 20) -> DataFrame:
     """Add to each document `n_bytes`, `n_removed`, `n_spans` (maximal removed runs), `kept_sha256`, and with
     `with_text` the remaining bytes as `kept` binary, and as `kept_text` what remains where characters that are cut in
-    part go whole. Columns of those names are replaced.
+    part go whole. Columns of those names, in any case of letters, are replaced.
 
     A shard holds what comes of about `shard_bytes` of text at most; a part is a task's row of shards.
     """
     added = T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text binary" * with_text)
-    fields = [f for f in documents.schema.fields if f.name not in {*added.names, "kept", "kept_text", text}]
+    documents, renamed = set_aside(documents, "__block", "__id", "__text")
+    doc_id, text = renamed.get(doc_id, doc_id), renamed.get(text, text)
+    fields = [f for f in documents.schema.fields if f.name.lower() not in {*added.names, "kept", "kept_text", text.lower()}]
     blocked, n_bytes = blocks_of(documents, [f.name for f in fields], doc_id, text, block_bytes)
     n_parts = parts_for(documents.sparkSession, n_bytes, part_bytes)
     n_shards = n_parts * max(1, -(-n_bytes // (shard_bytes * n_parts)))
@@ -581,4 +584,5 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     anchors = grouped.applyInArrow(_send_anchors(n_parts), ROUTED_DDL).groupBy("to").applyInArrow(tidy(_answer_anchors), ROUTED_DDL)
     segments = grouped.cogroup(anchors.groupBy("block")).applyInArrow(_send_segments(n_parts, n_shards), ROUTED_DDL)
     answers = segments.groupBy("to").applyInArrow(tidy(_answer_segments), ROUTED_DDL)
-    return grouped.cogroup(answers.groupBy("block")).applyInArrow(_cut([f.name for f in fields], with_text), T.StructType(fields + added.fields))
+    cut = grouped.cogroup(answers.groupBy("block")).applyInArrow(_cut([f.name for f in fields], with_text), T.StructType(fields + added.fields))
+    return given_back(cut, renamed)

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import given_back, set_aside
 from .stored import Scratch
 from .textblocks import ALNUM, U64, Words, _span_hashes, expand, give_back, mix, slices
 
@@ -173,11 +174,13 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, *, doc_id: str
 
 
 def score(documents: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.3, slice_bytes: int = SLICE) -> DataFrame:
-    """Add `score` (0 to 1) and `predicted` (1 from the threshold on) to the documents; such columns are replaced."""
+    """Add `score` (0 to 1) and `predicted` (1 from the threshold on) to the documents; such columns, in any case of letters, are replaced."""
     added = T.StructType.fromDDL("score double, predicted int")
-    fields = [f for f in documents.schema.fields if f.name not in added.names]
+    documents, renamed = set_aside(documents, "__text")
+    text = renamed.get(text, text)
+    fields = [f for f in documents.schema.fields if f.name.lower() not in added.names]
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    frame = documents.select(*[F.col(f"`{f.name}`") for f in fields], F.col(text).cast("binary").alias("__text"))
+    frame = documents.select(*[F.col(f"`{f.name}`") for f in fields], F.col(f"`{text}`").cast("binary").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text", slice_bytes):
@@ -185,4 +188,4 @@ def score(documents: DataFrame, model: Model, *, text: str = "text", threshold:
             columns = {f.name: batch.column(f.name) for f in fields}
             yield pa.RecordBatch.from_pydict(columns | {"score": pa.array(scores), "predicted": pa.array((scores >= threshold).astype(np.int32))})
 
-    return frame.mapInArrow(run, T.StructType(fields + added.fields))
+    return given_back(frame.mapInArrow(run, T.StructType(fields + added.fields)), renamed)

@@ -19,6 +19,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import given_back, set_aside
+
 BUCKETS = 1 << 14
 GRAMS = (3, 4)
 #: Fixed values: (host, path, verdict).
@@ -64,7 +66,7 @@ def _features(pages: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, labelled: DataFrame, *, url: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = 0.5, most_labelled: int = 50_000) -> DataFrame:
-    """Add `host`, `path`, `rule`, `block_score` and `verdict`; such columns are replaced.
+    """Add `host`, `path`, `rule`, `block_score` and `verdict`; such columns, in any case of letters, are replaced.
 
     `labelled`: (url, label), 1 for block; a small table, fitted in one partition so that reruns agree. Of a larger
     one about `most_labelled` rows are used, picked by a hash of the url.
@@ -75,7 +77,8 @@ def judge(pages: DataFrame, labelled: DataFrame, *, url: str = "url", rules: tup
     learned = with_parts(labelled.select(F.col("url"), F.col("label").cast("double")).where("label is not null")).orderBy("url", "label").coalesce(1)
     learned = _features(learned).select("__features", "label").cache()
     kinds = [r[0] for r in learned.select("label").distinct().collect()]
-    pages = with_parts(pages.drop("host", "path", "rule", "block_score", "verdict"), url).withColumn("__rule", rule_of(rules))
+    pages, renamed = set_aside(pages, "__rule", "__terms", "__features", "__raw", "__p", "__guess")
+    pages = with_parts(pages.drop("host", "path", "rule", "block_score", "verdict"), renamed.get(url, url)).withColumn("__rule", rule_of(rules))
     if len(kinds) < 2:
         scored = pages.withColumn("block_score", F.lit(0.0))
     else:
@@ -83,7 +86,8 @@ def judge(pages: DataFrame, labelled: DataFrame, *, url: str = "url", rules: tup
         scored = model.transform(_features(pages)).withColumn("block_score", vector_to_array("__p")[1]).drop("__raw", "__p", "__guess", "__features")
     learned.unpersist()
     guess = F.when(F.col("block_score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return scored.withColumn("verdict", F.coalesce(F.col("__rule.verdict"), guess)).withColumn("rule", F.col("__rule.rule")).drop("__rule")
+    judged = scored.withColumn("verdict", F.coalesce(F.col("__rule.verdict"), guess)).withColumn("rule", F.col("__rule.rule")).drop("__rule")
+    return given_back(judged, renamed)
 
 
 #: Words that tell, in hosts or paths, and forms of urls: the labelled table is made of each word in each form.
