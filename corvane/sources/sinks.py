@@ -9,6 +9,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_ZEROS = bytes(1 << 20)
+
 
 def write_report(frame: DataFrame, folder: str, kind: str = "csv") -> None:
     """A folder of CSV or TSV (with headers), JSON lines or text (one string column) files; it replaces what is there."""
@@ -28,24 +30,37 @@ def append_key_values(pairs: DataFrame, folder: str, key: str = "key", value: st
     pairs.select(F.concat(F.col(key), F.lit(separator), F.col(value))).write.mode("append").text(folder)
 
 
-def write_audio(frame: DataFrame, root: str, path: str = "path", content: str = "content") -> DataFrame:
-    """(path, bytes, error): each row's content as a file under root, written under another name and renamed, so that a retried task leaves whole files."""
+def write_audio(frame: DataFrame, root: str, path: str = "path", content: str = "content", zeros: str | None = None) -> DataFrame:
+    """(path, bytes, error): each row's content as a file under root, written under another name and renamed, so that a retried task leaves whole files.
+
+    The column `zeros` says how many zero bytes follow the content (digital silence). They are never held: a local file gets a hole, other
+    file systems get them a piece at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(root)
+        local = isinstance(fs, pafs.LocalFileSystem)
         for batch in batches:
             out = []
-            for name, raw in zip(batch.column("p").to_pylist(), batch.column("c").to_pylist()):
+            for name, raw, more in zip(*(batch.column(c).to_pylist() for c in "pcz")):
                 try:
-                    target = f"{base.rstrip('/')}/{name}"
+                    target, more = f"{base.rstrip('/')}/{name}", more or 0
                     fs.create_dir(target.rpartition("/")[0], recursive=True)
-                    with fs.open_output_stream(f"{target}.tmp", compression=None) as f:
-                        f.write(raw)
+                    if local:
+                        with open(f"{target}.tmp", "wb") as f:
+                            f.write(raw)
+                            f.truncate(len(raw) + more)
+                    else:
+                        with fs.open_output_stream(f"{target}.tmp", compression=None) as f:
+                            f.write(raw)
+                            for at in range(0, more, len(_ZEROS)):
+                                f.write(_ZEROS[: more - at])
                     fs.move(f"{target}.tmp", target)
-                    out.append((name, len(raw), None))
+                    out.append((name, len(raw) + more, None))
                 except Exception as bad:  # noqa: BLE001  errors are data here
                     out.append((name, None, f"{type(bad).__name__}: {bad}"))
             kinds = (pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, kinds)], names=["path", "bytes", "error"])
 
-    return frame.select(F.col(path).alias("p"), F.col(content).alias("c")).mapInArrow(run, "path string, bytes long, error string")
+    more = F.lit(0) if zeros is None else F.col(zeros)
+    return frame.select(F.col(path).alias("p"), F.col(content).alias("c"), more.cast("long").alias("z")).mapInArrow(run, "path string, bytes long, error string")

@@ -79,6 +79,26 @@ def test_audio_tree_inventory_and_sink(spark, tmp_path):
         sinks.write_report(rows, str(tmp_path / "no"), "xml")
 
 
+def test_long_silent_clips_are_not_held(spark, tmp_path):
+    """Eighty clips of some 40 MB: more than one Arrow array of bytes can hold."""
+    from corvane.plans import signals
+
+    spark.range(600_000, 600_080).selectExpr("id as s_suppkey", "cast(id % 8 as int) as s_nationkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r["id"]: r for r in signals.audio_header_scan(spark, str(tmp_path)).collect()}
+    assert sorted(got) == sorted(str(k) for k in range(600_000, 600_080) if k % 8 in (1, 3, 7))
+    for name, r in got.items():
+        key = int(name)
+        rate = (8000, 16000, 44100)[key % 3]
+        assert (r["sample_rate"], r["channels"], r["valid"]) == (rate, 1 + key % 2, True) and abs(r["duration_sec"] - (400 + 16 * key) / rate) < 0.001
+
+
+def test_zeros_after_the_content(spark, tmp_path):
+    rows = spark.createDataFrame([("a/x.bin", bytearray(b"ab"), 5), ("a/y.bin", bytearray(b"c"), None)], "path string, content binary, zeros long")
+    out = {r["path"]: r["bytes"] for r in sinks.write_audio(rows, f"file://{tmp_path}/z", zeros="zeros").collect()}
+    assert out == {"a/x.bin": 7, "a/y.bin": 1}
+    assert (tmp_path / "z/a/x.bin").read_bytes() == b"ab" + bytes(5) and (tmp_path / "z/a/y.bin").read_bytes() == b"c"
+
+
 def test_audio_definitions():
     n = np.arange(16000)
     tone = np.concatenate([np.zeros(1600), 0.5 * np.sin(2 * np.pi * 1000 * (n + 0.5) / 16000), np.zeros(800)])
