@@ -216,6 +216,17 @@ def _in_pairs_of_blocks(labelled: DataFrame, bands: DataFrame) -> DataFrame:
     return paired.union(lay(both, True, F.least("own", "at"), F.greatest("own", "at"), side))
 
 
+def _stars(tables: DataFrame) -> DataFrame:
+    """(a, b) that connect the same classes as (k, lead) does, with fewer rows.
+
+    A class of a large group has up to SIDE * SIDE leads. It keeps the smallest, and its other leads, which many
+    classes share, are hung under that one.
+    """
+    leads = tables.where("k <> lead").groupBy("k").agg(F.sort_array(F.collect_set("lead")).alias("leads"))
+    under = leads.select(F.col("leads")[0].alias("b"), F.explode(F.slice("leads", 2, SIDE * SIDE)).alias("a")).select("a", "b").distinct()
+    return leads.select(F.col("k").alias("a"), F.col("leads")[0].alias("b")).union(under)
+
+
 def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row."""
     spark = documents.sparkSession
@@ -247,7 +258,7 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     links = scratch.put(_confirm(nearest, sets))
 
     # classes that tables connect but links do not yet
-    met = scratch.put(components(tables.where("k <> lead").select(F.col("k").alias("a"), F.col("lead").alias("b")), scratch).select(F.col("node").alias("k"), F.col("root").alias("c")))
+    met = scratch.put(components(_stars(tables), scratch).select(F.col("node").alias("k"), F.col("root").alias("c")))
     scratch.drop(tables, nearest)
     labelled = met.join(links.select(F.col("b").alias("k"), F.col("a").alias("root")), "k", "left")
     labelled = scratch.put(labelled.select("k", "c", F.coalesce("root", "k").alias("label")))
