@@ -10,7 +10,7 @@ that no task holds more than a block of documents or a shard of candidate string
    smallest id that holds each, to shards by anchor. An anchor in more than `HOT` documents is dealt finer,
    one window for a segment and by the window's own hash, so that no anchor fills a shard. Shards are dealt
    to parts, one for each shuffle partition of the session or more; a block sends a part one row.
-3. A part takes its shards one after the other. A shard concatenates its distinct segments, sorts all suffixes by induced sorting (suffix types, sorted
+3. A part takes its shards one after the other. A shard concatenates its distinct segments that share an anchor with others, sorts all suffixes by induced sorting (suffix types, sorted
    leftmost-S substrings, then two inducing passes), computes permuted common prefixes with the preceding
    window, and so finds for each distinct window the smallest id. It answers each block in runs.
 4. Each block merges the answers into removal spans and cuts its texts.
@@ -96,16 +96,12 @@ class _Runs:
             nearest[source[order[opens]]] = np.minimum.reduceat(target[order], opens)
         live = (self.n_l + self.n_s if up else self.n_l + self.n_lms) > 0
         live = np.flatnonzero(live[::-1] if up else live)
-        out, first, last, reach = [], None, None, 0
-        for c, near in zip(live.tolist(), nearest[live].tolist()):
-            if first is None or c >= reach:
-                if first is not None:
-                    out.append((first, last))
-                first, reach = c, near
-            else:
-                reach = min(reach, near)
-            last = c
-        out.append((first, last))
+        # a stretch ends before the first symbol that one of it induces into: the least of those from its start on
+        ends = np.minimum.accumulate(np.searchsorted(live, nearest[live])[::-1])[::-1].tolist()
+        out, at = [], 0
+        while at < len(live):
+            out.append((int(live[at]), int(live[ends[at] - 1])))
+            at = ends[at]
         return [(self.n_symbols - 1 - b, self.n_symbols - 1 - a) for a, b in out] if up else out
 
     def _by_length(self, runs: np.ndarray, first: int, final: int, n: int, up: bool) -> np.ndarray:
@@ -289,6 +285,26 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, width: int) -> np.ndarr
 # ---------------------------------------------------------------- anchors and segments of a block
 
 
+def _gram_hashes(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hashes of 16-byte strings from their two halves as numbers."""
+    h = low * U64(0x9E3779B97F4A7C15)
+    h ^= h >> U64(29)
+    h += high
+    return mix(h)
+
+
+def _with_others(strings: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Which of the distinct segments that begin there share their anchor with another one; the rest hold no window of another."""
+    padded = np.concatenate([strings, np.zeros(8, dtype=np.uint8)])
+    words = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
+    anchor = None
+    for k in range(WIDTH - GRAM + 1):
+        h = _gram_hashes(words[begins + k], words[begins + k + 8])
+        anchor = h if anchor is None else np.minimum(anchor, h)
+    _, of, count = np.unique(anchor >> U64(16), return_inverse=True, return_counts=True)
+    return count[of] > 1
+
+
 def _anchors(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(text, first window, number of windows, anchor) of the runs of windows with one anchor, chunk by chunk."""
     grams = WIDTH - GRAM + 1
@@ -300,10 +316,7 @@ def _anchors(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray,
         padded = np.concatenate([part, np.zeros(8, dtype=np.uint8)])
         words = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
         n_grams = len(part) - GRAM + 1
-        h = words[:n_grams] * U64(0x9E3779B97F4A7C15)
-        h ^= h >> U64(29)
-        h += words[8 : 8 + n_grams]
-        h = mix(h)
+        h = _gram_hashes(words[:n_grams], words[8 : 8 + n_grams])
         span = 1
         while span * 2 <= grams:
             h = np.minimum(h[:-span], h[span:])
@@ -492,7 +505,12 @@ def _answers_of(number: np.ndarray, windows: np.ndarray, low: np.ndarray, high:
     distinct, pick, inverse = np.unique(key, return_index=True, return_inverse=True)
     least = np.full(len(distinct), NO_ID, dtype=np.int64)
     np.minimum.at(least, inverse, low)
-    ids = smallest_ids(strings[expand(begins[pick], length[pick])], windows[pick], least)
+    # a segment that shares its anchor with no other has no window in common with one, so there is nothing to sort it against
+    ids = np.repeat(least, windows[pick])
+    several = _with_others(strings, begins[pick])
+    if several.any():
+        own = pick[several]
+        ids[np.repeat(several, windows[pick])] = smallest_ids(strings[expand(begins[own], length[own])], windows[own], least[several])
     first = np.cumsum(windows[pick]) - windows[pick]
     # runs of windows of an entry with one smaller id
     value = ids[expand(first[inverse], windows)]
