@@ -46,6 +46,8 @@ def numbered(frame: DataFrame, strata: list[str], key: str, slices: int = 32) ->
 SLICE_ROWS, MOST_SLICES, SLOTS, TOGETHER = 1 << 16, 1024, 1 << 20, 64
 #: Pairs of member and slice that a block of members is to hold.
 BLOCK_PAIRS = 1 << 18
+#: Bytes of packed draws that a task holds before it sends them on.
+HELD = 8 << 20
 
 
 def _blob(array: np.ndarray) -> bytes:
@@ -73,18 +75,19 @@ def _placed(rows: DataFrame, models: list[str]) -> DataFrame:
     return stored(out, "bootstrap")
 
 
-def _draws_by_block(spark: SparkSession, sizes: dict[str, int], n_boot: int, seed: str, block: int) -> DataFrame:
-    """(stratum, block, b, group, drawn): which members of a block a replicate draws, one packed row from each range of slots."""
-    grid = None
-    for stratum, n in sizes.items():
-        i = F.col("id")
-        one = spark.range(n_boot * -(-n // SLOTS)).select(F.lit(stratum).alias("stratum"), F.lit(n).cast("long").alias("n"), (i % n_boot).alias("b"), F.floor(i / n_boot).cast("long").alias("chunk"))
-        grid = one if grid is None else grid.union(one)
+def _drawer(seed: str, block: int):
+    """Draws the slots of (stratum, n, b, chunk) rows; packed members of blocks leave in batches of some `HELD` bytes."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, slots = None, []
+
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * 5
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["stratum", "block", "b", "group", "drawn"])
+
         for batch in batches:
-            out = []
+            out, held = [], 0
             for stratum, n, b, chunk in zip(*(batch.column(c).to_pylist() for c in ("stratum", "n", "b", "chunk"))):
                 if last != (n, chunk):
                     last, slots = (n, chunk), [b"%d" % slot for slot in range(chunk * SLOTS, min(n, (chunk + 1) * SLOTS))]
@@ -96,12 +99,27 @@ def _draws_by_block(spark: SparkSession, sizes: dict[str, int], n_boot: int, see
                 # the first 32 bits of each
                 k = np.sort(np.frombuffer(b"".join(digests), dtype=">u4")[::4].astype(np.int64) % n)
                 cuts = np.flatnonzero(np.diff(k // block)) + 1
-                out += [(stratum, int(own[0] // block), b, b // TOGETHER, _blob((own % block).astype("<u4"))) for own in np.split(k, cuts)]
-            columns = list(zip(*out)) or [()] * 5
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["stratum", "block", "b", "group", "drawn"])
+                for own in np.split(k, cuts):
+                    out.append((stratum, int(own[0] // block), b, b // TOGETHER, _blob((own % block).astype("<u4"))))
+                    held += len(out[-1][-1])
+                # a batch of replicates would be held whole else, and grows with the members
+                if held >= HELD:
+                    yield packed(out)
+                    out, held = [], 0
+            yield packed(out)
+
+    return draw
+
+
+def _draws_by_block(spark: SparkSession, sizes: dict[str, int], n_boot: int, seed: str, block: int) -> DataFrame:
+    """(stratum, block, b, group, drawn): which members of a block a replicate draws, one packed row from each range of slots."""
+    grid = None
+    for stratum, n in sizes.items():
+        i = F.col("id")
+        one = spark.range(n_boot * -(-n // SLOTS)).select(F.lit(stratum).alias("stratum"), F.lit(n).cast("long").alias("n"), (i % n_boot).alias("b"), F.floor(i / n_boot).cast("long").alias("chunk"))
+        grid = one if grid is None else grid.union(one)
 
-    return grid.mapInArrow(draw, "stratum string, block long, b long, group long, drawn binary")
+    return grid.mapInArrow(_drawer(seed, block), "stratum string, block long, b long, group long, drawn binary")
 
 
 def _counted(draws: DataFrame, pairs: DataFrame, n_models: int, n_slices: int, block: int, n_groups: int) -> DataFrame:
