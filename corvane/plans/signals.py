@@ -91,7 +91,8 @@ def probe_logreg(spark, sf_dir):
 
 
 def _waves(spark, sf_dir) -> DataFrame:
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    # rows are few and small for the work in them, so one file of them is dealt to as many tasks as the session has partitions
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s_suppkey")
     return audio.tones(s.select("s_suppkey", (200 + F.col("s_suppkey") % 40 * 100).cast("double").alias("hz"), (0.5 + F.col("s_nationkey") % 3 * 0.25).cast("double").alias("seconds")), "hz", "seconds")
 
 
