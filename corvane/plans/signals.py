@@ -167,6 +167,8 @@ def worklist_stream(spark, sf_dir):
     sign = F.when(F.col("event_id") % 50 == 7, " ").otherwise(" - ")
     line = F.concat(F.col("user_id").cast("string"), sign, "event_type", F.when(F.col("event_id") % 50 == 7, " ").otherwise(" - "), F.col("event_id").cast("string"))
     base = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
-    e.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select(line.alias("value")).write.text(f"{base}/in")
+    # a file is read by one task, so there are as many as the session has partitions, read in two batches
+    files = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    e.repartitionByRange(files, "event_id").sortWithinPartitions("event_id").select(line.alias("value")).write.text(f"{base}/in")
     done = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("key"))
-    return latest.run_once(spark, f"{base}/in", f"{base}/table", f"{base}/progress", done, files_per_batch=2)
+    return latest.run_once(spark, f"{base}/in", f"{base}/table", f"{base}/progress", done, files_per_batch=-(-files // 2))
