@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,47 +67,76 @@ def attach_transcript(samples: DataFrame, lines: DataFrame, speaker: str = "spea
 
     `samples` has the speaker and a `file`, `lines` the speaker, a number `line` and the whole line as `value`. Names meet lines by substring, at any place: an automaton of a block of a
     speaker's names reads a chunk of the speaker's lines once, so neither a speaker of very many names nor one of very many lines
-    fills a task, and what leaves a task is one line at most for each name.
+    fills a task, and what leaves a task is one line at most for each name. A task reads its speakers one after the other from one
+    sorted stream, so that very many small speakers cost it their rows and no more.
     """
-    wanted = stored(samples.select(F.col(speaker).alias("of"), original_file(F.col("file")).alias("name")).where("name is not null").distinct(), "transcripts")
-    given = lines.select(F.col(speaker).alias("of"), "line", "value").where("value is not null")
-    pieces = wanted.groupBy("of").agg(F.ceil(F.count("*") / block_names).cast("long").alias("blocks"))
-    held = given.groupBy("of").agg(F.ceil(F.count("*") / chunk_lines).cast("long").alias("chunks"))
-    sizes = pieces.join(held, "of")
-    deal = lambda by, n: F.pmod(F.xxhash64(*by), n)
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    names = wanted.join(sizes, "of").select("of", deal(["name"], F.col("blocks")).alias("block"), each("chunks").alias("chunk"), "name")
-    chunks = given.join(sizes, "of").select("of", each("blocks").alias("block"), deal(["line"], F.col("chunks")).alias("chunk"), "line", "value")
-    kinds = {"of": lines.schema[speaker].dataType.simpleString(), "line": lines.schema["line"].dataType.simpleString()}
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        import ahocorasick
-
-        right = right.sort_by("line")
-        automaton, first = ahocorasick.Automaton(), {}
-        for name in left.column("name").to_pylist():
-            if name:
-                automaton.add_word(name, name)
-            elif len(right):
-                first[name] = 0
-        automaton.make_automaton()
-        if len(automaton):
-            for i, value in enumerate(right.column("value").to_pylist()):
-                for _, name in automaton.iter(value):
-                    first.setdefault(name, i)
-        at = pa.array(list(first.values()), pa.int64())
-        found = right.take(at)
-        of = left.column("of")[:1].take(pa.array([0] * len(first), pa.int64())) if len(first) else left.column("of")[:0]
-        return pa.table([of, pa.array(list(first), pa.string()), found.column("line"), found.column("value")], names=["of", "name", "line", "value"])
-
+    samples = stored(samples, "transcripts")
+    wanted = samples.select(F.col(speaker).alias("of"), original_file(F.col("file")).alias("name")).where("of is not null and name is not null").distinct()
+    given = lines.select(F.col(speaker).alias("of"), "line", "value").where("of is not null and value is not null")
+    pieces = lambda rows, n, to: rows.groupBy("of").agg(F.ceil(F.count("*") / n).cast("long").alias(to)).where(F.col(to) > 1)
+    # only speakers of more than one block or chunk: a row for block_names names or chunk_lines lines at most
+    sizes = F.broadcast(pieces(wanted, block_names, "blocks").join(pieces(given, chunk_lines, "chunks"), "of", "full"))
+    blocks, chunks = (F.coalesce(n, F.lit(1).cast("long")) for n in ("blocks", "chunks"))
+    deal = lambda by, n: F.pmod(F.xxhash64(by), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    names = wanted.join(sizes, "of", "left").select("of", deal("name", blocks).alias("block"), each(chunks).alias("chunk"), "name", F.lit(None).cast(lines.schema["line"].dataType).alias("line"), F.lit(None).cast("string").alias("value"))
+    read = given.join(sizes, "of", "left").select("of", each(blocks).alias("block"), deal("line", chunks).alias("chunk"), F.lit(None).cast("string").alias("name"), "line", "value")
     key = ["of", "block", "chunk"]
-    found = names.groupBy(*key).cogroup(chunks.groupBy(*key)).applyInArrow(search, f"of {kinds['of']}, name string, line {kinds['line']}, value string")
+    stream = names.union(read).repartition(*key).sortWithinPartitions(*key, F.col("name").isNull(), F.col("line").asc_nulls_last(), "value")
+    kinds = {"of": lines.schema[speaker].dataType.simpleString(), "line": lines.schema["line"].dataType.simpleString()}
+    found = stream.mapInArrow(first_lines, f"of {kinds['of']}, name string, line {kinds['line']}, value string")
     best = found.groupBy("of", "name").agg(F.min_by("value", "line").alias("value"))
     best = best.select(F.col("of").alias("__of"), F.col("name").alias("__name"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("text"))
     out = samples.join(best, (F.col(speaker) == F.col("__of")) & (original_file(F.col("file")) == F.col("__name")), "left").drop("__of", "__name")
     return out.withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(of, name, line, value): the first line that contains each name. Rows come by (of, block, chunk), of each first the names and then the lines in order."""
+    import ahocorasick
+
+    # the group that the stream is in, its names until its first line, then the automaton and the names not met yet
+    key, names, automaton, left = None, [], None, set()
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        keys = [rows.column(c).combine_chunks() for c in ("of", "block", "chunk")]
+        name, value = (rows.column(c).to_numpy().tolist() for c in ("name", "value"))
+        is_name = rows.column("name").is_valid().to_numpy()
+        turn = np.zeros(batch.num_rows, bool)
+        for column in keys:
+            turn[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        starts = [0, *np.flatnonzero(turn).tolist(), batch.num_rows]
+        at, hits = [], []
+        for lo, hi in zip(starts, starts[1:]):
+            if lo == hi:
+                continue
+            if lo or [column[0] for column in keys] != key:
+                names, automaton = [], None
+            middle = lo + int(is_name[lo:hi].sum())
+            names += name[lo:middle]
+            if middle == hi:
+                continue
+            if automaton is None:
+                automaton, left = ahocorasick.Automaton(), set(names)
+                for known in left - {""}:
+                    automaton.add_word(known, known)
+                automaton.make_automaton()
+            for i in range(middle, hi):
+                if not left:
+                    break
+                met = {known for _, known in automaton.iter(value[i])} if len(automaton) else set()
+                # an empty name is in every line
+                met = (met | {""}) & left
+                left -= met
+                at += [i] * len(met)
+                hits += met
+        if batch.num_rows:
+            key = [column[-1] for column in keys]
+        if at:
+            first = rows.take(pa.array(at, pa.int64())).combine_chunks()
+            yield from pa.table([first.column("of"), pa.array(hits, pa.string()), first.column("line"), first.column("value")], names=["of", "name", "line", "value"]).to_batches()
+
+
 def original_file(file: Column) -> Column:
     """A generated file's genuine name: .1.wav and .2.wav become .wav."""
     return F.regexp_replace(file, r"\.[12]\.wav$", ".wav")

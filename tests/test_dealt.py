@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corvane.operators import resample
+from corvane.operators import attach, resample
 from corvane.plans import signals
 
 
@@ -20,3 +20,27 @@ def test_clips_and_lines_are_dealt_to_all_partitions(spark, tmp_path, monkeypatc
     spark.range(40).selectExpr("id as s_suppkey", "cast(id % 5 as int) as s_nationkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
     waves = signals._waves(spark, str(tmp_path))
     assert waves.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_many_speakers_are_read_from_one_stream(spark, capsys):
+    lines = [(s, k, f"{s}.{k % 2}.wav\tline {k}") for s in range(30) for k in range(4)]
+    files = [(s, f"{s}.{k}.1.wav") for s in range(30) for k in range(3)]
+    out = attach.attach_transcript(spark.createDataFrame(files, "speaker long, file string"), spark.createDataFrame(lines, "speaker long, line int, value string"))
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "InPandas" not in plan and "FlatMap" not in plan
+    assert sorted(map(tuple, out.collect())) == sorted((s, f"{s}.{k}.1.wav", f"{s}.{k}.wav\tline {k}" if k < 2 else "") for s in range(30) for k in range(3))
+
+
+def test_first_lines_wherever_batches_end():
+    rows = []
+    for of, block, chunk in ((1, 0, 0), (1, 0, 1), (2, 0, 0), (3, 0, 0), (4, 0, 0)):
+        rows += [(of, block, chunk, name, None, None) for name in ("", "a.wav", "b.wav", "wav") if of != 3]
+        rows += [(of, block, chunk, None, n, value) for n, value in ((1, "x"), (2, "ba.wav"), (3, "a.wav b.wav")) if of != 2]
+    fields = [("of", pa.int64()), ("block", pa.int64()), ("chunk", pa.int64()), ("name", pa.string()), ("line", pa.int32()), ("value", pa.string())]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
+    found = [(1, "", 1, "x"), (1, "a.wav", 2, "ba.wav"), (1, "b.wav", 3, "a.wav b.wav"), (1, "wav", 2, "ba.wav")]
+    want = sorted(found * 2 + [(4, *f[1:]) for f in found])
+    for size in (1, 2, 3, 5, len(rows)):
+        parts = [batch.slice(i, size) for i in range(0, len(rows), size)] + [batch.slice(0, 0)]
+        assert sorted(tuple(r.values()) for out in attach.first_lines(iter(parts)) for r in out.to_pylist()) == want
