@@ -174,9 +174,16 @@ def _digests(key: str, of: Column | None = None, name: str = "") -> list[Column]
     return [F.count(kept(F.lit(1))).alias(f"__n{name}"), *sums]
 
 
+def _both(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    return a.select(key, F.lit(True).alias("__left")).union(b.select(key, F.lit(False)))
+
+
 def _differing(a: DataFrame, b: DataFrame, key: str, buckets: int) -> DataFrame:
     """The buckets in which the frames' keys are not equal as multisets. What is shuffled are counts and sums, not keys."""
-    both = a.select(key, F.lit(True).alias("__left")).union(b.select(key, F.lit(False)))
+    return _odd(_both(a, b, key), key, buckets)
+
+
+def _odd(both: DataFrame, key: str, buckets: int) -> DataFrame:
     left = F.col("__left")
     found = both.groupBy(_bucket(key, buckets).alias("__bucket")).agg(*_digests(key, left, "_a"), *_digests(key, ~left, "_b"))
     return found.where(F.struct("__n_a", "__s0_a", "__s1_a") != F.struct("__n_b", "__s0_b", "__s1_b")).select("__bucket")
@@ -205,18 +212,41 @@ def model_alignment(scores: DataFrame, model: str = "model", key: str = "id", un
 def symmetric_difference(a: DataFrame, b: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
     """(key, side) of keys in one frame only; none if the two sets are equal. Null keys count as one key.
 
-    Buckets of keys whose digests agree are left out before anything is joined.
+    Buckets of keys whose digests agree are left out before anything is grouped. Keys are written, so that neither frame is made twice.
     """
-    odd = F.broadcast(stored(_differing(a, b, key, buckets), "differing"))
-    held = lambda x: x.select(key).withColumn("__bucket", _bucket(key, buckets)).join(odd, "__bucket", "left_semi").select(key).distinct()
-    both = held(a).select(key, F.lit(1).alias("__a"), F.lit(None).cast("int").alias("__b")).union(held(b).select(key, F.lit(None).cast("int"), F.lit(1)))
-    sides = both.groupBy(key).agg(F.max("__a").alias("__a"), F.max("__b").alias("__b"))
-    return sides.where("__a is null or __b is null").select(key, F.when(F.col("__a").isNotNull(), "left").otherwise("right").alias("side"))
+    return _one_sided(stored(_both(a, b, key), "sides"), key, buckets)
+
+
+def _one_sided(both: DataFrame, key: str, buckets: int) -> DataFrame:
+    odd = F.broadcast(_odd(both, key, buckets))
+    held = both.withColumn("__bucket", _bucket(key, buckets)).join(odd, "__bucket", "left_semi")
+    sides = held.groupBy(key).agg(F.max("__left").alias("__a"), F.max(~F.col("__left")).alias("__b"))
+    return sides.where("not (__a and __b)").select(key, F.when(F.col("__a"), "left").otherwise("right").alias("side"))
 
 
 def same_set(a: DataFrame, b: DataFrame, key: str, buckets: int = 4096) -> bool:
     """Whether both frames have the same keys, however often."""
-    return _differing(a, b, key, buckets).isEmpty() or symmetric_difference(a, b, key, buckets).isEmpty()
+    both = stored(_both(a, b, key), "sides")
+    return _odd(both, key, buckets).isEmpty() or _one_sided(both, key, buckets).isEmpty()
+
+
+def set_differences(rows: DataFrame, system: str, key: str) -> DataFrame:
+    """(one, other, differing, same) of every two systems: how many keys only one of them has. Null keys count as one key.
+
+    Rows are read once and keys are grouped once, whatever the number of systems; what follows has a row for each combination of
+    systems that have a key in common.
+    """
+    held = stored(rows.where(F.col(system).isNotNull()).select(system, key), "systems")
+    # a flag for each system, which are few
+    names = sorted(r[0] for r in held.select(system).distinct().collect())
+    flags = held.groupBy(key).agg(*[F.max(F.col(system) == name).alias(f"__{k}") for k, name in enumerate(names)])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    wide = flags.agg(F.count("*").alias("__keys"), *[F.count_if(F.col(f"__{i}") != F.col(f"__{j}")).alias(f"__{i}_{j}") for i, j in pairs])
+    kind, found = rows.schema[system].dataType, [F.col(f"__{i}_{j}") for i, j in pairs]
+    out = [F.struct(F.lit(names[i]).cast(kind).alias("one"), F.lit(names[j]).cast(kind).alias("other"), n.alias("differing"), (n == 0).alias("same")) for (i, j), n in zip(pairs, found)]
+    # fewer than two systems have no pair
+    none = F.expr(f"cast(array() as array<struct<one: {kind.simpleString()}, other: {kind.simpleString()}, differing: bigint, same: boolean>>)")
+    return wide.select(F.inline(F.array(*out) if out else none))
 
 
 def systems(rows: DataFrame, method: str = "method") -> DataFrame:

@@ -113,13 +113,7 @@ def symmetric_difference(spark, sf_dir):
     + (SELECT count(*) FROM (SELECT stem FROM x WHERE x.method = b.method EXCEPT SELECT stem FROM x WHERE x.method = a.method)) AS differing FROM m a JOIN m b ON a.method < b.method)
   SELECT one, other, differing, differing = 0 AS same FROM d""")
 def set_equality(spark, sf_dir):
-    """Every two systems by the genuine clips that they have copied; the systems are three."""
+    """Every two systems by the genuine clips that they have copied."""
     from ..operators import integrity
 
-    kept = integrity.paired(*clips(spark, sf_dir)).select("method", "stem")
-    out = None
-    for one, other in (("A", "N"), ("A", "R"), ("N", "R")):
-        differing = attach.symmetric_difference(kept.where(F.col("method") == one), kept.where(F.col("method") == other), "stem").agg(F.count("*").alias("differing"))
-        row = differing.select(F.lit(one).alias("one"), F.lit(other).alias("other"), "differing", (F.col("differing") == 0).alias("same"))
-        out = row if out is None else out.union(row)
-    return out
+    return attach.set_differences(integrity.paired(*clips(spark, sf_dir)), "method", "stem")

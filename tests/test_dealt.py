@@ -44,3 +44,24 @@ def test_first_lines_wherever_batches_end():
     for size in (1, 2, 3, 5, len(rows)):
         parts = [batch.slice(i, size) for i in range(0, len(rows), size)] + [batch.slice(0, 0)]
         assert sorted(tuple(r.values()) for out in attach.first_lines(iter(parts)) for r in out.to_pylist()) == want
+
+
+def test_two_systems_or_ten_are_compared_from_one_reading(spark):
+    rows = [("a", "1"), ("a", "1"), ("a", None), ("b", "1"), ("b", None), ("b", "2"), ("c", "3"), (None, "4")]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    frame = spark.createDataFrame(rows, "method string, stem string").mapInArrow(seen, "method string, stem string")
+    got = attach.set_differences(frame, "method", "stem")
+    assert {tuple(r) for r in got.collect()} == {("a", "b", 1, False), ("a", "c", 3, False), ("b", "c", 4, False)}
+    assert read.value == len(rows)
+    read.value = 0
+    sides = attach.symmetric_difference(frame.where("method = 'a'"), frame.where("method = 'b'"), "stem")
+    assert {tuple(r) for r in sides.collect()} == {("2", "right")} and read.value == 2 * len(rows)
+    same = spark.createDataFrame([("a", "1"), ("b", "1")], "method string, stem string")
+    assert [tuple(r) for r in attach.set_differences(same, "method", "stem").collect()] == [("a", "b", 0, True)]
+    assert attach.set_differences(same.where("method = 'a'"), "method", "stem").collect() == []
