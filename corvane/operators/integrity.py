@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .splits import ranked
+from .stored import stored
 
 
 def stem(column: str) -> Column:
@@ -133,7 +134,8 @@ def preflight(rows: DataFrame, apart: tuple[str, str], splits: tuple[str, ...] =
 
 def loso_pair(rows: DataFrame, pool: DataFrame, held: str, known: str, seed: str) -> DataFrame:
     """One long manifest with `part`: train and val without the held-out system, and two tests of as many spoofs each,
-    `matched` of the known system and `unseen` of the held-out one, against one pool of the genuine twins of both."""
+    `matched` of the known system and `unseen` of the held-out one, against one pool of the genuine twins of both. Each frame is made once and written."""
+    rows, pool = stored(rows, "spoofs"), stored(pool, "pool")
     fit = rows.where((F.col("split") != "test") & (F.col("method") != held))
     fit = fit.unionByName(pool.join(fit.select("stem").distinct(), "stem", "left_semi").select(*fit.columns)).withColumn("part", F.col("split"))
     trimmed, twins = test_pair(rows.where("split = 'test'"), pool.where("split = 'test'"), [known, held], seed)
@@ -144,26 +146,27 @@ def loso_pair(rows: DataFrame, pool: DataFrame, held: str, known: str, seed: str
 
 
 def loso_pair_checks(rows: DataFrame, held: str) -> DataFrame:
-    """(check, violations) of such a pair; all 0 if it holds. Each of speakers, clips and parts is grouped once."""
-    spoof = F.col("method") != "none"
-    of = lambda part, x=F.lit(True): F.coalesce(F.max((F.col("part") == part) & x), F.lit(False))
-    parts = ("train", "val", "matched", "unseen")
-    speakers = rows.groupBy("speaker").agg(*[of(p).alias(p) for p in parts])
-    shared = [F.count_if(F.col(a) & F.col(b)).alias(f"speakers of {a} in {b}") for a, b in (("train", "val"), ("train", "matched"), ("train", "unseen"), ("val", "matched"), ("val", "unseen"))]
-    clips = rows.groupBy("id").agg(*[of(p, spoof).alias(f"s_{p}") for p in parts], *[of(p, ~spoof).alias(f"b_{p}") for p in parts])
-    pools = [F.count_if(F.col("s_matched") & F.col("s_unseen")).alias("spoof in both tests"), F.count_if(F.col("b_matched") != F.col("b_unseen")).alias("genuine clip in one test only")]
-    in_part = lambda p, x: F.count_if((F.col("part") == p) & x)
-    counts = rows.agg(
-        F.count_if((F.col("method") == held) & (F.col("part") != "unseen")).alias("held-out system outside its test"),
-        in_part("unseen", spoof & (F.col("method") != held)).alias("other system in the unseen test"),
-        sum(((in_part(p, spoof) == 0) | (in_part(p, ~spoof) == 0)).cast("long") for p in parts).alias("part without both classes"),
-        F.abs(in_part("matched", spoof) - in_part("unseen", spoof)).alias("spoofs of one test more than of the other"),
+    """(check, violations) of such a pair; all 0 if it holds. Rows are read once, and grouped by speaker and by clip in one aggregate."""
+    spoof, parts = F.col("method") != "none", ("train", "val", "matched", "unseen")
+    of = lambda p, x=F.lit(True): F.count_if((F.col("part") == p) & x)
+    counts = [c for p in parts for c in (of(p).alias(f"n_{p}"), of(p, spoof).alias(f"s_{p}"), of(p, ~spoof).alias(f"b_{p}"))]
+    grouped = rows.groupingSets([["speaker"], ["id"]], "speaker", "id").agg(
+        F.grouping_id().alias("way"), *counts, F.count_if((F.col("method") == held) & (F.col("part") != "unseen")).alias("outside"), of("unseen", spoof & (F.col("method") != held)).alias("other"),
     )
-    out = None
-    for wide in (speakers.agg(*shared), clips.agg(*pools), counts):
-        long = wide.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in wide.columns]), F.array(*[F.col(f"`{c}`").cast("long") for c in wide.columns]))).alias("check", "violations"))
-        out = long if out is None else out.union(long)
-    return out
+    # a way's own bit is the only one that is 0; the groups of either way add up to all rows
+    speaker, clip, has = F.col("way") == 1, F.col("way") == 2, lambda c: F.col(c) > 0
+    total = lambda c: F.coalesce(F.sum(F.when(clip, F.col(c))), F.lit(0))
+    checks = {f"speakers of {a} in {b}": F.count_if(speaker & has(f"n_{a}") & has(f"n_{b}")) for a, b in (("train", "val"), ("train", "matched"), ("train", "unseen"), ("val", "matched"), ("val", "unseen"))}
+    checks |= {
+        "spoof in both tests": F.count_if(clip & has("s_matched") & has("s_unseen")),
+        "genuine clip in one test only": F.count_if(clip & (has("b_matched") != has("b_unseen"))),
+        "held-out system outside its test": total("outside"),
+        "other system in the unseen test": total("other"),
+        "part without both classes": sum(((total(f"s_{p}") == 0) | (total(f"b_{p}") == 0)).cast("long") for p in parts),
+        "spoofs of one test more than of the other": F.abs(total("s_matched") - total("s_unseen")),
+    }
+    found = grouped.agg(*[c.cast("long").alias(name) for name, c in checks.items()])
+    return found.select(F.inline(F.array(*[F.struct(F.lit(name).alias("check"), F.col(f"`{name}`").alias("violations")) for name in checks])))
 
 
 def pair_checks(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -180,8 +183,9 @@ def pair_checks(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def test_pair(spoofs: DataFrame, pool: DataFrame, systems: list[str], seed: str) -> tuple[DataFrame, DataFrame]:
-    """Both systems' spoofs trimmed to the smaller side, and the genuine twins of all of them, once each."""
-    rows = ranked(spoofs.where(F.col("method").isin(systems)), ["method"], seed, "id")
-    least = rows.agg(F.min("__n").alias("__least"))
-    trimmed = rows.crossJoin(F.broadcast(least)).where("__rn <= __least").select(*spoofs.columns)
+    """Both systems' spoofs trimmed to the smaller side, and the genuine twins of all of them, once each. Spoofs are made once and written, and so are the trimmed ones."""
+    sides = stored(spoofs.where(F.col("method").isin(systems)), "sides")
+    least = sides.groupBy("method").agg(F.count("*").alias("__m")).agg(F.min("__m").alias("__least"))
+    trimmed = ranked(sides, ["method"], seed, "id").crossJoin(F.broadcast(least)).where("__rn <= __least").select(*spoofs.columns)
+    trimmed = stored(trimmed, "trimmed")
     return trimmed, pool.join(trimmed.select("stem").distinct(), "stem", "left_semi").select("id").distinct()

@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corvane.operators import attach, resample
+from corvane.operators import attach, integrity, resample
 from corvane.plans import signals
 
 
@@ -65,3 +65,40 @@ def test_two_systems_or_ten_are_compared_from_one_reading(spark):
     same = spark.createDataFrame([("a", "1"), ("b", "1")], "method string, stem string")
     assert [tuple(r) for r in attach.set_differences(same, "method", "stem").collect()] == [("a", "b", 0, True)]
     assert attach.set_differences(same.where("method = 'a'"), "method", "stem").collect() == []
+
+
+PAIR = [
+    ("1", "s1", "none", "train"), ("1.1", "s1", "A", "train"), ("2", "s1", "none", "val"), ("2.1", "s2", "R", "train"), ("3.1", "s3", "A", "matched"), ("3.1", "s3", "A", "unseen"), ("3", "s3", "none", "matched"),
+    ("4.1", "s1", "R", "unseen"), ("5", None, "none", "train"), ("5.1", None, "A", "matched"), ("6.1", "s6", "A", "matched"),
+]
+
+
+def counted(frame, read):
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    return frame.mapInArrow(seen, frame.schema)
+
+
+def test_pair_checks_read_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    rows = counted(spark.createDataFrame(PAIR, "id string, speaker string, method string, part string"), read)
+    got = {tuple(r) for r in integrity.loso_pair_checks(rows, "R").collect()}
+    assert read.value == len(PAIR)
+    assert got == {
+        ("speakers of train in val", 1), ("speakers of train in matched", 1), ("speakers of train in unseen", 1), ("speakers of val in matched", 0), ("speakers of val in unseen", 1), ("spoof in both tests", 1),
+        ("genuine clip in one test only", 1), ("held-out system outside its test", 1), ("other system in the unseen test", 1), ("part without both classes", 2), ("spoofs of one test more than of the other", 1),
+    }
+    assert {r["check"] for r in integrity.loso_pair_checks(rows.limit(0), "R").collect() if r["violations"]} == {"part without both classes"}
+
+
+def test_a_pair_makes_its_frames_once(spark):
+    spoofs = [(f"{k}.{j}", f"s{k}", m, str(k), "train" if k < 3 else "test") for k in range(9) for j, m in enumerate("AAR") if (k, j) != (8, 0)]
+    genuine = [(str(k), f"s{k}", "none", str(k), "train" if k < 3 else "test") for k in range(9)]
+    columns, read = "id string, speaker string, method string, stem string, split string", spark.sparkContext.accumulator(0)
+    out = integrity.loso_pair(counted(spark.createDataFrame(spoofs, columns), read), counted(spark.createDataFrame(genuine, columns), read), "R", "A", "pair")
+    of = {tuple(r) for r in out.groupBy("part", "method").count().collect()}
+    assert {(p, m): n for p, m, n in of if m != "none"} == {("train", "A"): 6, ("matched", "A"): 6, ("unseen", "R"): 6} and ("train", "none", 3) in of and ("matched", "none", 6) in of
+    assert read.value == len(spoofs) + len(genuine)
