@@ -3,18 +3,22 @@
 A byte goes if a 50-byte string that covers it also starts in a document of smaller id. The work is cut so
 that no task holds more than a block of documents or a shard of candidate strings:
 
-1. Documents are dealt into blocks. In each block the anchor of every 50-byte window is the smallest hash
-   of the 16-byte strings inside; windows that are equal have equal anchors. A block sends its distinct
-   anchors, a few for a hundred bytes, to buckets by anchor, and learns which occur in two documents.
+1. Documents are dealt into blocks. In every 50-byte window the 8-byte string of smallest hash, the first of equal ones, has 21 bytes
+   before it in the window, or 21 behind it: with these it is the window's anchor. Windows that are equal have equal anchors, and
+   29 bytes agree by chance far more seldom than the 8. A block sends its distinct anchors, some seven for a hundred bytes, to parts
+   by ranges of their hashes, in steps, and learns which occur in two documents, a bit for each.
 2. Runs of windows with one repeated anchor are segments. Each block sends its distinct segments, with the
    smallest id that holds each, to shards by anchor. An anchor in more than `HOT` documents is dealt finer,
    one window for a segment and by the window's own hash, so that no anchor fills a shard. Shards are dealt
    to parts, one for each shuffle partition of the session or more; a block sends a part one row.
 3. A part takes its shards one after the other. A shard concatenates its distinct segments that share an anchor with others, sorts all suffixes by induced sorting (suffix types, sorted
    leftmost-S substrings, then two inducing passes), computes permuted common prefixes with the preceding
-   window, and so finds for each distinct window the smallest id. It answers each block in runs.
+   window, and so finds for each distinct window the smallest id. It answers each block in runs, by the segments' numbers.
 4. Each block merges the answers into removal spans and cuts its texts.
 
+Answers go by place, not by key. So a block's texts are taken in the order of id and text wherever it is read, and what it sends is
+the same each time.
+
 Induced sorting works on runs of one symbol, so that a long run costs no more than a short one, and takes at once
 all buckets up to the next one that they induce into, in numpy. The string of substring names is sorted by the same
 routine, whatever the size of its alphabet. Windows are compared byte by byte in step 3; 64-bit hashes only
@@ -32,18 +36,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import given_back, set_aside
-from .routing import ROUTED_DDL, block_number, blocks_of, by_part, from_planes, pack, parts_for, planes, routed, tidy, unpack
+from .routing import ROUTED_DDL, block_number, blocks_of, by_part, by_range, from_planes, from_steps, pack, parts_for, planes, routed, steps, tidy, unpack
 from .textblocks import U64, _span_hashes, expand, join_texts, mix
 
 WIDTH = 50
-GRAM = 16
+GRAM = 8
+#: An anchor is a gram with so many bytes before or behind it: a window that has fewer before it has as many behind it.
+REACH = (WIDTH - GRAM) // 2
+#: Bytes of an anchor's hash. Anchors that meet by chance cost work, and change nothing.
+KEY = 5
 HOT = 1000
-CHUNK = 1 << 20
+#: Places that are hashed at a time: their arrays stay in a core's cache.
+CHUNK = 1 << 17
+#: The low bits of a gram's hash that give way to its place in a chunk.
+PLACE = U64((1 << 22) - 1)
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -285,23 +297,37 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, width: int) -> np.ndarr
 # ---------------------------------------------------------------- anchors and segments of a block
 
 
-def _gram_hashes(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Hashes of 16-byte strings from their two halves as numbers."""
-    h = low * U64(0x9E3779B97F4A7C15)
-    h ^= h >> U64(29)
-    h += high
-    return mix(h)
+def _as_words(data: np.ndarray) -> np.ndarray:
+    """The 8-byte string at each place, as a number."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def _gram_order(words: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Numbers by whose order the grams of a window compete; the low bits are the place."""
+    return mix(words * U64(0x9E3779B97F4A7C15)) & ~PLACE | place.astype(np.uint64)
+
+
+def _begin(window: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Where the anchors of windows begin, from where the windows and their grams do."""
+    return np.where(gram - window >= REACH, gram - REACH, gram)
+
+
+def _anchor_hashes(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(begins), dtype=np.uint64)
+    for k in [*range(0, GRAM + REACH - 7, 8), GRAM + REACH - 8]:
+        h = mix(h * U64(0x9E3779B97F4A7C15) + words[begins + k])
+    return h >> U64(64 - 8 * KEY)
 
 
 def _with_others(strings: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Which of the distinct segments that begin there share their anchor with another one; the rest hold no window of another."""
-    padded = np.concatenate([strings, np.zeros(8, dtype=np.uint8)])
-    words = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
-    anchor = None
+    words, least = _as_words(strings), None
     for k in range(WIDTH - GRAM + 1):
-        h = _gram_hashes(words[begins + k], words[begins + k + 8])
-        anchor = h if anchor is None else np.minimum(anchor, h)
-    _, of, count = np.unique(anchor >> U64(16), return_inverse=True, return_counts=True)
+        h = _gram_order(words[begins + k], np.full(len(begins), k))
+        least = h if least is None else np.minimum(least, h)
+    anchor = _anchor_hashes(words, begins + _begin(np.zeros(len(begins), dtype=np.int64), (least & PLACE).astype(np.int64)))
+    _, of, count = np.unique(anchor, return_inverse=True, return_counts=True)
     return count[of] > 1
 
 
@@ -313,17 +339,15 @@ def _anchors(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray,
         n = len(part) - WIDTH + 1
         if n <= 0:
             break
-        padded = np.concatenate([part, np.zeros(8, dtype=np.uint8)])
-        words = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
-        n_grams = len(part) - GRAM + 1
-        h = _gram_hashes(words[:n_grams], words[8 : 8 + n_grams])
+        words = _as_words(part)
+        h = _gram_order(words[: n + grams - 1], np.arange(n + grams - 1))
         span = 1
         while span * 2 <= grams:
             h = np.minimum(h[:-span], h[span:])
             span *= 2
         rest = grams - span
         h = (np.minimum(h[:-rest], h[rest:]) if rest else h)[:n]
-        place = np.arange(low, low + n)
+        begins = _begin(np.arange(n), (h & PLACE).astype(np.int64))
         first = np.searchsorted(starts, low, side="right") - 1
         ends = starts[first + 1 :] - 1
         upto = np.searchsorted(starts, low + n - 1, side="right") - first
@@ -331,18 +355,24 @@ def _anchors(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray,
         for end in ends[:upto]:
             inside[max(0, end - WIDTH + 1 - low) : end + 1 - low] = False
         opens = inside.copy()
-        opens[1:] &= ~inside[:-1] | (h[1:] != h[:-1])
+        opens[1:] &= ~inside[:-1] | (begins[1:] != begins[:-1])
         opened = np.flatnonzero(opens)
         if not len(opened):
             continue
-        closed = inside & np.append(opens[1:] | ~inside[1:], True)
-        count = np.flatnonzero(closed) - opened + 1
-        at = place[opened]
-        yield np.searchsorted(starts, at, side="right") - 1, at, count, h[opened] >> U64(16)
+        closed = np.flatnonzero(inside & np.append(opens[1:] | ~inside[1:], True))
+        anchor = _anchor_hashes(words, begins[opened])
+        new = np.append(True, (anchor[1:] != anchor[:-1]) | (opened[1:] != closed[:-1] + 1))  # equal anchors at neighbouring places are one run
+        opened, closed, anchor = opened[new], closed[np.append(new[1:], True)], anchor[new]
+        yield np.searchsorted(starts, opened + low, side="right") - 1, opened + low, closed - opened + 1, anchor
+
+
+def _in_order(table: pa.Table) -> pa.Table:
+    """A block's rows by id and text: the same however they arrived, so that what is asked by place is answered by place."""
+    return table.take(pc.sort_indices(table.select(["__id", "__text"]), sort_keys=[("__id", "ascending"), ("__text", "ascending")]))
 
 
 class Block:
-    """The texts of a block as one byte array, with every segment."""
+    """The texts of a block, in order, as one byte array, with every segment."""
 
     def __init__(self, table: pa.Table):
         self.ids = np.array([NO_ID if x is None else x for x in table.column("__id").to_pylist()], dtype=np.int64)
@@ -350,13 +380,13 @@ class Block:
         self.data, self.starts = join_texts(self.texts)
         runs = list(_anchors(self.data, self.starts))
         self.text, self.first, self.count, self.anchor = (np.concatenate([r[k] for r in runs]) if runs else np.zeros(0, np.uint64 if k == 3 else np.int64) for k in range(4))
+        anchor = np.sort(self.anchor)
+        self.distinct = anchor[np.append(True, anchor[1:] != anchor[:-1])[: len(anchor)]]
 
     def segments(self, repeated: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
         """(text, first window, number of windows, shard key, string key) of segments with a repeated anchor."""
-        if not len(repeated) or not len(self.anchor):
-            return tuple(np.zeros(0, dtype=d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-        at = np.minimum(np.searchsorted(repeated, self.anchor), len(repeated) - 1)
-        held = repeated[at] == self.anchor
+        at = np.searchsorted(self.distinct, self.anchor)
+        held = repeated[at]
         fine = held & hot[at]
         cold = held & ~fine
         windows = expand(self.first[fine], self.count[fine])
@@ -369,48 +399,63 @@ class Block:
         shard = mix(np.concatenate([self.anchor[cold] + U64(1), key[cold.sum() :]]))
         return text, first, count, shard, key
 
+    def distinct_segments(self, repeated: np.ndarray, hot: np.ndarray, n_shards: int) -> tuple[np.ndarray, ...]:
+        """Segments with a repeated anchor, equal ones together by id: (first window, number of windows, id); and of the distinct
+        ones, by shard and key, (where they begin there, where they end, shard)."""
+        text, first, count, shard, key = self.segments(repeated, hot)
+        ids = self.ids[text]
+        order = np.lexsort((ids, key))
+        opens = np.flatnonzero(np.append(True, key[order[1:]] != key[order[:-1]])) if len(order) else order
+        shard = (shard[order[opens]] % U64(n_shards)).astype(np.int64)
+        by_shard = np.argsort(shard, kind="stable")
+        return first[order], count[order], ids[order], opens[by_shard], np.append(opens[1:], len(order))[by_shard], shard[by_shard]
+
 
 ANCHORS, SEGMENTS, ANSWERS = 0, 1, 2
 
 
 def _send_anchors(n_parts: int):
     def run(table: pa.Table) -> pa.Table:
-        block = Block(table)
+        block = Block(_in_order(table))
         order = np.lexsort((block.text, block.anchor))
         anchor, text = block.anchor[order], block.text[order]
         pair = np.ones(len(anchor), dtype=bool)
         pair[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
         distinct, docs = np.unique(anchor[pair], return_counts=True)
-        number, rows = block_number(table), []
-        for part, own in by_part((mix(distinct) % U64(n_parts)).astype(np.int64)):
-            rows.append((part, number, ANCHORS, pack(anchor=planes(distinct[own], 6), docs=docs[own].astype(np.uint32))))
-        return routed(rows)
+        number = block_number(table)
+        return routed([(part, number, ANCHORS, pack(anchor=steps(own, KEY), docs=docs[at].astype(np.uint32))) for part, own, at in by_range(distinct, n_parts, KEY)])
 
     return tidy(run)
 
 
+def _flags(repeated: np.ndarray, hot: np.ndarray) -> bytes:
+    return pack(repeated=np.packbits(repeated), hot=np.packbits(hot))
+
+
+def _from_flags(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    repeated, hot = (np.unpackbits(x, count=n).astype(bool) for x in unpack(blob, "u1", "u1"))
+    return repeated, hot
+
+
 def _answer_anchors(table: pa.Table) -> pa.Table:
-    """Which anchors of each block occur in two documents, and which in very many."""
-    blobs = [(from_planes(a, 6), docs) for a, docs in (unpack(b, "u1", "<u4") for b in table.column("blob").to_pylist())]
+    """Which anchors of each block occur in two documents, and which in very many: a bit for each, in the order of the block's anchors."""
+    blobs = [(from_steps(a, KEY), docs) for a, docs in (unpack(b, "u1", "<u4") for b in table.column("blob").to_pylist())]
     every = np.concatenate([b[0] for b in blobs])
     distinct, inverse = np.unique(every, return_inverse=True)
     docs = np.bincount(inverse, weights=np.concatenate([b[1] for b in blobs])).astype(np.int64)
     rows, at = [], 0
-    for number, (anchor, _) in zip(table.column("block").to_pylist(), blobs):
+    for part, number, (anchor, _) in zip(table.column("to").to_pylist(), table.column("block").to_pylist(), blobs):
         total = docs[inverse[at : at + len(anchor)]]
         at += len(anchor)
-        if (total > 1).any():
-            rows.append((0, number, ANCHORS, pack(anchor=planes(anchor[total > 1], 6), hot=(total[total > 1] > HOT).astype(np.uint8))))
+        rows.append((part, number, ANCHORS, _flags(total > 1, total > HOT)))
     return routed(rows)
 
 
-def _repeated(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    own = [unpack(b, "u1", "u1") for k, b in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()) if k == ANCHORS]
-    if not own:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
-    anchor, hot = np.concatenate([from_planes(x[0], 6) for x in own]), np.concatenate([x[1] for x in own]).astype(bool)
-    order = np.argsort(anchor)
-    return anchor[order], hot[order]
+def _repeated(block: Block, answers: pa.Table, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the block's distinct anchors, which are repeated and which are hot; each part has answered for its range."""
+    blobs = dict(zip(answers.column("to").to_pylist(), answers.column("blob").to_pylist()))
+    own = [_from_flags(blobs[part], len(keys)) for part, keys, _ in by_range(block.distinct, n_parts, KEY)]
+    return tuple(np.concatenate([x[k] for x in own]) if own else np.zeros(0, dtype=bool) for k in range(2))
 
 
 def _send_segments(n_parts: int, n_shards: int):
@@ -420,26 +465,19 @@ def _send_segments(n_parts: int, n_shards: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows or not answers.num_rows:
             return routed([])
-        block = Block(texts)
-        number = block_number(texts)
-        text, first, count, shard, key = block.segments(*_repeated(answers))
-        ids = block.ids[text]
-        order = np.lexsort((ids, key))
-        sorted_key = key[order]
-        opens = np.ones(len(order), dtype=bool)
-        opens[1:] = sorted_key[1:] != sorted_key[:-1]
-        closes = np.append(opens[1:], True) if len(order) else opens
-        low, high, rep = ids[order[opens]], ids[order[closes]], order[opens]
-        # the block's own anchors go along, so that they come back with the answers
-        rows = [(number % n_parts, number, ANCHORS, blob) for blob in answers.column("blob").to_pylist()]
-        own_shard = (shard[rep] % U64(n_shards)).astype(np.int64)
-        by_shard = np.argsort(own_shard, kind="stable")
-        low, high, rep, own_shard = low[by_shard], high[by_shard], rep[by_shard], own_shard[by_shard]
+        block, number = Block(_in_order(texts)), block_number(texts)
+        repeated, hot = _repeated(block, answers, n_parts)
+        if not repeated.any():
+            return routed([])
+        first, count, ids, opens, ends, own_shard = block.distinct_segments(repeated, hot, n_shards)
+        low, high = ids[opens], ids[ends - 1]
+        # what is known of the block's own anchors goes along, so that it comes back with the answers
+        rows = [(number % n_parts, number, ANCHORS, _flags(repeated, hot))]
         for part, own in by_part(own_shard // per_part):
-            length = count[rep[own]] + WIDTH - 1
-            strings = block.data[expand(first[rep[own]], length)]
+            windows = count[opens[own]]
+            strings = block.data[expand(first[opens[own]], windows + WIDTH - 1)]
             each = np.bincount(own_shard[own] % per_part, minlength=per_part).astype("<u4")
-            rows.append((part, number, SEGMENTS, pack(each=each, windows=count[rep[own]].astype("<u4"), low=planes(low[own]), more=planes(high[own] - low[own]), strings=strings)))
+            rows.append((part, number, SEGMENTS, pack(each=each, windows=windows.astype("<u4"), low=planes(low[own]), more=planes(high[own] - low[own]), strings=strings)))
         return routed(rows)
 
     return tidy(run)
@@ -472,7 +510,7 @@ def smallest_ids(strings: np.ndarray, windows: np.ndarray, low: np.ndarray) -> n
 
 def _answer_segments(table: pa.Table) -> pa.Table:
     """A part's shards one after the other; to each block, what its segments' windows have in smaller ids."""
-    rows, entries = [], []
+    rows, entries, part = [], [], table.column("to")[0].as_py()
     for number, kind, blob in zip(table.column("block").to_pylist(), table.column("kind").to_pylist(), table.column("blob").to_pylist()):
         if kind == ANCHORS:
             rows.append((0, number, ANCHORS, blob))
@@ -487,18 +525,19 @@ def _answer_segments(table: pa.Table) -> pa.Table:
         for number, ends, bytes_, *arrays, strings in entries:
             a, b = ends[shard], ends[shard + 1]
             if b > a:
-                held.append((np.full(b - a, number), *[x[a:b] for x in arrays], strings[bytes_[a] : bytes_[b]]))
+                held.append((np.arange(a, b), np.full(b - a, number), *[x[a:b] for x in arrays], strings[bytes_[a] : bytes_[b]]))
         if held:
-            for number, *arrays in _answers_of(*[np.concatenate(x) for x in zip(*held)]):
-                found.setdefault(number, []).append(arrays)
+            place, *arrays = (np.concatenate(x) for x in zip(*held))
+            for number, entry, offset, run, least in _answers_of(*arrays):
+                found.setdefault(number, []).append((place[entry], offset, arrays[1][entry] - run, least))
     for number, parts in found.items():
-        key, offset, run, least = (np.concatenate(x) for x in zip(*parts))
-        rows.append((0, number, ANSWERS, pack(key=key, offset=offset.astype("<u4"), run=run.astype("<u4"), least=planes(least))))
+        place, offset, rest, least = (np.concatenate(x) for x in zip(*parts))  # places ascend, as shards and their entries do
+        rows.append((part, number, ANSWERS, pack(place=steps(place.astype(np.uint64), 4), offset=offset.astype("<u4"), rest=rest.astype("<u4"), least=planes(least))))
     return routed(rows)
 
 
 def _answers_of(number: np.ndarray, windows: np.ndarray, low: np.ndarray, high: np.ndarray, strings: np.ndarray) -> Iterator[tuple]:
-    """For each block of a shard: (block, segment keys, first windows, numbers of windows, smaller ids) in runs."""
+    """For each block of a shard: (block, numbers of the segments, first windows, numbers of windows, smaller ids) in runs."""
     length = windows + WIDTH - 1
     begins = np.cumsum(length) - length
     key = _span_hashes(strings, begins, begins + length)
@@ -526,7 +565,7 @@ def _answers_of(number: np.ndarray, windows: np.ndarray, low: np.ndarray, high:
     run = np.diff(np.append(at, len(value)))
     entry, value, offset = entry[at], value[at], offset[at]
     for block, own in by_part(number[entry]):
-        yield block, key[entry[own]], offset[own], run[own], value[own]
+        yield block, entry[own], offset[own], run[own], value[own]
 
 
 def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
@@ -537,11 +576,12 @@ def _whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.repeat(np.logical_or.reduceat(gone, leads), np.diff(np.append(leads, len(data))))
 
 
-def _cut(kept: list[str], with_text: bool):
+def _cut(kept: list[str], with_text: bool, n_parts: int, n_shards: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = _in_order(texts)
         block = Block(texts) if answers.num_rows else None
         if block:
-            gone = _removed(block, answers)
+            gone = _removed(block, answers, n_parts, n_shards)
             raw, starts, data = block.texts, block.starts, block.data
         else:
             raw = [x or b"" for x in texts.column("__text").to_pylist()]
@@ -563,24 +603,27 @@ def _cut(kept: list[str], with_text: bool):
     return tidy(run)
 
 
-def _removed(block: Block, answers: pa.Table) -> np.ndarray:
+def _removed(block: Block, answers: pa.Table, n_parts: int, n_shards: int) -> np.ndarray:
     """Which bytes of a block go."""
     gone = np.zeros(len(block.data) + 1, dtype=np.int32)
-    own = [unpack(b, "<u8", "<u4", "<u4", "u1") for k, b in zip(answers.column("kind").to_pylist(), answers.column("blob").to_pylist()) if k == ANSWERS]
-    if own:
-        key, offset, run = (np.concatenate([x[k] for x in own]) for k in range(3))
-        least = np.concatenate([from_planes(x[3]).view(np.int64) for x in own])
-        order = np.argsort(key, kind="stable")
-        key, offset, run, least = key[order], offset[order].astype(np.int64), run[order].astype(np.int64), least[order]
-        text, first, _, _, mine = block.segments(*_repeated(answers))
-        low, high = np.searchsorted(key, mine), np.searchsorted(key, mine, side="right")
-        at = expand(low, high - low)
-        occurrence = np.repeat(np.arange(len(mine)), high - low)
-        use = least[at] < block.ids[text[occurrence]]
-        at, occurrence = at[use], occurrence[use]
-        begins = first[occurrence] + offset[at]
-        np.add.at(gone, begins, 1)
-        np.add.at(gone, begins + run[at] + WIDTH - 1, -1)
+    rows = list(zip(*[answers.column(c).to_pylist() for c in ("to", "kind", "blob")]))
+    blobs = {part: blob for part, kind, blob in rows if kind == ANSWERS}
+    if blobs:
+        first, count, ids, opens, ends, shard = block.distinct_segments(*_from_flags(*[b for _, k, b in rows if k == ANCHORS], len(block.distinct)), n_shards)
+        for part, own in by_part(shard // (n_shards // n_parts)):
+            if part not in blobs:
+                continue
+            place, offset, rest, least = unpack(blobs[part], "u1", "<u4", "<u4", "u1")
+            segment, least = own[from_steps(place, 4).astype(np.int64)], from_planes(least).view(np.int64)
+            run = count[opens[segment]] - rest
+            n = ends[segment] - opens[segment]
+            at = expand(opens[segment], n)
+            of = np.repeat(np.arange(len(segment)), n)
+            use = least[of] < ids[at]
+            at, of = at[use], of[use]
+            begins = first[at] + offset[of]
+            np.add.at(gone, begins, 1)
+            np.add.at(gone, begins + run[of] + WIDTH - 1, -1)
     return np.cumsum(gone[:-1]) > 0
 
 
@@ -602,5 +645,5 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     anchors = grouped.applyInArrow(_send_anchors(n_parts), ROUTED_DDL).groupBy("to").applyInArrow(tidy(_answer_anchors), ROUTED_DDL)
     segments = grouped.cogroup(anchors.groupBy("block")).applyInArrow(_send_segments(n_parts, n_shards), ROUTED_DDL)
     answers = segments.groupBy("to").applyInArrow(tidy(_answer_segments), ROUTED_DDL)
-    cut = grouped.cogroup(answers.groupBy("block")).applyInArrow(_cut([f.name for f in fields], with_text), T.StructType(fields + added.fields))
+    cut = grouped.cogroup(answers.groupBy("block")).applyInArrow(_cut([f.name for f in fields], with_text, n_parts, n_shards), T.StructType(fields + added.fields))
     return given_back(cut, renamed)
