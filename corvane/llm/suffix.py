@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 
 from .columns import given_back, set_aside
 from .routing import ROUTED_DDL, block_number, blocks_of, by_part, by_range, from_planes, from_steps, pack, parts_for, planes, routed, steps, tidy, unpack
-from .textblocks import U64, _span_hashes, expand, join_texts, mix
+from .textblocks import U64, _span_hashes, expand, join_texts, mix, sorted_distinct
 
 WIDTH = 50
 GRAM = 8
@@ -380,8 +380,7 @@ class Block:
         self.data, self.starts = join_texts(self.texts)
         runs = list(_anchors(self.data, self.starts))
         self.text, self.first, self.count, self.anchor = (np.concatenate([r[k] for r in runs]) if runs else np.zeros(0, np.uint64 if k == 3 else np.int64) for k in range(4))
-        anchor = np.sort(self.anchor)
-        self.distinct = anchor[np.append(True, anchor[1:] != anchor[:-1])[: len(anchor)]]
+        self.distinct = sorted_distinct(self.anchor)
 
     def segments(self, repeated: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
         """(text, first window, number of windows, shard key, string key) of segments with a repeated anchor."""

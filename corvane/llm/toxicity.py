@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .columns import given_back, set_aside
 from .stored import Scratch
-from .textblocks import ALNUM, U64, Words, _span_hashes, expand, give_back, mix, slices
+from .textblocks import ALNUM, U64, Words, _span_hashes, expand, give_back, mix, slices, sorted_distinct
 
 BUCKETS = 1 << 20
 SLICE = 1 << 20
@@ -40,15 +40,15 @@ def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     words = Words(texts, ALNUM)
 
     def keys(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
-        return np.unique(text.astype(np.uint64) * U64(BUCKETS) + mix(hashes) % U64(BUCKETS))
+        return text.astype(np.uint64) * U64(BUCKETS) + (mix(hashes) & U64(BUCKETS - 1))
 
     found = [keys(words.hashes, words.text)]
     for n in STEMS:
         longer = np.flatnonzero(words.ends - words.starts > n)
         starts = words.starts[longer]
         found.append(keys(_span_hashes(words.data, starts, starts + n) + U64(n), words.text[longer]))
-    distinct = np.unique(np.concatenate(found))
-    return (distinct % U64(BUCKETS)).astype(np.uint32), np.searchsorted(distinct, np.arange(words.n_texts + 1, dtype=np.uint64) * U64(BUCKETS))
+    distinct = sorted_distinct(np.concatenate(found))
+    return (distinct & U64(BUCKETS - 1)).astype(np.uint32), np.searchsorted(distinct, np.arange(words.n_texts + 1, dtype=np.uint64) * U64(BUCKETS))
 
 
 @dataclass
